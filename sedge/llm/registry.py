@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, line_dedup, simhash
+from sedge.llm import ann, bpe, decontaminate, language, licenses, line_dedup, simhash, substring_dedup, toxicity, url_filter
 from sedge.llm.common import table
 
 
@@ -14,15 +14,52 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, seed=42, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def remainder(by: int):
+    return F.crc32(F.col("doc_id").cast("string")) % by
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(remainder(4) != 2).select("text", "lang"))
+    found = language.label(docs.select("doc_id", "text"), model, with_spans=False)
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False).drop("text")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_simhash": op3_simhash, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_simhash, op4_licenses, op5_decontamination, op6_toxicity, op7_language, op8_url_filter, op9_ann, op10_byte_bpe)}
 
-ORACLE = {}
+ORACLE = {"op8_url_filter": url_filter.oracle()}
