@@ -15,14 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's own (``spark.checkpoint.dir``); only where none is set,
+    as in tests, one is chosen here."""
+    sc = spark.sparkContext
+    if at := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        return at
+    sc.setCheckpointDir(at := os.path.join(tempfile.gettempdir(), "sedge-checkpoints"))
+    return at
+
 
-    The folder is the cluster's own (``spark.checkpoint.dir``); only where none is set, as in tests, one is chosen here.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "sedge-checkpoints"))
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a checkpoint, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -143,3 +143,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         found = own.mapInArrow(_search(sent, chars_per_edit), "doc_id bigint, item_id bigint, distance bigint, ends_at bigint")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows whose text holds an item; every other row stays, with a null id or text too.
+
+    Texts decide, not ids: rows are matched by xxhash64 of the text, which is null-safe.
+    """
+    key = F.xxhash64(F.col(f"`{text_col}`"))
+    found = leaks(docs.withColumn("_key", key), items, "_key", text_col, **how).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, key == F.col("_leak"), "left_anti")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import cut, parts, raw, slices
+from sedge.llm.common import cut, parts, raw, slices, text_key
 from sedge.llm.components import components
 
 WIDTHS, LENGTH, CHECKS = (22, 21, 21), 23, 11
@@ -53,16 +53,16 @@ def fingerprint(text: bytes, size: int, seed: int) -> int:
 def _fingerprints(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            prints = np.array([fingerprint(t or b"", size, seed) for t in raw(b.column(1))], "u8").view("i8")
-            yield pa.record_batch([b.column(0), pa.array(prints)], ["doc_id", "fp"])
+            prints = np.array([fingerprint(t or b"", size, seed) for t in raw(b.column(2))], "u8").view("i8")
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(prints)], ["doc_id", "txt", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 42) -> DataFrame:
-    """(doc_id, fp bigint), a row for each row. Null, empty and blank texts have the fingerprint zero; a text of fewer
+    """(doc_id, txt, fp bigint), a row for each row; txt is xxhash64 of the text. Null, empty and blank texts have the fingerprint zero; a text of fewer
     than ``size`` words is one shingle; a null id stays null."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(size, seed), "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("txt"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(size, seed), "doc_id bigint, txt bigint, fp bigint")
 
 
 @lru_cache(4)
@@ -210,7 +210,8 @@ def links_of(prints: DataFrame, distance: int = 4, wide_from: int = WIDE_FROM, b
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 42, distance: int = 4, wide_from: int = WIDE_FROM, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id), a row for each row: component_id is the smallest doc_id reachable over links.
+    """(doc_id, txt, fp, root, component_id), a row for each row: component_id is the smallest doc_id reachable over
+    links, root the component's own fingerprint, txt xxhash64 of the text.
 
     Documents with no words share the fingerprint zero and link as any other. A null id comes back, linked by its
     fingerprint, and is never a component's id unless all its ids are null. An empty table gives an empty one.
@@ -220,4 +221,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links_of(prints, distance, wide_from, block)).withColumnsRenamed({"node": "fp"})
     classed = cut(prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(classed.join(least, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    return own.join(classed.join(least, "root").select("fp", "root", "component_id"), "fp", "left").select("doc_id", "txt", "fp", "root", "component_id")

@@ -19,7 +19,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import cut, slices
+from sedge.llm.common import cut, slices, without
 
 #: Bound on the labelled documents whose texts are learned from (a sample by hash of the id, where there are more).
 SAMPLE = 20_000
@@ -165,26 +165,30 @@ def train_linear(row: np.ndarray, col: np.ndarray, votes: np.ndarray, y: np.ndar
     return w, v, float(b)
 
 
-def _score(sent: Broadcast):
+def _score(sent: Broadcast, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         voters = Voters(m.learned)
         weights = m.weights
         for b in slices(batches):
             scores = []
-            for text in b.column(1).to_pylist():
+            for text in b.column(text_at).to_pylist():
                 f = features_of(text)
                 hit = [weights[x] for x in f if x in weights]
-                z = m.bias + sum(sorted(hit)) / np.sqrt(max(len(hit), 1))
+                z = m.bias + sum(sorted(hit)) / np.sqrt(max(len(hit), 1))  # sorted: the sum is the same in any order
                 if len(m.vote_weights):
                     z += float(np.dot(voters.votes(text, f), m.vote_weights))
                 scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "toxicity"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score), a row for each row; null and empty texts score as texts without features. No shuffle."""
+def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``toxicity`` (0 to 1) added, in place of a column of that name; null and empty texts score as texts
+    without features. No shuffle; texts are read whole."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_features
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(sent), "doc_id bigint, score double")
+    own = without(docs, "toxicity")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    at = [c.lower() for c in own.columns].index(text_col.lower())
+    return own.mapInArrow(_score(sent, at), f"{kinds}, toxicity double")
