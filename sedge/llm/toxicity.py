@@ -38,6 +38,8 @@ LEXICONS = (
 PATTERNS = (r"(?i)\byou(?:'re| are)? (?:\w+ )?(?:idiot|moron|stupid|pathetic|worthless|loser|trash|scum)\b", r"(?i)\bshut up\b|\bgo to hell\b", r"!{3,}", r"(?i)\b[a-z]+[*@#$]{1,3}[a-z]+\b")
 LEARNED_VOTERS = 6
 STARTS = (4, 5, 6)
+#: Labelled documents that the generative model's opinion of a vote pattern weighs as much as.
+TRUST = 2.0
 WORD = regex.compile(r"[^\W\d_]+")
 
 
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gain = F.col("toxic") / toxic * weight - F.col("clean") / clean * weight
     best = counts.where(F.col("toxic") + F.col("clean") >= 3).withColumn("gain", gain).withColumn("weight", weight)
     chosen = best.orderBy(F.desc("gain"), "feature").limit(max_features).collect()
-    strong = [r.feature for r in chosen if r.weight > 2.0 and r.toxic >= 5][:240]
+    strong = [r.feature for r in chosen if r.weight > 3.0 and r.toxic >= 5][:240]
     learned = [frozenset(strong[i::LEARNED_VOTERS]) for i in range(LEARNED_VOTERS)]
     places = {r.feature: i for i, r in enumerate(chosen)}
 
@@ -141,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     which, prior = which.reshape(-1), toxic / (toxic + clean)
     marked = np.bincount(which, weights=data.column("toxic").to_numpy(), minlength=len(patterns))
     rates, discount, post = label_model(patterns, n_of, min(max(prior, 0.01), 0.5), (marked + prior) / (n_of + 1))
+    post = (marked + TRUST * post) / (n_of + TRUST)  # what is known of a pattern's documents counts too
     y = post[which]
     lists = data.column("at").to_pylist()
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
