@@ -1,74 +1,73 @@
 """Language identification of mixed texts.
 
-A word's script narrows the languages that it may be in; hashed character n-grams of the word score those. Viterbi over
-a document's words, with a penalty for each switch, then labels spans. The documents of a batch step through their
-words together, so each step is one array operation. Counts cover every training document.
+A word's script narrows the languages that it may be in; hashed trigrams of its bytes score those. Viterbi over a
+document's words, with a penalty for each switch, then labels spans. A bound shows for most documents that staying in one
+language is best; the others of a batch step through their words together, so each step is one array operation. Counts
+cover every training document.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
 
 from sedge.llm.common import slices
 
 #: Hash buckets for n-grams, for each language.
-BUCKETS = 1 << 16
+BITS = 16
+BUCKETS = 1 << BITS
 #: Cost, in nats, of a language switch between two words.
 SWITCH = 8.0
 #: A language may use a script if so large a share of its training words does.
 SHARE = 0.002
-#: Words that a worker keeps with their scores.
-KEPT = 300_000
 #: Script ranges by the first letter's code point (start, end, script), in order.
 RANGES = ((0x41, 0x24F, 0), (0x370, 0x3FF, 1), (0x400, 0x52F, 2), (0x530, 0x58F, 3), (0x590, 0x5FF, 4), (0x600, 0x77F, 5), (0x900, 0x97F, 6), (0x980, 0x9FF, 7), (0xB80, 0xBFF, 8), (0xE00, 0xE7F, 9), (0x10A0, 0x10FF, 10), (0x1E00, 0x1EFF, 0), (0x1F00, 0x1FFF, 1), (0x3040, 0x30FF, 11), (0x3400, 0x9FFF, 12), (0xAC00, 0xD7AF, 13))
 OTHER, SCRIPTS = 14, 15
-LETTERS = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-HAS_LETTER = regex.compile(r"\p{L}")
+STARTS, ENDS, KINDS = (np.array(x) for x in zip(*RANGES, strict=True))
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def script_of(word: str) -> int:
-    x = ord(word[0])
-    return next((s for a, b, s in RANGES if a <= x <= b), OTHER)
+def scripts_of(words: list[str]) -> np.ndarray:
+    """The script of each word's first letter."""
+    x = np.array([ord(w[0]) for w in words], "i8")
+    at = np.maximum(np.searchsorted(STARTS, x, side="right") - 1, 0)
+    return np.where((STARTS[at] <= x) & (x <= ENDS[at]), KINDS[at], OTHER)
 
 
 def words_of(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the word itself, its 2- and 3-grams (edges marked) and its ending."""
-    w = f"<{word}>"
-    own = [w, *(w[i:i + 2] for i in range(len(w) - 1)), *(w[i:i + 3] for i in range(len(w) - 2))]
-    return [xxh32_intdigest(g) & (BUCKETS - 1) for g in own]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, first): the bucket of each trigram of bytes of the words, edges marked, and where each word's begin."""
+    raw = np.frombuffer(("<" + "<".join(words) + "<").encode("utf-8", "replace"), "u1").astype("u4")
+    edge = np.flatnonzero(raw == 60)
+    h = (raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
+    inside = np.ones(len(h), bool)
+    inside[edge[1:-1] - 1] = False  # a trigram must not reach into the next word
+    return h[inside].astype("i8"), edge[:-1] - np.arange(len(words))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, bucket, n): summed over the task; buckets from BUCKETS on count the words of each script."""
     total: dict[str, np.ndarray] = {}
     for b in slices(batches, 1024):
-        seen: dict[str, Counter] = {}
+        seen: dict[str, list[str]] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen.setdefault(lang, Counter()).update(words_of(text))
+            seen.setdefault(lang, []).extend(words_of(text))
         for lang, words in seen.items():
             n = total.setdefault(lang, np.zeros(BUCKETS + SCRIPTS, "i8"))
-            at, add = [], []
-            for w, c in words.items():
-                own = grams(w)
-                at += own
-                add += [c] * len(own)
-                n[BUCKETS + script_of(w)] += c
-            np.add.at(n, at, add)
+            if words:
+                n[:BUCKETS] += np.bincount(grams(words)[0], minlength=BUCKETS)
+                n[BUCKETS:] += np.bincount(scripts_of(words), minlength=SCRIPTS)
     for lang, n in total.items():
         own = np.flatnonzero(n)
         yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(own.astype("i4")), pa.array(n[own])], ["lang", "bucket", "n"])
@@ -97,33 +96,45 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mod
     return Model(langs, logs, may)
 
 
-class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-        self.table = np.zeros((1024, len(model.langs)), "f4")
-
-    def of(self, words: list[str]) -> np.ndarray:
-        """word x language scores, with a large cost for a language that does not use the word's script."""
-        known, m = self.known, self.model
-        if len(known) > KEPT:
-            known.clear()
-        at = []
-        for w in words:
-            k = known.get(w)
-            if k is None:
-                k = known[w] = len(known)
-                if k == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                s = m.logs[grams(w)].sum(0)
-                self.table[k] = np.maximum(s - s.max(), -12.0) - 30.0 * ~m.scripts[script_of(w)] if len(s) else s
-            at.append(k)
-        return self.table[at]
+def scores_of(words: list[str], model: Model) -> np.ndarray:
+    """word x language scores (0 for the best, twelve nats below at worst), with a large cost for a language that does
+    not use the word's script."""
+    if not words:
+        return np.zeros((0, len(model.langs)), "f4")
+    bucket, first = grams(words)
+    s = np.add.reduceat(model.logs[bucket], first, axis=0)
+    return np.maximum(s - s.max(1, keepdims=True), -12.0) - np.float32(30.0) * ~model.scripts[scripts_of(words)]
+
+
+def constant(s: np.ndarray, switch: float) -> int | None:
+    """The language c in which a whole document is best labelled, if bounds show that.
+
+    No run of words gains more than one switch by any other language, so a path that has c anywhere gains nothing from
+    leaving it; and always taking the best other language loses in all, so a path without c gains nothing either.
+    """
+    c = int(s.sum(0, dtype="f8").argmax())
+    d = s.astype("f8") - s[:, c:c + 1]
+    if s.shape[1] == 1:
+        return 0
+    if np.delete(d, c, 1).max(1).sum() > 0:
+        return None
+    run = np.cumsum(d, 0)
+    low = np.minimum.accumulate(np.vstack([np.zeros((1, d.shape[1])), run[:-1]]), 0)
+    return c if (run - low).max() <= switch else None
 
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
     """The best language of each word of each document; ties take the smaller index, and staying before switching."""
     paths: list[np.ndarray] = [np.zeros(len(s), "i2") for s in scores]
-    order = sorted((i for i, s in enumerate(scores) if len(s)), key=lambda i: -len(scores[i]))
+    order = []
+    for i, s in enumerate(scores):
+        if len(s):
+            c = constant(s, switch)
+            if c is None:
+                order.append(i)
+            else:
+                paths[i][:] = c
+    order.sort(key=lambda i: -len(scores[i]))
     if not order:
         return paths
     size = np.array([len(scores[i]) for i in order])
@@ -157,23 +168,24 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
 def _label(sent: Broadcast, switch: float, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        scorer, langs = Scorer(model), model.langs
         for b in slices(batches, 1024):
             held: list[tuple] = []
             size = 0
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                held.append((i, words, bool(HAS_LETTER.search(text or ""))))
+                held.append((i, words, any(c.isalpha() for w in words for c in w)))
                 size += len(words)
                 if size > 400_000:
-                    yield out(held, scorer, langs)
+                    yield out(held, model)
                     held, size = [], 0
             if held:
-                yield out(held, scorer, langs)
+                yield out(held, model)
 
-    def out(held: list[tuple], scorer: Scorer, langs: list[str]) -> pa.RecordBatch:
-        rows = []
-        for (i, words, letters), path in zip(held, viterbi([scorer.of(w) for _, w, _ in held], switch), strict=True):
+    def out(held: list[tuple], model: Model) -> pa.RecordBatch:
+        rows, langs = [], model.langs
+        scored = scores_of([x for _, w, _ in held for x in w], model) if langs else np.zeros((0, 0))
+        cuts = np.cumsum([len(w) for _, w, _ in held])[:-1]
+        for (i, words, letters), path in zip(held, viterbi(np.split(scored, cuts), switch) if langs else [()] * len(held), strict=True):
             if not letters or not words or not langs:
                 rows.append((i, "und", 0.0, []))
                 continue
