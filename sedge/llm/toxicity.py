@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model({f: float(w[i]) for f, i in places.items() if w[i]}, bias, learned, rates, discount, vote_w)
 
 
-def train_linear(row: np.ndarray, col: np.ndarray, votes: np.ndarray, y: np.ndarray, size: int, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+def train_linear(row: np.ndarray, col: np.ndarray, votes: np.ndarray, y: np.ndarray, size: int, rounds: int = 800, rate: float = 1.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression on probabilities, by gradient steps with per-weight scaling."""
     n, k = votes.shape
     scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))  # long texts hold more features
