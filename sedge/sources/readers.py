@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.functions.udfs import strict_json
+from sedge.functions.udfs import canonical_json, strict_json
 
 
 def text_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -29,10 +29,10 @@ def jsonish(spark: SparkSession, *paths: str) -> DataFrame:
 
     ``value`` is the text; it is null where a line is no JSON.
     """
-    whole = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("source"), "value").withColumn("_ok", F.try_parse_json("value").isNotNull())
+    whole = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("source"), "value").withColumn("_ok", canonical_json("value").isNotNull())
     lines = F.when(F.col("_ok"), F.array("value")).otherwise(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != ""))
     rows = whole.select("source", F.posexplode_outer(lines).alias("pos", "value")).where("value is not null")
-    return rows.withColumn("value", F.when(F.try_parse_json("value").isNotNull(), F.col("value")))
+    return rows.withColumn("value", F.when(canonical_json("value").isNotNull(), F.col("value")))
 
 
 def strict_artifacts(files: DataFrame, max_bytes: int = 4 * 1024 * 1024) -> DataFrame:
