@@ -26,7 +26,7 @@ THRESHOLD = 0.2
 #: Queries that one scan of the codes serves, of which a chunk at a time has its tables made.
 QUERIES, CHUNK = 4096, 256
 #: Vectors of a block, and how many of them each query scores again.
-BLOCK, AGAIN = 8192, 48
+BLOCK, AGAIN = 8192, 128
 
 
 @dataclass
