@@ -16,6 +16,7 @@ START = rf"(?<![A-Za-z0-9_])(?<!{WORD})"
 END = rf"(?!{WORD})"
 SPACE_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACE_SET}]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_BREAK = r"[\n\u0085\u2028\u2029]"
 TOKEN = rf"[A-Za-z0-9_]+|[^A-Za-z0-9_{SPACE_SET}]"
 

@@ -15,7 +15,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(_col(c), f"^{P.SPACE}+", ""), f"{P.SPACE}+\\z", "")
+    return F.trim(_col(c), F.lit(P.SPACES))
 
 
 def normalize(df: DataFrame, text: str = "text", to: str = "normal") -> DataFrame:
@@ -78,7 +78,7 @@ def clean_claim(line: Column, limit: Column | int = 220) -> Column:
     """The line without list, heading, quote and number marks in front, cut to ``limit`` characters with dots."""
     limit = F.lit(limit) if isinstance(limit, int) else limit
     own = strip(F.regexp_replace(strip(line), f"^[-*#>{P.SPACE_SET}0-9.]+", ""))
-    short = F.concat(F.regexp_replace(F.substring(own, 1, limit - 1), f"{P.SPACE}+\\z", ""), F.lit("..."))
+    short = F.concat(F.rtrim(F.substring(own, 1, limit - 1), F.lit(P.SPACES)), F.lit("..."))
     return F.when(F.length(own) > limit, short).otherwise(own)
 
 

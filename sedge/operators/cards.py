@@ -37,27 +37,28 @@ def cards(docs: DataFrame, max_cards: int = 24, key: str = "doc_id", text: str =
     the first ``max_cards`` lines with anything on them. Claims that come out empty are passed over, and so is a repeated
     claim unless it is an anchor's. A document without lines has no cards.
     """
-    own = docs.withColumn("_lines", T.lines(text))
-    # explode_outer: from a plain explode Catalyst infers a filter on the array's size and pushes it below all the
-    # projections of the redaction chain, writing the chain out fourfold at each of its steps
+    rest = [c for c in docs.columns if c != text]
+    own = docs.withColumn("_lines", T.lines(text)).withColumn("_bare", F.transform("_lines", T.strip))
 
-    def classes(line):
-        bare = T.strip(line)
+    def class_of(bare):
         found = F.when(T.is_anchor(bare), 1).when(T.has_url(bare) | bare.rlike(r"^[-*#]"), 2).otherwise(3)
         return F.when(bare == "", 4).otherwise(found)
 
-    own = own.withColumn("_class", F.transform("_lines", classes))
-    named = F.exists("_class", lambda c: c <= 2)
-    at = F.transform("_class", lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    plain = F.slice(F.filter(at, lambda x: x.c == 3), 1, max_cards)
-    own = own.withColumn("_at", F.when(named, F.filter(at, lambda x: x.c <= 2)).otherwise(plain))
-    rest = [c for c in docs.columns if c not in (text,)]
-    rows = own.select(*rest, F.explode_outer("_at").alias("_x"), "_lines").where("_x is not null").select(
-        *rest, F.col("_x.c").alias("_class"), F.col("_x.i").alias("_i"),
-        F.element_at("_lines", F.col("_x.i") + 1).alias("_line"),
-        F.slice("_lines", F.greatest(F.col("_x.i"), F.lit(1)), F.when(F.col("_x.i") == 0, 2).otherwise(3)).alias("_around"),
-        F.size("_lines").alias("_n"),
-    )
+    def candidate(x):
+        """Class, index, line and the lines around; taken out of the array before it is exploded, so that no row of the
+        explosion carries the whole document along."""
+        i = x.i
+        around = F.slice("_lines", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3))
+        return F.struct(x.c.alias("c"), i.alias("i"), F.element_at("_lines", i + 1).alias("line"), around.alias("around"))
+
+    own = own.withColumn("_class", F.transform("_bare", lambda x, i: F.struct(class_of(x).alias("c"), i.alias("i"))))
+    own = own.withColumn("_marked", F.filter("_class", lambda x: x.c <= 2))
+    plain = F.slice(F.filter("_class", lambda x: x.c == 3), 1, max_cards)
+    own = own.withColumn("_at", F.when(F.size("_marked") > 0, F.col("_marked")).otherwise(plain))
+    # explode_outer: from a plain explode Catalyst infers a filter on the array's size and pushes it below all the
+    # projections of the redaction chain, writing the chain out fourfold at each of its steps
+    rows = own.select(*rest, F.size("_lines").alias("_n"), F.explode_outer(F.transform("_at", candidate)).alias("_x")).where("_x is not null")
+    rows = rows.select(*rest, "_n", F.col("_x.c").alias("_class"), F.col("_x.i").alias("_i"), F.col("_x.line").alias("_line"), F.col("_x.around").alias("_around"))
     rows = rows.select(
         *rest, "_class", "_i",
         F.greatest(F.col("_i"), F.lit(1)).alias("line_start"), F.least(F.col("_i") + 2, F.col("_n")).alias("line_end"),
