@@ -57,3 +57,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns that a result is about to add (names compare without case, as Spark's do)."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small``, which has a key once, so that AQE may split a hot key's rows of ``big``.
+
+    AQE splits a join only where both sides come straight out of a shuffle made for it. A side that was aggregated by the
+    key would keep its partitioning; a further key, which follows from the first, makes Spark deal out both sides anew.
+    """
+    more = F.pmod(F.xxhash64(keys[0]), F.lit(1 << 30)).alias("_deal")
+    return big.select("*", more).join(small.select("*", more), [*keys, "_deal"], how).drop("_deal")

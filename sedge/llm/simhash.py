@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import cut, parts, raw, slices, text_key
+from sedge.llm.common import cut, parts, raw, slices, split_join, text_key
 from sedge.llm.components import components
 
 WIDTHS, LENGTH, CHECKS = (22, 21, 21), 23, 11
@@ -199,7 +199,7 @@ def links_of(prints: DataFrame, distance: int = 4, wide_from: int = WIDE_FROM, b
     sizes = spread.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1")
     own = F.pmod(F.xxhash64("fp"), F.col("k"))
     dealt = (
-        spread.join(sizes, ["x", "y"])
+        split_join(spread, sizes, ["x", "y"])
         .withColumn("k", F.ceil(F.col("n") / block).cast("long"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
@@ -221,4 +221,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links_of(prints, distance, wide_from, block)).withColumnsRenamed({"node": "fp"})
     classed = cut(prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(classed.join(least, "root").select("fp", "root", "component_id"), "fp", "left").select("doc_id", "txt", "fp", "root", "component_id")
+    return split_join(own, split_join(classed, least, ["root"]).select("fp", "root", "component_id"), ["fp"], "left").select("doc_id", "txt", "fp", "root", "component_id")

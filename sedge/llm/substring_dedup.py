@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import cut, parts, raw, slices, text_key, without
+from sedge.llm.common import cut, parts, raw, slices, split_join, text_key, without
 
 SIZE = 50
 #: Words of a minimiser; eight, as its hash is built by doubling.
@@ -193,21 +193,21 @@ def repeated(docs: DataFrame, size: int = SIZE, large: int = LARGE) -> DataFrame
     n = parts(docs)
     shared = src.mapInArrow(_numbers(size, False), "m bigint, doc_id bigint").groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
     numbers = src.mapInArrow(_numbers(size, True), "m bigint, s1 bigint, s2 bigint, doc_id bigint, txt bigint, start int, n int")
-    places = cut(numbers.join(shared, "m"))
+    places = cut(split_join(numbers, shared, ["m"]))
     first = places.groupBy("m", "s1", "s2").agg(F.min(F.struct("doc_id", "txt", "start", "n")).alias("at"))
     strings = cut(first.select("m", "s1", "s2", F.col("at.doc_id").alias("lo"), F.col("at.txt").alias("txt"), F.col("at.start").alias("start"), F.col("at.n").alias("n")))
     several = strings.groupBy("m").agg(F.count("*").alias("strings")).where("strings > 1")
-    wanted = strings.join(several, "m").withColumn("doc_id", F.col("lo")).groupBy("doc_id", "txt").agg(F.collect_list(F.struct("m", "s1", "s2", "lo", "strings", "start", "n")).alias("wanted"))
+    wanted = split_join(strings, several, ["m"]).withColumn("doc_id", F.col("lo")).groupBy("doc_id", "txt").agg(F.collect_list(F.struct("m", "s1", "s2", "lo", "strings", "start", "n")).alias("wanted"))
     squeezed = src.select("doc_id", "txt", "text").mapInArrow(_squeezed(2), "doc_id bigint, txt bigint, text binary")
     packed = cut(squeezed.join(wanted, ["doc_id", "txt"]).select("text", "wanted").mapInArrow(_packed(size), "m bigint, s1 bigint, s2 bigint, lo bigint, strings bigint, words binary").dropDuplicates(["m", "s1", "s2"]))
     columns = ["m", "s1", "s2", "lo", "words"]
     small = packed.where(F.col("strings") <= large).select(*columns).repartition(n, "m").sortWithinPartitions("m").mapInArrow(_bucket(size), "s1 bigint, s2 bigint, mins array<bigint>")
     spread = packed.where(F.col("strings") > large).select(*columns).mapInArrow(_exploded(size), "w1 bigint, w2 bigint, s1 bigint, s2 bigint, lo bigint, i bigint")
     least = spread.groupBy("w1", "w2").agg(F.min("lo").alias("least"))
-    hot = spread.join(least, ["w1", "w2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("own")).select("s1", "s2", F.col("own.least").alias("mins"))
+    hot = split_join(spread, least, ["w1", "w2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("own")).select("s1", "s2", F.col("own.least").alias("mins"))
     solved = small.unionByName(hot)
     known = strings.select("s1", "s2", "lo").join(solved, ["s1", "s2"], "left")
-    found = places.join(known, ["s1", "s2"]).where("mins is null and lo < doc_id or mins is not null and exists(mins, x -> x < doc_id)")
+    found = split_join(places, known, ["s1", "s2"]).where("mins is null and lo < doc_id or mins is not null and exists(mins, x -> x < doc_id)")
     return found.groupBy("doc_id", "txt").agg(F.collect_list(F.struct("start", "n", "mins")).alias("found"))
 
 
