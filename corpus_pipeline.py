@@ -31,10 +31,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of SimHash links; all empty texts are
-    one component. Shingles are five words and links take up to seven bits, which is a shingle similarity (Jaccard) of
-    about 0.89 by the fingerprint's own estimate; distances of four, as in the query, find a third of such copies. Rows that repeat an id and a text are one document; components of null ids alone keep one row too."""
-    found = simhash.near_duplicates(docs, size=5, distance=7, wide_from=200_000_000)
+    """The document with the smallest id of each component of SimHash links; all empty texts are one component.
+
+    Shingles are five words. Each text has three fingerprints, and two texts link that differ in at most eight bits of
+    one of them and in at most 32 of all 192. A similarity (Jaccard) of 0.8 differs in 29 bits on average; three more are
+    half the deviation of that number. Rows that repeat an id and a text are one document; components of null ids alone
+    keep one row too. Anchors always take one part of a fingerprint: two parts would want thousands of copies.
+    """
+    found = simhash.near_duplicates(docs, size=5, distance=8, tables=3, total=32, wide_from=1 << 62)
     first = found.where("doc_id <=> component_id").groupBy("root").agg(F.min(F.struct("doc_id", "txt")).alias("k"))
     keep = first.select(F.col("k.doc_id").alias("_id"), F.col("k.txt").alias("_txt"))
     rows = docs.select(*COLUMNS).withColumn("_t", F.xxhash64("text"))

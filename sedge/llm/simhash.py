@@ -4,7 +4,8 @@ The 64 bits are cut into three parts of 22, 21 and 21 bits, each padded to the 2
 4,096 words lie within three bits of every vector. A fingerprint's home anchor is the code word nearest to a part. Two
 fingerprints that differ in at most d bits differ in at most d // 3 bits within some part, or in at most 2 * d // 3
 within some two parts. So a fingerprint is copied to each anchor within the covering radius plus that share of d; every
-link then shows at the home anchor of one of its two ends. Distinct fingerprints alone are compared, in blocks, and an
+link then shows at the home anchor of one of its two ends. A text may have several independent fingerprints, each with
+anchors of its own. Distinct fingerprints alone are compared, in blocks, and an
 anchor passes on a spanning forest of its links, never all pairs.
 """
 
@@ -12,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,41 +30,66 @@ WIDTHS, LENGTH, CHECKS = (22, 21, 21), 23, 11
 GENERATOR = 0b110001110101
 #: Distinct fingerprints from which on anchors take two parts in place of one: more copies each, far fewer comparisons.
 WIDE_FROM = 20_000_000
-#: Members of an anchor that are compared as one block.
-BLOCK = 4096
+#: Members of an anchor that are compared as one block, and how many of them are held against all others at once.
+BLOCK, STEP = 16_384, 64
+#: Bits below the number of the table in an anchor's first key.
+TABLE = LENGTH + 3
 
 
-def fingerprint(text: bytes, size: int, seed: int) -> int:
-    """The fingerprint of one text (ASCII letters lower-cased, ``size`` words a shingle, repeats counted)."""
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each hash (k = 0: itself), by the finaliser of SplitMix64."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprint(text: bytes, size: int, seed: int, tables: int = 1) -> list[int]:
+    """The ``tables`` fingerprints of one text (ASCII letters lower-cased, ``size`` words a shingle, repeats counted)."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * tables
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1]
     k = min(size, len(words))
     h = xxhash.xxh64_intdigest
     hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[k - 1:].tolist(), strict=False)], "<u8")
-    count = np.zeros(64, "i8")
+    count = np.zeros((tables, 64), "i8")
     for i in range(0, len(hashes), 4096):
-        some = hashes[i:i + 4096]
-        count += np.unpackbits(some.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
-    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
+        for t in range(tables):
+            some = mixed(hashes[i:i + 4096], t)
+            count[t] += np.unpackbits(some.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
+    return np.packbits(2 * count > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
 
+def nodes_of(fps: np.ndarray) -> np.ndarray:
+    """One number for each row of fingerprints: the fingerprint itself where there is but one, else a hash of all."""
+    node = fps[:, 0].view("u8").copy() if fps.shape[1] == 1 else np.zeros(len(fps), "u8")
+    if fps.shape[1] > 1:
+        for t in range(fps.shape[1]):
+            node = mixed(node ^ fps[:, t].view("u8"), t + 1)
+    return node.view("i8")
 
-def _fingerprints(size: int, seed: int):
+
+def _fingerprints(size: int, seed: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            prints = np.array([fingerprint(t or b"", size, seed) for t in raw(b.column(2))], "u8").view("i8")
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(prints)], ["doc_id", "txt", "fp"])
+            fps = np.array([fingerprint(t or b"", size, seed, tables) for t in raw(b.column(2))], "u8").reshape(-1, tables)
+            lists = pa.ListArray.from_arrays(np.arange(0, fps.size + 1, tables, dtype="i4"), pa.array(fps.view("i8").ravel()))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps.view("i8")[:, 0]), lists, pa.array(nodes_of(fps.view("i8")))], ["doc_id", "txt", "fp", "fps", "node"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 42) -> DataFrame:
-    """(doc_id, txt, fp bigint), a row for each row; txt is xxhash64 of the text. Null, empty and blank texts have the fingerprint zero; a text of fewer
-    than ``size`` words is one shingle; a null id stays null."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("txt"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(size, seed), "doc_id bigint, txt bigint, fp bigint")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 42, tables: int = 1) -> DataFrame:
+    """(doc_id, txt, fp bigint, fps array<bigint>, node bigint), a row for each row; txt is xxhash64 of the text, fps are
+    its ``tables`` fingerprints, fp the first of them, node a number for them all. Null, empty and blank texts have
+    fingerprints of zero; a text of fewer than ``size`` words is one shingle; a null id stays null."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("txt"), F.col(text_col).alias("text"))
+    return own.mapInArrow(_fingerprints(size, seed, tables), "doc_id bigint, txt bigint, fp bigint, fps array<bigint>, node bigint")
 
 
 @lru_cache(4)
@@ -124,101 +151,149 @@ def anchors_of(prints: np.ndarray, distance: int, wide: bool) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _spread(distance: int, wide: bool):
+def _member(tables: int) -> np.dtype:
+    """A member of an anchor as it travels: its fingerprints and whether the anchor is its home."""
+    return np.dtype([("fps", "<i8", (tables,)), ("home", "?")])
+
+
+def _pack(members: np.ndarray, keys: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each distinct key: the key, the number of its members, and these as bytes."""
+    order = np.lexsort(keys[::-1])
+    keys, members = [k[order] for k in keys], members[order]
+    starts = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(members) else np.zeros(0, "i8")
+    ends = np.r_[starts[1:], len(members)] if len(starts) else starts
+    offsets = (np.r_[starts, len(members)] * members.itemsize).astype("i4")
+    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(members.tobytes())])
+    return pa.record_batch([*(pa.array(k[starts]) for k in keys), pa.array(ends - starts), packed], [*names, "n", "members"])
+
+
+def _spread(distance: int, wide: bool, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
-            fp = b.column(0).to_numpy(zero_copy_only=False).astype("i8")
-            who, x, y, home = anchors_of(fp.view("u8"), distance, wide)
-            yield pa.record_batch([pa.array(x), pa.array(y), pa.array(fp[who]), pa.array(home)], ["x", "y", "fp", "home"])
+        for b in slices(batches, 1024 if wide else 4096):
+            fps = b.column(0).flatten().to_numpy(zero_copy_only=False).astype("i8").reshape(-1, tables)
+            out = []
+            for t in range(tables):
+                who, x, y, home = anchors_of(fps[:, t].copy().view("u8"), distance, wide)
+                members = np.empty(len(who), _member(tables))
+                members["fps"], members["home"] = fps[who], home
+                out.append((members, x + (t << TABLE), y))
+            members, x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield _pack(members, [x, y], ["x", "y"])
 
     return run
 
 
-def forest(prints: np.ndarray, home: np.ndarray, distance: int) -> np.ndarray:
-    """Links (two columns) that join what pairs within ``distance``, one end at home, join: a star for each component."""
-    order = np.argsort(prints, kind="stable")
-    prints, home = prints[order], home[order]
-    touched = np.zeros(len(prints), bool)
+def _deal(tables: int):
+    """Members of an anchor of k > 1 blocks go to each pair of blocks that theirs is one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, members, k = (b.column(i) for i in range(4))
+            one = pa.compute.equal(k, 1)
+            zero = pa.array(np.zeros(b.num_rows, "i8"))
+            yield pa.record_batch([x, y, zero, zero, members], ["x", "y", "lo", "hi", "members"]).filter(one)
+            many = b.filter(pa.compute.invert(one))
+            for ax, ay, data, blocks in zip(*(c.to_pylist() for c in many.columns), strict=True):
+                m = np.frombuffer(data, _member(tables))
+                own = (mixed(nodes_of(m["fps"]).view("u8"), 1) % np.uint64(blocks)).astype("i8")
+                mine, other = np.repeat(own, blocks), np.tile(np.arange(blocks), len(m))
+                got = _pack(np.repeat(m, blocks), [np.minimum(mine, other), np.maximum(mine, other)], ["lo", "hi"])
+                at = [pa.array(np.full(got.num_rows, v, "i8")) for v in (ax, ay)]
+                yield pa.record_batch([*at, got.column(0), got.column(1), got.column(3)], ["x", "y", "lo", "hi", "members"])
+
+    return run
+
+
+def _near(a: np.ndarray, b: np.ndarray, table: int, distance: int, total: int | None) -> np.ndarray:
+    """Which of ``a`` and ``b`` link: within ``distance`` in one table and, where asked for, within ``total`` over all."""
+    near = np.bitwise_count(a[:, None, table] ^ b[None, :, table]) <= distance
+    if total is not None:
+        i, j = np.nonzero(near)
+        near[i, j] = np.bitwise_count(a[i] ^ b[j]).sum(1) <= total
+    return near
+
+
+def forest(fps: np.ndarray, home: np.ndarray, table: int, distance: int, total: int | None = None) -> np.ndarray:
+    """Links (two columns of nodes) that join what linked pairs, one end at home, join: a star for each component."""
+    order = np.argsort(nodes := nodes_of(fps), kind="stable")
+    fps, home, nodes = fps[order].view("u8"), home[order], nodes[order]
+    touched = np.zeros(len(fps), bool)
     own = np.flatnonzero(home)
-    for i in range(0, len(own), 256):
-        rows = own[i:i + 256]
-        near = np.bitwise_count(prints[rows, None] ^ prints[None, :]) <= distance
+    for i in range(0, len(own), STEP):
+        rows = own[i:i + STEP]
+        near = _near(fps[rows], fps, table, distance, total)
         many = near.sum(1) > 1
         touched[rows[many]] = True
         touched |= near[many].any(0)
-    rest = prints[touched]
+    rest = np.flatnonzero(touched)
     out = []
     while len(rest):
         root, wave, rest = rest[0], rest[:1], rest[1:]
         while len(wave) and len(rest):
             hit = np.zeros(len(rest), bool)
-            for i in range(0, len(wave), 256):
-                hit |= (np.bitwise_count(wave[i:i + 256, None] ^ rest[None, :]) <= distance).any(0)
+            for i in range(0, len(wave), STEP):
+                hit |= _near(fps[wave[i:i + STEP]], fps[rest], table, distance, total).any(0)
             wave, rest = rest[hit], rest[~hit]
-            out.append(np.stack([np.full(len(wave), root), wave], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), prints.dtype)
-
+            out.append(np.stack([np.full(len(wave), nodes[root]), nodes[wave]], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), "i8")
 
-def _compare(distance: int):
-    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        fp = np.concatenate([h.column(4).to_numpy(zero_copy_only=False) for h in held])
-        home = np.concatenate([h.column(5).to_numpy(zero_copy_only=False) for h in held])
-        links = forest(fp.view("u8"), home, distance).view("i8")
-        return pa.record_batch([pa.array(np.ascontiguousarray(links[:, 0])), pa.array(np.ascontiguousarray(links[:, 1]))], ["a", "b"])
 
+def _compare(distance: int, total: int | None, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype("i8") for i in range(4)])
-            starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-            for i, j in zip(starts, starts[1:], strict=False):
-                now = tuple(key[:, i].tolist())
-                if now != last and held:
-                    if sum(h.num_rows for h in held) > 1:
-                        yield done(held)
-                    held = []
-                last = now
-                held.append(b.slice(i, j - i))
+        rows = (row for b in batches for row in zip(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True), b.column(4).to_pylist(), strict=True))
+        out, held = [], 0
+        for key, group in groupby(rows, key=lambda row: row[0]):
+            m = np.frombuffer(b"".join(data for _, data in group), _member(tables))
+            if len(m) > 1:
+                out.append(forest(m["fps"], m["home"], key[0] >> TABLE, distance, total))
+                held += len(out[-1])
+            if held > 50_000:
+                yield _links(out)
+                out, held = [], 0
         if held:
-            yield done(held)
+            yield _links(out)
 
     return run
 
 
-def links_of(prints: DataFrame, distance: int = 4, wide_from: int = WIDE_FROM, block: int = BLOCK) -> DataFrame:
-    """(a, b) bigint: links between distinct fingerprints (``fp``) that join all pairs within ``distance`` bits.
+def _links(found: list[np.ndarray]) -> pa.RecordBatch:
+    links = np.concatenate(found)
+    return pa.record_batch([pa.array(np.ascontiguousarray(links[:, i])) for i in (0, 1)], ["a", "b"])
+
+
+def links_of(prints: DataFrame, distance: int = 4, total: int | None = None, tables: int = 1, wide_from: int = WIDE_FROM, block: int = BLOCK) -> DataFrame:
+    """(a, b) bigint: links between distinct nodes (``fps``) that join all pairs within ``distance`` bits in some table
+    and, where ``total`` is given, within so many bits over all tables.
 
-    An anchor of more than ``block`` members is cut into blocks and each two blocks meet in one task, so a task holds
-    two blocks at most and misses nothing.
+    Members travel packed, a row for each anchor and batch. An anchor of more than ``block`` members is cut into blocks
+    and each two blocks meet in one task, so a task holds two blocks at most and misses nothing.
     """
     wide = prints.count() >= wide_from
-    spread = cut(prints.select("fp").mapInArrow(_spread(distance, wide), "x bigint, y bigint, fp bigint, home boolean"))
-    sizes = spread.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1")
-    own = F.pmod(F.xxhash64("fp"), F.col("k"))
-    dealt = (
-        split_join(spread, sizes, ["x", "y"])
-        .withColumn("k", F.ceil(F.col("n") / block).cast("long"))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-        .select("x", "y", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "home")
-    )
+    spread = prints.select("fps").mapInArrow(_spread(distance, wide, tables), "x bigint, y bigint, n bigint, members binary")
+    if wide:
+        spread = cut(spread)
+    sizes = spread.groupBy("x", "y").agg(F.sum("n").alias("total")).where("total > 1")
+    # without the wide form there are 3 x 4,096 anchors a table, whatever the number of rows
+    sized = split_join(spread, sizes, ["x", "y"]) if wide else spread.join(F.broadcast(sizes), ["x", "y"])
+    dealt = sized.select("x", "y", "members", F.ceil(F.col("total") / block).cast("long").alias("k")).mapInArrow(_deal(tables), "x bigint, y bigint, lo bigint, hi bigint, members binary")
     keys = ["x", "y", "lo", "hi"]
-    return dealt.repartition(parts(prints), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(distance), "a bigint, b bigint")
+    return dealt.repartition(parts(prints), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(distance, total, tables), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 42, distance: int = 4, wide_from: int = WIDE_FROM, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 42, distance: int = 4, tables: int = 1, total: int | None = None, wide_from: int = WIDE_FROM, block: int = BLOCK) -> DataFrame:
     """(doc_id, txt, fp, root, component_id), a row for each row: component_id is the smallest doc_id reachable over
-    links, root the component's own fingerprint, txt xxhash64 of the text.
+    links, root the component's own node, txt xxhash64 of the text, fp the first fingerprint.
+
+    With more ``tables`` a text has as many independent fingerprints, and two link that lie within ``distance`` bits in
+    any of them and within ``total`` bits over all: more tables find more of the similar, the total tells them apart.
 
-    Documents with no words share the fingerprint zero and link as any other. A null id comes back, linked by its
-    fingerprint, and is never a component's id unless all its ids are null. An empty table gives an empty one.
+    Documents with no words share fingerprints of zero and link as any other. A null id comes back, linked by its
+    fingerprints, and is never a component's id unless all its ids are null. An empty table gives an empty one.
     """
-    own = cut(fingerprints(docs, id_col, text_col, size, seed))
-    prints = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links_of(prints, distance, wide_from, block)).withColumnsRenamed({"node": "fp"})
-    classed = cut(prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    own = cut(fingerprints(docs, id_col, text_col, size, seed, tables))
+    prints = cut(own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fps").alias("fps")))
+    roots = components(links_of(prints, distance, total, tables, wide_from, block))
+    classed = cut(prints.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return split_join(own, split_join(classed, least, ["root"]).select("fp", "root", "component_id"), ["fp"], "left").select("doc_id", "txt", "fp", "root", "component_id")
+    of = split_join(classed, least, ["root"]).select("node", "root", "component_id")
+    return split_join(own.drop("fps"), of, ["node"], "left").select("doc_id", "txt", "fp", "root", "component_id")

@@ -91,14 +91,28 @@ def test_substring_dedup(spark, large):
     assert sum(x[2] > 0 for x in want) > 5
 
 
-def fingerprint(text, size, seed=42):
+def splitmix(x, k):
+    x = (x + k * 0x9E3779B97F4A7C15) % 2**64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def fingerprint(text, size, seed=42, k=0):
     w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     s = [" ".join(w[i:i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
     h = [xxhash.xxh64_intdigest(x.encode(), seed) for x in s]
+    h = [splitmix(x, k) for x in h] if k else h
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def linked(prints, distance):
+def fingerprints(text, size, tables):
+    return tuple(fingerprint(text, size, k=k) for k in range(tables))
+
+
+def linked(prints, distance, total=64):
+    """The smallest place reachable from each place; ``prints`` are tuples, or numbers where there is but one table."""
+    prints = [p if isinstance(p, tuple) else (p,) for p in prints]
     root = list(range(len(prints)))
 
     def find(x):
@@ -109,7 +123,8 @@ def linked(prints, distance):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= distance:
+            bits = [(x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True)]
+            if min(bits) <= distance and sum(bits) <= total:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(prints))]
@@ -121,6 +136,8 @@ def test_fingerprints(spark):
         got = simhash.fingerprints(table(spark, rows), size=size)
         want = sorted((str(d), fingerprint(t, size)) for d, t, *_ in rows)
         assert sorted((str(r.doc_id), r.fp & (1 << 64) - 1) for r in got.collect()) == want
+    got = simhash.fingerprints(table(spark, rows), size=5, tables=3).collect()
+    assert sorted(tuple(x & (1 << 64) - 1 for x in r.fps) for r in got) == sorted(fingerprints(t, 5, 3) for _, t, *_ in rows)
 
 
 @pytest.mark.parametrize(("distance", "wide_from", "block"), [(4, 10**9, 4096), (4, 0, 4096), (4, 10**9, 3), (7, 10**9, 64), (3, 10**9, 64), (0, 10**9, 64)])
@@ -136,8 +153,8 @@ def test_links_join_all_within_the_distance(spark, distance, wide_from, block):
             prints.append(x)
     prints = sorted(set(prints))
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    root = {r.node: r.root for r in components.components(simhash.links_of(df, distance, wide_from, block)).collect()}
+    df = spark.createDataFrame([([x],) for x in signed], "fps array<long>")
+    root = {r.node: r.root for r in components.components(simhash.links_of(df, distance, wide_from=wide_from, block=block)).collect()}
     groups = {}
     for x, k in zip(signed, linked(prints, distance), strict=True):
         groups.setdefault(k, set()).add(x)
@@ -145,6 +162,28 @@ def test_links_join_all_within_the_distance(spark, distance, wide_from, block):
         assert {root.get(x, x) for x in members} == {min(members)}
 
 
+@pytest.mark.parametrize(("total", "wide_from", "block"), [(20, 10**9, 4096), (20, 10**9, 5), (9, 10**9, 64), (192, 10**9, 64), (20, 0, 64)])
+def test_links_over_several_tables(spark, total, wide_from, block):
+    rng = random.Random(total + block)
+    distance, flips = (4, 4) if not wide_from else (8, 6)
+    rows = []
+    for _ in range(20):
+        x = [rng.getrandbits(64) for _ in range(3)]
+        for _ in range(rng.randint(1, 6)):
+            x = [v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, flips * 2))) for v in x]
+            rows.append(tuple(x))
+    signed = np.array(rows, "u8").view("i8")
+    df = spark.createDataFrame([(x,) for x in signed.tolist()], "fps array<long>")
+    got = simhash.links_of(df, distance, total, 3, wide_from, block)
+    root = {r.node: r.root for r in components.components(got).collect()}
+    nodes = simhash.nodes_of(signed).tolist()
+    groups = {}
+    for x, k in zip(nodes, linked(rows, distance, total), strict=True):
+        groups.setdefault(k, set()).add(x)
+    for members in groups.values():
+        assert {root.get(x, x) for x in members} == {min(members)}
+
+
 def test_every_vector_lies_within_three_bits_of_an_anchor():
     x = np.random.default_rng(0).integers(0, 1 << 23, 2000)
     who, word, over = simhash._words_near(x, 1)

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from sedge.llm import decontaminate, toxicity
-from tests.llm.test_dedup import fingerprint, key, linked
+from tests.llm.test_dedup import fingerprints, key, linked
 from tests.llm.test_text_operators import REFERENCE
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +28,7 @@ def test_run(spark):
     low = {r.doc_id for r in toxicity.with_score(docs, model).where("toxicity < 0.5").collect()}
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect() if r.doc_id in low]
     rows = rest_after_lines(rows)
-    group = linked([fingerprint(t, 5) for _, t in rows], 7)
+    group = linked([fingerprints(t, 5, 3) for _, t in rows], 8, 32)
     rows = [x for i, x in enumerate(rows) if group[i] == i]  # rows are in the order of ids
     items = [t for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(t := decontaminate.normal(r.text)) >= decontaminate.MIN_CHARS]
     masks = [(len(t), decontaminate.masks_of(t)) for t in items]
