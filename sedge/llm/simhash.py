@@ -32,6 +32,8 @@ GENERATOR = 0b110001110101
 WIDE_FROM = 20_000_000
 #: Members of an anchor that are compared as one block, and how many of them are held against all others at once.
 BLOCK, STEP = 16_384, 64
+#: Fingerprints whose members are packed together.
+FULL = 4096
 #: Bits below the number of the table in an anchor's first key.
 TABLE = LENGTH + 3
 
@@ -169,7 +171,7 @@ def _pack(members: np.ndarray, keys: list[np.ndarray], names: list[str]) -> pa.R
 
 def _spread(distance: int, wide: bool, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1024 if wide else 4096):
+        for b in slices(batches, 1024 if wide else FULL):
             fps = b.column(0).flatten().to_numpy(zero_copy_only=False).astype("i8").reshape(-1, tables)
             out = []
             for t in range(tables):
@@ -268,8 +270,10 @@ def links_of(prints: DataFrame, distance: int = 4, total: int | None = None, tab
     Members travel packed, a row for each anchor and batch. An anchor of more than ``block`` members is cut into blocks
     and each two blocks meet in one task, so a task holds two blocks at most and misses nothing.
     """
-    wide = prints.count() >= wide_from
-    spread = prints.select("fps").mapInArrow(_spread(distance, wide, tables), "x bigint, y bigint, n bigint, members binary")
+    n = prints.count()
+    wide = n >= wide_from
+    full = prints.select("fps").coalesce(max(1, -(-n // FULL)))  # full batches pack the same, however the rows lie
+    spread = full.mapInArrow(_spread(distance, wide, tables), "x bigint, y bigint, n bigint, members binary")
     if wide:
         spread = cut(spread)
     sizes = spread.groupBy("x", "y").agg(F.sum("n").alias("total")).where("total > 1")
