@@ -114,7 +114,7 @@ def _syndromes() -> np.ndarray:
     """The syndrome of each vector of 23 bits."""
     x = np.arange(1 << LENGTH, dtype="i4")
     for j in range(LENGTH - 1, CHECKS - 1, -1):
-        x ^= np.where(x >> j & 1, GENERATOR << (j - CHECKS), 0).astype("i4")
+        x ^= (x >> j & 1) * np.int32(GENERATOR << (j - CHECKS))
     return x.astype("i2")
 
 
@@ -173,14 +173,11 @@ def _spread(distance: int, wide: bool, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024 if wide else FULL):
             fps = b.column(0).flatten().to_numpy(zero_copy_only=False).astype("i8").reshape(-1, tables)
-            out = []
-            for t in range(tables):
+            for t in range(tables):  # one at a time: what a worker holds does not grow with the tables
                 who, x, y, home = anchors_of(fps[:, t].copy().view("u8"), distance, wide)
                 members = np.empty(len(who), _member(tables))
                 members["fps"], members["home"] = fps[who], home
-                out.append((members, x + (t << TABLE), y))
-            members, x, y = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield _pack(members, [x, y], ["x", "y"])
+                yield _pack(members, [x + (t << TABLE), y], ["x", "y"])
 
     return run
 
