@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from sedge.llm import bpe, decontaminate, line_dedup, near_copies, toxicity
 from sedge.llm.common import shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,14 +31,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of SimHash links; all empty texts are one component.
+    """The document with the smallest id of each component of near copies; all empty texts are one component.
 
-    Shingles are five words. Each text has three fingerprints, and two texts link that differ in at most eight bits of
-    one of them and in at most 32 of all 192. A similarity (Jaccard) of 0.8 differs in 29 bits on average; three more are
-    half the deviation of that number. Rows that repeat an id and a text are one document; components of null ids alone
-    keep one row too. Anchors always take one part of a fingerprint: two parts would want thousands of copies.
+    Shingles are five words. Two texts link whose sets of shingles are the same or have a similarity (Jaccard) of 0.8 or
+    more, counted exactly. Candidates are pairs that differ in at most eight bits of one of three fingerprints and in at
+    most 32 of all 192; a similarity of 0.8 differs in 29 bits on average. Rows that repeat an id and a text are one
+    document; components of null ids alone keep one row too.
     """
-    found = simhash.near_duplicates(docs, size=5, distance=8, tables=3, total=32, wide_from=1 << 62)
+    found = near_copies.near_copies(docs, size=5, distance=8, tables=3, total=32, least=0.8)
     first = found.where("doc_id <=> component_id").groupBy("root").agg(F.min(F.struct("doc_id", "txt")).alias("k"))
     keep = first.select(F.col("k.doc_id").alias("_id"), F.col("k.txt").alias("_txt"))
     rows = docs.select(*COLUMNS).withColumn("_t", F.xxhash64("text"))

@@ -48,17 +48,23 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def fingerprint(text: bytes, size: int, seed: int, tables: int = 1) -> list[int]:
-    """The ``tables`` fingerprints of one text (ASCII letters lower-cased, ``size`` words a shingle, repeats counted)."""
+def shingles(text: bytes, size: int, seed: int) -> np.ndarray:
+    """The hashes of a text's shingles (ASCII letters lower-cased, ``size`` words a shingle, repeats counted)."""
     words = text.lower().split()
     if not words:
-        return [0] * tables
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1]
     k = min(size, len(words))
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[k - 1:].tolist(), strict=False)], "<u8")
+    return np.array([h(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[k - 1:].tolist(), strict=False)], "<u8")
+
+
+def summed(hashes: np.ndarray, tables: int = 1) -> list[int]:
+    """The ``tables`` fingerprints of the hashes of one text's shingles; of none they are zero."""
+    if not len(hashes):
+        return [0] * tables
     count = np.zeros((tables, 64), "i8")
     for i in range(0, len(hashes), 4096):
         for t in range(tables):
@@ -67,6 +73,11 @@ def fingerprint(text: bytes, size: int, seed: int, tables: int = 1) -> list[int]
     return np.packbits(2 * count > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
+def fingerprint(text: bytes, size: int, seed: int, tables: int = 1) -> list[int]:
+    """The ``tables`` fingerprints of one text (ASCII letters lower-cased, ``size`` words a shingle, repeats counted)."""
+    return summed(shingles(text, size, seed), tables)
+
+
 def nodes_of(fps: np.ndarray) -> np.ndarray:
     """One number for each row of fingerprints: the fingerprint itself where there is but one, else a hash of all."""
     node = fps[:, 0].view("u8").copy() if fps.shape[1] == 1 else np.zeros(len(fps), "u8")
