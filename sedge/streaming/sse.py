@@ -7,7 +7,9 @@ its last event is in, or as unavailable when it has been silent for too long.
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,11 +44,30 @@ def _whole(c: Column) -> Column:
     return F.when(c.rlike(r"\A[0-9]+\z"), c.cast("long"))
 
 
+def _fallback() -> tuple[Column, Column]:
+    """Whether an event opens a fallback block, and whether such a block is sound."""
+    at = lambda p: _at(f"$.content_block.{p}")
+    trigger = at("trigger").isNull() | ((at("trigger.type") == "refusal") & (at("trigger.category").isNull() | at("trigger.category").isin(*REFUSALS)))
+    sound = at("from.model").rlike(MODEL) & at("to.model").rlike(MODEL) & trigger
+    return F.coalesce(at("type") == "fallback", F.lit(False)), F.coalesce(sound, F.lit(False))
+
+
+def _answered() -> Column:
+    """Whether the usage of an event lists an iteration of a fallback model with a sound model and counts."""
+    all_ = F.get_json_object("data", "$.usage.iterations")
+    one = lambda x: (F.get_json_object(x, "$.type") == "fallback_message") & F.get_json_object(x, "$.model").rlike(MODEL)
+    counts = lambda x: functools.reduce(lambda a, b: a & b, [F.get_json_object(x, f"$.{f}").rlike(r"\A[0-9]+\z") for f in USAGE])
+    each = F.from_json(F.when(all_.startswith("["), all_), "array<string>")
+    return F.coalesce(F.exists(each, lambda x: F.coalesce(one(x) & counts(x), F.lit(False))), F.lit(False))
+
+
 def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
     """One row per stream: complete, and for complete ones model, usage, stop_reason and refusal_category.
 
     A stream must start once, open and close each content block once, send its deltas into open blocks, have one final
-    delta with no block open, then stop; any event out of order voids all its telemetry. Errors only count.
+    delta with no block open, then stop; any event out of order voids all its telemetry. Errors only count. A fallback block changes the model that answers to its target's and
+    counts as a transition; an unsound one voids the telemetry. A fallback served if the final usage lists its iteration and
+    the answer is no refusal.
     """
     index = _at("$.index")
     e = events.select(key, "pos", _at("$.type").alias("kind"), F.when(index.rlike(r"\A[0-9]+\z"), index).alias("block"), "data", F.get_json_object("data", "$").isNull().alias("no_json"))
@@ -56,9 +77,10 @@ def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
     e = e.withColumns({"started": n("message_start", before), "final": n("message_delta", before), "stopped": n("message_stop", before), "opens": n("content_block_start", before), "closes": n("content_block_stop", before), "opened": n("content_block_start", own), "closed": n("content_block_stop", own)})
     c = F.col
     model = F.coalesce(_at("$.message.model"), F.lit(""))
+    fallback, sound = _fallback()
     bad = {
         "message_start": (c("started") > 0) | ~model.rlike(MODEL) | _at("$.message.usage").isNull(),
-        "content_block_start": (c("started") == 0) | (c("final") > 0) | c("block").isNull() | (c("opened") > 0) | _at("$.content_block.type").isNull(),
+        "content_block_start": (c("started") == 0) | (c("final") > 0) | c("block").isNull() | (c("opened") > 0) | _at("$.content_block.type").isNull() | (fallback & ~sound),
         "content_block_delta": c("block").isNull() | (c("opened") == 0) | (c("closed") > 0),
         "content_block_stop": c("block").isNull() | (c("opened") == 0) | (c("closed") > 0),
         "message_delta": (c("started") == 0) | (c("final") > 0) | (c("opens") != c("closes")) | _at("$.delta.stop_reason").isNull() | _at("$.usage").isNull(),
@@ -74,13 +96,14 @@ def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
     out = e.withColumn("_wrong", F.coalesce(wrong, F.lit(False))).groupBy(key).agg(
         (F.bool_or(is_("message_stop")) & ~F.bool_or("_wrong")).alias("complete"),
         F.count_if(is_("error")).alias("errors"),
-        F.max(F.when(is_("message_start"), _at("$.message.model"))).alias("model"), stop.alias("stop_reason"), category.alias("_category"),
+        F.coalesce(F.max_by(_at("$.content_block.to.model"), F.when(is_("content_block_start") & fallback, c("pos"))), F.max(F.when(is_("message_start"), _at("$.message.model")))).alias("model"),
+        F.count_if(is_("content_block_start") & fallback).alias("_fallbacks"), F.bool_or(is_("message_delta") & _answered()).alias("_answered"), stop.alias("stop_reason"), category.alias("_category"),
         *[v.alias(f) for f, v in usage.items()],
     )
     out = out.withColumn("complete", F.coalesce("complete", F.lit(False)))
     refusal = F.when(c("stop_reason") == "refusal", F.when(c("_category").isin(*REFUSALS), c("_category")).otherwise("other"))
     told = lambda x: F.when(c("complete"), x)
-    return out.select(key, "complete", "errors", told(c("model")).alias("model"), told(c("stop_reason")).alias("stop_reason"), told(refusal).alias("refusal_category"), *[told(c(f)).alias(f) for f in USAGE])
+    return out.select(key, "complete", "errors", told(c("model")).alias("model"), told(c("stop_reason")).alias("stop_reason"), told(refusal).alias("refusal_category"), *[told(c(f)).alias(f) for f in USAGE], F.when(c("complete"), c("_fallbacks")).otherwise(0).alias("fallback_transitions"), F.coalesce(c("complete") & c("_answered") & (c("stop_reason") != "refusal"), F.lit(False)).alias("fallback_served"))
 
 
 def responses_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
@@ -93,10 +116,28 @@ def responses_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
     return out.select(key, F.col("_d").isNotNull().alias("complete"), "errors", F.when(at("model").rlike(MODEL), at("model")).alias("model"), *[_whole(at(p)).alias(f) for f, p in paths.items()])
 
 
-REPORT = "stream_id string, complete boolean, errors long, model string, stop_reason string, input_tokens long, output_tokens long"
+REPORT = "stream_id string, complete boolean, errors long, model string, stop_reason string, input_tokens long, output_tokens long, fallback_transitions long, fallback_served boolean"
 STATE = "fold string"
 
 
+def _model(v: object) -> str | None:
+    m = v.get("model") if isinstance(v, dict) else None
+    return m if isinstance(m, str) and re.fullmatch(MODEL.replace(r"\z", r"\Z"), m) else None
+
+
+def _target(block: dict) -> str | None:
+    """The model that a fallback block goes to, none if the block is unsound."""
+    t = block.get("trigger")
+    ok = t is None or isinstance(t, dict) and t.get("type") == "refusal" and t.get("category") in (None, *REFUSALS)
+    return _model(block.get("to")) if ok and _model(block.get("from")) else None
+
+
+def _served(usage: dict) -> bool:
+    given = usage.get("iterations")
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and x >= 0
+    return isinstance(given, list) and any(isinstance(x, dict) and x.get("type") == "fallback_message" and _model(x) is not None and all(whole(x.get(f)) for f in USAGE) for x in given)
+
+
 def step(s: dict, data: str) -> dict:
     """One event folded into a stream's state: phase 0 before start, 1 in the message, 2 after the final delta, 3 stopped."""
     try:
@@ -118,6 +159,10 @@ def step(s: dict, data: str) -> dict:
         return s | ({"phase": 1, "model": body["model"], "usage": usage} if ok else {"bad": True})
     if kind == "content_block_start":
         ok = s["phase"] == 1 and isinstance(index, int) and index >= 0 and seen is None
+        block = v.get("content_block")
+        if ok and isinstance(block, dict) and block.get("type") == "fallback":
+            target = _target(block)
+            s = s | ({"model": target, "fallbacks": s.get("fallbacks", 0) + 1} if target else {"bad": True})
         return s | ({"blocks": s["blocks"] | {str(index): "open"}} if ok else {"bad": True})
     if kind in ("content_block_delta", "content_block_stop"):
         if seen != "open":
@@ -125,19 +170,19 @@ def step(s: dict, data: str) -> dict:
         return s | ({"blocks": s["blocks"] | {str(index): "closed"}} if kind.endswith("stop") else {})
     if kind == "message_delta":
         ok = s["phase"] == 1 and "open" not in s["blocks"].values() and isinstance(body, dict) and isinstance(body.get("stop_reason"), str) and isinstance(usage, dict)
-        return s | ({"phase": 2, "stop": body["stop_reason"], "usage": s["usage"] | usage} if ok else {"bad": True})
+        return s | ({"phase": 2, "stop": body["stop_reason"], "usage": s["usage"] | usage, "served": _served(usage) and body["stop_reason"] != "refusal"} if ok else {"bad": True})
     if kind == "message_stop":
         return s | ({"phase": 3} if s["phase"] == 2 else {"bad": True})
     return s
 
 
-EMPTY = {"phase": 0, "bad": False, "errors": 0, "blocks": {}, "usage": {}, "model": None, "stop": None}
+EMPTY = {"phase": 0, "bad": False, "errors": 0, "blocks": {}, "usage": {}, "model": None, "stop": None, "fallbacks": 0, "served": False}
 
 
 def report(key: str, s: dict) -> pd.DataFrame:
     ok = s["phase"] == 3 and not s["bad"]
     u = s["usage"] if ok else {}
-    return pd.DataFrame({"stream_id": [key], "complete": [ok], "errors": [s["errors"]], "model": [s["model"] if ok else None], "stop_reason": [s["stop"] if ok else None], "input_tokens": pd.array([u.get("input_tokens")], "Int64"), "output_tokens": pd.array([u.get("output_tokens")], "Int64")})
+    return pd.DataFrame({"stream_id": [key], "complete": [ok], "errors": [s["errors"]], "model": [s["model"] if ok else None], "stop_reason": [s["stop"] if ok else None], "input_tokens": pd.array([u.get("input_tokens")], "Int64"), "output_tokens": pd.array([u.get("output_tokens")], "Int64"), "fallback_transitions": [s.get("fallbacks", 0) if ok else 0], "fallback_served": [ok and s.get("served", False)]})
 
 
 def _fold(timeout_ms: int):

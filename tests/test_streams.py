@@ -117,3 +117,22 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted((r.artifact, r.state, r.body) for r in sinks.cached(wanted, spoiled, b"k").collect()) == [("cards", "miss", None), ("cards", "quarantined", None), ("summary", "hit", "y")]
     sinks.publish(made, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 2
+
+
+def test_fallback_blocks(spark):
+    def stream(stop="end_turn", **block):
+        e = good()
+        e[5] = {"type": "message_delta", "delta": {"stop_reason": stop}, "usage": {"output_tokens": 7, "iterations": [3, {"type": "fallback_message", "model": "m2", **dict.fromkeys(sse.USAGE, 1)}]}}
+        e[1]["content_block"] = {"type": "fallback", "from": {"model": "m"}, "to": {"model": "m2"}} | block
+        return e
+
+    streams = {"plain": good(), "back": stream(), "told": stream(trigger={"type": "refusal", "category": "bio"}), "refused": stream("refusal"), "no target": stream(to={}), "trigger": stream(trigger={"type": "refusal", "category": "new"})}
+    want = {"plain": (True, "m", 0, False), "back": (True, "m2", 1, True), "told": (True, "m2", 1, True), "refused": (True, "m2", 1, False), "no target": (False, None, 0, False), "trigger": (False, None, 0, False)}
+    got = {r.stream_id: (r.complete, r.model, r.fallback_transitions, r.fallback_served) for r in sse.messages_telemetry(rows(spark, streams)).collect()}
+    assert got == want
+    for k, events in streams.items():
+        s = dict(sse.EMPTY)
+        for v in events:
+            s = sse.step(s, json.dumps(v))
+        r = sse.report(k, s).iloc[0]
+        assert (r.complete, r.model, r.fallback_transitions, r.fallback_served) == want[k]
