@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 from importlib.util import find_spec
+from itertools import batched
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,13 @@ from pyspark.sql import DataFrame
 
 from sedge.llm.common import slices, without
 
-#: Pre-tokens that a worker keeps with their ids; beyond, the table starts anew.
-KEPT = 400_000
+#: Bytes, roughly, of the pre-tokens that a worker keeps with their ids; beyond, the table starts anew.
+KEPT = 24 << 20
+#: What an entry of that table takes besides its text and its ids, the longest pre-token kept, and how many are looked up
+#: at a time.
+ENTRY, LONGEST, STEP = 220, 64, 1 << 15
+#: Characters from which on a text's pre-tokens are not all held at once.
+LONG = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -61,39 +69,46 @@ class Codec:
         import regex
         import sentencepiece
 
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.letters = dict(enumerate(byte_letters()))
         self.tokens = [b""] * len(ranks)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of new pre-tokens; a pre-token that is a token is that token."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of pre-tokens, packed; a pre-token that is a token is that token."""
         data = [w.encode() for w in words]
         whole = [self.ranks.get(d) for d in data]
         left = [i for i, r in enumerate(whole) if r is None]
         got = self.model.encode([data[i].decode("latin-1").translate(self.letters) for i in left], num_threads=1) if left else []
-        self.known.update((w, [r]) for w, r in zip(words, whole, strict=True) if r is not None)
-        self.known.update((words[i], ids) for i, ids in zip(left, got, strict=True))
-
-    def encode(self, text: str) -> list[int]:
-        words = self.split(text)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            self.learn(new)
-        known, out = self.known, []
-        for w in words:
-            out += known[w]
-        return out
+        new = {w: pack("<I", r) for w, r in zip(words, whole, strict=True) if r is not None}
+        return new | {words[i]: np.array(ids, "<u4").tobytes() for i, ids in zip(left, got, strict=True)}
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        out = []
+        words = self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text))
+        for some in batched(words, STEP):
+            if self.held > KEPT:
+                self.known, self.held = {}, 0
+            own = self.known
+            if new := [w for w in dict.fromkeys(some) if w not in own]:
+                got = self.learn(new)
+                kept = {w: ids for w, ids in got.items() if len(w) <= LONGEST}
+                self.known.update(kept)
+                self.held += sum(len(w) + len(ids) + ENTRY for w, ids in kept.items())
+                own = self.known if len(kept) == len(got) else ChainMap(got, self.known)
+            out.append(b"".join(map(own.__getitem__, some)))
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def codec(name: str, pattern: str) -> Codec:
     """A worker's codec. ``name``: a file of the installed vocabulary package, or one sent by ``addFile``."""
     if find_spec("public_tokenizers"):
@@ -110,17 +125,17 @@ def _run(text_at: int, name: str, pattern: str, keep_ids: bool):
         for b in slices(batches, 256):
             n, ids_sha, text_sha, ids_out = [], [], [], []
             for text in b.column(text_at).to_pylist():
-                ids = c.encode(text or "")
-                packed = np.array(ids, "<u4")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                packed = c.encode(text or "")
+                n.append(len(packed) // 4)
+                ids_sha.append(hashlib.sha256(packed).hexdigest())
+                text_sha.append(hashlib.sha256(c.decode(np.frombuffer(packed, "<u4").tolist())).hexdigest())
                 if keep_ids:
-                    ids_out.append(packed.astype("<i4"))
+                    ids_out.append(packed)
             cols = [pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                cols.append(pa.array([x.tolist() for x in ids_out], pa.list_(pa.int32())))
+                offsets = np.cumsum([0, *n], dtype="i4")
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids_out), "<i4"))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *names])
 
