@@ -39,7 +39,7 @@ def test_copies_ties_and_odd_rows(spark):
     rng = np.random.default_rng(1)
     hot = rng.normal(size=8).astype("f4").astype(float).tolist()
     rows = [(i, hot) for i in range(200)] + [(i, (-np.array(hot)).tolist()) for i in range(200, 260)]
-    rows += [(300, None), (320, []), (340, [0.0] * 8), (360, [float("nan")] + [1.0] * 7), (380, [None] + [1.0] * 7), (400, [1.0] * 7), (None, hot), (40, hot)]
+    rows += [(300, None), (320, []), (340, [0.0] * 8), (360, [float("nan")] + [1.0] * 7), (380, [None] + [1.0] * 7), (None, hot), (40, hot)]
     got = found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)))
     assert set(got) == set(range(0, 260, 20))
     for q in range(0, 200, 20):
@@ -47,6 +47,31 @@ def test_copies_ties_and_odd_rows(spark):
     assert [i for _, i, _ in got[200]] == list(range(201, 221))
 
 
+def test_copies_score_the_same_in_64_dimensions(spark):
+    """Copies that lie in several blocks come out in the order of their ids, with one score."""
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(40, 64))
+    rows = [(int(i), kinds[rng.integers(40)].tolist()) for i in rng.permutation(9000)]
+    x = {i: v for i, v in rows}
+    got = found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)))
+    assert len(got) == 450
+    for q, hits in list(got.items())[:60]:
+        best = max((float((np.array(k) * x[q]).sum()), tuple(k)) for k in kinds.tolist())[1]
+        same = sorted(i for i, v in x.items() if tuple(v) == best and i != q)[:20]
+        assert [i for _, i, _ in hits] == same and len({s for *_, s in hits}) == 1
+
+
+def test_lengths_and_repeated_ids(spark):
+    """Each length is searched among its own, and rows of one id are candidates each."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3 + 2 * (i % 2)).tolist()) for i in range(0, 160)] + [(7, rng.normal(size=5).tolist()), (9, rng.normal(size=3).tolist())]
+    got = found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)))
+    for q in range(0, 160, 20):
+        own = np.array(next(v for i, v in rows if i == q))
+        want = sorted(((-float((np.array(v) * own).sum()), i) for i, v in rows if len(v) == len(own) and i != q))[:20]
+        assert [i for _, i, _ in got[q]] == [i for _, i in want] and np.allclose([s for *_, s in got[q]], [-s for s, _ in want], rtol=1e-12)
+
+
 @pytest.mark.parametrize("n", [0, 1, 7])
 def test_few_rows(spark, n):
     rows = [(20 * i, [float(i + 1), 1.0]) for i in range(n)]
