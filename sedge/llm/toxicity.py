@@ -3,8 +3,9 @@
 Many voters, each a lexicon or a pattern, look at a document and vote or not. Some lexicons are fixed; others are
 learned: words and word beginnings that labelled documents of one class use far more often, dealt out to several
 voters. A generative model of hidden class and votes, fitted by expectation maximisation on the counts of vote patterns,
-estimates each voter's accuracy; residual correlations between voters, given the class, discount the votes of those
-that repeat each other. Its posterior labels train a linear classifier over word and beginning features, which scores.
+estimates the voters' accuracies and, along a tree, their correlations given the class. Its posterior labels, and nothing
+else, are what a linear classifier over word and beginning features learns to score; true labels choose the learned
+lexicons and the rate of the toxic class.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ LEXICONS = (
 )
 #: Fixed patterns, a voter each: address followed by abuse, shouting, masked letters.
 PATTERNS = (r"(?i)\byou(?:'re| are)? (?:\w+ )?(?:idiot|moron|stupid|pathetic|worthless|loser|trash|scum)\b", r"(?i)\bshut up\b|\bgo to hell\b", r"!{3,}", r"(?i)\b[a-z]+[*@#$]{1,3}[a-z]+\b")
-LEARNED_VOTERS = 6
+LEARNED_VOTERS = 10
+#: Share of all documents that the rates of correlated voters are drawn to their own by.
+SHRINK = 0.01
 STARTS = (4, 5, 6)
-#: Labelled documents that the generative model's opinion of a vote pattern weighs as much as.
-TRUST = 2.0
 WORD = regex.compile(r"[^\W\d_]+")
 
 
@@ -50,7 +51,7 @@ def features_of(text: str | None) -> set[str]:
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 1024):
+    for b in slices(batches, 256):
         n: dict[str, list[int]] = {}
         for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for f in features_of(text):
@@ -59,16 +60,6 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(list(n), pa.string()), pa.array([x[0] for x in n.values()], pa.int64()), pa.array([x[1] for x in n.values()], pa.int64())], ["feature", "clean", "toxic"])
 
 
-@dataclass
-class Model:
-    weights: dict[str, float]
-    bias: float
-    learned: list[frozenset]
-    accuracy: np.ndarray  # voter x class: how often it votes
-    discount: np.ndarray
-    vote_weights: np.ndarray
-
-
 class Voters:
     def __init__(self, learned: list[frozenset]):
         self.lexicons = [frozenset(x) for x in LEXICONS] + learned
@@ -78,31 +69,93 @@ class Voters:
         return [int(not features.isdisjoint(x)) for x in self.lexicons] + [int(bool(p.search(text or ""))) for p in self.patterns]
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rates, discounts, posteriors): how often each voter votes in either class, how far its votes count, and each
-    pattern's probability of being toxic. ``patterns``: distinct rows of votes; ``counts``: how often each occurs;
-    ``start``: a first guess of the posteriors."""
-    v = patterns.astype(float)
-    voters = v.shape[1]
-    discount = np.ones(voters)
-    share = counts / counts.sum()
-    post = start
-    rates = np.zeros((voters, 2))
+@dataclass
+class Votes:
+    """P(votes | class): a tree over the voters, each voting by the class and by its parent's vote."""
+
+    parent: np.ndarray  # -1: none
+    rates: np.ndarray  # voter x parent's vote x class: how often it votes
+
+    def logs(self, patterns: np.ndarray) -> np.ndarray:
+        """pattern x class: the log of the probability of each row of votes."""
+        v = patterns.astype(int)
+        above = np.where(self.parent[None] < 0, 0, v[:, np.maximum(self.parent, 0)])
+        r = self.rates[np.arange(v.shape[1])[None], above]
+        return np.log(np.where(v[:, :, None] == 1, r, 1 - r)).sum(1)
+
+
+@dataclass
+class Model:
+    weights: dict[str, float]
+    bias: float
+    learned: list[frozenset]
+    votes: Votes | None
+    vote_weights: np.ndarray
+
+
+def _joint(v: np.ndarray, share: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """class x voter x voter x 2 x 2: how often two voters vote so, given the class."""
+    out = []
+    for w in (share * (1 - post), share * post):
+        both, one, all_ = v.T @ (w[:, None] * v), w @ v, w.sum()
+        only = one[:, None] - both
+        out.append(np.stack([np.stack([all_ - one[:, None] - only.T, only.T], -1), np.stack([only, both], -1)], -2))
+    return np.maximum(np.array(out), 0) + 1e-6
+
+
+def _forest(joint: np.ndarray, documents: float) -> np.ndarray:
+    """Each voter's parent in the spanning forest of the most mutual information that the class leaves between voters;
+    only what pays for its two further rates (by the Bayesian criterion) makes a link."""
+    p = joint / joint.sum((0, 3, 4), keepdims=True)
+    each = p.sum((3, 4), keepdims=True)
+    info = (p * np.log(p * each / p.sum(4, keepdims=True) / p.sum(3, keepdims=True))).sum((0, 3, 4)) - np.log(documents) / documents
+    n = len(info)
+    parent, best, by, left = np.full(n, -1), np.zeros(n), np.full(n, -1), list(range(n))
+    while left:
+        j = max(left, key=lambda x: (best[x], -x))
+        parent[j] = by[j]
+        left.remove(j)
+        nearer = info[j] > best
+        best[nearer], by[nearer] = info[j][nearer], j
+    return parent
+
+
+def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, start: np.ndarray, rounds: int = 60) -> tuple[Votes, np.ndarray]:
+    """The generative model of class and votes, and each pattern's posterior of being toxic.
+
+    Expectation maximisation from ``start`` (a first guess of the posteriors) under a given ``prior``. Each voter has its
+    rates given the class and, in a forest of the correlations that the class does not explain, given its parent's vote
+    too; those are drawn towards the rates given the class alone, as if SHRINK of all documents said so. The forest is
+    chosen anew in the first half of the rounds and then stays. A voter that repeats another so adds next to nothing.
+    ``patterns``: distinct rows of votes; ``counts``: how often each occurs.
+    """
+    v, total, post = patterns.astype(float), counts.sum(), start
+    share, own = counts / total, np.arange(patterns.shape[1])
     for step in range(rounds):
-        for c, p in ((0, 1 - post), (1, post)):
-            w = share * p
-            rates[:, c] = (w @ v + 1e-4) / (w.sum() + 2e-4)
-        if step == rounds // 2:  # correlations that the hidden class leaves unexplained
-            left = v - (post[:, None] * rates[:, 1] + (1 - post[:, None]) * rates[:, 0])
-            cov = (left * share[:, None]).T @ left
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            corr = cov / sd[:, None] / sd[None, :]
-            discount = 1 / (1 + np.clip(np.abs(corr) - 0.1, 0, None).sum(1) - 0.9)
-            discount = np.clip(discount, 0.2, 1)
-        r = np.clip(rates, 1e-4, 1 - 1e-4)
-        odds = np.log(prior / (1 - prior)) + (v * np.log(r[:, 1] / r[:, 0]) + (1 - v) * np.log((1 - r[:, 1]) / (1 - r[:, 0]))) @ discount
+        joint = _joint(v, share, post)
+        if step <= rounds // 2:
+            parent = _forest(joint, total)
+        at = joint[:, own, np.where(parent < 0, own, parent)]  # class, voter, its vote, its parent's
+        free = ((at[:, :, 1].sum(-1) + 0.5 / total) / (at.sum((2, 3)) + 1 / total))[:, :, None].repeat(2, 2)
+        tied = (at[:, :, 1] + SHRINK * free) / (at.sum(2) + SHRINK)
+        model = Votes(parent, np.clip(np.where((parent < 0)[None, :, None], free, tied), 1e-5, 1 - 1e-5).transpose(1, 2, 0))
+        logs = model.logs(patterns)
+        odds = np.log(prior / (1 - prior)) + logs[:, 1] - logs[:, 0]
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return rates, discount, post
+    return model, post
+
+
+def told_apart(strong: list[str], counts: dict[str, tuple[int, int]]) -> list[str]:
+    """``strong`` without the words and beginnings that occur just as often as an earlier one that they continue or begin:
+    these would be the same voice twice."""
+    out: list[str] = []
+    seen: dict[tuple, list[str]] = {}
+    for f in strong:
+        same = seen.setdefault(counts[f], [])
+        if not any(g.rstrip("*").startswith(f.rstrip("*")) or f.rstrip("*").startswith(g.rstrip("*")) for g in same):
+            out.append(f)
+            same.append(f)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, max_features: int = FEATURES) -> Model:
@@ -119,37 +172,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = total.get(0, 0), total.get(1, 0)
     if not clean or not toxic:
-        return Model({}, -2.0, [frozenset()] * LEARNED_VOTERS, np.zeros((0, 2)), np.zeros(0), np.zeros(0))
+        return Model({}, -2.0, [frozenset()] * LEARNED_VOTERS, None, np.zeros(0))
     counts = rows.mapInArrow(_presence, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     gain = F.col("toxic") / toxic * weight - F.col("clean") / clean * weight
     best = counts.where(F.col("toxic") + F.col("clean") >= 3).withColumn("gain", gain).withColumn("weight", weight)
     chosen = best.orderBy(F.desc("gain"), "feature").limit(max_features).collect()
     strong = [r.feature for r in chosen if r.weight > 3.0 and r.toxic >= 5][:240]
+    strong = told_apart(strong, {r.feature: (r.clean, r.toxic) for r in chosen})
     learned = [frozenset(strong[i::LEARNED_VOTERS]) for i in range(LEARNED_VOTERS)]
     places = {r.feature: i for i, r in enumerate(chosen)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(learned)
         for b in slices(batches, 1024):
-            f = [features_of(t) for t in b.column(1).to_pylist()]
-            votes = [voters.votes(t, x) for t, x in zip(b.column(1).to_pylist(), f, strict=True)]
-            at = [sorted(places[y] for y in x if y in places) for x in f]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int8())), pa.array(at, pa.list_(pa.int32())), b.column(0)], ["votes", "at", "toxic"])
+            votes, at = [], []
+            for text in b.column(1).to_pylist():  # one text's features at a time
+                f = features_of(text)
+                votes.append(voters.votes(text, f))
+                at.append(sorted(places[x] for x in f if x in places))
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int8())), pa.array(at, pa.list_(pa.int32()))], ["votes", "at"])
 
-    data = rows.mapInArrow(vectors, "votes array<tinyint>, at array<int>, toxic int").toArrow()  # bounded by the sample
+    data = rows.mapInArrow(vectors, "votes array<tinyint>, at array<int>").toArrow()  # bounded by the sample
     votes = np.array(data.column("votes").to_pylist(), "i1")
     patterns, which, n_of = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    which, prior = which.reshape(-1), toxic / (toxic + clean)
-    marked = np.bincount(which, weights=data.column("toxic").to_numpy(), minlength=len(patterns))
-    rates, discount, post = label_model(patterns, n_of, min(max(prior, 0.01), 0.5), (marked + prior) / (n_of + 1))
-    post = (marked + TRUST * post) / (n_of + TRUST)  # what is known of a pattern's documents counts too
+    which, prior = which.reshape(-1), min(max(toxic / (toxic + clean), 0.001), 0.999)
+    told, post = label_model(patterns, n_of, prior, np.where(patterns.sum(1) > 1, 0.9, np.where(patterns.any(1), 0.3, 0.01)))
     y = post[which]
     lists = data.column("at").to_pylist()
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     col = np.concatenate([np.array(x, "i8") for x in lists])
     w, vote_w, bias = train_linear(row, col, votes.astype(float), y, len(chosen))
-    return Model({f: float(w[i]) for f, i in places.items() if w[i]}, bias, learned, rates, discount, vote_w)
+    return Model({f: float(w[i]) for f, i in places.items() if w[i]}, bias, learned, told, vote_w)
 
 
 def train_linear(row: np.ndarray, col: np.ndarray, votes: np.ndarray, y: np.ndarray, size: int, rounds: int = 800, rate: float = 1.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
