@@ -22,6 +22,8 @@ from sedge.llm.components import components
 
 #: Bytes of shingle sets, and sets, that are compared as one block.
 BLOCK, MEMBERS = 16 << 20, 16_384
+#: Bits of one fingerprint within which two texts that meet at an anchor are held against each other.
+LOOSE = 16
 #: Texts of groups up to which their keys are broadcast (16 bytes each).
 FEW = 500_000
 
@@ -76,7 +78,7 @@ def similar(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarr
     return shared >= least * (len(one) + n - shared) - 1e-9
 
 
-def forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], distance: int, total: int, least: float) -> list[tuple[int, int]]:
+def forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], total: int, least: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that are near by fingerprints and similar by their sets."""
     n = np.array([len(s) for s in sets])
     rest, out = np.arange(len(nodes)), []
@@ -85,7 +87,7 @@ def forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], distance:
         while wave and len(rest):
             i = wave.pop()
             bits = np.bitwise_count(fps[rest] ^ fps[i])
-            near = (bits.min(1) <= distance) & (bits.sum(1, dtype="i8") <= total) & (np.minimum(n[rest], n[i]) >= least * np.maximum(n[rest], n[i]) - 1e-9)
+            near = (bits.sum(1, dtype="i8") <= total) & (np.minimum(n[rest], n[i]) >= least * np.maximum(n[rest], n[i]) - 1e-9)
             hit = np.flatnonzero(near)
             for j in range(0, len(hit), 64):
                 few = hit[j:j + 64]
@@ -96,31 +98,34 @@ def forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], distance:
     return out
 
 
-def _compare(distance: int, total: int, least: float):
+def _compare(total: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for s in slices([b], 64) for row in zip(*(c.to_pylist() for c in s.columns), strict=True))
         for _, group in groupby(rows, key=lambda row: row[:3]):
             nodes, fps, sets = zip(*((row[3], row[4], np.frombuffer(row[5], "u8")) for row in group), strict=True)
-            links = forest(np.array(nodes, "i8"), np.array(fps, "i8").view("u8"), list(sets), distance, total, least)
+            links = forest(np.array(nodes, "i8"), np.array(fps, "i8").view("u8"), list(sets), total, least)
             if links:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 42, distance: int = 8, tables: int = 3, total: int = 32, least: float = 0.8, block: int = BLOCK, few: int = FEW) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 42, distance: int = 8, tables: int = 3, total: int = 40, least: float = 0.8, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(doc_id, txt, fp, root, component_id), a row for each row, as of ``simhash.near_duplicates``.
 
-    Two texts link that have the same set of shingles, or whose fingerprints lie within ``distance`` bits in some table
-    and ``total`` bits over all and whose sets have a Jaccard similarity of ``least`` or more. A text of fewer than
-    ``size`` words is one shingle. Texts with no words, null ones too, have one set and link to each other alone.
+    Two texts link that have the same set of shingles, or that are candidates and whose sets have a Jaccard similarity of
+    ``least`` or more. Candidates differ in at most ``total`` bits over all fingerprints and meet at an anchor of some
+    table, as all do that differ in at most ``distance`` bits there, or in at most ``distance`` // 3 bits of one of its
+    three parts; chains of candidates are held against each other too. A text of fewer than ``size`` words is one
+    shingle. Texts with no words, null ones too, have one set and link to each other alone; repeated rows are copies;
+    an empty table gives an empty one; other columns are not looked at.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("txt"), F.col(text_col).alias("text"))
     own = cut(given.mapInArrow(_own(size, seed, tables), "doc_id bigint, txt bigint, fp bigint, fps array<bigint>, print bigint, node bigint, n bigint"))
     # a set has several fingerprints where shingles repeat, and a fingerprint several sets
     forms = cut(own.where("n > 0").groupBy("print", "node").agg(F.min("fps").alias("fps"), F.min("n").alias("n"), F.min("txt").alias("txt")))
     prints = cut(forms.groupBy("print").agg(F.min("fps").alias("fps")))
-    groups = components(simhash.links_of(prints, distance, total, tables, 1 << 62)).select(F.col("node").alias("print"), "root")
+    groups = components(simhash.links_of(prints, distance, total, tables, 1 << 62, loose=LOOSE)).select(F.col("node").alias("print"), "root")
     grouped = cut(split_join(forms, groups, ["print"], "left").withColumn("root", F.coalesce("root", "print")))
     sizes = grouped.groupBy("root").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.sum(F.col("n") * 8) / block, F.count("*") / MEMBERS)).cast("long").alias("k")).where("m > 1").drop("m")
     wanted = cut(split_join(grouped, sizes, ["root"]).select("txt", "root", "node", "fps", "k"))
@@ -130,7 +135,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = texts.groupBy("txt").agg(F.first("text").alias("text"))  # copies are let go before the shuffle
     dealt = texts.join(wanted, "txt").select("text", "root", "node", "fps", "k").mapInArrow(_deal(size, seed), "root bigint, lo bigint, hi bigint, node bigint, fps array<bigint>, shingles binary")
     at = ["root", "lo", "hi"]
-    links = dealt.repartition(parts(docs), *at).sortWithinPartitions(*at).mapInArrow(_compare(distance, total, least), "a bigint, b bigint")
+    links = dealt.repartition(parts(docs), *at).sortWithinPartitions(*at).mapInArrow(_compare(total, least), "a bigint, b bigint")
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"))
     classed = cut(split_join(nodes, components(links), ["node"], "left").withColumn("root", F.coalesce("root", "node")))
     first = classed.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -31,7 +31,7 @@ GENERATOR = 0b110001110101
 #: Distinct fingerprints from which on anchors take two parts in place of one: more copies each, far fewer comparisons.
 WIDE_FROM = 20_000_000
 #: Members of an anchor that are compared as one block, and how many of them are held against all others at once.
-BLOCK, STEP = 16_384, 64
+BLOCK, STEP = 16_384, 16
 #: Fingerprints whose members are packed together.
 FULL = 4096
 #: Bits below the number of the table in an anchor's first key.
@@ -250,7 +250,7 @@ def forest(fps: np.ndarray, home: np.ndarray, table: int, distance: int, total:
 
 def _compare(distance: int, total: int | None, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in zip(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True), b.column(4).to_pylist(), strict=True))
+        rows = (row for b in slices(batches, 64) for row in zip(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True), b.column(4).to_pylist(), strict=True))
         out, held = [], 0
         for key, group in groupby(rows, key=lambda row: row[0]):
             m = np.frombuffer(b"".join(data for _, data in group), _member(tables))
@@ -271,9 +271,10 @@ def _links(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.ascontiguousarray(links[:, i])) for i in (0, 1)], ["a", "b"])
 
 
-def links_of(prints: DataFrame, distance: int = 4, total: int | None = None, tables: int = 1, wide_from: int = WIDE_FROM, block: int = BLOCK) -> DataFrame:
+def links_of(prints: DataFrame, distance: int = 4, total: int | None = None, tables: int = 1, wide_from: int = WIDE_FROM, block: int = BLOCK, loose: int | None = None) -> DataFrame:
     """(a, b) bigint: links between distinct nodes (``fps``) that join all pairs within ``distance`` bits in some table
-    and, where ``total`` is given, within so many bits over all tables.
+    and, where ``total`` is given, within so many bits over all tables. With ``loose``, pairs that happen to meet at an
+    anchor link within so many bits of its table; pairs within ``distance`` are still the only ones sure to meet.
 
     Members travel packed, a row for each anchor and batch. An anchor of more than ``block`` members is cut into blocks
     and each two blocks meet in one task, so a task holds two blocks at most and misses nothing.
@@ -289,7 +290,7 @@ def links_of(prints: DataFrame, distance: int = 4, total: int | None = None, tab
     sized = split_join(spread, sizes, ["x", "y"]) if wide else spread.join(F.broadcast(sizes), ["x", "y"])
     dealt = sized.select("x", "y", "members", F.ceil(F.col("total") / block).cast("long").alias("k")).mapInArrow(_deal(tables), "x bigint, y bigint, lo bigint, hi bigint, members binary")
     keys = ["x", "y", "lo", "hi"]
-    return dealt.repartition(parts(prints), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(distance, total, tables), "a bigint, b bigint")
+    return dealt.repartition(parts(prints), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(distance if loose is None else loose, total, tables), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 42, distance: int = 4, tables: int = 1, total: int | None = None, wide_from: int = WIDE_FROM, block: int = BLOCK) -> DataFrame:

@@ -1,5 +1,6 @@
 """Near copies against brute force: exact similarities decide, fingerprints only propose."""
 
+import functools
 import random
 
 import pytest
@@ -18,9 +19,46 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1
 
 
+def times(a, b):
+    """The product of two polynomials over GF(2)."""
+    out = 0
+    while b:
+        out ^= a * (b & 1)
+        a, b = a << 1, b >> 1
+    return out
+
+
+CODE = [times(m, 0b110001110101) for m in range(1 << 12)]  # all multiples of the generator
+
+
+def parts(x):
+    return x & (1 << 22) - 1, x >> 22 & (1 << 21) - 1, x >> 43
+
+
+@functools.cache
+def home(part):
+    return min(CODE, key=lambda c: (c ^ part).bit_count())
+
+
+def meet(x, y):
+    return any((home(a) ^ b).bit_count() <= 5 or (home(b) ^ a).bit_count() <= 5 for a, b in zip(parts(x), parts(y), strict=True))
+
+
+def bits(a, b):
+    return sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+
+
 def candidates(a, b):
-    bits = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
-    return min(bits) <= 8 and sum(bits) <= 32
+    return bits(a, b) <= 40 and any((x ^ y).bit_count() <= 16 and meet(x, y) for x, y in zip(a, b, strict=True))
+
+
+def least_place(n, linked):
+    """The smallest place reachable from each place."""
+    root, links = list(range(n)), [(i, j) for i in range(n) for j in range(i) if linked(i, j)]
+    while any(root[i] != root[j] for i, j in links):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
 
 
 def texts(seed=5):
@@ -40,15 +78,11 @@ def texts(seed=5):
 def test_near_copies(spark, block, few):
     rows = texts()
     sets, prints = [shingles(t) for t in rows], [fingerprints(t, 5, 3) for t in rows]
-    root, refused = list(range(len(rows))), 0
-    for _ in rows:  # the smallest place reachable, by as many rounds as any path needs
-        for i in range(len(rows)):
-            for j in range(i):
-                near = candidates(prints[i], prints[j])
-                if sets[i] == sets[j] or near and jaccard(sets[i], sets[j]) >= 0.8:
-                    root[i] = root[j] = min(root[i], root[j])
-                elif near:
-                    refused += 1
+    some = range(len(rows))
+    pairs = {(i, j) for i in some for j in range(i) if sets[i] and sets[j] and candidates(prints[i], prints[j])}
+    group = least_place(len(rows), lambda i, j: (i, j) in pairs)
+    root = least_place(len(rows), lambda i, j: sets[i] == sets[j] or group[i] == group[j] and bits(prints[i], prints[j]) <= 40 and sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8)
+    refused = sum(jaccard(sets[i], sets[j]) < 0.8 for i, j in pairs)
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(df, block=block, few=few).collect()}
     assert got == dict(enumerate(root)) and refused and len(set(root)) < len(root) - 5
