@@ -16,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's own (``spark.checkpoint.dir``); only where none is set,
-    as in tests, one is chosen here."""
+    """The folder that driver and executors share: the cluster's own (``spark.checkpoint.dir``). Only where none is set and
+    all runs on one machine, as in tests, one is chosen here; on a cluster without one this is an error."""
     sc = spark.sparkContext
     if at := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
         return at
+    if not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(at := os.path.join(tempfile.gettempdir(), "sedge-checkpoints"))
     return at
 
@@ -31,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whatever kind of file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parts(df: DataFrame) -> int:
     """Shuffle partitions to ask for where an explicit number is needed."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -59,6 +67,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores before it until no table has a column of that name."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``big`` joined to ``small``, which has a key once, so that AQE may split a hot key's rows of ``big``.
 

@@ -1,7 +1,7 @@
 """Benchmark decontamination: passages of a document within an edit budget of a benchmark item.
 
-An item of n characters may differ by n // 16 edits. It is cut into one piece more than that, so at least one piece
-stands unchanged in any such passage. An Aho-Corasick automaton finds the pieces in whole documents; around each hit
+An item of n characters may differ by n // 16 edits (one of fewer than 24 by none, and it must stand as whole words). It
+is cut into one piece more than that, so at least one piece stands unchanged in any such passage. An Aho-Corasick automaton finds the pieces in whole documents; around each hit
 Myers' bit-parallel algorithm takes the item's least distance to any part of the window. Texts are compared in lower
 case with every run of other characters than letters and digits as one blank.
 """
@@ -17,12 +17,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import slices
+from sedge.llm.common import fresh, slices
 
 #: Characters of an item for each edit allowed.
 CHARS_PER_EDIT = 16
-#: An item with fewer characters, once normalised, says too little and takes no part.
-MIN_CHARS = 24
+#: An item with fewer characters, once normalised, is looked for as it is, between blanks or the text's ends.
+SHORT = 24
 #: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes.
 BLOCK_BYTES = 8_000_000
 
@@ -62,9 +62,11 @@ def least_distance(masks: dict[str, int], size: int, text: str) -> tuple[int, in
 
 class Finder:
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
-        self.items = [(i, t, len(t) // chars_per_edit, masks_of(t)) for i, t in items]
+        short = [len(t) < SHORT for _, t in items]
+        own = [(i, f" {t} " if s else t, s) for (i, t), s in zip(items, short, strict=True)]
+        self.items = [(i, t, 0 if s else len(t) // chars_per_edit, masks_of(t), s) for i, t, s in own]
         at: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, text, edits, _) in enumerate(self.items):
+        for n, (_, text, edits, _, _) in enumerate(self.items):
             for start, piece in pieces_of(text, edits):
                 at.setdefault(piece, []).append((n, start))
         self.automaton = ahocorasick.Automaton()
@@ -76,6 +78,7 @@ class Finder:
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item's id, distance, end in the normal text) for each item within its budget: the best place, first of ties."""
+        text = f" {text} "
         best: dict[int, tuple[int, int]] = {}
         tried: set[tuple[int, int]] = set()
         for end, (size, where) in self.automaton.iter(text) if self.any else ():
@@ -84,7 +87,7 @@ class Finder:
                 if (n, origin) in tried:
                     continue
                 tried.add((n, origin))
-                _, item, edits, masks = self.items[n]
+                _, item, edits, masks, _ = self.items[n]
                 old = best.get(n)
                 if text.startswith(item, max(0, origin)) and origin >= 0:
                     found = (0, origin + len(item))
@@ -96,7 +99,7 @@ class Finder:
                     found = (d, low + e)
                 if found[0] <= edits and (old is None or found < old):
                     best[n] = found
-        return [(self.items[n][0], d, e) for n, (d, e) in best.items()]
+        return [(self.items[n][0], d, e - 1 - self.items[n][4]) for n, (d, e) in best.items()]
 
 
 def masks_of(text: str) -> dict[str, int]:
@@ -124,11 +127,14 @@ def _search(sent: Broadcast, chars_per_edit: int):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, ends_at): each document's items found within their budget, with the least distance.
 
-    A row for each pair of a document row and an item row; null or empty texts match nothing; a document without a
-    leak has no row. The benchmark is taken in blocks of about ``block_bytes``, each broadcast, whatever its full size.
+    A row for each pair of a document row and an item row, so repeated rows repeat; of an item's equally near places the
+    first one counts. Null or empty texts match nothing, nor do items without a letter or digit; a null id stays null; a
+    document without a leak has no row; either table may be empty. Texts of any length are searched whole. Other columns,
+    whatever their names, are not looked at. The benchmark is taken in blocks of about ``block_bytes``, each broadcast,
+    whatever its full size.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -138,7 +144,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     out = None
     for k in range(blocks):
         rows = test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        kept = [(r.item_id, t) for r in rows if len(t := normal(r.text)) >= min_chars]
+        kept = [(r.item_id, t) for r in rows if (t := normal(r.text))]
         sent = spark.sparkContext.broadcast({"key": hash((k, blocks, tuple(kept))), "items": kept})
         found = own.mapInArrow(_search(sent, chars_per_edit), "doc_id bigint, item_id bigint, distance bigint, ends_at bigint")
         out = found if out is None else out.unionByName(found)
@@ -148,8 +154,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the rows whose text holds an item; every other row stays, with a null id or text too.
 
-    Texts decide, not ids: rows are matched by xxhash64 of the text, which is null-safe.
+    Texts decide, not ids: rows are matched by xxhash64 of the text, which is null-safe, so repeated rows fare alike. All
+    columns come back under their names; an empty table gives an empty one.
     """
-    key = F.xxhash64(F.col(f"`{text_col}`"))
-    found = leaks(docs.withColumn("_key", key), items, "_key", text_col, **how).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, key == F.col("_leak"), "left_anti")
+    mine, theirs = fresh("_key", docs), fresh("_leak", docs)
+    keyed = docs.withColumn(mine, F.xxhash64(F.col(f"`{text_col}`")))
+    found = leaks(keyed, items, mine, text_col, **how).select(F.col("doc_id").alias(theirs)).distinct()
+    return keyed.join(found, F.col(mine) == F.col(theirs), "left_anti").drop(mine)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import cut, parts, raw, slices, text_key, without
+from sedge.llm.common import cut, fresh, parts, raw, slices, text_key, without
 
 LINES = "h1 bigint, h2 bigint, doc_id bigint, txt bigint, pos int, more binary"
 
@@ -154,9 +154,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every row comes back, in any order; a null text comes back empty; a document may end up empty. Input columns named
     like an added column give way to it. An empty table gives an empty table. See :func:`keep_bitmaps` for the rule.
     """
-    own = without(docs, "n_lines", "n_dropped", "_k_id", "_k_txt", "_keep")
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias("_k_id"), F.col("txt").alias("_k_txt"), F.col("keep").alias("_keep"))
-    left = own.alias("d").join(maps, (F.col(f"d.`{id_col}`").cast("long") == F.col("_k_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("_k_txt")), "left").select("d.*", "_keep")
+    own = without(docs, "n_lines", "n_dropped")
+    i, t, k = (fresh(x, docs) for x in ("_k_id", "_k_txt", "_keep"))
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias(i), F.col("txt").alias(t), F.col("keep").alias(k))
+    left = own.alias("d").join(maps, (F.col(f"d.`{id_col}`").cast("long") == F.col(i)) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col(t)), "left").select("d.*", k)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
     at = [c.lower() for c in own.columns].index(text_col.lower())
     return left.mapInArrow(_applied(at, len(own.columns)), f"{kinds}, n_lines bigint, n_dropped bigint")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import cut, parts, raw, slices, split_join, text_key, without
+from sedge.llm.common import cut, fresh, parts, raw, slices, split_join, text_key, without
 
 SIZE = 50
 #: Words of a minimiser; eight, as its hash is built by doubling.
@@ -248,17 +248,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window over it also starts in a document with a smaller id; all windows are judged on the input.
     Every row comes back. Null or empty text has no words and comes back empty; a null id keeps its words and takes
-    none from others; rows repeating an id are one document to the rule. Input columns named like an added one give way.
-    ``size`` must be at least 8.
+    none from others; rows repeating an id are one document to the rule. All input columns come back, but for those
+    named like an added one; an empty table gives an empty one; texts of any length are taken whole. ``size`` must be at
+    least 8.
     """
-    own = without(docs, "n_words", "n_removed", "kept_sha256", "_txt", "_found", "_id", "_t")
-    named = own.withColumn("_txt", F.xxhash64(F.col(f"`{text_col}`")))
+    own = without(docs, "n_words", "n_removed", "kept_sha256")
+    mine, theirs, key, places = (fresh(x, docs) for x in ("_txt", "_t", "_id", "_found"))
+    named = own.withColumn(mine, F.xxhash64(F.col(f"`{text_col}`")))
     found = repeated(own.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("txt"), F.col(text_col).alias("text")), size, large)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("txt").alias("_t"), F.col("found").alias("_found"))
+    found = found.select(F.col("doc_id").alias(key), F.col("txt").alias(theirs), F.col("found").alias(places))
     at = {c.lower(): i for i, c in enumerate(own.columns)}
     kinds = [f"`{f.name}` " + ("binary" if i == at[text_col.lower()] else f.dataType.simpleString()) for i, f in enumerate(own.schema)]
-    squeezed = named.mapInArrow(_squeezed(at[text_col.lower()]), ", ".join([*kinds, "_txt bigint"]))
-    both = squeezed.join(found, (F.col(f"`{id_col}`").cast("long") == F.col("_id")) & (F.col("_txt") == F.col("_t")), "left").drop("_id", "_t")
+    squeezed = named.mapInArrow(_squeezed(at[text_col.lower()]), ", ".join([*kinds, f"{mine} bigint"]))
+    both = squeezed.join(found, (F.col(f"`{id_col}`").cast("long") == F.col(key)) & (F.col(mine) == F.col(theirs)), "left").drop(key, theirs)
     last = ", ".join(f"`{f.name}` {'string' if i == at[text_col.lower()] else f.dataType.simpleString()}" for i, f in enumerate(own.schema))
     k = len(own.columns)
     return both.mapInArrow(_removed(size, at[id_col.lower()], at[text_col.lower()], k + 1, k), f"{last}, n_words bigint, n_removed bigint, kept_sha256 string")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sedge.llm import components, line_dedup, simhash, substring_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, keep string, n_lines string, _txt string, m int"
+SCHEMA = "doc_id long, text string, keep string, n_lines string, _txt string, m int, _keep int, _id int, __id int, _K_id int, _found int"
 
 
 def corpus(seed=1, n=60):
@@ -30,7 +30,7 @@ def corpus(seed=1, n=60):
         out.append((rng.choice([i, i, i, None]) if i % 17 == 5 else i, rng.choice(["", None]) if i % 13 == 7 else "\n".join(own)))
     out += [out[3], out[3], (out[4][0], "other text for the same id\na common line of text"), (10**12, "the " * 3000), (10**12 + 1, "the " * 200)]
     rng.shuffle(out)
-    return [(d, t, "k", "clash", "c", 1) for d, t in out]
+    return [(d, t, "k", "clash", "c", 1, 2, 3, 4, 5, 6) for d, t in out]
 
 
 def key(line):
@@ -63,7 +63,8 @@ def test_line_dedup(spark, parts):
     try:
         got = line_dedup.dedup_lines(table(spark, rows))
         assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in got.collect()) == sorted(want)
-        assert got.columns == ["doc_id", "text", "keep", "_txt", "m", "n_lines", "n_dropped"]
+        assert got.columns == [c for c in table(spark, rows).columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+        assert got.select("_keep", "_K_id", "_found").distinct().collect() == [(2, 5, 6)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
@@ -89,6 +90,7 @@ def test_substring_dedup(spark, large):
     got = substring_dedup.remove_repeats(table(spark, rows), large=large)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.text, r.kept_sha256) for r in got.collect()) == sorted(want)
     assert sum(x[2] > 0 for x in want) > 5
+    assert got.columns == [*table(spark, rows).columns, "n_words", "n_removed", "kept_sha256"] and got.select("_id", "__id", "_found").distinct().collect() == [(3, 4, 6)]
 
 
 def splitmix(x, k):
@@ -219,7 +221,7 @@ def test_empty_tables(spark):
 
 
 def test_nulls_alone(spark):
-    rows = table(spark, [(None, None, None, None, None, None), (None, "a line that repeats", None, None, None, None), (None, "a line that repeats", None, None, None, None)])
+    rows = table(spark, [(None, t, *[None] * 9) for t in (None, "a line that repeats", "a line that repeats")])
     assert [r.n_dropped for r in line_dedup.dedup_lines(rows).collect()] == [0, 0, 0]
     assert [r.n_removed for r in substring_dedup.remove_repeats(rows).collect()] == [0, 0, 0]
     assert simhash.near_duplicates(rows).where(F.col("component_id").isNull()).count() == 3

@@ -6,7 +6,8 @@ import pytest
 
 import corpus_pipeline as pipeline
 from sedge.llm import decontaminate, toxicity
-from tests.llm.test_dedup import fingerprints, key, linked
+from tests.llm.test_dedup import key
+from tests.llm.test_near_copies import jaccard, least_place, shingles
 from tests.llm.test_text_operators import REFERENCE
 
 SF = "/root/testdata/sf0.001"
@@ -28,9 +29,10 @@ def test_run(spark):
     low = {r.doc_id for r in toxicity.with_score(docs, model).where("toxicity < 0.5").collect()}
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect() if r.doc_id in low]
     rows = rest_after_lines(rows)
-    group = linked([fingerprints(t, 5, 3) for _, t in rows], 8, 32)
+    sets = [shingles(t) for _, t in rows]
+    group = least_place(len(sets), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)  # no pair of these few is missed
     rows = [x for i, x in enumerate(rows) if group[i] == i]  # rows are in the order of ids
-    items = [t for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(t := decontaminate.normal(r.text)) >= decontaminate.MIN_CHARS]
+    items = [t for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (t := decontaminate.normal(r.text))]
     masks = [(len(t), decontaminate.masks_of(t)) for t in items]
     clean = [(d, t) for d, t in rows if not any(decontaminate.least_distance(m, n, decontaminate.normal(t))[0] <= n // decontaminate.CHARS_PER_EDIT for n, m in masks)]
     got = {r.doc_id: r.ids for r in pipeline.run(spark, SF).collect()}
