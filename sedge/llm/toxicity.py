@@ -37,9 +37,9 @@ LEXICONS = (
 )
 #: Fixed patterns, a voter each: address followed by abuse, shouting, masked letters.
 PATTERNS = (r"(?i)\byou(?:'re| are)? (?:\w+ )?(?:idiot|moron|stupid|pathetic|worthless|loser|trash|scum)\b", r"(?i)\bshut up\b|\bgo to hell\b", r"!{3,}", r"(?i)\b[a-z]+[*@#$]{1,3}[a-z]+\b")
-LEARNED_VOTERS = 10
+LEARNED_VOTERS = 7
 #: Share of all documents that the rates of correlated voters are drawn to their own by.
-SHRINK = 0.01
+SHRINK = 0.003
 STARTS = (4, 5, 6)
 WORD = regex.compile(r"[^\W\d_]+")
 
@@ -161,8 +161,9 @@ def told_apart(strong: list[str], counts: dict[str, tuple[int, int]]) -> list[st
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, max_features: int = FEATURES) -> Model:
     """Learn from the documents that ``labels`` (doc_id, toxic) covers, at most about ``sample`` of them.
 
-    Null labels are left out and a repeated id takes its largest label. With no toxic or no clean example, every document
-    scores low.
+    Null labels are left out; a repeated id takes its largest label, and so does a repeated text, which counts once. Texts
+    are read whole; null ones have no features. Features of equal worth are taken in the order of their names. With no
+    toxic or no clean example, as in empty tables, every document scores low. Other columns are not looked at.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = marks.count()
@@ -243,7 +244,7 @@ def _score(sent: Broadcast, text_at: int):
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) added, in place of a column of that name; null and empty texts score as texts
-    without features. No shuffle; texts are read whole."""
+    without features, and equal texts alike. An empty table gives an empty one. No shuffle; texts are read whole."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_features
     own = without(docs, "toxicity")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)

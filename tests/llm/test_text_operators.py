@@ -87,7 +87,7 @@ def test_leaks(spark, block):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7)))
     items = [" ".join(word() for _ in range(n)) for n in (*range(1, 8), 1, 2, 3, *(rng.randint(8, 30) for _ in range(10)))]
-    texts = ["", None, items[0], items[1] + "x", "x" + items[2], items[12] + " word" * 900, items[12] + " word" * 900]
+    texts = ["", None, items[0], items[1] + "x", "x" + items[2], items[12] + " word" * 200, items[12] + " word" * 900]
     for _ in range(40):
         own = [word() for _ in range(rng.randint(0, 60))]
         x = list(rng.choice(items))
@@ -157,8 +157,8 @@ def test_label_model_finds_accuracies_and_correlations():
     y, rates, patterns, which, n = drawn()
     model, post = toxicity.label_model(patterns, n, 0.3, np.where(patterns.sum(1) > 1, 0.9, 0.1))
     assert model.parent[4] == 0  # the repeating voter has the first as its parent; weak chance links may stand beside that
-    assert np.abs(model.rates[:4].mean(1) - rates).max() < 0.12
-    assert model.rates[4, 1, 1] > 0.9 and model.rates[4, 0, 0] < 0.1  # where there is much to see
+    assert np.abs(model.rates[:4].mean(1) - rates).max() < 0.06
+    assert np.abs(model.rates[4, 0] - 0.03).max() < 0.06 and np.abs(model.rates[4, 1] - 0.97).max() < 0.15  # so its vote tells nothing more
     true = np.bincount(which, weights=y) / n
     assert np.abs(post - true)[n > 100].max() < 0.12
 
