@@ -26,6 +26,8 @@ BITS = 16
 BUCKETS = 1 << BITS
 #: Cost, in nats, of a language switch between two words.
 SWITCH = 8.0
+#: Words that are worked on at once.
+WORDS = 200_000
 #: A language may use a script if so large a share of its training words does.
 SHARE = 0.002
 #: Script ranges by the first letter's code point (start, end, script), in order.
@@ -59,15 +61,27 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, bucket, n): summed over the task; buckets from BUCKETS on count the words of each script."""
     total: dict[str, np.ndarray] = {}
-    for b in slices(batches, 1024):
-        seen: dict[str, list[str]] = {}
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen.setdefault(lang, []).extend(words_of(text))
+    seen: dict[str, list[str]] = {}
+
+    def counted() -> None:
         for lang, words in seen.items():
             n = total.setdefault(lang, np.zeros(BUCKETS + SCRIPTS, "i8"))
-            if words:
-                n[:BUCKETS] += np.bincount(grams(words)[0], minlength=BUCKETS)
-                n[BUCKETS:] += np.bincount(scripts_of(words), minlength=SCRIPTS)
+            for i in range(0, len(words), WORDS):
+                some = words[i:i + WORDS]
+                n[:BUCKETS] += np.bincount(grams(some)[0], minlength=BUCKETS)
+                n[BUCKETS:] += np.bincount(scripts_of(some), minlength=SCRIPTS)
+        seen.clear()
+
+    held = 0
+    for b in slices(batches, 256):
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words = words_of(text)
+            seen.setdefault(lang, []).extend(words)
+            held += len(words)
+            if held > WORDS:
+                counted()
+                held = 0
+    counted()
     for lang, n in total.items():
         own = np.flatnonzero(n)
         yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(own.astype("i4")), pa.array(n[own])], ["lang", "bucket", "n"])
@@ -175,7 +189,7 @@ def _label(sent: Broadcast, switch: float, with_spans: bool):
                 words = words_of(text)
                 held.append((i, words, any(c.isalpha() for w in words for c in w)))
                 size += len(words)
-                if size > 400_000:
+                if size > WORDS:
                     yield out(held, model)
                     held, size = [], 0
             if held:
@@ -214,7 +228,9 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     ``spans`` lists runs of words (start and number, words being runs of letters) in one language; lang_pred holds most
     letters, score is its share of them. Null, empty or letterless text: ``und``, score 0, no spans; so is every text
-    where the model has learned no language. No shuffle; long texts are labelled whole.
+    where the model has learned no language. Of equal scores the language earlier in the alphabet counts. A null id stays
+    null; repeated rows repeat; an empty table gives an empty one; other columns, whatever their names, are not looked at.
+    No shuffle; long texts are labelled whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS numbers a language
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -32,10 +32,31 @@ NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "redistribution and use in source and binary forms": "bsd",
 }
-TAG_WORDS = "spdx license identifier"
-TAG = re.compile(rb"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)")
-#: How freely work under a licence may be used again, by the start of its identifier; others get UNKNOWN.
-FREEDOM = {"cc0": 1.0, "unlicense": 1.0, "0bsd": 1.0, "mit": 0.95, "bsd": 0.95, "isc": 0.95, "apache": 0.9, "zlib": 0.9, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "cc-by-sa": 0.6, "cc-by": 0.85, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.35, "agpl": 0.25, "proprietary": 0.0}
+#: What stands before a licence expression, which ends with its line.
+TAGS = ("spdx-license-identifier:", "license-expression:", "licence-expression:")
+
+
+def family(name: str, versions: str, *ends: str) -> list[str]:
+    """Identifiers of one family: its name, each version of it, and each version with each of ``ends``."""
+    return [name, *(f"{name}-{v}{e}" for v in versions.split() for e in ("", *ends))]
+
+
+GNU = ("-only", "-or-later", "+")
+#: Identifiers by how freely work under them may be used again; others, and plain names, go by the start of their names
+#: (see ``freedom``), and what has no known start gets UNKNOWN.
+FREE: dict[float, list[str]] = {
+    1.0: ["cc0", "cc0-1.0", "unlicense", "0bsd", "wtfpl", "public-domain", "mit-0"],
+    0.95: ["mit", "isc", "bsd", *family("bsd", "1 2 3 4", "-clause", "-clause-patent", "-clause-clear"), "x11", "ncsa", "curl", "ntp", "postgresql", "hpnd", "bsl-1.0", "python-2.0", *family("psf", "2.0")],
+    0.9: ["zlib", "libpng", *family("apache", "1.0 1.1 2.0"), *family("afl", "1.1 1.2 2.0 2.1 3.0"), *family("artistic", "1.0 2.0"), *family("ecl", "1.0 2.0"), *family("php", "3.0 3.01"), "mulanpsl-2.0"],
+    0.85: [*family("cc-by", "1.0 2.0 2.5 3.0 4.0"), *family("odc-by", "1.0"), *family("ofl", "1.0 1.1")],
+    0.6: [*family("mpl", "1.0 1.1 2.0", "-no-copyleft-exception"), *family("epl", "1.0 2.0"), *family("cddl", "1.0 1.1"), *family("cc-by-sa", "1.0 2.0 2.5 3.0 4.0"), *family("ms-pl", ""), *family("eupl", "1.0 1.1 1.2"), *family("odbl", "1.0"), *family("cpl", "1.0")],
+    0.5: [*family("lgpl", "2.0 2.1 3.0", *GNU), *family("cecill", "1.0 2.0 2.1"), "cecill-c", "cecill-b"],
+    0.35: [*family("gpl", "1.0 2.0 3.0", *GNU), *family("osl", "1.0 2.0 2.1 3.0"), *family("gfdl", "1.1 1.2 1.3", *GNU)],
+    0.25: [*family("agpl", "1.0 3.0", *GNU), *family("sspl", "1.0")],
+    0.2: [*family("cc-by-nc", "1.0 2.0 2.5 3.0 4.0"), *family("cc-by-nd", "1.0 2.0 2.5 3.0 4.0"), *family("cc-by-nc-sa", "1.0 2.0 2.5 3.0 4.0"), *family("cc-by-nc-nd", "1.0 2.0 2.5 3.0 4.0"), *family("polyform-noncommercial", "1.0.0"), *family("busl", "1.1")],
+    0.0: ["proprietary", "licenseref-proprietary", "none"],
+}
+FREEDOM = {name: value for value, names in FREE.items() for name in names}
 UNKNOWN = 0.5
 #: What each kind of evidence adds to the score: a base phrase, another notice, a tag.
 WEIGHTS = (0.6, 0.4, 0.9)
@@ -47,18 +68,27 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
+@lru_cache(10_000)
 def freedom(name: str) -> float:
-    return max(((len(k), v) for k, v in FREEDOM.items() if name.startswith(k)), default=(0, UNKNOWN))[1]
+    """How freely work under a licence may be used again: its identifier's value, else that of the longest identifier that
+    it continues after a hyphen, a dot or a plus, else UNKNOWN."""
+    while name not in FREEDOM:
+        cuts = [i for c in "-.+" if (i := name.rfind(c)) > 0]
+        if not cuts:
+            return UNKNOWN
+        name = name[:max(cuts)]
+    return FREEDOM[name]
 
 
 def parse_expression(text: str) -> tuple[list[str], float | None]:
-    """(names in order, freedom) of a licence expression; the freedom is null where the expression is malformed.
+    """(names, freedom) of a licence expression: the licences that bind, in order, and how free they leave one.
 
     ``with`` binds tightest and adds an exception to the licence on its left, which eases it a little; ``and`` holds one
-    to the stricter side, ``or`` lets one take the freer.
+    to both sides and so to the stricter, ``or`` lets one take the freer side (of equals the left), and then the other side
+    binds no more. A malformed expression has all names that were read and no freedom.
     """
     names: list[str] = []
-    out: list[float] = []
+    out: list[tuple[float, tuple[str, ...]]] = []
     ops: list[str] = []
     rank = {"or": 1, "and": 2, "with": 3}
     operand = True  # what may come next
@@ -67,8 +97,13 @@ def parse_expression(text: str) -> tuple[list[str], float | None]:
         op = ops.pop()
         if len(out) < 2:
             return False
-        b, a = out.pop(), out.pop()
-        out.append(max(a, b) if op == "or" else min(a, b) if op == "and" else min(1.0, a + 0.1))
+        (b, right), (a, left) = out.pop(), out.pop()
+        if op == "or":
+            out.append((b, right) if b > a else (a, left))
+        elif op == "and":
+            out.append((min(a, b), left + right))
+        else:
+            out.append((min(1.0, a + 0.1), left))
         return True
 
     good = True
@@ -97,21 +132,41 @@ def parse_expression(text: str) -> tuple[list[str], float | None]:
                 break
             if not (ops and ops[-1] == "with"):
                 names.append(low)
-            out.append(freedom(low))
+            out.append((freedom(low), (low,)))
             operand = False
         if not good:
             return names, None
     while ops:
         if ops[-1] == "(" or not apply():
             return names, None
-    return names, out[0] if len(out) == 1 and not operand else None
+    if len(out) != 1 or operand:
+        return names, None
+    return list(out[0][1]), out[0][0]
+
+
+@lru_cache(4)
+def _tags(tags: tuple[str, ...]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for t in tags:
+        a.add_word(t, True)
+    a.make_automaton()
+    return a
+
+
+def expressions_in(text: bytes, tags: tuple[str, ...]) -> list[str]:
+    """What follows each identifier tag on its line."""
+    out = []
+    for end, _ in _tags(tags).iter(text.lower().decode("latin-1")):
+        stop = min((i for c in (b"\n", b"\r") if (i := text.find(c, end + 1)) >= 0), default=len(text))
+        out.append(text[end + 1:stop].decode("utf-8", "replace"))
+    return out
 
 
 @lru_cache(4)
 def _automaton(base: tuple[tuple[str, str], ...], notices: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
     """Keys are phrases between blanks, as byte characters; a key may be both a base phrase and a notice."""
     at: dict[str, list[tuple[int, str]]] = {}
-    for kind, pairs in ((0, base), (1, notices), (2, ((TAG_WORDS, ""),))):
+    for kind, pairs in ((0, base), (1, notices)):
         for phrase, label in pairs:
             at.setdefault(f" {phrase} ".encode().decode("latin-1"), []).append((kind, label))
     a = ahocorasick.Automaton()
@@ -121,7 +176,7 @@ def _automaton(base: tuple[tuple[str, str], ...], notices: tuple[tuple[str, str]
     return a
 
 
-def _scan(base, notices):
+def _scan(base, notices, tags):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _automaton(base, notices)
         for b in slices(batches):
@@ -130,7 +185,7 @@ def _scan(base, notices):
                 text = text or b""
                 words = words_of(text)
                 joined = b" ".join([b"", *words, b""])
-                n, first, last, labels, more, tagged = 0, None, None, set(), set(), False
+                n, first, last, labels, more, bound = 0, None, None, set(), set(), set()
                 for end, (size, what) in a.iter(joined.decode("latin-1")):
                     for kind, label in what:
                         if kind == 0:
@@ -139,36 +194,36 @@ def _scan(base, notices):
                             labels.add(label)
                             first = at if first is None else min(first, at)
                             last = at if last is None else max(last, at)
-                        elif kind == 1:
-                            more.add(label)
                         else:
-                            tagged = True
-                tags, free = set(), None
-                for m in TAG.findall(text) if tagged else ():
-                    names, value = parse_expression(m.decode("utf-8", "replace"))
-                    tags.update(names)
-                    if value is not None:
-                        free = value if free is None else min(free, value)
+                            more.add(label)
+                told = [parse_expression(x) for x in expressions_in(text, tags)]
+                for names, _ in told:
+                    bound.update(names)
+                free = min((value for _, value in told if value is not None), default=None)
                 nth = lambda at: None if at is None else joined.count(b" ", 0, at)
-                score = 1.0
-                for weight, own in zip(WEIGHTS, (labels, more, tags), strict=True):
-                    score *= (1 - weight) ** len(own)
-                whole = sorted(labels | more | tags)
+                evidence = 1.0
+                for weight, own in zip(WEIGHTS, (labels, more, bound), strict=True):
+                    evidence *= (1 - weight) ** len(own)
+                whole = sorted(labels | more | bound)
                 if free is None and whole:
                     free = min(map(freedom, whole))
-                rows.append((len(words), n, nth(first), nth(last), ",".join(sorted(labels)), ",".join(whole), 1 - score, free))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] * 2
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "freedom"])
+                rows.append((len(words), n, nth(first), nth(last), ",".join(sorted(labels)), ",".join(whole), (1 - evidence) * (free or 0.0), 1 - evidence, free))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] * 3
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "evidence", "freedom"])
 
     return run
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """A row for each row: word count, base phrases' places, labels (distinct, sorted, comma-joined), score and freedom.
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, tags: tuple[str, ...] = TAGS) -> DataFrame:
+    """A row for each row: word count, base phrases' places, labels (distinct, sorted, comma-joined), score, evidence and
+    freedom.
 
-    ``score`` grows with independent evidence (0: none); ``freedom`` is the strictest valid expression's, else that of the
-    strictest label, else null. A null text is an empty one. No shuffle; a text is read whole, whatever its length.
+    Labels are those of the phrases and the licences that bind by the tagged expressions. ``freedom`` is the strictest valid
+    expression's, else that of the strictest label, else null; ``evidence`` grows with each independent sign (0: none);
+    ``score`` is their product, 0 where nothing is found or nothing may be used. A null or empty text has no words and no
+    labels; a null id stays null; repeated rows repeat; an empty table gives an empty one; other columns, whatever their
+    names, are not looked at. No shuffle; a text is read whole, whatever its length.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_scan(tuple(base.items()), tuple(notices.items())), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, freedom double")
+    return own.mapInArrow(_scan(tuple(base.items()), tuple(notices.items()), tuple(tags)), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, evidence double, freedom double")
