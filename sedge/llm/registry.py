@@ -63,4 +63,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_simhash, op4_licenses, op5_decontamination, op6_toxicity, op7_language, op8_url_filter, op9_ann, op10_byte_bpe)}
 
-ORACLE = {"op8_url_filter": url_filter.oracle()}
+OP1 = r"""WITH l AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+f AS (SELECT key, min(doc_id) AS least FROM l WHERE length(key) >= 10 GROUP BY key),
+g AS (SELECT doc_id, i, line, coalesce(doc_id > least, FALSE) AS gone FROM l LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id"""
+
+OP2 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k),
+b AS (SELECT doc_id, i, 1 AS bad FROM w JOIN f USING (k) WHERE doc_id > least),
+x AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+y AS (SELECT doc_id, i, word, coalesce(max(bad) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING), 0) AS gone FROM x LEFT JOIN b USING (doc_id, i)),
+z AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM y GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN z USING (doc_id)"""
+
+ORACLE = {"op1_line_dedup": OP1, "op2_substring_dedup": OP2, "op8_url_filter": url_filter.oracle()}
