@@ -12,8 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from sedge.functions.patterns import SPACE  # noqa: F401  (re-exported for callers of the scalar helpers)
-
 
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
@@ -58,6 +56,12 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+@F.pandas_udf(StringType())
+def spaced_json(texts: pd.Series) -> pd.Series:
+    """The same with a blank after each comma and colon, as artifacts are written."""
+    return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False))
+
+
 @F.pandas_udf(StringType())
 def strict_json(texts: pd.Series) -> pd.Series:
     """Canonical JSON of what passes :func:`strict_load`, else null."""
@@ -92,7 +96,7 @@ def hmac_hex(text: Column, key: bytes, size: int = 64) -> Column:
     return run(text)
 
 
-#: Where a tool's answer keeps its text, in order of preference.
+# Where a tool's answer keeps its text, in order of preference.
 TEXT_KEYS = ("text", "content", "output", "result", "message", "tool_result")
 
 
@@ -144,10 +148,14 @@ def find_row_sets(value) -> list[dict]:
     return out
 
 
-@F.udf(ROW_SET)
-def row_sets(text):
+@F.pandas_udf(ROW_SET)
+def row_sets(texts: pd.Series) -> pd.Series:
     """All uniform row sets of a JSON text, in document order; null for what is no JSON."""
-    try:
-        return None if text is None else find_row_sets(json.loads(text))
-    except ValueError:
-        return None
+
+    def one(t):
+        try:
+            return None if t is None else find_row_sets(json.loads(t))
+        except ValueError:
+            return None
+
+    return texts.map(one)

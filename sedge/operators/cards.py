@@ -92,12 +92,12 @@ def withhold(docs: DataFrame, content: str = "content", max_bytes: int = 2_000_0
 
 
 def with_tier(docs: DataFrame, overrides: DataFrame, default: str, path: str = "source") -> DataFrame:
-    """``trust_tier`` by exact path, else by the nearest directory override above it (of equals the last given), else
-    ``default``. ``overrides``: (position, path, trust_tier); a short list, checked to be under 10,000 rows."""
-    if overrides.limit(10_001).count() > 10_000:
-        raise ValueError("too many tier overrides")
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
-    o = F.broadcast(overrides.select("position", F.col("path").alias("_p"), F.col("trust_tier").alias("_t")))
-    hit = own.join(o, (F.col(path) == F.col("_p")) | F.col(path).startswith(F.concat("_p", F.lit("/"))))
-    best = hit.groupBy("_row").agg(F.max_by("_t", F.struct(F.col(path) == F.col("_p"), "position")).alias("trust_tier"))
-    return own.join(best, "_row", "left").withColumn("trust_tier", F.coalesce("trust_tier", F.lit(default))).drop("_row")
+    """``trust_tier`` by exact path, else by the nearest directory override above it, else ``default``; of overrides of one
+    path the last given counts. ``overrides``: (position, path, trust_tier), of any length: the paths above each distinct
+    path meet them by an equi join."""
+    parts = F.split("_p", "/")
+    above = docs.select(F.col(path).alias("_p")).distinct().select("_p", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("at")))).alias("_a"))
+    last = overrides.groupBy(F.col("path").alias("_at")).agg(F.max_by("trust_tier", "position").alias("_t"))
+    best = above.join(last, F.col("_a.at") == F.col("_at")).groupBy("_p").agg(F.max_by("_t", "_a.depth").alias("_tier"))
+    own = docs.join(best, F.col(path) == F.col("_p"), "left").withColumn("trust_tier", F.coalesce("_tier", F.lit(default)))
+    return own.drop("_p", "_tier")

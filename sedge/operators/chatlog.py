@@ -18,28 +18,31 @@ def correlate_messages(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Results joined to the name of their call, for logs in which a call comes before its result.
 
     ``calls``: request, pos, id, name; ``results``: request, pos, id, text. An id declared again with another name is void
-    from there on. One ordered pass over both kinds of rows, by (request, id): no join.
+    from there on; an id may be any text, the empty one too, and null ids and names take no part. One ordered pass over
+    both kinds of rows, by (request, id): no join.
     """
+    calls = calls.where("name is not null")
     both = calls.select("request", "pos", "id", "name", F.lit(None).cast("string").alias("text"), F.lit(0).alias("is_result")).unionByName(results.select("request", "pos", "id", F.lit(None).cast("string").alias("name"), "text", F.lit(1).alias("is_result")))
     before = Window.partitionBy("request", "id").orderBy("pos", "is_result").rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.where(good_id("id")).withColumn("tool", F.min("name").over(before)).withColumn("_other", F.max("name").over(before))
+    seen = both.where("id is not null").withColumn("tool", F.min("name").over(before)).withColumn("_other", F.max("name").over(before))
     return seen.where("is_result = 1 and tool is not null and tool = _other").select("request", "pos", "id", "tool", "text")
 
 
 def correlate_responses(calls: DataFrame, results: DataFrame) -> DataFrame:
     """The same for logs in which a call may also follow: an id called more than once, by any name, is void."""
-    once = calls.where(good_id("id")).groupBy("request", "id").agg(F.count("*").alias("n"), F.min("name").alias("tool")).where("n = 1").drop("n")
+    once = calls.where(good_id("id") & F.col("name").isNotNull()).groupBy("request", "id").agg(F.count("*").alias("n"), F.min("name").alias("tool")).where("n = 1").drop("n")
     return results.where(good_id("id")).join(once, ["request", "id"]).select("request", "pos", "id", "tool", "text")
 
 
 def with_tier(rows: DataFrame, tool: str = "tool", tiers: dict[str, str] = TIERS, default: str | None = None) -> DataFrame:
-    """``trust_tier`` by the tool's name, else by its server as ``mcp__server`` or ``mcp:server``; rows without one go
-    unless a default is given. The table is a fixed, small one, so it is a map in the expression, not a join."""
+    """``trust_tier`` and ``tool_source``, the entry it is from: the tool's own name, else its server, ``mcp:server``, which
+    names of the forms ``mcp__server__tool`` and ``mcp:server:tool`` have. Rows without a tier go unless a default is given.
+    The table is a fixed, small one, so it is a map in the expression, not a join."""
     known = F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv])
-    server = F.regexp_extract(tool, r"\Amcp__((?:(?!__).)+)", 1)
-    keys = [F.col(tool), F.when(server != "", F.concat(F.lit("mcp__"), server)), F.when(server != "", F.concat(F.lit("mcp:"), server))]
-    tier = F.coalesce(*[F.try_element_at(known, k) for k in keys], *([F.lit(default)] if default else []))
-    out = rows.withColumn("trust_tier", tier)
+    server = F.coalesce(*[F.nullif(F.regexp_extract(tool, p, 1), F.lit("")) for p in (r"(?s)\Amcp__((?:(?!__).)+)", r"(?s)\Amcp:([^:]*)")])
+    keys = [F.col(tool), F.concat(F.lit("mcp:"), server)]
+    found = F.coalesce(*[F.when(F.try_element_at(known, k).isNotNull(), k) for k in keys])
+    out = rows.withColumn("tool_source", found).withColumn("trust_tier", F.coalesce(F.try_element_at(known, F.col("tool_source")), F.lit(default)))
     return out if default else out.where("trust_tier is not null")
 
 

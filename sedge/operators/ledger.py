@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
@@ -46,9 +46,11 @@ def cohort_stats(records: DataFrame, key: list[str], measure: str) -> DataFrame:
 
 
 def few_values(records: DataFrame, key: list[str], measure: str) -> DataFrame:
-    """(key, values): the sorted values of cohorts of fewer than FEW; larger ones are filtered before they are gathered."""
-    small = records.where(F.col(measure).isNotNull()).withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
-    return small.where(F.col("_n") < FEW).groupBy(*key).agg(F.array_sort(F.collect_list(measure)).alias("values"))
+    """(key, values): the sorted values of cohorts of fewer than FEW; larger ones go after a count, before they are dealt out."""
+    own = records.where(F.col(measure).isNotNull()).select(*key, measure)
+    small = own.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.count("*").alias("_n")).where(F.col("_n") < FEW)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return own.join(small, same, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(measure)).alias("values"))
 
 
 def cohort_rates(records: DataFrame, key: list[str], flags: list[str], base: str, candidate: str, eligible: str) -> DataFrame:
@@ -71,6 +73,19 @@ def ordered_digest(rows: DataFrame, by: list[str], line: Column, order: list[str
     return own.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["_line"]), "\n"), 256).alias("digest"), F.count("*").alias("n"))
 
 
+def tree_digest(rows: DataFrame, by: list[str], line: Column, place: Column, order: list[str], fan: int = 1000, levels: int = 3) -> DataFrame:
+    """(by, digest, n): SHA-256 of a group of any size. Lines are taken in ``order`` within each run of ``fan`` places (a
+    whole number that does not fall as the order goes on), then the runs' digests by ``fan``, and so on; the last level
+    takes what is left, so no row holds more than about ``fan`` lines or digests, if places are as dense as rows."""
+    own = rows.select(*by, F.floor(place / fan).cast("long").alias("_at"), F.struct(*order, line.alias("_line")).alias("_s"))
+    joined = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["_line"]), "\n"), 256).alias("_line")
+    now = own.groupBy(*by, "_at").agg(joined(), F.count("*").alias("n"))
+    for level in range(1, levels):
+        up = F.floor(F.col("_at") / fan).cast("long") if level < levels - 1 else F.lit(0).cast("long")
+        now = now.select(*by, up.alias("_up"), F.struct("_at", "_line").alias("_s"), "n").groupBy(*by, F.col("_up").alias("_at")).agg(joined(), F.sum("n").alias("n"))
+    return now.select(*by, F.col("_line").alias("digest"), "n")
+
+
 def repeats(records: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once; a report over such records is refused."""
     return records.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

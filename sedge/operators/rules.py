@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
+from sedge.functions.udfs import nfkc
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def allowed_in_order(wanted: Column, allowed: Column) -> Column:
@@ -21,10 +26,18 @@ def stamped(tags: Column, more: Column) -> Column:
     return F.array_distinct(F.concat(tags, more))
 
 
-def stem_hits(rows: DataFrame, stems: Sequence[str], text: str = "text") -> DataFrame:
-    """``rows`` with the sorted stems that the lower-cased text contains; the stems are the caller's short list."""
-    low = F.lower(F.col(text))
-    return rows.withColumn("hits", F.array_compact(F.array(*[F.when(low.contains(s), F.lit(s)) for s in sorted(stems)])))
+def normal_tag(c: Column) -> Column:
+    """NFKC, ASCII lower case, other characters than ASCII letters and digits to single hyphens, none at the ends."""
+    low = F.translate(nfkc(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), r"^-+|-+\z", "")
+
+
+def stem_hits(rows: DataFrame, stems: Sequence[tuple[str, str]], text: str = "text") -> DataFrame:
+    """``rows`` with ``hits``, the sorted canonical tags whose stem the text holds, both sides normalised; ``stems`` are the
+    caller's short list of (stem, canonical tag). A stem that normalises to nothing hits nothing."""
+    named = [(w, tag) for stem, tag in stems if (w := re.sub("[^a-z0-9]+", "-", unicodedata.normalize("NFKC", stem).translate(LOWER)).strip("-"))]
+    own = rows.withColumn("_n", normal_tag(F.col(text)))
+    return own.withColumn("hits", F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.col("_n").contains(w), F.lit(tag)) for w, tag in named]))))).drop("_n")
 
 
 def admit(rows: DataFrame, label: str, ranks: Sequence[str], required: Column) -> DataFrame:
@@ -79,14 +92,40 @@ def pack(rows: DataFrame, key: str, item: str, order: str, limit: int) -> DataFr
 
 
 def contained(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
-    """(doc_id, item_id) where a text holds an item whole. Both sides meet on the hash of ``words`` words, so this is an
-    equi join; items of fewer words take no part."""
-    split = F.split("text", " ")
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, words - 2), " "))))
-    own = docs.select("doc_id", "text", split.alias("_w")).where(F.size("_w") >= words).select("doc_id", "text", F.explode_outer(keys).alias("_k"))
-    want = items.select("item_id", F.col("text").alias("_t"), split.alias("_w")).where(F.size("_w") >= words)
-    want = want.select("item_id", "_t", F.xxhash64(F.array_join(F.slice("_w", 2, words - 2), " ")).alias("_k"))
-    return own.join(want, "_k").where(F.col("text").contains(F.col("_t"))).select("doc_id", "item_id").distinct()
+    """(doc_id, item_id) where a text holds an item whole, as a substring of it.
+
+    Both sides meet on a hash, so this is an equi join: of the inner words of the item's first ``words`` (its first and
+    last may be parts of longer words), of the inner words of shorter items, and for items of fewer than three words of
+    their first three characters. Only keys travel; a text meets the items that its keys propose once. Empty items are in
+    every text that is not null.
+    """
+    split = F.split("text", " ", -1)
+    own = docs.where("text is not null").select("doc_id", "text", split.alias("_w"), F.split("text", "").alias("_c"))
+    want = items.where("text is not null").select("item_id", F.col("text").alias("_t"), split.alias("_w"), F.least(F.size(split), F.lit(words)).alias("_n"))
+    lengths = sorted(r._n for r in want.select("_n").distinct().collect())  # at most ``words`` numbers
+    none = F.array().cast("array<int>")
+
+    def inner(n: int) -> Column:
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(none)
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("_w", i + 1, n - 2), " ")))
+
+    def begins(m: int) -> Column:
+        starts = F.when(F.length("text") >= m, F.sequence(F.lit(0), F.length("text") - m)).otherwise(none)
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(-m), F.concat(*[F.get("_c", i + j) for j in range(m)])))
+
+    keys = [F.array().cast("array<bigint>"), *(inner(n) for n in lengths if n >= 3), *(begins(m) for m in (1, 2, 3) if lengths and lengths[0] < 3)]
+    rows = own.select("doc_id", "text", F.array_distinct(F.concat(*keys)).alias("_k"))
+    size = F.least(F.length("_t"), F.lit(3))
+    start = F.xxhash64((-size).cast("int"), F.substring(F.col("_t"), F.lit(1), size))
+    middle = F.xxhash64(F.col("_n").cast("int"), F.array_join(F.slice("_w", F.lit(2), F.greatest(F.col("_n") - 2, F.lit(0))), " "))
+    want = want.where("_t <> ''").select("item_id", "_t", F.when(F.col("_n") < 3, start).otherwise(middle).alias("_k"))
+    proposed = rows.select("doc_id", F.explode_outer("_k").alias("_k")).join(want.select("item_id", "_k"), "_k").select("doc_id", "item_id").distinct()
+    met = proposed.join(want.select("item_id", "_t"), "item_id").join(own.select("doc_id", "text"), "doc_id")
+    found = met.where(F.col("text").contains(F.col("_t"))).select("doc_id", "item_id").distinct()
+    if 1 not in lengths:
+        return found
+    empty = items.where("text = ''").select(F.lit(1).alias("_all"), "item_id")
+    return found.unionByName(own.select(F.lit(1).alias("_all"), "doc_id").join(empty, "_all").select("doc_id", "item_id").distinct())
 
 
 def bound_claims(claims: DataFrame, cards: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
+from sedge.functions.spread import ordinals
+from sedge.functions.udfs import round4
 from sedge.operators import cards as C
 from sedge.operators import render
 
@@ -21,20 +23,24 @@ class Run:
 
 
 def condense(documents: DataFrame, run_id: str, default_tier: str = "untrusted", overrides: DataFrame | None = None, max_cards: int = 24, max_bytes: int = 2_000_000) -> Run:
-    """``documents`` has source and content (bytes). Those over the cap or not UTF-8 are withheld: they keep their digest
-    in the manifest and give no text. Sources count once each; their order is that of their names."""
-    own = C.withhold(documents.select("source", "content"), max_bytes=max_bytes)
+    """``documents`` has source and content (bytes), and ``position`` where their order is not that of their sources. Those
+    over the cap or not UTF-8 are withheld: they keep their digest in the manifest and give no text. A source may come
+    more than once; each row is an input."""
+    own = C.withhold(documents, max_bytes=max_bytes)
     own = C.with_tier(own, overrides, default_tier) if overrides is not None else own.withColumn("trust_tier", F.lit(default_tier))
     own = own.withColumn("run_id", F.lit(run_id))
-    held = own.select("run_id", "source", "trust_tier", "sha256", "withheld", "reason", F.octet_length("content").alias("bytes"))
-    cards = C.cards(T.redact(own.where("not withheld").select("run_id", "source", "trust_tier", "sha256", "text")).drop("text"), max_cards, key="source")
-    return Run(held, cards, render.summary(render.numbered(cards, key="source")), manifest(held, cards))
+    if "position" not in own.columns:
+        own = ordinals(own.withColumn("_one", F.lit(1)), "run_id", ["source", "sha256"], "_one").withColumnRenamed("ordinal", "position").drop("before", "_one")
+    held = own.select("run_id", "position", "source", "trust_tier", "sha256", "withheld", "reason", F.octet_length("content").alias("bytes"))
+    cards = C.cards(T.redact(own.where("not withheld").select("run_id", "position", "source", "trust_tier", "sha256", "text")).drop("text"), max_cards, key="position")
+    numbered, inputs = render.numbered(cards, held, key="position")
+    return Run(held, cards, render.summary(numbered, inputs), manifest(held, cards))
 
 
 def manifest(documents: DataFrame, cards: DataFrame) -> DataFrame:
     """A row for each run: its inputs in order, counts, and whether its tiers are mixed."""
     inputs = documents.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("source", "sha256", "bytes", "trust_tier", "withheld"))).alias("inputs"),
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "source", "sha256", "bytes", "trust_tier", "withheld"))), lambda x: x.dropFields("position")).alias("inputs"),
         F.count("*").alias("documents"), F.count_if("withheld").alias("withheld_documents"), (F.count_distinct("trust_tier") > 1).alias("mixed_trust_tiers"),
     )
     n = cards.groupBy("run_id").agg(F.count("*").alias("cards"))
@@ -44,17 +50,23 @@ def manifest(documents: DataFrame, cards: DataFrame) -> DataFrame:
 def hook(calls: DataFrame, cache: DataFrame, surfaces: dict[str, bool], minimum_tokens: int = 600, minimum_savings: float = 0.25, max_cards: int = 24) -> DataFrame:
     """What becomes of tool answers (call_id, surface, tool, text): ``outcome`` and the text to hand on.
 
-    bypass: the surface is off, the answer is short, or condensing would not save enough; hit: the cache (entry_key,
-    summary) has it; miss: condensed now. Text that cannot be read is withheld.
+    bypass: the surface is off, the answer is short, or condensing would not save enough (savings are rounded to four
+    places first); hit: the cache (entry_key, summary) has it under the same settings; miss: condensed now. Text that
+    cannot be read is withheld.
     """
     on = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in surfaces.items() for x in kv]), F.col("surface")), F.lit(False))
-    own = calls.withColumn("tokens", T.token_count("text")).withColumn("entry_key", T.entry_key(T.digest("text"), F.lit("{}")))
+    own = calls.withColumn("tokens", T.token_count("text")).withColumn("entry_key", T.entry_key(T.digest("text"), hook_settings(max_cards, minimum_savings)))
     own = own.withColumn("_wanted", on & (F.col("tokens") >= minimum_tokens) & F.col("text").isNotNull()).join(cache.select("entry_key", F.col("summary").alias("_cached")), "entry_key", "left")
-    fresh = own.where("_wanted and _cached is null").select("call_id", F.col("call_id").cast("string").alias("run_id"), F.col("tool").alias("trust_tier"), "text", T.digest("text").alias("sha256"))
+    fresh = own.where("_wanted and _cached is null").select("call_id", F.col("call_id").cast("string").alias("run_id"), F.col("tool").alias("trust_tier"), "text", T.digest("text").alias("sha256"), F.lit("task-return").alias("source"))
     cards = C.cards(T.redact(fresh).drop("text"), max_cards, key="call_id")
-    made = render.summary(render.numbered(cards, key="call_id")).select(F.col("run_id").alias("_run"), F.col("summary").alias("_made"))
+    made = render.summary(*render.numbered(cards, fresh, key="call_id")).select(F.col("run_id").alias("_run"), F.col("summary").alias("_made"))
     both = own.join(made, own["call_id"].cast("string") == F.col("_run"), "left")
     new = F.coalesce("_cached", "_made")
-    saved = F.round(T.savings(F.col("tokens"), T.token_count(new)), 4) >= minimum_savings
-    outcome = F.when(F.col("text").isNull(), "withheld").when(~F.col("_wanted"), "bypass").when(F.col("_cached").isNotNull(), "hit").when(F.col("_made").isNull(), "withheld").when(saved, "miss").otherwise("bypass")
+    saved = round4(T.savings(F.col("tokens"), T.token_count(new))) >= minimum_savings
+    outcome = F.when(F.col("text").isNull(), "withheld").when(~F.col("_wanted"), "bypass").when(~saved, "bypass").when(F.col("_cached").isNotNull(), "hit").otherwise("miss")
     return both.withColumn("outcome", outcome).select("call_id", "tokens", "outcome", F.when(F.col("outcome").isin("hit", "miss"), new).when(F.col("outcome") == "bypass", F.col("text")).alias("handed_on"))
+
+
+def hook_settings(max_cards: int = 24, minimum_savings: float = 0.25) -> Column:
+    """What a cached summary depends on besides the text, its tool's tier too: part of its key."""
+    return F.concat(F.lit('{"max_cards":%d,"min_savings":%s,"tier":"' % (max_cards, minimum_savings)), F.coalesce("tool", F.lit("")), F.lit('"}'))

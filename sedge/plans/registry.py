@@ -11,23 +11,30 @@ from pyspark.sql import functions as F
 
 from sedge.functions import patterns as P
 from sedge.functions import text as T
+from sedge.functions.spread import cut, spread
 from sedge.operators import cards as C
 from sedge.operators import chatlog, ledger, recall, render, rules, usage
 
-MAX_CARDS = 8
+# Cards of a document at most, and documents of a request.
+MAX_CARDS, MAX_DOCUMENTS = 24, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out to all cores: each is much work."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 # -- text ----------------------------------------------------------------------------------------------------------
 
 SQL_TOKENS = r"len(regexp_extract_all({0}, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]'))"
 
 
 def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), T.token_count("text").alias("n_tokens"), T.digest("text").alias("sha256"))
 
 
@@ -37,6 +44,7 @@ TOKEN_PROFILE = f"SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes,
 # which can take in neither.
 NON_ASCII_MARK = r"regexp_replace({0}, '([^\x00-\x7F])', 'Z' || chr(1) || '\1' || chr(1) || 'Z', 'g')"
 CARD = r"replace(replace(regexp_replace(" + NON_ASCII_MARK + r", '\b(?:\d[ -]?){{13,19}}\b', '[REDACTED]', 'g'), 'Z' || chr(1), ''), chr(1) || 'Z', '')"
+# The secret patterns once more, in the oracle's dialect.
 STEPS = (
     r"\b(?:sk|ghp|gho|github_pat|xox[baprs])-[-_A-Za-z0-9]{16,}\b",
     r"\b(?:sk|ghp|gho|github_pat|xox[baprs])_[-_A-Za-z0-9]{16,}\b",
@@ -61,7 +69,7 @@ def sql_redacted(source: str, key: str, text: str) -> str:
 
 
 def _redacted(spark: SparkSession, sf_dir: str, upto: int = 9) -> DataFrame:
-    return T.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), upto=upto)
+    return T.redact(documents(spark, sf_dir).select("doc_id", "text"), upto=upto)
 
 
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +81,7 @@ REDACTED_DOCUMENTS = f"WITH {sql_redacted('documents', 'doc_id', 'text')} SELECT
 
 
 def findings_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = T.redact(table(spark, sf_dir, "pages").select(F.col("html").alias("text"))).select(F.lit("pages").alias("source_table"), "findings")
+    pages = T.redact(spread(table(spark, sf_dir, "pages")).select(F.col("html").alias("text"))).select(F.lit("pages").alias("source_table"), "findings")
     docs = _redacted(spark, sf_dir).select(F.lit("documents").alias("source_table"), "findings")
     named = docs.unionByName(pages).select("source_table", F.explode_outer("findings").alias("finding")).where("finding is not null")
     return named.groupBy("source_table", "finding").agg(F.count("*").alias("n"))
@@ -109,9 +117,18 @@ LINE_CLASSES = SQL_BASE + f""" SELECT doc_id, count(*) AS n_lines, count(*) FILT
 count(*) FILTER (regexp_matches(bare, '{SQL_QUESTION}')) AS n_question, count(*) FILTER (regexp_matches(bare, '{SQL_URL}')) AS n_url, count(*) FILTER (regexp_matches(bare, '^[-*#]')) AS n_bullet FROM l GROUP BY doc_id"""
 
 
+RUN = f"concat('run-', cast(floor(doc_id / {MAX_DOCUMENTS}) as string))"
+SQL_RUN = f"'run-' || (doc_id // {MAX_DOCUMENTS})"
+
+
+def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted documents; runs are of up to MAX_DOCUMENTS neighbours, and a document's language stands for its tier."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.coalesce("lang", F.lit("untrusted")).alias("trust_tier"), "source", F.expr(RUN).alias("run_id"))
+    return T.redact(docs).withColumn("sha256", T.digest("text")).withColumn("base_tokens", T.token_count("text")).drop("text")
+
+
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = T.redact(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("trust_tier"), F.col("source").alias("run_id")))
-    return C.cards(docs.withColumn("sha256", T.digest("text")).drop("text"), MAX_CARDS)
+    return C.cards(_own(spark, sf_dir), MAX_CARDS)
 
 
 def source_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,12 +146,16 @@ SQL_FLAGS = f"concat_ws(',', CASE WHEN findings <> '' THEN 'redacted' END, CASE
 SOURCE_CARDS = SQL_CARDS + f" SELECT doc_id, printf('src-%03d', rank) AS card_id, line_start, line_end, CASE WHEN class = 1 OR regexp_matches(claim, '{SQL_URL}') THEN 'medium' ELSE 'low' END AS confidence, claim, evidence, {SQL_FLAGS} AS flags FROM cards"
 
 
+def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.expr(RUN).alias("run_id"), "doc_id", "source", T.digest("text").alias("sha256"), F.coalesce("lang", F.lit("untrusted")).alias("trust_tier"))
+
+
 def summary_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = render.section_rows(render.numbered(_cards(spark, sf_dir)))
+    rows = render.section_rows(render.numbered(_cards(spark, sf_dir), _inputs(spark, sf_dir))[0])
     return rows.groupBy("run_id", "section").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
 
 
-SUMMARY_SECTIONS = SQL_CARDS + f""", m AS (SELECT source AS run_id, row_number() OVER (PARTITION BY source ORDER BY doc_id, rank) AS ord, regexp_matches(claim, '{SQL_CRITICAL}') AS a, regexp_matches(claim, '{SQL_QUESTION}') AS b FROM cards JOIN documents USING (doc_id)),
+SUMMARY_SECTIONS = SQL_CARDS + f""", m AS (SELECT {SQL_RUN} AS run_id, row_number() OVER (PARTITION BY {SQL_RUN} ORDER BY doc_id, rank) AS ord, regexp_matches(claim, '{SQL_CRITICAL}') AS a, regexp_matches(claim, '{SQL_QUESTION}') AS b FROM cards),
 s AS (SELECT run_id, ord, '1-claims' AS section FROM m UNION ALL SELECT run_id, ord, '2-critical-constraints' FROM m WHERE a UNION ALL SELECT run_id, ord, '3-open-questions' FROM m WHERE b UNION ALL SELECT run_id, ord, '4-findings' FROM m WHERE NOT a AND NOT b)
 SELECT run_id, section, count(*) AS n, min(ord) AS first_ord, max(ord) AS last_ord FROM s GROUP BY ALL"""
 
@@ -148,9 +169,9 @@ RUN_OVERVIEW = "SELECT source AS run_id, count(*) AS documents, count(DISTINCT l
 
 
 def claim_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _redacted(spark, sf_dir)
+    docs = cut(_own(spark, sf_dir))  # lines and cards are both taken from it
     lines = recall.recognized(docs)
-    slots = recall.claim_slots(_cards(spark, sf_dir))
+    slots = recall.claim_slots(C.cards(docs, MAX_CARDS))
     return recall.status(recall.spent(lines, slots))
 
 
@@ -165,16 +186,29 @@ SELECT *, recognized - retained AS lost, CASE WHEN recognized = retained THEN 'p
 
 
 def authoritative_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy assignment of lines to cards; SQL has no such thing, so a test holds it against a plain loop."""
-    found = recall.authoritative(recall.recognized(_redacted(spark, sf_dir)), _cards(spark, sf_dir))
+    """Greedy assignment of lines to cards: each card in turn takes a free line."""
+    docs = cut(_own(spark, sf_dir))
+    found = recall.authoritative(recall.recognized(docs), C.cards(docs, MAX_CARDS))
     return found.groupBy("doc_id", "kind").agg(F.count("*").alias("retained"))
 
 
+# cards one by one: each takes the line that its claim equals, else the lowest in its window, if it is still free
+AUTHORITATIVE_RECALL = SQL_CARDS.replace("WITH ", "WITH RECURSIVE ", 1) + rf""", q AS (SELECT doc_id, i, bare, kind, {SQL_STRIP.format(r"regexp_replace(bare, '^[-*#>\s0-9.]+', '')")} AS whole, regexp_matches(bare, '{SQL_CRITICAL}') OR regexp_matches(bare, '{SQL_QUESTION}') AS anchor FROM l, (VALUES ('critical_constraints'), ('open_questions')) v(kind)
+  WHERE bare <> '' AND CASE kind WHEN 'critical_constraints' THEN regexp_matches(bare, '{SQL_CRITICAL}') ELSE regexp_matches(bare, '{SQL_QUESTION}') END),
+p AS (SELECT *, CASE WHEN length(whole) > 4096 THEN regexp_replace(left(whole, 4095), '\s+$', '') || '...' ELSE whole END AS line_claim FROM q),
+o AS (SELECT c.doc_id, kind, rank, list(p.i ORDER BY line_claim <> claim, p.i) AS options FROM cards c JOIN p ON p.doc_id = c.doc_id AND p.i BETWEEN line_start AND line_end
+  AND list_contains(list_transform(string_split(evidence, chr(10)), lambda x: {SQL_STRIP.format('x')}), p.bare) GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY rank) AS nth FROM o),
+w AS (SELECT doc_id, kind, nth, options[1:1] AS taken FROM n WHERE nth = 1
+  UNION ALL SELECT n.doc_id, n.kind, n.nth, list_concat(taken, list_filter(options, lambda x: NOT list_contains(taken, x))[1:1]) FROM w JOIN n ON n.doc_id = w.doc_id AND n.kind = w.kind AND n.nth = w.nth + 1)
+SELECT doc_id, kind, max(len(taken)) AS retained FROM w GROUP BY ALL"""
+
+
 # -- ledgers ---------------------------------------------------------------------------------------------------------
 
 
 def savings_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.token_count("text").alias("base_tokens"))
+    docs = documents(spark, sf_dir).select("doc_id", T.token_count("text").alias("base_tokens"))
     claims = _cards(spark, sf_dir).groupBy("doc_id").agg(F.sum(T.token_count("claim")).alias("claim_tokens"), F.count("*").alias("n_cards"))
     own = docs.join(claims, "doc_id", "left").withColumns({"claim_tokens": F.coalesce("claim_tokens", F.lit(0)), "n_cards": F.coalesce("n_cards", F.lit(0))})
     own = own.withColumn("savings", T.savings(F.col("base_tokens"), F.col("claim_tokens")))
@@ -225,15 +259,25 @@ COHORT_RATES = f"""SELECT source, count(*) AS runs, count(*) FILTER (n_chars > 2
 
 
 def corpus_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("sha256", T.digest("text"))
-    line = F.concat_ws("|", "sha256", "lang", F.octet_length("text").cast("string"))
-    ordered = ledger.ordered_digest(docs, ["source"], line, ["doc_id"]).withColumnRenamed("digest", "ordered")
-    loose = ledger.ordered_digest(docs, ["source"], line, ["sha256", "lang"]).select("source", F.col("digest").alias("multiset"))
-    return ordered.join(loose, "source")
-
-
-CORPUS_DIGESTS = """WITH d AS (SELECT source, doc_id, lang, sha256(text) AS s, concat_ws('|', sha256(text), lang, octet_length(encode(text))::VARCHAR) AS line FROM documents)
-SELECT source, sha256(string_agg(line, chr(10) ORDER BY doc_id)) AS ordered, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY s, lang)) AS multiset FROM d GROUP BY source"""
+    """Digests of each source in the order of ids and, whatever that order, of its texts: a tree of runs of 1,000 ids, and
+    of 2^20 values of the first 32 bits of a digest; a text that repeats is one line with its number."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", T.digest("text").alias("sha256"), F.octet_length("text").alias("size"))
+    line = F.concat_ws("|", "sha256", "lang", F.col("size").cast("string"))
+    ordered = ledger.tree_digest(docs, ["source"], line, F.col("doc_id"), ["doc_id"]).withColumnRenamed("digest", "ordered")
+    kinds = docs.groupBy("source", "sha256", "lang", "size").agg(F.count("*").alias("k"))
+    place = F.conv(F.substring("sha256", 1, 8), 16, 10).cast("long")
+    loose = ledger.tree_digest(kinds, ["source"], F.concat_ws("|", line, F.col("k").cast("string")), place, ["sha256", "lang", "size"], fan=1 << 20, levels=2)
+    return ordered.join(loose.select(F.col("source").alias("_s"), F.col("digest").alias("multiset")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+CORPUS_DIGESTS = """WITH d AS (SELECT source, doc_id, lang, sha256(text) AS s, octet_length(encode(text)) AS z, concat_ws('|', sha256(text), lang, octet_length(encode(text))::VARCHAR) AS line FROM documents),
+a1 AS (SELECT source, doc_id // 1000 AS p, sha256(string_agg(line, chr(10) ORDER BY doc_id)) AS h, count(*) AS n FROM d GROUP BY ALL),
+a2 AS (SELECT source, p // 1000 AS q, sha256(string_agg(h, chr(10) ORDER BY p)) AS h, sum(n) AS n FROM a1 GROUP BY ALL),
+a AS (SELECT source, sha256(string_agg(h, chr(10) ORDER BY q)) AS ordered, sum(n)::BIGINT AS n FROM a2 GROUP BY source),
+k AS (SELECT source, s, lang, z, line || '|' || count(*) AS line FROM d GROUP BY source, s, lang, z, line),
+b1 AS (SELECT source, ('0x' || s[1:8])::BIGINT // 1048576 AS p, sha256(string_agg(line, chr(10) ORDER BY s, lang, z)) AS h FROM k GROUP BY ALL),
+b AS (SELECT source, sha256(string_agg(h, chr(10) ORDER BY p)) AS multiset FROM b1 GROUP BY source)
+SELECT source, ordered, n, multiset FROM a JOIN b USING (source)"""
 
 
 def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,28 +338,31 @@ UNORDERED_CORRELATION = f"""WITH {SQL_CALLS}, o AS (SELECT request, id, min(name
 
 
 def first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chatlog.first_documents(table(spark, sf_dir, "conversations"), 2, "conv_id", ("turn",)).select("conv_id", "turn", "role", "ordinal")
+    return chatlog.first_documents(table(spark, sf_dir, "conversations"), MAX_DOCUMENTS, "conv_id", ("turn",)).select("conv_id", "turn", "role", "ordinal")
 
 
-FIRST_TURNS = "SELECT conv_id, turn, role, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations) WHERE ordinal <= 2"
+FIRST_TURNS = f"SELECT conv_id, turn, role, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations) WHERE ordinal <= {MAX_DOCUMENTS}"
 
 
 def truncated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chatlog.truncated(table(spark, sf_dir, "conversations"), 2, "conv_id")
+    """Requests of all events of a user, of which many have more than a request's documents."""
+    return chatlog.truncated(table(spark, sf_dir, "events"), MAX_DOCUMENTS, "user_id")
 
 
-TRUNCATED_TURNS = "SELECT conv_id, least(count(*), 2) AS documents, greatest(count(*) - 2, 0) AS truncated FROM conversations GROUP BY conv_id"
+TRUNCATED_TURNS = f"SELECT user_id, least(count(*), {MAX_DOCUMENTS}) AS documents, greatest(count(*) - {MAX_DOCUMENTS}, 0) AS truncated FROM events GROUP BY user_id"
 
 
 def tool_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiers = {"click": "repo_source", "mcp:view": "untrusted_web", "mcp__signup": "semi_trusted_service"}
-    named = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("mcp__"), "event_type", F.lit("__run"))).otherwise(F.col("event_type")).alias("tool"))
-    return chatlog.with_tier(named, tiers=tiers).groupBy("tool", "trust_tier").agg(F.count("*").alias("n"))
+    """Event types as tools, as servers in both forms of a name, and as names of a server without a tool."""
+    tiers = {"click": "repo_source", "mcp:view": "untrusted_web", "mcp__signup": "never", "mcp:signup": "semi_trusted_service"}
+    t, k = F.col("event_type"), F.col("event_id") % 4
+    name = F.when(k == 0, F.concat(F.lit("mcp__"), t, F.lit("__run"))).when(k == 1, F.concat(F.lit("mcp:"), t, F.lit(":run"))).when(k == 2, F.concat(F.lit("mcp:"), t)).otherwise(t)
+    return chatlog.with_tier(table(spark, sf_dir, "events").select(name.alias("tool")), tiers=tiers).groupBy("tool", "tool_source", "trust_tier").agg(F.count("*").alias("n"))
 
 
-TOOL_TIERS = """WITH e AS (SELECT event_type AS t, event_id % 2 = 0 AS m FROM events),
-f AS (SELECT CASE WHEN m THEN 'mcp__' || t || '__run' ELSE t END AS tool, CASE WHEN NOT m AND t = 'click' THEN 'repo_source' WHEN m AND t = 'signup' THEN 'semi_trusted_service' WHEN m AND t = 'view' THEN 'untrusted_web' END AS trust_tier FROM e)
-SELECT tool, trust_tier, count(*) AS n FROM f WHERE trust_tier IS NOT NULL GROUP BY ALL"""
+TOOL_TIERS = """WITH e AS (SELECT event_type AS t, event_id % 4 AS k FROM events),
+f AS (SELECT CASE k WHEN 0 THEN 'mcp__' || t || '__run' WHEN 1 THEN 'mcp:' || t || ':run' WHEN 2 THEN 'mcp:' || t ELSE t END AS tool, CASE WHEN k = 3 AND t = 'click' THEN 'click' WHEN k < 3 AND t IN ('view', 'signup') THEN 'mcp:' || t END AS tool_source FROM e)
+SELECT tool, tool_source, CASE tool_source WHEN 'click' THEN 'repo_source' WHEN 'mcp:view' THEN 'untrusted_web' ELSE 'semi_trusted_service' END AS trust_tier, count(*) AS n FROM f WHERE tool_source IS NOT NULL GROUP BY ALL"""
 
 
 def bounded_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,14 +388,18 @@ LAST_WRITE = "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_m
 
 # -- rules and containment -------------------------------------------------------------------------------------------
 
-STEMS = ("ththin", "erer", "ntion", "queque", "schund", "cion")
+STEMS = (("Th-thin", "thin"), ("erer", "er"), ("ntion", "tion"), ("queque", "que"), ("schund", "sch"), ("cion", "tion"), (" ", "none"))
 
 
 def stem_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.stem_hits(table(spark, sf_dir, "documents"), STEMS).select("doc_id", F.array_join("hits", ",").alias("hits")).where("hits <> ''")
 
 
-STEM_HITS = "SELECT * FROM (SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), '{s}') THEN '{s}' END" for s in sorted(STEMS)) + ") AS hits FROM documents) WHERE hits <> ''"
+SQL_TAG = r"trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '-')"
+STEM_HITS = f"""WITH n AS (SELECT doc_id, {SQL_TAG.format("nfkc(text)")} AS t FROM (SELECT doc_id, text FROM documents)),
+v(stem, tag) AS (VALUES {', '.join(f"('{a.strip()}', '{b}')" for a, b in STEMS if a.strip())}),
+h AS (SELECT DISTINCT doc_id, tag FROM n JOIN v ON contains(t, {SQL_TAG.format('stem')}))
+SELECT doc_id, string_agg(tag, ',' ORDER BY tag) AS hits FROM h GROUP BY doc_id""".replace("nfkc(text)", "text")
 
 
 def tier_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,9 +418,18 @@ def benchmark_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-BENCHMARK_CONTAINED = "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 8"
+BENCHMARK_CONTAINED = "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
+
+
+def short_claims_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for claims of one to seven words: the first words of benchmark items."""
+    items = table(spark, sf_dir, "benchmark").withColumn("text", F.expr("array_join(slice(split(text, ' '), 1, cast(item_id % 7 + 1 as int)), ' ')"))
+    return rules.contained(documents(spark, sf_dir), items).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+SHORT_CLAIMS_CONTAINED = """SELECT item_id, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents d JOIN (SELECT item_id, array_to_string(string_split(text, ' ')[1:item_id % 7 + 1], ' ') AS claim FROM benchmark) b ON contains(d.text, claim) GROUP BY item_id"""
 
-_ALL = (token_profile, redacted_documents, findings_by_pattern, line_classes, source_cards, summary_sections, run_overview, claim_recall, authoritative_recall, savings_gate, handoff_choice, cohort_stats, cohort_few, cohort_rates, corpus_digests, repeated_texts, document_rules, toon_nations, chat_answers, ordered_correlation, unordered_correlation, first_turns, truncated_turns, tool_tiers, bounded_users, usage_rollup, last_write, stem_hits, tier_rank, benchmark_contained)
+_ALL = (token_profile, redacted_documents, findings_by_pattern, line_classes, source_cards, summary_sections, run_overview, claim_recall, authoritative_recall, savings_gate, handoff_choice, cohort_stats, cohort_few, cohort_rates, corpus_digests, repeated_texts, document_rules, toon_nations, chat_answers, ordered_correlation, unordered_correlation, first_turns, truncated_turns, tool_tiers, bounded_users, usage_rollup, last_write, stem_hits, tier_rank, benchmark_contained, short_claims_contained)
 
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {name: sql for name in QUERIES if (sql := globals().get(name.upper()))}

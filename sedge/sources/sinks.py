@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
-from sedge.functions.udfs import canonical_json, hmac_hex
+from sedge.functions.udfs import hmac_hex, spaced_json
 
 
 def json_lines(rows: DataFrame) -> DataFrame:
-    """One column of canonical JSON, nulls kept."""
-    return rows.select(canonical_json(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).alias("value"))
+    """One column of JSON with sorted keys, a blank after each comma and colon, and nulls kept."""
+    return rows.select(spaced_json(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).alias("value"))
 
 
 def publish(rows: DataFrame, path: str) -> None:

@@ -17,22 +17,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Refusal categories that are passed on; others count as "other".
+# Refusal categories that are passed on (others count as "other"), what a model's name may be, the fields
+# of usage, and the bounds on a line, an event's data and the content blocks of a stream.
 REFUSALS = ("cyber", "bio", "frontier_llm", "reasoning_extraction")
 MODEL = r"\A[A-Za-z0-9][A-Za-z0-9._:/@-]{0,127}\z"
 USAGE = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
 MAX_LINE, MAX_EVENT = 256 * 1024, 1024 * 1024
+MAX_BLOCKS = 4096
+#: Stands for the data of an event that is over its bounds: no JSON, it voids its stream.
+OVERSIZE = "(oversize)"
 
 
 def frames(texts: DataFrame, key: str = "stream_id", text: str = "text") -> DataFrame:
     """(key, pos, event, data) of whole SSE texts: an event ends with a blank line, so what follows the last one is not
-    an event; comments are passed over; data lines are joined by line breaks. Events and lines over the bounds go."""
+    an event; comments are passed over; data lines are joined by line breaks. An event with a line or data over the bounds
+    comes as OVERSIZE, by which its whole stream is given up, not the event alone."""
     own = texts.select(key, F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n\n+").alias("_f"))
-    whole = own.select(key, F.posexplode(F.slice("_f", 1, F.size("_f") - 1)).alias("pos", "_e")).where(F.octet_length("_e") <= MAX_EVENT)
+    whole = own.select(key, F.posexplode(F.slice("_f", 1, F.size("_f") - 1)).alias("pos", "_e"))
     lines = F.split("_e", "\n")
-    field = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(f"{name}:")), lambda x: F.regexp_replace(x, f"^{name}: *", ""))
-    short = ~F.exists(lines, lambda x: F.octet_length(x) > MAX_LINE)
-    return whole.where(short).select(key, "pos", F.try_element_at(field("event"), F.lit(1)).alias("event"), F.array_join(field("data"), "\n").alias("data")).where("data <> ''")
+    field = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(f"{name}:")), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
+    data = F.array_join(field("data"), "\n")
+    over = F.exists(lines, lambda x: F.octet_length(x) > MAX_LINE) | (F.octet_length(data) > MAX_EVENT)
+    return whole.select(key, "pos", F.try_element_at(field("event"), F.lit(1)).alias("event"), F.when(over, OVERSIZE).otherwise(data).alias("data")).where("data <> ''")
 
 
 def _at(path: str) -> Column:
@@ -64,8 +70,9 @@ def _answered() -> Column:
 def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
     """One row per stream: complete, and for complete ones model, usage, stop_reason and refusal_category.
 
-    A stream must start once, open and close each content block once, send its deltas into open blocks, have one final
-    delta with no block open, then stop; any event out of order voids all its telemetry. Errors only count. A fallback block changes the model that answers to its target's and
+    A stream must start once, open and close each content block once (at most MAX_BLOCKS), send its deltas into open blocks
+    that are no fallback blocks, have one final delta with no block open, then stop; any event out of order voids all its
+    telemetry. Errors only count. A fallback block changes the model that answers to its target's and
     counts as a transition; an unsound one voids the telemetry. A fallback served if the final usage lists its iteration and
     the answer is no refusal.
     """
@@ -78,10 +85,11 @@ def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
     c = F.col
     model = F.coalesce(_at("$.message.model"), F.lit(""))
     fallback, sound = _fallback()
+    e = e.withColumn("_into", F.coalesce(F.max((fallback & (c("kind") == "content_block_start")).cast("int")).over(own), F.lit(0)) > 0)
     bad = {
         "message_start": (c("started") > 0) | ~model.rlike(MODEL) | _at("$.message.usage").isNull(),
-        "content_block_start": (c("started") == 0) | (c("final") > 0) | c("block").isNull() | (c("opened") > 0) | _at("$.content_block.type").isNull() | (fallback & ~sound),
-        "content_block_delta": c("block").isNull() | (c("opened") == 0) | (c("closed") > 0),
+        "content_block_start": (c("started") == 0) | (c("final") > 0) | (c("opens") >= MAX_BLOCKS) | c("block").isNull() | (c("opened") > 0) | _at("$.content_block.type").isNull() | (fallback & ~sound),
+        "content_block_delta": c("block").isNull() | (c("opened") == 0) | (c("closed") > 0) | c("_into"),
         "content_block_stop": c("block").isNull() | (c("opened") == 0) | (c("closed") > 0),
         "message_delta": (c("started") == 0) | (c("final") > 0) | (c("opens") != c("closes")) | _at("$.delta.stop_reason").isNull() | _at("$.usage").isNull(),
         "message_stop": (c("started") == 0) | (c("final") == 0),
@@ -107,16 +115,18 @@ def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
 
 
 def responses_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
-    """One row per stream of the other protocol: only the last completion counts, and it alone gives usage."""
+    """One row per stream of the other protocol: only the last completion counts, and it alone gives usage. A stream with an
+    event over the bounds is given up."""
     e = events.select(key, "pos", _at("$.type").alias("kind"), "data")
     done = F.max_by("data", F.when(F.col("kind") == "response.completed", F.col("pos")))
-    out = e.groupBy(key).agg(done.alias("_d"), F.count_if(F.col("kind").isin("error", "response.failed", "response.incomplete")).alias("errors"))
+    given_up = F.bool_or(F.coalesce(F.col("data") == OVERSIZE, F.lit(False)))
+    out = e.groupBy(key).agg(F.when(~given_up, done).alias("_d"), F.count_if(F.col("kind").isin("error", "response.failed", "response.incomplete")).alias("errors"))
     at = lambda p: F.get_json_object("_d", f"$.response.{p}")
     paths = {"input_tokens": "usage.input_tokens", "output_tokens": "usage.output_tokens", "total_tokens": "usage.total_tokens", "cached_input_tokens": "usage.input_tokens_details.cached_tokens", "cache_write_tokens": "usage.input_tokens_details.cache_write_tokens", "reasoning_output_tokens": "usage.output_tokens_details.reasoning_tokens"}
     return out.select(key, F.col("_d").isNotNull().alias("complete"), "errors", F.when(at("model").rlike(MODEL), at("model")).alias("model"), *[_whole(at(p)).alias(f) for f, p in paths.items()])
 
 
-REPORT = "stream_id string, complete boolean, errors long, model string, stop_reason string, input_tokens long, output_tokens long, fallback_transitions long, fallback_served boolean"
+REPORT = "stream_id string, complete boolean, errors long, model string, stop_reason string, refusal_category string, " + ", ".join(f"{f} long" for f in USAGE) + ", fallback_transitions long, fallback_served boolean"
 STATE = "fold string"
 
 
@@ -125,6 +135,10 @@ def _model(v: object) -> str | None:
     return m if isinstance(m, str) and re.fullmatch(MODEL.replace(r"\z", r"\Z"), m) else None
 
 
+def _counts(usage: dict) -> dict:
+    return {f: x for f in USAGE if isinstance(x := usage.get(f), int) and not isinstance(x, bool) and x >= 0}
+
+
 def _target(block: dict) -> str | None:
     """The model that a fallback block goes to, none if the block is unsound."""
     t = block.get("trigger")
@@ -155,54 +169,69 @@ def step(s: dict, data: str) -> dict:
     if kind == "error":
         return s | {"errors": s["errors"] + 1}
     if kind == "message_start":
-        ok = s["phase"] == 0 and isinstance(body, dict) and isinstance(body.get("model"), str) and isinstance(usage, dict)
-        return s | ({"phase": 1, "model": body["model"], "usage": usage} if ok else {"bad": True})
+        ok = s["phase"] == 0 and _model(body) and isinstance(usage, dict)
+        return s | ({"phase": 1, "model": _model(body), "usage": _counts(usage)} if ok else {"bad": True})
     if kind == "content_block_start":
-        ok = s["phase"] == 1 and isinstance(index, int) and index >= 0 and seen is None
         block = v.get("content_block")
-        if ok and isinstance(block, dict) and block.get("type") == "fallback":
-            target = _target(block)
-            s = s | ({"model": target, "fallbacks": s.get("fallbacks", 0) + 1} if target else {"bad": True})
-        return s | ({"blocks": s["blocks"] | {str(index): "open"}} if ok else {"bad": True})
-    if kind in ("content_block_delta", "content_block_stop"):
-        if seen != "open":
+        ok = s["phase"] == 1 and isinstance(index, int) and not isinstance(index, bool) and index >= 0 and seen is None and len(s["blocks"]) < MAX_BLOCKS and isinstance(block, dict) and isinstance(block.get("type"), str)
+        if not ok:
             return s | {"bad": True}
-        return s | ({"blocks": s["blocks"] | {str(index): "closed"}} if kind.endswith("stop") else {})
+        if block["type"] == "fallback":
+            if not (target := _target(block)):
+                return s | {"bad": True}
+            s = s | {"model": target, "fallbacks": s["fallbacks"] + 1}
+        return s | {"blocks": s["blocks"] | {str(index): "fallback" if block["type"] == "fallback" else "open"}}
+    if kind == "content_block_delta":
+        return s if seen == "open" else s | {"bad": True}
+    if kind == "content_block_stop":
+        return s | ({"blocks": s["blocks"] | {str(index): "closed"}} if seen in ("open", "fallback") else {"bad": True})
     if kind == "message_delta":
-        ok = s["phase"] == 1 and "open" not in s["blocks"].values() and isinstance(body, dict) and isinstance(body.get("stop_reason"), str) and isinstance(usage, dict)
-        return s | ({"phase": 2, "stop": body["stop_reason"], "usage": s["usage"] | usage, "served": _served(usage) and body["stop_reason"] != "refusal"} if ok else {"bad": True})
+        still = {"open", "fallback"} & set(s["blocks"].values())
+        ok = s["phase"] == 1 and not still and isinstance(body, dict) and isinstance(body.get("stop_reason"), str) and isinstance(usage, dict)
+        if not ok:
+            return s | {"bad": True}
+        stop, why = body["stop_reason"], body.get("stop_details")
+        category = why.get("category") if isinstance(why, dict) and why.get("type") == "refusal" else None
+        told = (category if category in REFUSALS else "other") if stop == "refusal" else None
+        return s | {"phase": 2, "stop": stop, "refusal": told, "usage": s["usage"] | _counts(usage), "served": _served(usage) and stop != "refusal"}
     if kind == "message_stop":
         return s | ({"phase": 3} if s["phase"] == 2 else {"bad": True})
     return s
 
 
-EMPTY = {"phase": 0, "bad": False, "errors": 0, "blocks": {}, "usage": {}, "model": None, "stop": None, "fallbacks": 0, "served": False}
+EMPTY = {"phase": 0, "bad": False, "errors": 0, "blocks": {}, "usage": {}, "model": None, "stop": None, "refusal": None, "fallbacks": 0, "served": False}
+#: What is kept of a stream once it is reported, until it has been silent for long.
+CLOSED = {"closed": True}
 
 
 def report(key: str, s: dict) -> pd.DataFrame:
     ok = s["phase"] == 3 and not s["bad"]
-    u = s["usage"] if ok else {}
-    return pd.DataFrame({"stream_id": [key], "complete": [ok], "errors": [s["errors"]], "model": [s["model"] if ok else None], "stop_reason": [s["stop"] if ok else None], "input_tokens": pd.array([u.get("input_tokens")], "Int64"), "output_tokens": pd.array([u.get("output_tokens")], "Int64"), "fallback_transitions": [s.get("fallbacks", 0) if ok else 0], "fallback_served": [ok and s.get("served", False)]})
+    told = lambda x: [x if ok else None]
+    return pd.DataFrame({
+        "stream_id": [key], "complete": [ok], "errors": [s["errors"]], "model": told(s["model"]), "stop_reason": told(s["stop"]), "refusal_category": told(s["refusal"]),
+        **{f: pd.array(told(s["usage"].get(f)), "Int64") for f in USAGE}, "fallback_transitions": [s["fallbacks"] if ok else 0], "fallback_served": [ok and s["served"]],
+    })
 
 
 def _fold(timeout_ms: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = json.loads(state.get[0]) if state.exists else dict(EMPTY)
         if state.hasTimedOut:
-            (old,) = state.get
             state.remove()
-            yield report(key[0], json.loads(old) | {"bad": True})
+            if "closed" not in s:
+                yield report(key[0], s | {"bad": True})
+            return
+        if "closed" in s:  # reported already: what comes late changes nothing and opens nothing
+            state.setTimeoutDuration(timeout_ms)
             return
-        s = json.loads(state.get[0]) if state.exists else dict(EMPTY)
         rows = pd.concat(list(batches))
         for data in rows.sort_values("pos")["data"]:
             s = step(s, data)
-        if s["phase"] == 3:  # later events would void it, but it is reported as soon as it stops
-            if state.exists:
-                state.remove()
+        if s["phase"] == 3:  # reported as soon as it stops
             yield report(key[0], s)
-        else:
-            state.update((json.dumps(s),))
-            state.setTimeoutDuration(timeout_ms)
+            s = CLOSED
+        state.update((json.dumps(s),))
+        state.setTimeoutDuration(timeout_ms)
 
     return run
 
@@ -210,8 +239,9 @@ def _fold(timeout_ms: int):
 def stream_telemetry(events: DataFrame, timeout_ms: int = 300_000) -> DataFrame:
     """A streaming DataFrame of reports out of one of events (stream_id, pos, data); append mode.
 
-    State is one small document per open stream and goes with its report. Events of a stream must come in order from one
-    micro-batch to the next; within one they are sorted.
+    A stream is reported once: when it stops, as it stands at the end of that micro-batch, or when it has been silent for
+    ``timeout_ms``. State is one small document per stream, a mere mark from the report on, and goes after that silence.
+    Events of a stream must come in order from one micro-batch to the next; within one they are sorted.
     """
     return events.groupBy("stream_id").applyInPandasWithState(_fold(timeout_ms), REPORT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 

@@ -1,11 +1,13 @@
 """Operators on small tables, held against plain loops where a loop says it best."""
 
+import hashlib
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sedge.functions import spread
 from sedge.functions import text as T
 from sedge.operators import cards as C
 from sedge.operators import chatlog, ledger, recall, render, rules, usage
@@ -33,9 +35,63 @@ def test_fallback_takes_lines_before_it_drops_repeats(spark):
 
 
 def test_summary(spark):
-    _, cards = made_cards(spark, ["must go\nwhat ?", "x"])
-    text = render.summary(render.numbered(cards)).first().summary
-    assert "- c1@s1/src-001 L1-2: ` must go `" in text and "## Open Questions\n- c2 [t]" in text and "## Findings\n- c3 [t]" in text
+    docs, cards = made_cards(spark, ["must go\nwhat ?", "x", "x", ""])
+    inputs = docs.withColumns({"source": F.when(F.col("doc_id") < 2, "a").otherwise("b"), "trust_tier": F.when(F.col("doc_id") == 2, "web").otherwise("t")})
+    text = render.summary(*render.numbered(cards, inputs)).first().summary
+    sha = [r.sha256 for r in docs.orderBy("doc_id").collect()]
+    assert text == "\n".join([
+        "# Condensation r", "", "- Inputs: 4", "- Claims: 4", "- Format: compact-source-index-v1", render.QUOTED, render.MIXED, "",
+        "## Sources", f"- s1 [t] sha256={sha[0]}", f"- s2 [t] sha256={sha[1]}", f"- s3 [web] sha256={sha[2]}", f"- s4 [t] sha256={sha[3]}", "",
+        "## Claims", "- c1@s1/src-001 L1-2: ` must go `", "- c2@s1/src-002 L1-2: ` what ? `", "- c3@s2/src-001 L1-1: ` x `", "- c4@s3/src-001 L1-1: ` x `", "",
+        "## Critical Constraints", "- c1@s1/src-001 [t]", "", "## Open Questions", "- c2@s1/src-002 [t]", "", "## Findings", "- c3@s2/src-001 [t]", "- c4@s3/src-001 [t]", "",
+        "## Reopen", *render.REOPEN, "",
+    ])
+
+
+def test_inputs_of_one_name_and_digest_share_an_alias(spark):
+    docs, cards = made_cards(spark, ["x", "must y", "x", "x"])
+    inputs = docs.withColumn("source", F.when(F.col("doc_id") == 3, "b").otherwise("a"))
+    got = {r.doc_id: (r.source_alias, r.ref) for r in render.numbered(cards, inputs)[0].collect()}
+    assert got == {0: ("s1", "c1@s1/src-001"), 1: ("s2", "c2@s2/src-001"), 2: ("s1", "c3@s1/src-001"), 3: ("s4", "c4@s4/src-001")}
+
+
+def test_a_run_without_cards_has_a_summary(spark):
+    docs, cards = made_cards(spark, ["", None])
+    text = render.summary(*render.numbered(cards, docs.withColumn("source", F.lit("a")).withColumn("sha256", F.lit("0")))).first().summary
+    assert "- Inputs: 2\n- Claims: 0\n" in text and "## Claims\n\n## Critical Constraints\n- None detected.\n" in text and "WARNING" not in text
+
+
+def test_ordinals(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else "b", i, i % 4) for i in range(500)], "g string, k int, w int").repartition(7)
+    got = {(r.g, r.k): (r.ordinal, r.before) for r in spread.ordinals(rows, "g", ["k"], "w").collect()}
+    n, so_far, want = {}, {}, {}
+    for i in range(500):
+        g = "a" if i % 3 else "b"
+        n[g] = n.get(g, 0) + 1
+        want[g, i] = (n[g], so_far.get(g, 0))
+        so_far[g] = so_far.get(g, 0) + i % 4
+    assert got == want
+
+
+def test_spread(spark):
+    assert spread.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread.spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
+
+
+def test_tree_digest(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else None, i, f"l{i}") for i in range(300)], "g string, k long, line string").repartition(5)
+    sha = lambda xs: hashlib.sha256("\n".join(xs).encode()).hexdigest()
+    got = {r.g: (r.digest, r.n) for r in ledger.tree_digest(rows, ["g"], F.col("line"), F.col("k"), ["k"], fan=10).collect()}
+    for g in ("a", None):
+        own = [i for i in range(300) if ("a" if i % 3 else None) == g]
+        level = {}
+        for i in own:
+            level.setdefault(i // 10, []).append(f"l{i}")
+        level = {k: sha(v) for k, v in level.items()}
+        up = {}
+        for k, v in sorted(level.items()):
+            up.setdefault(k // 10, []).append(v)
+        assert got[g] == (sha([sha(v) for _, v in sorted(up.items())]), len(own))
 
 
 def test_recall_spends_each_slot_once(spark):
@@ -70,16 +126,24 @@ def test_withhold(spark):
 
 def test_tiers(spark):
     docs = spark.createDataFrame([("d/a",), ("d/b",), ("e",)], "source string")
-    over = spark.createDataFrame([(1, "d", "x"), (2, "d/b", "y")], "position int, path string, trust_tier string")
-    assert {r.source: r.trust_tier for r in C.with_tier(docs, over, "z").collect()} == {"d/a": "x", "d/b": "y", "e": "z"}
-    tools = spark.createDataFrame([("Bash",), ("mcp__linear__get",), ("mcp__x__y",)], "tool string")
-    assert {r.tool: r.trust_tier for r in chatlog.with_tier(tools).collect()} == {"Bash": "untrusted_tool_output", "mcp__linear__get": "semi_trusted_service"}
+    over = spark.createDataFrame([(1, "d/b", "y"), (2, "d", "w"), (3, "d", "x"), (4, "f/", "v")], "position int, path string, trust_tier string")
+    docs = docs.unionByName(spark.createDataFrame([("d/b/c/e",), ("d",), ("dd",), ("d/a",), (None,)], "source string"))
+    got = sorted((str(r.source), r.trust_tier) for r in C.with_tier(docs, over, "z").collect())
+    assert got == [("None", "z"), ("d", "x"), ("d/a", "x"), ("d/a", "x"), ("d/b", "y"), ("d/b/c/e", "y"), ("dd", "z"), ("e", "z")]
+    tools = spark.createDataFrame([("Bash",), ("mcp__linear__get",), ("mcp__x__y",), ("mcp:linear:get",), ("mcp:linear",), ("mcp__linear",), ("mcp____linear",), (None,)], "tool string")
+    got = {r.tool: (r.tool_source, r.trust_tier) for r in chatlog.with_tier(tools).collect()}
+    service = ("mcp:linear", "semi_trusted_service")
+    assert got == {"Bash": ("Bash", "untrusted_tool_output"), "mcp__linear__get": service, "mcp:linear:get": service, "mcp:linear": service, "mcp__linear": service}
+    assert {r.tool: r.trust_tier for r in chatlog.with_tier(tools, tiers={"mcp__linear": "t"}, default="d").collect()} == {r.tool: "t" if r.tool == "mcp__linear" else "d" for r in tools.collect()}
 
 
 def test_correlation(spark):
     calls = spark.createDataFrame([(1, 1, "a", "X"), (1, 2, "b", "X"), (1, 4, "b", "Y"), (1, 7, "c", "Z"), (1, 9, "", "Z")], "request int, pos int, id string, name string")
     results = spark.createDataFrame([(1, 3, "b", "t"), (1, 5, "b", "t"), (1, 6, "c", "t"), (1, 8, "a", "t"), (1, 10, "", "t")], "request int, pos int, id string, text string")
-    assert sorted((r.pos, r.tool) for r in chatlog.correlate_messages(calls, results).collect()) == [(3, "X"), (8, "X")]
+    long = "i" * 2000  # ids are any text here; the other protocol takes 1 to 1,024 bytes
+    calls = calls.unionByName(spark.createDataFrame([(1, 11, long, "L"), (1, 12, None, "N"), (1, 13, "d", None)], calls.schema))
+    results = results.unionByName(spark.createDataFrame([(1, 14, long, "t"), (1, 15, None, "t"), (1, 16, "d", "t")], results.schema))
+    assert sorted((r.pos, r.tool) for r in chatlog.correlate_messages(calls, results).collect()) == [(3, "X"), (8, "X"), (10, "Z"), (14, "L")]
     assert sorted((r.pos, r.tool) for r in chatlog.correlate_responses(calls, results).collect()) == [(6, "Z"), (8, "X")]
 
 
@@ -121,6 +185,4 @@ def test_toon(spark):
 
 def test_cohort_id(spark):
     row = spark.createDataFrame([("y", "x")], "b string, a string")
-    import hashlib
-
     assert row.select(ledger.cohort_id("b", "a").alias("i")).first().i == hashlib.sha256(json.dumps({"a": "x", "b": "y"}, separators=(",", ":")).encode()).hexdigest()[:16]

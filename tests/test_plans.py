@@ -17,10 +17,17 @@ def test_condense(spark):
     m = run.manifest.first()
     assert (m.documents, m.withheld_documents, m.cards, m.mixed_trust_tiers) == (4, 2, 2, True)
     assert [i.source for i in m.inputs] == ["a.md", "b.md", "bad", "big"]
-    assert "- c1@s1/src-001 L1-1: ` one `" in run.summary.first().summary
+    text = run.summary.first().summary
+    assert "- c1@s1/src-001 L1-1: ` one `" in text and "- Inputs: 4\n" in text and f"- s4 [untrusted] sha256={m.inputs[3].sha256}" in text
     assert {r.source: r.reason for r in run.documents.collect()} == {"a.md": None, "b.md": None, "bad": "redaction-error", "big": "input-cap"}
 
 
+def test_a_source_may_come_twice(spark):
+    docs = spark.createDataFrame([("a", b"must go\n", 2), ("a", b"must stay\n", 1), ("a", b"must go\n", 3)], "source string, content binary, position int")
+    text = condense.condense(docs, "r").summary.first().summary
+    assert [x.split()[1] for x in text.splitlines() if " L1-1: " in x] == ["c1@s1/src-001", "c2@s2/src-001", "c3@s2/src-001"]
+
+
 def test_analyze(spark):
     rows = [{"id": i, "language": "py", "license": "MIT", "name": f"n{i}", "version": "1.0.0"} for i in range(6)]
     texts = spark.createDataFrame([("u", json.dumps({"items": rows})), ("r", json.dumps([{"a": 1}, {"b": 2}])), ("x", "no json")], "source string, value string")
@@ -39,8 +46,10 @@ def test_card_format(spark):
 def test_hook(spark):
     long = "must go on\n" + "word " * 900
     calls = spark.createDataFrame([(1, "on", "Bash", long), (2, "off", "Bash", long), (3, "on", "Bash", "short"), (4, "on", "Bash", None), (5, "on", "Bash", long + "kept")], "call_id long, surface string, tool string, text string")
-    key = calls.where("call_id = 5").select(T.entry_key(T.digest("text"), F.lit("{}")).alias("entry_key")).first()[0]
-    cache = spark.createDataFrame([(key, "from the cache")], "entry_key string, summary string")
+    key = lambda i, **how: calls.where(f"call_id = {i}").select(T.entry_key(T.digest("text"), condense.hook_settings(**how)).alias("entry_key")).first()[0]
+    cache = spark.createDataFrame([(key(5), "from the cache"), (key(1, max_cards=3), "of other settings")], "entry_key string, summary string")
     got = {r.call_id: r for r in condense.hook(calls, cache, {"on": True, "off": False}).collect()}
     assert {k: r.outcome for k, r in got.items()} == {1: "miss", 2: "bypass", 3: "bypass", 4: "withheld", 5: "hit"}
+    three = {r.call_id: r.handed_on for r in condense.hook(calls, cache, {"on": True, "off": False}, max_cards=3).collect()}
+    assert three[1] == "of other settings" and three[5] != "from the cache"
     assert got[5].handed_on == "from the cache" and "must go on" in got[1].handed_on and got[2].handed_on == long

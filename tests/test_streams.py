@@ -5,6 +5,7 @@ import os
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sedge.sources import readers, sinks
@@ -23,9 +24,25 @@ def good(i=0):
     ]
 
 
+def variants():
+    """Streams that differ from a good one in one thing each."""
+    fallback = {"type": "fallback", "from": {"model": "m"}, "to": {"model": "n"}}
+    out = {"good": good()}
+    for name, change in {
+        "no model": lambda e: e[0]["message"].pop("model"), "odd model": lambda e: e[0]["message"].update(model="a b"), "block without type": lambda e: e[1]["content_block"].pop("type"), "block that is no object": lambda e: e[1].update(content_block=3),
+        "fallback": lambda e: (e[1].update(content_block=fallback), e.pop(2)), "delta into a fallback": lambda e: e[1].update(content_block=fallback), "unsound fallback": lambda e: (e[1].update(content_block={"type": "fallback"}), e.pop(2)),
+        "refusal": lambda e: e[5].update(delta={"stop_reason": "refusal", "stop_details": {"type": "refusal", "category": "bio"}}), "other refusal": lambda e: e[5].update(delta={"stop_reason": "refusal", "stop_details": {"type": "refusal", "category": "new"}}),
+        "served": lambda e: (e[1].update(content_block=fallback), e.pop(2), e[4]["usage"].update(iterations=[{"type": "fallback_message", "model": "n", **dict.fromkeys(sse.USAGE, 1)}])),
+        "cache": lambda e: e[0]["message"]["usage"].update(cache_read_input_tokens=3, cache_creation_input_tokens=4), "odd usage": lambda e: e[5]["usage"].update(output_tokens=-1), "error": lambda e: e.insert(3, {"type": "error"}), "after the stop": lambda e: e.append({"type": "ping"}),
+    }.items():
+        change(e := good())
+        out[name] = e
+    return out
+
+
 def cases():
     rng = random.Random(5)
-    out = {"good": good()}
+    out = variants()
     for k in range(60):
         e = good(k)
         for _ in range(rng.randint(1, 2)):
@@ -51,17 +68,38 @@ def folded(events):
     s = dict(sse.EMPTY)
     for v in events:
         s = sse.step(s, json.dumps(v))
-    return s["phase"] == 3 and not s["bad"], s["model"], s["usage"]
+    return {k: None if v != v else v for k, v in sse.report("k", s).astype(object).iloc[0].to_dict().items()}
 
 
 def test_batch_agrees_with_the_fold(spark):
     streams = cases()
-    got = {r.stream_id: r for r in sse.messages_telemetry(rows(spark, streams)).collect()}
+    got = {r.stream_id: r.asDict() for r in sse.messages_telemetry(rows(spark, streams)).collect()}
     assert len(got) == len(streams)
     for k, e in streams.items():
-        ok, model, u = folded(e)
-        assert got[k].complete == ok, (k, e)
-        assert (got[k].model, got[k].input_tokens, got[k].output_tokens) == ((model, u.get("input_tokens"), u.get("output_tokens")) if ok else (None, None, None))
+        assert got[k] | {"stream_id": "k"} == {x: None if y is pd.NA else y for x, y in folded(e).items()}, (k, e)
+    complete = {k for k in variants() if got[k]["complete"]}
+    assert complete == {"good", "fallback", "refusal", "other refusal", "served", "cache", "odd usage", "error"}
+    assert got["fallback"]["model"] == "n" and got["served"]["fallback_served"] and not got["fallback"]["fallback_served"] and got["refusal"]["refusal_category"] == "bio" and got["other refusal"]["refusal_category"] == "other"
+
+
+def test_too_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sse, "MAX_BLOCKS", 2)
+    e = good()
+    more = [[{"type": "content_block_start", "index": i, "content_block": {"type": "text"}}, {"type": "content_block_stop", "index": i}] for i in (1, 2)]
+    two, three = e[:5] + more[0] + e[5:], e[:5] + more[0] + more[1] + e[5:]
+    assert {r.stream_id: r.complete for r in sse.messages_telemetry(rows(spark, {"two": two, "three": three})).collect()} == {"two": True, "three": False}
+    assert folded(two)["complete"] and not folded(three)["complete"]
+
+
+def test_an_oversize_event_gives_up_its_stream(spark, monkeypatch):
+    monkeypatch.setattr(sse, "MAX_LINE", 300)
+    e = good()
+    sent = lambda events: "".join(f"data: {json.dumps(v)}\n\n" for v in events)
+    done = {"type": "response.completed", "response": {"usage": {"input_tokens": 3}}}
+    big = {"type": "ping", "x": "y" * 400}
+    texts = spark.createDataFrame([("m", sent(e)), ("m+", sent([*e[:4], big, *e[4:]])), ("r", sent([done])), ("r+", sent([big, done]))], "stream_id string, text string")
+    assert {r.stream_id: r.complete for r in sse.messages_telemetry(sse.frames(texts)).where("stream_id like 'm%'").collect()} == {"m": True, "m+": False}
+    assert {r.stream_id: r.input_tokens for r in sse.responses_telemetry(sse.frames(texts)).where("stream_id like 'r%'").collect()} == {"r": 3, "r+": None}
 
 
 def test_refusal(spark):
@@ -74,7 +112,7 @@ def test_stateful_stream(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     src.mkdir()
     e = good()
-    for n, part in enumerate((e[:3], e[3:])):
+    for n, part in enumerate((e[:3], e[3:], [{"type": "ping"}])):
         at = src / f"{n}.json"
         at.write_text("".join(json.dumps({"stream_id": s, "pos": i + 3 * n, "data": json.dumps(v)}) + "\n" for s in ("a", "b") for i, v in enumerate(part) if not (s == "b" and n)))
         os.utime(at, (1_000_000 + n, 1_000_000 + n))  # files are read in order of age
@@ -82,7 +120,7 @@ def test_stateful_stream(spark, tmp_path):
     q = sse.stream_telemetry(stream).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
     try:  # with timeouts a query goes on when its input ends, so look for its answer
         until = time.time() + 90
-        while time.time() < until and not (out.exists() and spark.read.schema(sse.REPORT).parquet(str(out)).count()):
+        while time.time() < until and not (out.exists() and spark.read.schema(sse.REPORT).parquet(str(out)).count() and len(q.recentProgress) and sum(p["numInputRows"] for p in q.recentProgress) >= 11):
             time.sleep(1)
     finally:
         q.stop()
@@ -124,6 +162,7 @@ def test_fallback_blocks(spark):
         e = good()
         e[5] = {"type": "message_delta", "delta": {"stop_reason": stop}, "usage": {"output_tokens": 7, "iterations": [3, {"type": "fallback_message", "model": "m2", **dict.fromkeys(sse.USAGE, 1)}]}}
         e[1]["content_block"] = {"type": "fallback", "from": {"model": "m"}, "to": {"model": "m2"}} | block
+        e.pop(2)  # such a block takes no delta
         return e
 
     streams = {"plain": good(), "back": stream(), "told": stream(trigger={"type": "refusal", "category": "bio"}), "refused": stream("refusal"), "no target": stream(to={}), "trigger": stream(trigger={"type": "refusal", "category": "new"})}
