@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,23 +194,38 @@ def _spread(distance: int, wide: bool, tables: int):
     return run
 
 
-def _deal(tables: int):
-    """Members of an anchor of k > 1 blocks go to each pair of blocks that theirs is one of."""
+def _dealt(b: pa.RecordBatch, tables: int) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y, members, k): members of an anchor of k > 1 blocks go to each pair of blocks that theirs is one of."""
+    x, y, members, k = (b.column(i) for i in range(4))
+    one = pa.compute.equal(k, 1)
+    zero = pa.array(np.zeros(b.num_rows, "i8"))
+    yield pa.record_batch([x, y, zero, zero, members], ["x", "y", "lo", "hi", "members"]).filter(one)
+    many = b.filter(pa.compute.invert(one))
+    for ax, ay, data, blocks in zip(*(c.to_pylist() for c in many.columns), strict=True):
+        m = np.frombuffer(data, _member(tables))
+        own = (mixed(nodes_of(m["fps"]).view("u8"), 1) % np.uint64(blocks)).astype("i8")
+        mine, other = np.repeat(own, blocks), np.tile(np.arange(blocks), len(m))
+        got = _pack(np.repeat(m, blocks), [np.minimum(mine, other), np.maximum(mine, other)], ["lo", "hi"])
+        at = [pa.array(np.full(got.num_rows, v, "i8")) for v in (ax, ay)]
+        yield pa.record_batch([*at, got.column(0), got.column(1), got.column(3)], ["x", "y", "lo", "hi", "members"])
+
 
+def _deal(tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y, members, k = (b.column(i) for i in range(4))
-            one = pa.compute.equal(k, 1)
-            zero = pa.array(np.zeros(b.num_rows, "i8"))
-            yield pa.record_batch([x, y, zero, zero, members], ["x", "y", "lo", "hi", "members"]).filter(one)
-            many = b.filter(pa.compute.invert(one))
-            for ax, ay, data, blocks in zip(*(c.to_pylist() for c in many.columns), strict=True):
-                m = np.frombuffer(data, _member(tables))
-                own = (mixed(nodes_of(m["fps"]).view("u8"), 1) % np.uint64(blocks)).astype("i8")
-                mine, other = np.repeat(own, blocks), np.tile(np.arange(blocks), len(m))
-                got = _pack(np.repeat(m, blocks), [np.minimum(mine, other), np.maximum(mine, other)], ["lo", "hi"])
-                at = [pa.array(np.full(got.num_rows, v, "i8")) for v in (ax, ay)]
-                yield pa.record_batch([*at, got.column(0), got.column(1), got.column(3)], ["x", "y", "lo", "hi", "members"])
+            yield from _dealt(b, tables)
+
+    return run
+
+
+def _spread_and_deal(distance: int, tables: int, sent: Broadcast):
+    """Both steps in one, the blocks of each large anchor being known: {x: k}."""
+    spread = _spread(distance, False, tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in spread(batches):
+            k = pa.array([sent.value.get(x, 1) for x in b.column(0).to_pylist()], pa.int64())
+            yield from _dealt(pa.record_batch([b.column(0), b.column(1), b.column(3), k], ["x", "y", "members", "k"]), tables)
 
     return run
 
@@ -283,12 +299,16 @@ def links_of(prints: DataFrame, distance: int = 4, total: int | None = None, tab
     wide = n >= wide_from
     full = prints.select("fps").coalesce(max(1, -(-n // FULL)))  # full batches pack the same, however the rows lie
     spread = full.mapInArrow(_spread(distance, wide, tables), "x bigint, y bigint, n bigint, members binary")
+    out = "x bigint, y bigint, lo bigint, hi bigint, members binary"
     if wide:
         spread = cut(spread)
-    sizes = spread.groupBy("x", "y").agg(F.sum("n").alias("total")).where("total > 1")
-    # without the wide form there are 3 x 4,096 anchors a table, whatever the number of rows
-    sized = split_join(spread, sizes, ["x", "y"]) if wide else spread.join(F.broadcast(sizes), ["x", "y"])
-    dealt = sized.select("x", "y", "members", F.ceil(F.col("total") / block).cast("long").alias("k")).mapInArrow(_deal(tables), "x bigint, y bigint, lo bigint, hi bigint, members binary")
+        sizes = spread.groupBy("x", "y").agg(F.sum("n").alias("total")).where("total > 1")
+        sized = split_join(spread, sizes, ["x", "y"])
+        dealt = sized.select("x", "y", "members", F.ceil(F.col("total") / block).cast("long").alias("k")).mapInArrow(_deal(tables), out)
+    else:  # there are 3 x 4,096 anchors a table, whatever the number of rows
+        large = spread.groupBy("x").agg(F.sum("n").alias("total")).where(F.col("total") > block).collect()
+        sent = prints.sparkSession.sparkContext.broadcast({r.x: -(-r.total // block) for r in large})
+        dealt = full.mapInArrow(_spread_and_deal(distance, tables, sent), out)
     keys = ["x", "y", "lo", "hi"]
     return dealt.repartition(parts(prints), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(distance if loose is None else loose, total, tables), "a bigint, b bigint")
 
