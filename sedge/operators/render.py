@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
-from sedge.functions.spread import ordinals
+from sedge.functions.spread import cut, ordinals
 
 
 def numbered(cards: DataFrame, inputs: DataFrame, run: str = "run_id", key: str = "doc_id", name: str = "source", sha: str = "sha256") -> tuple[DataFrame, DataFrame]:
@@ -14,8 +14,9 @@ def numbered(cards: DataFrame, inputs: DataFrame, run: str = "run_id", key: str
 
     ``inputs`` has a row for each document of a run, those without cards too, and counts them by ``key`` (``ordinal``).
     Cards get ``_ord``, their place in the run, ``source_alias``, sN by the first input of their document's name and
-    digest, and ``ref``, cN@sN/id.
+    digest, and ``ref``, cN@sN/id. They are read twice, so they are worked out once, into a checkpoint.
     """
+    cards = cut(cards)
     n = cards.groupBy(run, key).agg(F.count("*").alias("_n"))
     counted = inputs.select(run, key, name, sha, "trust_tier").join(n, [run, key], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     own = ordinals(counted, run, [key], "_n")

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sedge.plans import registry
+from sedge.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
@@ -15,15 +15,15 @@ def plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query(spark, name):
     con = duckdb.connect()
     for p in Path(SF).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p}'")
-    df = registry.QUERIES[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     names = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr)
-    rel = con.sql(registry.ORACLE[name])
+    rel = con.sql(catalog.ORACLE[name])
     at = [rel.columns.index(c) for c in names]
     assert sorted(rel.columns) == names
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
