@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,12 @@ def strip(c: Column | str) -> Column:
 
 def normalize(df: DataFrame, text: str = "text", to: str = "normal") -> DataFrame:
     """Line breaks to LF, NFKC, hidden characters out, lookalike letters folded, control characters out."""
-    df = df.withColumn(to, F.regexp_replace(F.col(text), "\r\n?", "\n")).withColumn(to, nfkc(F.col(to)))
-    odd = F.regexp_replace(F.col(to), f"{P.ZERO_WIDTH}|{P.BIDI}|{P.TAG}", "")
+    own = F.col(to)
+    df = df.withColumn(to, F.when(F.contains(F.col(text), F.lit("\r")), F.regexp_replace(F.col(text), "\r\n?", "\n")).otherwise(F.col(text))).withColumn(to, nfkc(own))
+    odd = F.regexp_replace(own, f"{P.ZERO_WIDTH}|{P.BIDI}|{P.TAG}", "")
     folded = F.translate(odd, P.CONFUSABLE, P.CONFUSED_WITH)
-    df = df.withColumn(to, F.when(F.col(to).rlike(r"[^\x00-\x7F]"), folded).otherwise(F.col(to)))
-    return df.withColumn(to, F.regexp_replace(F.col(to), P.CONTROL, ""))
+    df = df.withColumn(to, F.when(F.octet_length(own) > F.length(own), folded).otherwise(own))  # ASCII holds neither
+    return df.withColumn(to, F.regexp_replace(own, P.CONTROL, ""))
 
 
 def _masked(now: Column, secret: P.Secret) -> Column:
@@ -46,7 +49,8 @@ def redact(df: DataFrame, text: str = "text", to: str = "redacted", findings: st
     df = normalize(df, text, to)
     now = F.col(to)
     for k, s in enumerate(P.SECRETS[:upto]):
-        df = df.withColumn(f"_hit{k}", now.rlike(s.guard) & now.rlike(s.pattern))
+        may = functools.reduce(lambda a, b: a | b, [F.contains(now, F.lit(x)) for x in s.literals] or [now.rlike(s.guard)])
+        df = df.withColumn(f"_hit{k}", may & now.rlike(s.pattern))
         df = df.withColumn(to, F.when(F.col(f"_hit{k}"), _masked(now, s)).otherwise(now))
     names = F.array_compact(F.array(*[F.when(F.col(f"_hit{k}"), F.lit(s.name)) for k, s in enumerate(P.SECRETS[:upto])]))
     return df.withColumn(findings, names).drop(*[f"_hit{k}" for k in range(upto)])

@@ -20,7 +20,7 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """NFKC. ASCII is NFKC already, so only rows with other characters carry their text to Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(_nfkc(F.when(F.octet_length(text) > F.length(text), text)), text)
 
 
 def canonical(value) -> str:
