@@ -99,3 +99,52 @@ def one_value(records: DataFrame, column: str) -> DataFrame:
 def violations(records: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``records`` with ``errors``: the sorted names of the rules that do not hold (a null outcome does not hold)."""
     return records.withColumn("errors", F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))))
+
+
+# What a ledger's limits must be, and how many distinct spools a report needs and takes.
+LIMITS = {"documents": 64, "input_bytes_per_document": 2_000_000, "aggregate_input_bytes": 16 * 1024 * 1024, "wall_clock_budget_ms": 2000}
+CARDS_PER_DOCUMENT = 24
+MINIMUM_SPOOLS, MAXIMUM_LEDGERS = 20, 50
+#: Which execution shape and budget go with each engine.
+SHAPES = {"python": ("python-sequential-oracle", "bounded-input-only-python-oracle"), "chapel": ("chapel-one-shot-coforall-batch", "chapel-wall-clock-withholding")}
+
+
+def spool_rules() -> dict[str, Column]:
+    """Rules over a ledger row: execution, spool (documents, inputs' bytes, cards, withheld), limits, artifacts and the row
+    encoding. To be given to :func:`violations`."""
+    c = F.col
+    pair = F.struct("shape", "budget_enforcement")
+    supported = [(c("engine") == e) & (pair == F.struct(F.lit(a).alias("shape"), F.lit(b).alias("budget_enforcement"))) for e, (a, b) in SHAPES.items()]
+    some = lambda name: c(f"artifacts.{name}")
+    return {
+        "execution-cohort": supported[0] | supported[1],
+        "run-covers-engine": (c("engine_wall_ms") >= 0) & (c("run_wall_ms") >= c("engine_wall_ms")),
+        "documents-of-identity": (c("documents") >= 1) & (c("documents") == F.size("input_bytes_each")),
+        "withheld-within-documents": (c("withheld_documents") >= 0) & (c("withheld_documents") <= c("documents")),
+        "withheld-detailed": F.size("withheld") == c("withheld_documents"),
+        "withheld-named": F.forall("withheld", lambda w: (w.source != "") & (w.reason != "")),
+        "input-bytes-of-identity": c("input_bytes") == F.aggregate("input_bytes_each", F.lit(0).cast("long"), lambda a, x: a + x),
+        "input-tokens": c("input_tokens") >= 0,
+        **{f"limit-{name}".replace("_", "-"): c(f"limits.{name}") == value for name, value in LIMITS.items()},
+        "within-limits": (c("documents") <= LIMITS["documents"]) & (c("input_bytes") <= LIMITS["aggregate_input_bytes"]),
+        "inputs-within-limit": F.forall("input_bytes_each", lambda x: x <= LIMITS["input_bytes_per_document"]),
+        "limit-cards": c("limits.cards_per_document").between(1, CARDS_PER_DOCUMENT),
+        "cards-within-limit": (c("emitted_cards") >= 0) & (c("emitted_cards") <= c("documents") * c("limits.cards_per_document")),
+        "no-raw-copies": ~c("raw_inputs_copied"),
+        "card-records": c("card_records") == c("emitted_cards"),
+        "artifact-sizes": (some("summary").bytes >= 0) & (some("summary").tokens >= 0) & (some("cards").bytes >= 0) & (some("cards").tokens >= 0),
+        "artifact-digests": some("summary").sha256.rlike(r"\A[0-9a-f]{64}\z") & some("cards").sha256.rlike(r"\A[0-9a-f]{64}\z"),
+        "toon-null-without-cards": c("toon_savings").isNotNull() | ((c("emitted_cards") == 0) & ~c("toon_selected") & ~c("toon_eligible")),
+        "toon-savings": F.coalesce(c("toon_savings") <= 1, F.lit(True)),
+        "toon-selected-if-eligible": c("toon_selected") == c("toon_eligible"),
+        "toon-of-cards": ~c("toon_selected") | ((some("cards").bytes > 0) & (some("cards").tokens > 0)),
+    }
+
+
+def corpus_gate(records: DataFrame, spool: str, cohort: list[str], estimator: str) -> DataFrame:
+    """One row: how many ledgers and distinct spools there are, how many spools come twice within a cohort, whether all
+    have one estimator, and the gate's status: refused, insufficient-corpus or pass."""
+    twice = records.groupBy(spool, *cohort).agg(F.count("*").alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("repeated"), F.lit(1).alias("_k"))
+    out = records.agg(F.count("*").alias("ledgers"), F.count_distinct(spool).alias("unique_spools"), F.count_distinct(estimator).alias("estimators"), F.lit(1).alias("_k")).join(twice, "_k").drop("_k")
+    refused = (F.col("ledgers") == 0) | (F.col("ledgers") > MAXIMUM_LEDGERS) | (F.col("repeated") > 0) | (F.col("estimators") > 1)
+    return out.withColumn("status", F.when(refused, "refused").when(F.col("unique_spools") >= MINIMUM_SPOOLS, "pass").otherwise("insufficient-corpus"))

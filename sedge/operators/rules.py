@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
@@ -140,3 +140,40 @@ def bound_claims(claims: DataFrame, cards: DataFrame) -> DataFrame:
 def dimension_rollup(results: DataFrame) -> DataFrame:
     """Per dimension (case_id, dimension, passed or null for not applicable): applicable, passed, and whether all did."""
     return results.groupBy("dimension").agg(F.count("passed").alias("applicable"), F.count_if("passed").alias("passed_cases"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("ok"))
+
+
+def valid_id(c: Column) -> Column:
+    """A case's id: lower-case ASCII letters, digits and hyphens, 64 at most, no hyphen first."""
+    return F.coalesce(c.rlike(r"\A[a-z0-9][a-z0-9-]{0,63}\z"), F.lit(False))
+
+
+def valid_tier(c: Column) -> Column:
+    """A trust tier, but for white space at its ends: a visible ASCII label of 128 characters at most."""
+    return F.coalesce(T.strip(c).rlike(r"\A[A-Za-z0-9][A-Za-z0-9._:/-]{0,127}\z"), F.lit(False))
+
+
+def valid_label(c: Column) -> Column:
+    """A label of a run, if any: 1 to 4,096 visible ASCII characters, but for white space at its ends."""
+    own = T.strip(c)
+    return c.isNull() | (own.rlike(r"\A[\x21-\x7E]+\z") & (F.length(own) <= 4096))
+
+
+def valid_source(c: Column) -> Column:
+    """A path without backticks, control and format characters, and line separators."""
+    return F.coalesce(~c.rlike(r"[`\p{Cc}\p{Cf}\p{Zl}\p{Zp}]"), F.lit(False))
+
+
+def expected_and_emitted(expected: DataFrame, emitted: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, place, expected, emitted, same): inputs that a case names against those that its run lists, place by place;
+    both (by, order, name)."""
+    number = lambda df, to: df.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(order)).alias("place"), F.col("name").alias(to))
+    both = number(expected, "expected").join(number(emitted, "emitted"), [*by, "place"], "full")
+    return both.withColumn("same", F.coalesce(F.col("expected") == F.col("emitted"), F.lit(False)))
+
+
+def section_refs(lines: DataFrame, claims: DataFrame) -> DataFrame:
+    """(run, section, ord, ref, resolved): references of a summary's sections with the claim lines that they stand for;
+    ``lines``: run, section, ord, line; ``claims``: run, ref, line. A reference without a claim is not resolved."""
+    ref = F.regexp_extract("line", r"\A- (\S+)(?: \[[^\]]*\])*\z", 1)
+    own = lines.select("run", "section", "ord", ref.alias("ref")).where("ref <> ''")
+    return own.join(claims.select("run", "ref", F.col("line").alias("resolved")), ["run", "ref"], "left").select("run", "section", "ord", "ref", "resolved")
