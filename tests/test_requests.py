@@ -48,9 +48,9 @@ def test_messages(spark):
     bodies = []
     for _ in range(40):
         messages = []
-        for _ in range(rng.randint(0, 12)):
+        for _ in range(rng.randint(0, 40)):
             k = rng.randrange(len(ids))
-            use = {"type": "tool_use", "id": ids[k], "name": names[k % 5] if rng.random() < 0.9 else rng.choice(names)}
+            use = {"type": "tool_use", "id": ids[k], "name": names[k % 5] if rng.random() < 0.97 else rng.choice(names)}
             result = {"type": "tool_result", "tool_use_id": rng.choice(ids), "content": rng.choice(content)}
             messages.append({"role": rng.choice(["assistant", "user"]), "content": rng.choice(["plain", [use, result], [use, result], [result, use, {"type": "text", "text": "x"}]])})
         bodies.append({"model": "m", "messages": messages})
