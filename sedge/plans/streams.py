@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sedge.functions import text as T
 from sedge.functions.udfs import canonical_json, hmac_hex, strict_json
-from sedge.operators import chatlog, ledger, rules, usage
+from sedge.operators import chatlog, ledger, requests, rules, usage
 from sedge.plans.registry import table
 from sedge.sources import readers, sinks
 from sedge.streaming import sse
@@ -66,6 +66,29 @@ FRAMED_RESPONSES = """WITH u AS (SELECT user_id, arg_max(floor(value)::BIGINT, e
 SELECT 's' || user_id AS stream_id, v IS NOT NULL AND user_id % 6 <> 0 AS complete, errors, CASE WHEN v IS NOT NULL AND user_id % 6 <> 0 THEN 'm-1' END AS model, CASE WHEN user_id % 6 <> 0 THEN v END AS input_tokens, CASE WHEN v IS NOT NULL AND user_id % 6 <> 0 THEN 2 END AS output_tokens, NULL::BIGINT AS total_tokens FROM u WHERE k > 0 OR user_id % 6 = 0"""
 
 
+def request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as requests of both protocols: each purchase is the result of a call, whose id is the whole part of its value,
+    declared before it in one protocol and anywhere in the other; other events are the calls."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.floor(F.col("value") / 10).cast("string").alias("id"))
+    tool = F.when(F.col("event_type") == "click", "mcp__linear__get").when(F.col("event_type") == "view", "Bash").otherwise("Unknown")
+    result = F.col("event_type") == "purchase"
+    use = F.concat(F.lit('{"role":"assistant","content":[{"type":"tool_use","id":"'), "id", F.lit('","name":"'), tool, F.lit('"}]}'))
+    back = F.concat(F.lit('{"role":"user","content":[{"type":"tool_result","tool_use_id":"'), "id", F.lit('","content":[{"type":"text","text":"'), F.col("event_id").cast("string"), F.lit('"},{"type":"image"}]}]}'))
+    call = F.concat(F.lit('{"type":"function_call","call_id":"'), "id", F.lit('","name":"'), tool, F.lit('"}'))
+    out = F.concat(F.lit('{"type":"function_call_output","call_id":"'), "id", F.lit('","output":"'), F.col("event_id").cast("string"), F.lit('"}'))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", c.alias("b")))), lambda x: x.b), ",")
+    b = e.groupBy(F.col("user_id").alias("request")).agg(F.concat(F.lit('{"messages":['), joined(F.when(result, back).otherwise(use)), F.lit("]}")).alias("m"), F.concat(F.lit('{"input":['), joined(F.when(result, out).otherwise(call)), F.lit("]}")).alias("r"))
+    return requests.messages_documents(b, "m", 6).unionByName(requests.responses_documents(b, "r", 6))
+
+
+REQUEST_DOCUMENTS = """WITH e AS (SELECT user_id AS request, event_id AS pos, floor(value / 10)::BIGINT::VARCHAR AS id, CASE event_type WHEN 'click' THEN 'mcp__linear__get' WHEN 'view' THEN 'Bash' WHEN 'purchase' THEN NULL ELSE 'Unknown' END AS tool FROM events),
+m AS (SELECT 'anthropic' AS p, r.request, r.pos, r.id, min(c.tool) AS tool FROM e r JOIN e c ON r.request = c.request AND r.id = c.id AND c.pos < r.pos AND c.tool IS NOT NULL WHERE r.tool IS NULL GROUP BY ALL HAVING count(DISTINCT c.tool) = 1),
+o AS (SELECT 'openai' AS p, r.request, r.pos, r.id, min(c.tool) AS tool FROM e r JOIN e c ON r.request = c.request AND r.id = c.id AND c.tool IS NOT NULL WHERE r.tool IS NULL GROUP BY ALL HAVING count(*) = 1),
+t AS (SELECT *, CASE tool WHEN 'Bash' THEN 'Bash' ELSE 'mcp:linear' END AS source, CASE tool WHEN 'Bash' THEN 'untrusted_tool_output' ELSE 'semi_trusted_service' END AS trust_tier FROM (FROM m UNION ALL FROM o) WHERE tool <> 'Unknown'),
+n AS (SELECT *, row_number() OVER (PARTITION BY p, request ORDER BY pos)::INT AS ordinal FROM t)
+SELECT request, ordinal, p || ':' || source || ':' || left(sha256(id), 16) || ':' || CASE p WHEN 'openai' THEN ordinal - 1 ELSE 0 END AS source, trust_tier, pos::VARCHAR AS body FROM n WHERE ordinal <= 6"""
+
+
 def log_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as a run's log; which rules of its grammar it breaks."""
     names = {"view": "doc", "click": "card", "purchase": "end", "signup": "summary"}
@@ -226,7 +249,7 @@ def model_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL_BUCKETS = """WITH u AS (SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY min(o_orderkey)) AS k FROM orders GROUP BY o_custkey)
 SELECT k > 32 AS other, CASE WHEN k > 32 THEN 9 ELSE 16 END AS size, sum(n)::BIGINT AS n FROM u GROUP BY k > 32, CASE WHEN k > 32 THEN 0 ELSE k END"""
 
-_ALL = (answer_telemetry, framed_responses, log_grammar, usage_checks, usage_comparison, response_sources, agent_logs, last_results, json_texts, entry_keys, toon_fields, cached_artifacts, quality_dimensions, model_buckets)
+_ALL = (answer_telemetry, framed_responses, request_documents, log_grammar, usage_checks, usage_comparison, response_sources, agent_logs, last_results, json_texts, entry_keys, toon_fields, cached_artifacts, quality_dimensions, model_buckets)
 
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {name: sql for name in QUERIES if (sql := globals().get(name.upper()))}
