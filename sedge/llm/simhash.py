@@ -33,6 +33,8 @@ GENERATOR = 0b110001110101
 WIDE_FROM = 20_000_000
 #: Members of an anchor that are compared as one block, and how many of them are held against all others at once.
 BLOCK, STEP = 16_384, 16
+#: Nodes of which a task remembers what its links have joined.
+JOINED = 1 << 18
 #: Fingerprints whose members are packed together.
 FULL = 4096
 #: Bits below the number of the table in an anchor's first key.
@@ -264,15 +266,32 @@ def forest(fps: np.ndarray, home: np.ndarray, table: int, distance: int, total:
     return np.concatenate(out) if out else np.zeros((0, 2), "i8")
 
 
+def joins(root: dict[int, int], a: int, b: int) -> bool:
+    """Whether a link joins what earlier ones have not joined yet; ``root`` is where each node leads."""
+    ends = []
+    for x in (a, b):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        ends.append(x)
+    root[max(ends)] = min(ends)
+    return ends[0] != ends[1]
+
+
 def _compare(distance: int, total: int | None, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in slices(batches, 64) for row in zip(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True), b.column(4).to_pylist(), strict=True))
         out, held = [], 0
+        root: dict[int, int] = {}  # near texts meet at many anchors of a task: what one has joined the others need not
         for key, group in groupby(rows, key=lambda row: row[0]):
             m = np.frombuffer(b"".join(data for _, data in group), _member(tables))
             if len(m) > 1:
-                out.append(forest(m["fps"], m["home"], key[0] >> TABLE, distance, total))
-                held += len(out[-1])
+                found = forest(m["fps"], m["home"], key[0] >> TABLE, distance, total)
+                new = found[[joins(root, a, b) for a, b in found.tolist()]] if len(found) else found
+                if len(new):
+                    out.append(new)
+                    held += len(new)
+            if len(root) > JOINED:
+                root = {}  # some links come again, none is lost
             if held > 50_000:
                 yield _links(out)
                 out, held = [], 0

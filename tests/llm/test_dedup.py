@@ -186,6 +186,24 @@ def test_links_over_several_tables(spark, total, wide_from, block):
         assert {root.get(x, x) for x in members} == {min(members)}
 
 
+def test_a_task_passes_on_a_forest():
+    rng = random.Random(1)
+    for _ in range(200):
+        n = rng.randint(2, 30)
+        links = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 60))]
+        root = {}
+        kept = [x for x in links if simhash.joins(root, *x)]
+
+        def classes(some):
+            own = list(range(n))  # noqa: B023
+            for _ in own:
+                for a, b in some:
+                    own[a] = own[b] = min(own[a], own[b])
+            return own
+
+        assert classes(kept) == classes(links) and len(kept) == n - len(set(classes(links)))
+
+
 def test_every_vector_lies_within_three_bits_of_an_anchor():
     x = np.random.default_rng(0).integers(0, 1 << 23, 2000)
     who, word, over = simhash._words_near(x, 1)
