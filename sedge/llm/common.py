@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedge.functions.spread import cut, shared_folder  # noqa: F401  (for the operators here)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's own (``spark.checkpoint.dir``). Only where none is set and
-    all runs on one machine, as in tests, one is chosen here; on a cluster without one this is an error."""
-    sc = spark.sparkContext
-    if at := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
-        return at
-    if not sc.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(at := os.path.join(tempfile.gettempdir(), "sedge-checkpoints"))
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a checkpoint, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, whatever kind of file system it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
