@@ -129,6 +129,10 @@ def block_rows(dim: int) -> int:
     return max(64, BLOCK_BYTES // (8 * dim))
 
 
+def _schema(names: list[str]) -> pa.Schema:
+    return pa.schema([(n, pa.int32() if n in ("dim", "g") else pa.binary()) for n in names])
+
+
 def _packed(finish, names: list[str], limit):
     """Rows (vec_id, vec, dim) packed by length, ``limit(dim)`` a block at most; ``finish`` makes a block's row."""
 
@@ -142,7 +146,7 @@ def _packed(finish, names: list[str], limit):
             ids, x = (np.concatenate(c) for c in zip(*held.pop(dim), strict=True))
             size.pop(dim)
             nth += 1
-            return pa.RecordBatch.from_pylist([dict(zip(names, finish(dim, ids, x, nth), strict=True))], KINDS(names))
+            return pa.RecordBatch.from_pylist([dict(zip(names, finish(dim, ids, x, nth), strict=True))], _schema(names))
 
         for b in batches:
             dims = b.column(2).to_numpy()
@@ -163,10 +167,6 @@ def _packed(finish, names: list[str], limit):
     return run
 
 
-def KINDS(names: list[str]) -> pa.Schema:
-    return pa.schema([(n, pa.int32() if n in ("dim", "g") else pa.binary()) for n in names])
-
-
 def _codes(sent: Broadcast, groups: int):
     def finish(dim: int, ids: np.ndarray, x: np.ndarray, nth: int) -> tuple:
         order = np.argsort(ids, kind="stable")

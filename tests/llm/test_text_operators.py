@@ -281,6 +281,24 @@ def test_languages(spark):
     assert language.label(own, language.fit(own.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_counting_by_pieces_counts_the_same():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["ka", "ßen", "дом", "x1y"]) * rng.randint(1, 3) for _ in range(rng.randint(0, 300))) for _ in range(40)] + [None, ""]
+    rows = pa.record_batch([pa.array([rng.choice("ab") for _ in texts]), pa.array(texts)], ["lang", "text"])
+
+    def counted():
+        return sorted(x for b in language._counts(iter([rows])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+    whole = counted()
+    old, language.WORDS = language.WORDS, 37
+    try:
+        assert counted() == whole
+    finally:
+        language.WORDS = old
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6))
 def test_viterbi(seed):
