@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import ann, bpe, decontaminate, language, licenses, line_dedup, simhash, substring_dedup, toxicity, url_filter
+from sedge.llm import ann, bpe, collocations, decontaminate, fill_in_middle, language, licenses, line_dedup, simhash, substring_dedup, topk, toxicity, url_filter
 from sedge.llm.common import table
 
 
@@ -61,7 +61,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_simhash, op4_licenses, op5_decontamination, op6_toxicity, op7_language, op8_url_filter, op9_ann, op10_byte_bpe)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output"), sha("restored"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_simhash, op4_licenses, op5_decontamination, op6_toxicity, op7_language, op8_url_filter, op9_ann, op10_byte_bpe, op11_collocations, op12_fill_in_middle, op13_topk)}
 
 OP1 = r"""WITH l AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
@@ -78,4 +92,4 @@ y AS (SELECT doc_id, i, word, coalesce(max(bad) OVER (PARTITION BY doc_id ORDER
 z AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM y GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN z USING (doc_id)"""
 
-ORACLE = {"op1_line_dedup": OP1, "op2_substring_dedup": OP2, "op8_url_filter": url_filter.oracle()}
+ORACLE = {"op1_line_dedup": OP1, "op2_substring_dedup": OP2, "op8_url_filter": url_filter.oracle(), "op11_collocations": collocations.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE, "op13_topk": topk.ORACLE}

@@ -127,3 +127,15 @@ def test_op10(spark, folder):
     for d, t, *_ in rows:
         ids = REFERENCE.encode_ordinary(t or "")
         assert (got[d].n_tokens, got[d].ids_sha256, got[d].decoded_sha256) == (len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(t or ""))
+
+
+def test_op11_op12_and_op13_as_their_sql(spark, folder):
+    at, rows = folder
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet/*.parquet'")
+    for name in ("op11_collocations", "op12_fill_in_middle", "op13_topk"):
+        df = registry.QUERIES[name](spark, at)
+        want = con.sql(registry.ORACLE[name])
+        got = sorted(map(tuple, df.select(*want.columns).collect()), key=str)
+        assert got and got == sorted(want.fetchall(), key=str), name
