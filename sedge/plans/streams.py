@@ -13,6 +13,7 @@ from sedge.functions.udfs import canonical_json, hmac_hex, strict_json
 from sedge.operators import chatlog, ledger, requests, rules, usage
 from sedge.plans.registry import table
 from sedge.sources import readers, sinks
+from sedge.streaming import chunks as chunked
 from sedge.streaming import sse
 
 # -- answers ---------------------------------------------------------------------------------------------------------
@@ -22,20 +23,30 @@ def _json(**fields: Column | str | int) -> Column:
     return F.to_json(F.struct(*[(F.lit(v) if isinstance(v, (str, int)) else v).alias(k) for k, v in fields.items()]))
 
 
+_FALLBACK = '{"type":"fallback","from":{"model":"m"},"to":{"model":"n"},"trigger":null}'
+_SERVED = '"iterations":[3,{"type":"fallback_message","model":"n","input_tokens":1,"output_tokens":1,"cache_creation_input_tokens":0,"cache_read_input_tokens":0}],'
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stream_id, pos, data): a message for each user, a content block for each event, and by the user's number modulo 8:
-    1 no stop, 2 a repeated block, 3 a refusal, 4 a fallback block, 5 text into a fallback block, 6 an odd model."""
+    """(stream_id, pos, data): a message for each user, a content block for each event, and by the user's number modulo 16:
+    1 no stop, 2 a repeated block, 3 a refusal, 4 a fallback block, 5 text into a fallback block, 6 an odd model, 8 indices in
+    quotes, 9 a usage that is a number, 10 a reason that is a number, 11 counts in quotes, 12 an event that is cut off, 13 a
+    fallback that served, 14 an event that is a list, 15 two values in an event."""
     e = table(spark, sf_dir, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("n"))
-    k, n = F.col("user_id") % 8, F.col("n")
-    block = F.when(k.isin(4, 5) & (n == 1), F.lit('{"type":"fallback","from":{"model":"m"},"to":{"model":"n"},"trigger":null}')).otherwise('{"type":"text"}')
-    start = F.concat(F.lit('{"type":"content_block_start","index":'), F.when((k == 2) & (n > 1), n - 1).otherwise(n).cast("string"), F.lit(',"content_block":'), block, F.lit("}"))
-    delta = F.when((k != 4) | (n > 1), F.concat(F.lit('{"type":"content_block_delta","index":'), n.cast("string"), F.lit("}")))
-    stop = F.concat(F.lit('{"type":"content_block_stop","index":'), n.cast("string"), F.lit("}"))
+    k, n = F.col("user_id") % 16, F.col("n")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    block = F.when(k.isin(4, 5, 13) & (n == 1), F.lit(_FALLBACK)).otherwise('{"type":"text"}')
+    start = text('{"type":"content_block_start","index":', F.when(k == 8, text('"', n, '"')).when((k == 2) & (n > 1), (n - 1).cast("string")).otherwise(n.cast("string")), ',"content_block":', block, "}")
+    odd = {12: '{"type":"ping"', 14: "[1]", 15: '{"type":"ping"} {}'}
+    delta = F.when(~k.isin(4, 13) | (n > 1), text('{"type":"content_block_delta","index":', n, "}"))
+    for at, data in odd.items():
+        delta = F.when(k == at, F.lit(data)).otherwise(delta)
+    stop = text('{"type":"content_block_stop","index":', n, "}")
     blocks = e.select("user_id", F.posexplode(F.array(start, delta, stop)).alias("p", "data"), (n * 3 + 10).alias("at")).select("user_id", (F.col("at") + F.col("p")).alias("pos"), "data").where("data is not null")
     users = e.groupBy("user_id").agg(F.count("*").alias("n"))
-    first = users.select("user_id", F.lit(0).alias("pos"), F.concat(F.lit('{"type":"message_start","message":{"model":"'), F.when(k == 6, "a b").otherwise("m"), F.lit('","usage":{"input_tokens":'), F.col("n").cast("string"), F.lit("}}}")).alias("data"))
-    reason = F.when(k == 3, '"refusal","stop_details":{"type":"refusal","category":"bio"}').otherwise('"end_turn"')
-    end = users.select("user_id", F.lit(10**9).alias("pos"), F.concat(F.lit('{"type":"message_delta","delta":{"stop_reason":'), reason, F.lit('},"usage":{"output_tokens":'), (F.col("n") * 2).cast("string"), F.lit("}}")).alias("data"))
+    first = users.select("user_id", F.lit(0).alias("pos"), text('{"type":"message_start","message":{"model":"', F.when(k == 6, "a b").otherwise("m"), '","usage":', F.when(k == 9, F.lit("5")).otherwise(text('{"input_tokens":', F.when(k == 11, text('"', n, '"')).otherwise(n.cast("string")), "}")), "}}").alias("data"))
+    reason = F.when(k == 3, '"refusal","stop_details":{"type":"refusal","category":"bio"}').when(k == 10, "7").otherwise('"end_turn"')
+    end = users.select("user_id", F.lit(10**9).alias("pos"), text('{"type":"message_delta","delta":{"stop_reason":', reason, '},"usage":{', F.when(k == 13, _SERVED).otherwise(""), '"output_tokens":', n * 2, "}}").alias("data"))
     last = users.where(k != 1).select("user_id", F.lit(10**9 + 1).alias("pos"), F.lit('{"type":"message_stop"}').alias("data"))
     return first.unionByName(blocks).unionByName(end).unionByName(last).select(F.concat(F.lit("s"), "user_id").alias("stream_id"), "pos", "data")
 
@@ -44,10 +55,42 @@ def answer_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sse.messages_telemetry(_answers(spark, sf_dir))
 
 
-ANSWER_TELEMETRY = """WITH u AS (SELECT user_id, count(*) AS n, user_id % 8 AS k FROM events GROUP BY user_id),
-t AS (SELECT *, k IN (0, 3, 4, 7) OR (k = 2 AND n = 1) AS ok FROM u)
-SELECT 's' || user_id AS stream_id, ok AS complete, 0 AS errors, CASE WHEN ok THEN CASE k WHEN 4 THEN 'n' ELSE 'm' END END AS model, CASE WHEN ok THEN CASE k WHEN 3 THEN 'refusal' ELSE 'end_turn' END END AS stop_reason, CASE WHEN ok AND k = 3 THEN 'bio' END AS refusal_category,
-CASE WHEN ok THEN n END AS input_tokens, CASE WHEN ok THEN 2 * n END AS output_tokens, NULL::BIGINT AS cache_creation_input_tokens, NULL::BIGINT AS cache_read_input_tokens, CASE WHEN ok AND k = 4 THEN 1 ELSE 0 END AS fallback_transitions, FALSE AS fallback_served FROM t"""
+def chunked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers as raw chunks of 7 to 47 bytes, a third of which come twice, framed and judged."""
+    text = F.concat(F.lit("event: x\r\n: é\ndata: "), F.regexp_replace("data", ",", ",\r\ndata: "), F.lit("\r\n\r\n"))
+    streams = _answers(spark, sf_dir).groupBy("stream_id").agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x.t), ""), "utf-8").alias("raw"))
+    size = (F.pmod(F.crc32("stream_id"), F.lit(41)) + 7).cast("int")
+    chunks = streams.select("stream_id", "raw", size.alias("size"), F.explode(F.expr("sequence(0, cast(octet_length(raw) div (pmod(crc32(stream_id), 41) + 7) as int))")).alias("seq"))
+    chunks = chunks.select("stream_id", "seq", F.expr("substring(raw, seq * size + 1, size)").alias("chunk"))
+    again = chunks.where("seq % 3 = 0")
+    return sse.messages_telemetry(chunked.chunk_frames(chunks.unionByName(again)))
+
+
+_INT = "json_type(j, '$.{0}') = 'UBIGINT'"
+_MODEL_OK = "coalesce(json_type(j, '$.{0}') = 'VARCHAR' AND regexp_full_match(j->>'$.{0}', '[A-Za-z0-9][A-Za-z0-9._:/@-]{{0,127}}'), FALSE)"
+ANSWER_TELEMETRY = f"""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, user_id % 16 AS k FROM events),
+u AS (SELECT user_id, count(*) AS n, user_id % 16 AS k FROM events GROUP BY user_id),
+d AS (SELECT user_id, 0::BIGINT AS pos, '{{"type":"message_start","message":{{"model":"' || CASE k WHEN 6 THEN 'a b' ELSE 'm' END || '","usage":' || CASE k WHEN 9 THEN '5' WHEN 11 THEN '{{"input_tokens":"' || n || '"}}' ELSE '{{"input_tokens":' || n || '}}' END || '}}}}' AS data FROM u
+  UNION ALL SELECT user_id, n * 3 + 10, '{{"type":"content_block_start","index":' || CASE WHEN k = 8 THEN '"' || n || '"' WHEN k = 2 AND n > 1 THEN (n - 1)::VARCHAR ELSE n::VARCHAR END || ',"content_block":' || CASE WHEN k IN (4, 5, 13) AND n = 1 THEN '{_FALLBACK}' ELSE '{{"type":"text"}}' END || '}}' FROM e
+  UNION ALL SELECT user_id, n * 3 + 11, CASE k WHEN 12 THEN '{{"type":"ping"' WHEN 14 THEN '[1]' WHEN 15 THEN '{{"type":"ping"}} {{}}' ELSE '{{"type":"content_block_delta","index":' || n || '}}' END FROM e WHERE k NOT IN (4, 13) OR n > 1
+  UNION ALL SELECT user_id, n * 3 + 12, '{{"type":"content_block_stop","index":' || n || '}}' FROM e
+  UNION ALL SELECT user_id, 1000000000, '{{"type":"message_delta","delta":{{"stop_reason":' || CASE k WHEN 3 THEN '"refusal","stop_details":{{"type":"refusal","category":"bio"}}' WHEN 10 THEN '7' ELSE '"end_turn"' END || '}},"usage":{{' || CASE k WHEN 13 THEN '{_SERVED}' ELSE '' END || '"output_tokens":' || n * 2 || '}}}}' FROM u
+  UNION ALL SELECT user_id, 1000000001, '{{"type":"message_stop"}}' FROM u WHERE k <> 1),
+j AS (SELECT user_id, pos, CASE WHEN json_valid(data) THEN data::JSON END AS j FROM d),
+x AS (SELECT user_id, pos, coalesce(json_type(j) = 'OBJECT', FALSE) AS sound, CASE WHEN json_type(j, '$.type') = 'VARCHAR' THEN j->>'$.type' ELSE '' END AS kind, CASE WHEN {_INT.format('index')} THEN (j->>'$.index')::BIGINT END AS block,
+    {_MODEL_OK.format('message.model')} AND json_type(j, '$.message.usage') = 'OBJECT' AS ok_start, json_type(j, '$.content_block.type') = 'VARCHAR' AS ok_block, coalesce(j->>'$.content_block.type' = 'fallback', FALSE) AS fallback,
+    {_MODEL_OK.format('content_block.from.model')} AND {_MODEL_OK.format('content_block.to.model')} AND coalesce(json_type(j, '$.content_block.trigger') = 'NULL', TRUE) AS ok_fallback, json_type(j, '$.delta.stop_reason') = 'VARCHAR' AND json_type(j, '$.usage') = 'OBJECT' AS ok_delta, j FROM j),
+w AS (SELECT *, count(*) FILTER (kind = 'message_start') OVER b AS started, count(*) FILTER (kind = 'message_delta') OVER b AS final, count(*) FILTER (kind = 'message_stop') OVER b AS stopped, count(*) FILTER (kind = 'content_block_start') OVER b AS opens, count(*) FILTER (kind = 'content_block_stop') OVER b AS closes,
+    count(*) FILTER (kind = 'content_block_start') OVER o AS opened, count(*) FILTER (kind = 'content_block_stop') OVER o AS closed, count(*) FILTER (kind = 'content_block_start' AND fallback) OVER o AS into_fallback FROM x
+  WINDOW b AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), o AS (PARTITION BY user_id, block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT *, NOT sound OR stopped > 0 OR coalesce(CASE kind WHEN 'message_start' THEN started > 0 OR NOT coalesce(ok_start, FALSE) WHEN 'content_block_start' THEN started = 0 OR final > 0 OR block IS NULL OR opened > 0 OR NOT coalesce(ok_block, FALSE) OR (fallback AND NOT ok_fallback)
+    WHEN 'content_block_delta' THEN block IS NULL OR opened = 0 OR closed > 0 OR into_fallback > 0 WHEN 'content_block_stop' THEN block IS NULL OR opened = 0 OR closed > 0 WHEN 'message_delta' THEN started = 0 OR final > 0 OR opens <> closes OR NOT coalesce(ok_delta, FALSE) WHEN 'message_stop' THEN started = 0 OR final = 0 END, FALSE) AS wrong FROM w),
+g AS (SELECT user_id, bool_or(kind = 'message_stop') AND NOT bool_or(wrong) AS complete, count(*) FILTER (kind = 'error') AS errors, arg_max(CASE kind WHEN 'message_start' THEN j->>'$.message.model' ELSE j->>'$.content_block.to.model' END, pos) FILTER (kind = 'message_start' OR (kind = 'content_block_start' AND fallback)) AS model,
+    max(j->>'$.delta.stop_reason') FILTER (kind = 'message_delta') AS stop_reason, max(j->>'$.delta.stop_details.category') FILTER (kind = 'message_delta') AS category, max((j->>'$.message.usage.input_tokens')::BIGINT) FILTER (kind = 'message_start' AND {_INT.format('message.usage.input_tokens')}) AS i, max((j->>'$.usage.output_tokens')::BIGINT) FILTER (kind = 'message_delta' AND {_INT.format('usage.output_tokens')}) AS o,
+    count(*) FILTER (kind = 'content_block_start' AND fallback) AS transitions, bool_or(kind = 'message_delta' AND json_type(j, '$.usage.iterations') IS NOT NULL) AS answered FROM y GROUP BY user_id)
+SELECT 's' || user_id AS stream_id, complete, errors, CASE WHEN complete THEN model END AS model, CASE WHEN complete THEN stop_reason END AS stop_reason, CASE WHEN complete AND stop_reason = 'refusal' THEN category END AS refusal_category, CASE WHEN complete THEN i END AS input_tokens, CASE WHEN complete THEN o END AS output_tokens,
+NULL::BIGINT AS cache_creation_input_tokens, NULL::BIGINT AS cache_read_input_tokens, CASE WHEN complete THEN transitions ELSE 0 END AS fallback_transitions, complete AND answered AND stop_reason <> 'refusal' AS fallback_served FROM g"""
+CHUNKED_ANSWERS = ANSWER_TELEMETRY
 
 
 def framed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +121,7 @@ def request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.concat(F.lit('{"type":"function_call_output","call_id":"'), "id", F.lit('","output":"'), F.col("event_id").cast("string"), F.lit('"}'))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", c.alias("b")))), lambda x: x.b), ",")
     b = e.groupBy(F.col("user_id").alias("request")).agg(F.concat(F.lit('{"messages":['), joined(F.when(result, back).otherwise(use)), F.lit("]}")).alias("m"), F.concat(F.lit('{"input":['), joined(F.when(result, out).otherwise(call)), F.lit("]}")).alias("r"))
-    return requests.messages_documents(b, "m", 6).unionByName(requests.responses_documents(b, "r", 6))
+    return requests.messages_documents(b, "m", 64).unionByName(requests.responses_documents(b, "r", 64))
 
 
 REQUEST_DOCUMENTS = """WITH e AS (SELECT user_id AS request, event_id AS pos, floor(value / 10)::BIGINT::VARCHAR AS id, CASE event_type WHEN 'click' THEN 'mcp__linear__get' WHEN 'view' THEN 'Bash' WHEN 'purchase' THEN NULL ELSE 'Unknown' END AS tool FROM events),
@@ -86,7 +129,7 @@ m AS (SELECT 'anthropic' AS p, r.request, r.pos, r.id, min(c.tool) AS tool FROM
 o AS (SELECT 'openai' AS p, r.request, r.pos, r.id, min(c.tool) AS tool FROM e r JOIN e c ON r.request = c.request AND r.id = c.id AND c.tool IS NOT NULL WHERE r.tool IS NULL GROUP BY ALL HAVING count(*) = 1),
 t AS (SELECT *, CASE tool WHEN 'Bash' THEN 'Bash' ELSE 'mcp:linear' END AS source, CASE tool WHEN 'Bash' THEN 'untrusted_tool_output' ELSE 'semi_trusted_service' END AS trust_tier FROM (FROM m UNION ALL FROM o) WHERE tool <> 'Unknown'),
 n AS (SELECT *, row_number() OVER (PARTITION BY p, request ORDER BY pos)::INT AS ordinal FROM t)
-SELECT request, ordinal, p || ':' || source || ':' || left(sha256(id), 16) || ':' || CASE p WHEN 'openai' THEN ordinal - 1 ELSE 0 END AS source, trust_tier, pos::VARCHAR AS body FROM n WHERE ordinal <= 6"""
+SELECT request, ordinal, p || ':' || source || ':' || left(sha256(id), 16) || ':' || CASE p WHEN 'openai' THEN ordinal - 1 ELSE 0 END AS source, trust_tier, pos::VARCHAR AS body FROM n WHERE ordinal <= 64"""
 
 
 def log_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +292,7 @@ def model_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL_BUCKETS = """WITH u AS (SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY min(o_orderkey)) AS k FROM orders GROUP BY o_custkey)
 SELECT k > 32 AS other, CASE WHEN k > 32 THEN 9 ELSE 16 END AS size, sum(n)::BIGINT AS n FROM u GROUP BY k > 32, CASE WHEN k > 32 THEN 0 ELSE k END"""
 
-_ALL = (answer_telemetry, framed_responses, request_documents, log_grammar, usage_checks, usage_comparison, response_sources, agent_logs, last_results, json_texts, entry_keys, toon_fields, cached_artifacts, quality_dimensions, model_buckets)
+_ALL = (answer_telemetry, chunked_answers, framed_responses, request_documents, log_grammar, usage_checks, usage_comparison, response_sources, agent_logs, last_results, json_texts, entry_keys, toon_fields, cached_artifacts, quality_dimensions, model_buckets)
 
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {name: sql for name in QUERIES if (sql := globals().get(name.upper()))}

@@ -1,8 +1,9 @@
 """Telemetry of streamed model answers.
 
-Server-sent events come as rows (stream_id, pos, data), data being JSON. In a batch, a stream's rules are running counts
-over its events, so windows judge them. In a stream, keyed state folds events as they come, and a stream is reported when
-its last event is in, or as unavailable when it has been silent for too long.
+Server-sent events come as rows (stream_id, pos, data), data being JSON; :mod:`sedge.streaming.chunks` makes them of raw
+chunks. In a batch, a stream's rules are running counts over its events, so windows judge them. In a stream, keyed state
+folds events as they come, and a stream is reported when its last event is in, or as unavailable when it has been silent
+for too long. Both forms hold a field to its JSON type: a number in quotes is no number.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sedge.functions.text import json_variant
+
 # Refusal categories that are passed on (others count as "other"), what a model's name may be, the fields
 # of usage, and the bounds on a line, an event's data and the content blocks of a stream.
 REFUSALS = ("cyber", "bio", "frontier_llm", "reasoning_extraction")
@@ -28,102 +31,156 @@ MAX_BLOCKS = 4096
 OVERSIZE = "(oversize)"
 
 
-def frames(texts: DataFrame, key: str = "stream_id", text: str = "text") -> DataFrame:
+def frames(texts: DataFrame, key: str = "stream_id", text: str = "text", size: Callable[[Column | str], Column] = F.octet_length) -> DataFrame:
     """(key, pos, event, data) of whole SSE texts: an event ends with a blank line, so what follows the last one is not
     an event; comments are passed over; data lines are joined by line breaks. An event with a line or data over the bounds
-    comes as OVERSIZE, by which its whole stream is given up, not the event alone."""
+    comes as OVERSIZE, by which its whole stream is given up, not the event alone. ``size`` measures lines and data."""
     own = texts.select(key, F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n\n+").alias("_f"))
     whole = own.select(key, F.posexplode(F.slice("_f", 1, F.size("_f") - 1)).alias("pos", "_e"))
     lines = F.split("_e", "\n")
     field = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(f"{name}:")), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
     data = F.array_join(field("data"), "\n")
-    over = F.exists(lines, lambda x: F.octet_length(x) > MAX_LINE) | (F.octet_length(data) > MAX_EVENT)
-    return whole.select(key, "pos", F.try_element_at(field("event"), F.lit(1)).alias("event"), F.when(over, OVERSIZE).otherwise(data).alias("data")).where("data <> ''")
+    over = F.exists(lines, lambda x: size(x) > MAX_LINE) | (size(data) > MAX_EVENT)
+    return whole.select(key, "pos", F.when(~over, F.try_element_at(field("event"), F.lit(1))).alias("event"), F.when(over, OVERSIZE).otherwise(data).alias("data")).where("data <> ''")
+
+
+def _kind(path: str, v: str | Column = "_v") -> Column:
+    """The kind of JSON value at a path: STRING, BIGINT, OBJECT<...>, ARRAY<...>, VOID and so on; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _string(path: str, v: str | Column = "_v") -> Column:
+    return F.when(_kind(path, v) == "STRING", F.try_variant_get(v, path, "string"))
+
 
+def _number(path: str, v: str | Column = "_v") -> Column:
+    """A whole number that is not negative and fits a long, else null."""
+    n = F.try_variant_get(v, path, "long")
+    return F.when((_kind(path, v) == "BIGINT") & (n >= 0), n)
 
-def _at(path: str) -> Column:
-    return F.get_json_object("data", path)
 
+def _object(path: str) -> Column:
+    return F.coalesce(F.startswith(_kind(path), F.lit("OBJECT")), F.lit(False))
 
-def _whole(c: Column) -> Column:
-    """A JSON number without fraction that is not negative, else null."""
-    return F.when(c.rlike(r"\A[0-9]+\z"), c.cast("long"))
 
+def _safe(path: str, v: str | Column = "_v") -> Column:
+    """A model's name, if it is a sound one."""
+    name = _string(path, v)
+    return F.when(name.rlike(MODEL), name)
 
-def _fallback() -> tuple[Column, Column]:
-    """Whether an event opens a fallback block, and whether such a block is sound."""
-    at = lambda p: _at(f"$.content_block.{p}")
-    trigger = at("trigger").isNull() | ((at("trigger.type") == "refusal") & (at("trigger.category").isNull() | at("trigger.category").isin(*REFUSALS)))
-    sound = at("from.model").rlike(MODEL) & at("to.model").rlike(MODEL) & trigger
-    return F.coalesce(at("type") == "fallback", F.lit(False)), F.coalesce(sound, F.lit(False))
+
+def _trigger(v: str | Column = "_v", at: str = "$") -> Column:
+    """Whether a fallback block's trigger is sound: none, or a refusal without category or with a known one."""
+    absent = lambda p: F.coalesce(_kind(p, v) == "VOID", F.lit(True))
+    category = absent(f"{at}.trigger.category") | F.coalesce(_string(f"{at}.trigger.category", v).isin(*REFUSALS), F.lit(False))
+    return absent(f"{at}.trigger") | (F.coalesce(_string(f"{at}.trigger.type", v) == "refusal", F.lit(False)) & category)
+
+
+def _sound_fallback(block: str = "$.content_block") -> Column:
+    return _safe(f"{block}.from.model").isNotNull() & _safe(f"{block}.to.model").isNotNull() & _trigger(at=block)
 
 
 def _answered() -> Column:
-    """Whether the usage of an event lists an iteration of a fallback model with a sound model and counts."""
-    all_ = F.get_json_object("data", "$.usage.iterations")
-    one = lambda x: (F.get_json_object(x, "$.type") == "fallback_message") & F.get_json_object(x, "$.model").rlike(MODEL)
-    counts = lambda x: functools.reduce(lambda a, b: a & b, [F.get_json_object(x, f"$.{f}").rlike(r"\A[0-9]+\z") for f in USAGE])
-    each = F.from_json(F.when(all_.startswith("["), all_), "array<string>")
-    return F.coalesce(F.exists(each, lambda x: F.coalesce(one(x) & counts(x), F.lit(False))), F.lit(False))
+    """Whether a usage lists an iteration of a fallback model with a sound model and all counts."""
+    whole = lambda x: (_string("$.type", x) == "fallback_message") & _safe("$.model", x).isNotNull() & functools.reduce(lambda a, b: a & b, [_number(f"$.{f}", x).isNotNull() for f in USAGE])
+    each = F.try_variant_get("_v", "$.usage.iterations", "array<variant>")
+    return F.coalesce(F.exists(each, lambda x: F.coalesce(whole(x), F.lit(False))), F.lit(False))
+
+
+def _refusal(at: str) -> Column:
+    """The category of a refusal whose details lie below a path, unknown ones as "other"; null if the stop is another."""
+    category = F.when(_string(f"{at}.stop_details.type") == "refusal", _string(f"{at}.stop_details.category"))
+    return F.when(_string(f"{at}.stop_reason") == "refusal", F.when(category.isin(*REFUSALS), category).otherwise("other"))
 
 
 def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
     """One row per stream: complete, and for complete ones model, usage, stop_reason and refusal_category.
 
     A stream must start once, open and close each content block once (at most MAX_BLOCKS), send its deltas into open blocks
-    that are no fallback blocks, have one final delta with no block open, then stop; any event out of order voids all its
-    telemetry. Errors only count. A fallback block changes the model that answers to its target's and
-    counts as a transition; an unsound one voids the telemetry. A fallback served if the final usage lists its iteration and
-    the answer is no refusal.
+    that are no fallback blocks, have one final delta with no block open, then stop; any event out of order, that is no
+    JSON object (with repeated keys it is none) or whose fields have other types than they should voids all its telemetry.
+    A count of another type is unknown. Errors only count. A fallback block changes the model that answers to its target's
+    and counts as a transition; an unsound one voids the telemetry. A fallback served if the final usage lists its
+    iteration and the answer is no refusal.
     """
-    index = _at("$.index")
-    e = events.select(key, "pos", _at("$.type").alias("kind"), F.when(index.rlike(r"\A[0-9]+\z"), index).alias("block"), "data", F.get_json_object("data", "$").isNull().alias("no_json"))
+    c, no = F.col, F.lit(False)
+    known = ("message_start", "content_block_start", "content_block_delta", "content_block_stop", "message_delta", "message_stop", "error")
+    kind = F.coalesce(_string("$.type"), F.lit(""))
+    fallback = F.coalesce(_string("$.content_block.type") == "fallback", no)
+    of = {
+        "message_start": _safe("$.message.model").isNotNull() & _object("$.message.usage"),
+        "content_block_start": _string("$.content_block.type").isNotNull() & (~fallback | _sound_fallback()),
+        "message_delta": _string("$.delta.stop_reason").isNotNull() & _object("$.usage"),
+    }
+    sound = F.coalesce(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), no)
+    for name, rule in of.items():
+        sound = sound & ((kind != name) | rule)
+    usage = {f: F.when(kind == "message_start", _number(f"$.message.usage.{f}")).when(kind == "message_delta", _number(f"$.usage.{f}")) for f in USAGE}
+    # what an event says by itself; its text goes no further
+    e = events.withColumn("_v", json_variant("data")).select(
+        key, "pos", F.when(kind.isin(*known), kind).otherwise("").alias("kind"), _number("$.index").alias("block"), sound.alias("sound"), ((kind == "content_block_start") & fallback).alias("fallback"),
+        F.when(kind == "message_start", _safe("$.message.model")).when((kind == "content_block_start") & fallback, _safe("$.content_block.to.model")).alias("model"),
+        F.when(kind == "message_delta", _string("$.delta.stop_reason")).alias("stop"), F.when(kind == "message_delta", _refusal("$.delta")).alias("refusal"), ((kind == "message_delta") & _answered()).alias("answered"),
+        *[v.alias(f) for f, v in usage.items()],
+    )
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy(key, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    n = lambda kind, w: F.coalesce(F.sum((F.col("kind") == kind).cast("int")).over(w), F.lit(0))
-    e = e.withColumns({"started": n("message_start", before), "final": n("message_delta", before), "stopped": n("message_stop", before), "opens": n("content_block_start", before), "closes": n("content_block_stop", before), "opened": n("content_block_start", own), "closed": n("content_block_stop", own)})
-    c = F.col
-    model = F.coalesce(_at("$.message.model"), F.lit(""))
-    fallback, sound = _fallback()
-    e = e.withColumn("_into", F.coalesce(F.max((fallback & (c("kind") == "content_block_start")).cast("int")).over(own), F.lit(0)) > 0)
+    n = lambda kind, w: F.coalesce(F.sum((c("kind") == kind).cast("int")).over(w), F.lit(0))
+    e = e.withColumns({"opened": n("content_block_start", own), "closed": n("content_block_stop", own), "into": F.coalesce(F.max(c("fallback").cast("int")).over(own), F.lit(0)) > 0})
+    e = e.withColumns({"started": n("message_start", before), "final": n("message_delta", before), "stopped": n("message_stop", before), "opens": n("content_block_start", before), "closes": n("content_block_stop", before)})
     bad = {
-        "message_start": (c("started") > 0) | ~model.rlike(MODEL) | _at("$.message.usage").isNull(),
-        "content_block_start": (c("started") == 0) | (c("final") > 0) | (c("opens") >= MAX_BLOCKS) | c("block").isNull() | (c("opened") > 0) | _at("$.content_block.type").isNull() | (fallback & ~sound),
-        "content_block_delta": c("block").isNull() | (c("opened") == 0) | (c("closed") > 0) | c("_into"),
+        "message_start": c("started") > 0,
+        "content_block_start": (c("started") == 0) | (c("final") > 0) | (c("opens") >= MAX_BLOCKS) | c("block").isNull() | (c("opened") > 0),
+        "content_block_delta": c("block").isNull() | (c("opened") == 0) | (c("closed") > 0) | c("into"),
         "content_block_stop": c("block").isNull() | (c("opened") == 0) | (c("closed") > 0),
-        "message_delta": (c("started") == 0) | (c("final") > 0) | (c("opens") != c("closes")) | _at("$.delta.stop_reason").isNull() | _at("$.usage").isNull(),
+        "message_delta": (c("started") == 0) | (c("final") > 0) | (c("opens") != c("closes")),
         "message_stop": (c("started") == 0) | (c("final") == 0),
     }
-    wrong = c("no_json") | (c("stopped") > 0)
-    for kind, rule in bad.items():
-        wrong = wrong | ((c("kind") == kind) & rule)
-    is_ = lambda kind: c("kind") == kind
-    usage = {f: F.coalesce(F.max(F.when(is_("message_delta"), _whole(_at(f"$.usage.{f}")))), F.max(F.when(is_("message_start"), _whole(_at(f"$.message.usage.{f}"))))) for f in USAGE}
-    stop = F.max(F.when(is_("message_delta"), _at("$.delta.stop_reason")))
-    category = F.max(F.when(is_("message_delta") & (_at("$.delta.stop_details.type") == "refusal"), _at("$.delta.stop_details.category")))
-    out = e.withColumn("_wrong", F.coalesce(wrong, F.lit(False))).groupBy(key).agg(
-        (F.bool_or(is_("message_stop")) & ~F.bool_or("_wrong")).alias("complete"),
-        F.count_if(is_("error")).alias("errors"),
-        F.coalesce(F.max_by(_at("$.content_block.to.model"), F.when(is_("content_block_start") & fallback, c("pos"))), F.max(F.when(is_("message_start"), _at("$.message.model")))).alias("model"),
-        F.count_if(is_("content_block_start") & fallback).alias("_fallbacks"), F.bool_or(is_("message_delta") & _answered()).alias("_answered"), stop.alias("stop_reason"), category.alias("_category"),
-        *[v.alias(f) for f, v in usage.items()],
+    wrong = ~c("sound") | (c("stopped") > 0)
+    for name, rule in bad.items():
+        wrong = wrong | ((c("kind") == name) & rule)
+    last = lambda f: F.coalesce(F.max(F.when(c("kind") == "message_delta", c(f))), F.max(F.when(c("kind") == "message_start", c(f)))).alias(f)
+    out = e.withColumn("wrong", F.coalesce(wrong, no)).groupBy(key).agg(
+        F.coalesce(F.bool_or(c("kind") == "message_stop") & ~F.bool_or("wrong"), no).alias("complete"), F.count_if(c("kind") == "error").alias("errors"), F.max_by("model", F.when(c("model").isNotNull(), c("pos"))).alias("model"),
+        F.max("stop").alias("stop_reason"), F.max("refusal").alias("refusal_category"), *map(last, USAGE), F.count_if("fallback").alias("fallbacks"), F.bool_or("answered").alias("answered"),
     )
-    out = out.withColumn("complete", F.coalesce("complete", F.lit(False)))
-    refusal = F.when(c("stop_reason") == "refusal", F.when(c("_category").isin(*REFUSALS), c("_category")).otherwise("other"))
-    told = lambda x: F.when(c("complete"), x)
-    return out.select(key, "complete", "errors", told(c("model")).alias("model"), told(c("stop_reason")).alias("stop_reason"), told(refusal).alias("refusal_category"), *[told(c(f)).alias(f) for f in USAGE], F.when(c("complete"), c("_fallbacks")).otherwise(0).alias("fallback_transitions"), F.coalesce(c("complete") & c("_answered") & (c("stop_reason") != "refusal"), F.lit(False)).alias("fallback_served"))
+    told = lambda x: F.when(c("complete"), c(x)).alias(x)
+    return out.select(key, "complete", "errors", *map(told, ("model", "stop_reason", "refusal_category", *USAGE)), F.when(c("complete"), c("fallbacks")).otherwise(0).alias("fallback_transitions"), (c("complete") & c("answered") & (c("stop_reason") != "refusal")).alias("fallback_served"))
+
+
+def message_telemetry(bodies: DataFrame, key: str = "stream_id", body: str = "body") -> DataFrame:
+    """The same columns for answers that came whole, a JSON body each: a message of the assistant with a sound model, a list
+    of content, a usage and a reason to stop. Fallback blocks of the content must all be sound; the last one's target is the
+    model that answered. Errors are none. Bodies over MAX_EVENT bytes are given up; a null body is an incomplete answer."""
+    no = F.lit(False)
+    within = F.when(F.octet_length(body) <= MAX_EVENT, F.col(body))
+    own = bodies.withColumn("_v", json_variant(within)).withColumn("_blocks", F.try_variant_get("_v", "$.content", "array<variant>"))
+    # each fallback block as a stream would bring it
+    blocks = F.filter("_blocks", lambda b: F.coalesce(_string("$.type", b) == "fallback", no))
+    target = lambda b: F.when(_safe("$.from.model", b).isNotNull() & _trigger(b), _safe("$.to.model", b))
+    targets = F.transform(blocks, target)
+    whole = (_string("$.type") == "message") & (_string("$.role") == "assistant") & _safe("$.model").isNotNull() & F.startswith(_kind("$.content"), F.lit("ARRAY")) & _object("$.usage") & _string("$.stop_reason").isNotNull()
+    own = own.withColumn("_to", targets)
+    own = own.withColumn("complete", F.coalesce(whole & ~F.exists("_to", lambda t: t.isNull()), no))
+    told = lambda x, name: F.when(F.col("complete"), x).alias(name)
+    counts = [told(_number(f"$.usage.{f}"), f) for f in USAGE]
+    return own.select(
+        key, "complete", F.lit(0).cast("long").alias("errors"), told(F.coalesce(F.try_element_at("_to", F.lit(-1)), _safe("$.model")), "model"), told(_string("$.stop_reason"), "stop_reason"), told(_refusal("$"), "refusal_category"), *counts,
+        F.when(F.col("complete"), F.size("_to")).otherwise(0).cast("long").alias("fallback_transitions"), F.coalesce(F.col("complete") & _answered() & (_string("$.stop_reason") != "refusal"), no).alias("fallback_served"),
+    )
 
 
 def responses_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
-    """One row per stream of the other protocol: only the last completion counts, and it alone gives usage. A stream with an
-    event over the bounds is given up."""
-    e = events.select(key, "pos", _at("$.type").alias("kind"), "data")
+    """One row per stream of the other protocol: only the last completion counts, and it alone gives usage, of which counts
+    that are no whole numbers are unknown. A stream with an event over the bounds is given up; other data that is no JSON
+    is passed over."""
+    e = events.withColumn("_v", json_variant("data")).select(key, "pos", _string("$.type").alias("kind"), "data")
     done = F.max_by("data", F.when(F.col("kind") == "response.completed", F.col("pos")))
     given_up = F.bool_or(F.coalesce(F.col("data") == OVERSIZE, F.lit(False)))
     out = e.groupBy(key).agg(F.when(~given_up, done).alias("_d"), F.count_if(F.col("kind").isin("error", "response.failed", "response.incomplete")).alias("errors"))
-    at = lambda p: F.get_json_object("_d", f"$.response.{p}")
     paths = {"input_tokens": "usage.input_tokens", "output_tokens": "usage.output_tokens", "total_tokens": "usage.total_tokens", "cached_input_tokens": "usage.input_tokens_details.cached_tokens", "cache_write_tokens": "usage.input_tokens_details.cache_write_tokens", "reasoning_output_tokens": "usage.output_tokens_details.reasoning_tokens"}
-    return out.select(key, F.col("_d").isNotNull().alias("complete"), "errors", F.when(at("model").rlike(MODEL), at("model")).alias("model"), *[_whole(at(p)).alias(f) for f, p in paths.items()])
+    out = out.withColumn("_v", json_variant("_d"))
+    return out.select(key, F.col("_d").isNotNull().alias("complete"), "errors", _safe("$.response.model").alias("model"), *[_number(f"$.response.{p}").alias(f) for f, p in paths.items()])
 
 
 REPORT = "stream_id string, complete boolean, errors long, model string, stop_reason string, refusal_category string, " + ", ".join(f"{f} long" for f in USAGE) + ", fallback_transitions long, fallback_served boolean"
@@ -135,8 +192,22 @@ def _model(v: object) -> str | None:
     return m if isinstance(m, str) and re.fullmatch(MODEL.replace(r"\z", r"\Z"), m) else None
 
 
+def _whole_number(x: object) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool) and 0 <= x < 1 << 63
+
+
 def _counts(usage: dict) -> dict:
-    return {f: x for f in USAGE if isinstance(x := usage.get(f), int) and not isinstance(x, bool) and x >= 0}
+    return {f: x for f in USAGE if _whole_number(x := usage.get(f))}
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    if len(out := dict(pairs)) < len(pairs):
+        raise ValueError("a key is repeated")
+    return out
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
 
 
 def _target(block: dict) -> str | None:
@@ -148,16 +219,17 @@ def _target(block: dict) -> str | None:
 
 def _served(usage: dict) -> bool:
     given = usage.get("iterations")
-    whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and x >= 0
-    return isinstance(given, list) and any(isinstance(x, dict) and x.get("type") == "fallback_message" and _model(x) is not None and all(whole(x.get(f)) for f in USAGE) for x in given)
+    return isinstance(given, list) and any(isinstance(x, dict) and x.get("type") == "fallback_message" and _model(x) is not None and all(_whole_number(x.get(f)) for f in USAGE) for x in given)
 
 
 def step(s: dict, data: str) -> dict:
     """One event folded into a stream's state: phase 0 before start, 1 in the message, 2 after the final delta, 3 stopped."""
     try:
-        v = json.loads(data)
-    except ValueError:
+        v = json.loads(data, parse_constant=_no_constant, object_pairs_hook=_once)
+    except (ValueError, TypeError):
         v = None
+    if isinstance(v, dict) and v.get("type") == "error":
+        s = s | {"errors": s["errors"] + 1}
     if not isinstance(v, dict) or s["phase"] == 3:
         return s | {"bad": True}
     kind, index = v.get("type"), v.get("index")
@@ -165,15 +237,13 @@ def step(s: dict, data: str) -> dict:
     body = v.get(inner) if inner else None
     usage = (body if kind == "message_start" else v) or {}
     usage = usage.get("usage") if isinstance(usage, dict) else None
-    seen = s["blocks"].get(str(index)) if isinstance(index, int) and not isinstance(index, bool) else None
-    if kind == "error":
-        return s | {"errors": s["errors"] + 1}
+    seen = s["blocks"].get(str(index)) if _whole_number(index) else None
     if kind == "message_start":
         ok = s["phase"] == 0 and _model(body) and isinstance(usage, dict)
         return s | ({"phase": 1, "model": _model(body), "usage": _counts(usage)} if ok else {"bad": True})
     if kind == "content_block_start":
         block = v.get("content_block")
-        ok = s["phase"] == 1 and isinstance(index, int) and not isinstance(index, bool) and index >= 0 and seen is None and len(s["blocks"]) < MAX_BLOCKS and isinstance(block, dict) and isinstance(block.get("type"), str)
+        ok = s["phase"] == 1 and _whole_number(index) and seen is None and len(s["blocks"]) < MAX_BLOCKS and isinstance(block, dict) and isinstance(block.get("type"), str)
         if not ok:
             return s | {"bad": True}
         if block["type"] == "fallback":

@@ -40,6 +40,24 @@ def variants():
     return out
 
 
+def malformed():
+    """Streams whose fields have other types than they should, or whose events are no JSON objects, as raw data."""
+    sent = lambda e: [json.dumps(v) for v in e]
+    out = {}
+    for name, change in {
+        "index in quotes": lambda e: [x.update(index="0") for x in e if "index" in x], "index with a fraction": lambda e: [x.update(index=0.0) for x in e if "index" in x], "index that is true": lambda e: e[1].update(index=True), "index below zero": lambda e: e[1].update(index=-1), "index beyond a long": lambda e: [x.update(index=1 << 64) for x in e if "index" in x],
+        "start usage that is a number": lambda e: e[0]["message"].update(usage=5), "final usage that is a list": lambda e: e[5].update(usage=[1]), "reason that is a number": lambda e: e[5]["delta"].update(stop_reason=3), "type that is a number": lambda e: e[1]["content_block"].update(type=1), "model that is a number": lambda e: e[0]["message"].update(model=5),
+        "delta that is text": lambda e: e[5].update(delta="end_turn"), "message that is text": lambda e: e[0].update(message="m"), "block that is a list": lambda e: e[1].update(content_block=["text"]), "kind that is a number": lambda e: e[3].update(type=7), "details that are text": lambda e: e[5].update(delta={"stop_reason": "refusal", "stop_details": "bio"}), "category that is a number": lambda e: e[5].update(delta={"stop_reason": "refusal", "stop_details": {"type": "refusal", "category": 1}}),
+        "count in quotes": lambda e: e[5]["usage"].update(output_tokens="7"), "count with a fraction": lambda e: e[5]["usage"].update(output_tokens=7.0), "count that is true": lambda e: e[5]["usage"].update(output_tokens=True), "count beyond a long": lambda e: e[5]["usage"].update(output_tokens=1 << 63), "count that is null": lambda e: e[5]["usage"].update(output_tokens=None), "largest count": lambda e: e[5]["usage"].update(output_tokens=(1 << 63) - 1),
+        "trigger that is text": lambda e: (e[1].update(content_block={"type": "fallback", "from": {"model": "m"}, "to": {"model": "n"}, "trigger": "refusal"}), e.pop(2)), "target that is text": lambda e: (e[1].update(content_block={"type": "fallback", "from": {"model": "m"}, "to": "n"}), e.pop(2)), "iteration in quotes": lambda e: e[5]["usage"].update(iterations=[{"type": "fallback_message", "model": "n", **dict.fromkeys(sse.USAGE, "1")}]), "iterations that are an object": lambda e: e[5]["usage"].update(iterations={"type": "fallback_message"}),
+    }.items():
+        change(e := good())
+        out[name] = sent(e)
+    for name, data in {"list": "[1]", "number": "5", "text": '"ping"', "null": "null", "nothing": "", "cut": '{"type":"ping"', "not a number": '{"type":"ping","x":NaN}', "infinity": '{"type":"ping","x":-Infinity}', "key twice": '{"type":"ping","type":"ping"}', "two values": "{} {}"}.items():
+        out[f"event: {name}"] = [*sent(good())[:3], data, *sent(good())[4:]]
+    return out
+
+
 def cases():
     rng = random.Random(5)
     out = variants()
@@ -82,6 +100,47 @@ def test_batch_agrees_with_the_fold(spark):
     assert got["fallback"]["model"] == "n" and got["served"]["fallback_served"] and not got["fallback"]["fallback_served"] and got["refusal"]["refusal_category"] == "bio" and got["other refusal"]["refusal_category"] == "other"
 
 
+def test_types_are_held_alike_by_both_forms(spark):
+    streams = malformed()
+    df = spark.createDataFrame([(k, i, d) for k, e in streams.items() for i, d in enumerate(e)], "stream_id string, pos int, data string")
+    got = {r.stream_id: r.asDict() for r in sse.messages_telemetry(df).collect()}
+    for k, e in streams.items():
+        s = dict(sse.EMPTY)
+        for d in e:
+            s = sse.step(s, d)
+        want = {x: None if y is pd.NA or y != y else y for x, y in sse.report(k, s).astype(object).iloc[0].to_dict().items()}
+        assert got[k] == want, k
+    complete = {k for k, r in got.items() if r["complete"]}
+    assert complete == {"kind that is a number", "details that are text", "category that is a number", "count in quotes", "count with a fraction", "count that is true", "count beyond a long", "count that is null", "largest count", "iteration in quotes", "iterations that are an object"}
+    assert {k: got[k]["output_tokens"] for k in complete if got[k]["output_tokens"]} == {"largest count": (1 << 63) - 1} | dict.fromkeys(complete - {x for x in complete if x.startswith(("count", "largest"))}, 7)
+    assert got["details that are text"]["refusal_category"] == got["category that is a number"]["refusal_category"] == "other"
+    assert not any(r["fallback_served"] for r in got.values())
+
+
+def test_answers_that_come_whole(spark):
+    def body(change=lambda v: None):
+        v = {"type": "message", "role": "assistant", "model": "m", "content": [{"type": "text"}, 3], "usage": {"input_tokens": 5, "output_tokens": "7"}, "stop_reason": "end_turn"}
+        change(v)
+        return json.dumps(v)
+
+    back = {"type": "fallback", "from": {"model": "m"}, "to": {"model": "n"}}
+    iteration = {"type": "fallback_message", "model": "n", **dict.fromkeys(sse.USAGE, 1)}
+    bodies = {
+        "good": body(), "refused": body(lambda v: v.update(stop_reason="refusal", stop_details={"type": "refusal", "category": "bio"})), "refused otherwise": body(lambda v: v.update(stop_reason="refusal")),
+        "fallback": body(lambda v: v.update(content=[back, back | {"to": {"model": "o"}}])), "served": body(lambda v: v.update(content=[back], usage={"iterations": [1, iteration]})), "unsound": body(lambda v: v.update(content=[back, {"type": "fallback"}])), "trigger": body(lambda v: v.update(content=[back | {"trigger": {"type": "refusal", "category": "new"}}])),
+        "role": body(lambda v: v.update(role="user")), "type": body(lambda v: v.update(type="completion")), "model": body(lambda v: v.update(model="a b")), "content": body(lambda v: v.update(content="x")), "usage": body(lambda v: v.update(usage=[])), "reason": body(lambda v: v.update(stop_reason=None)), "no json": "{", "list": "[]", "null": None, "long": body(lambda v: v.update(x="y" * sse.MAX_EVENT)),
+    }
+    out = sse.message_telemetry(spark.createDataFrame(list(bodies.items()), "stream_id string, body string"))
+    assert out.dtypes == sse.messages_telemetry(rows(spark, {"a": good()})).dtypes
+    got = {r.stream_id: r for r in out.collect()}
+    assert {k for k, r in got.items() if r.complete} == {"good", "refused", "refused otherwise", "fallback", "served"}
+    assert tuple(got["good"])[1:] == (True, 0, "m", "end_turn", None, 5, None, None, None, 0, False)
+    assert (got["refused"].refusal_category, got["refused otherwise"].refusal_category) == ("bio", "other")
+    assert (got["fallback"].model, got["fallback"].fallback_transitions, got["fallback"].fallback_served) == ("o", 2, False)
+    assert (got["served"].model, got["served"].fallback_transitions, got["served"].fallback_served, got["served"].input_tokens) == ("n", 1, True, None)
+    assert tuple(got["unsound"])[1:] == (False, 0, None, None, None, None, None, None, None, 0, False)
+
+
 def test_too_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(sse, "MAX_BLOCKS", 2)
     e = good()
@@ -128,10 +187,10 @@ def test_stateful_stream(spark, tmp_path):
 
 
 def test_responses_and_frames(spark):
-    done = {"type": "response.completed", "response": {"model": "m", "usage": {"input_tokens": 3, "input_tokens_details": {"cached_tokens": 1}}}}
+    done = {"type": "response.completed", "response": {"model": "m", "usage": {"input_tokens": 3, "output_tokens": "4", "total_tokens": 7.5, "input_tokens_details": {"cached_tokens": 1}}}}
     text = "event: x\ndata: {\"type\":\"error\"}\n\n: note\ndata: " + json.dumps(done) + "\r\n\r\ndata: {\"type\":\"response.completed\"}"
     r = sse.responses_telemetry(sse.frames(spark.createDataFrame([("s", text)], "stream_id string, text string"))).first()
-    assert (r.complete, r.errors, r.model, r.input_tokens, r.cached_input_tokens) == (True, 1, "m", 3, 1)
+    assert (r.complete, r.errors, r.model, r.input_tokens, r.cached_input_tokens, r.output_tokens, r.total_tokens) == (True, 1, "m", 3, 1, None, None)
 
 
 def test_event_log(spark):

@@ -116,3 +116,10 @@ def test_json_functions(spark):
     sets = one(spark, udfs.row_sets("t"), t='{"a": [{"x": 1, "y": "s"}, {"x": 2.5, "y": null}], "b": [{"x": 1}, {"y": 2}]}')
     assert [(s.path, s.columns, s.rows, s.n) for s in sets] == [("$.a", ["x", "y"], [["1", "s"], ["2.5", None]], 2)]
     assert one(spark, udfs.round4(F.col("t").cast("double")), t="0.00005") == round(0.00005, 4)
+
+
+def test_json_variant(spark):
+    values = {"{}": "{}", " [1] ": "[1]", "5": "5", '"x"': '"x"', "null": "null", "{} {}": None, "{},{}": None, "{}],[{}": None, "1],[1": None, "": None, "NaN": None, '{"a":1,"a":2}': None, "{": None, "1 2": None, '{"a":[1,{"b":"]"}]}': '{"a":[1,{"b":"]"}]}'}
+    df = spark.createDataFrame([(k, v) for k, v in values.items()] + [(None, None)], "t string, want string")
+    got = df.select("t", "want", F.to_json(T.json_variant("t")).alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
