@@ -169,14 +169,3 @@ def custody_label(c: Column) -> Column:
 def joined_key(*cols: Column, size: int = 64) -> Column:
     """SHA-256 of the fields, a line each."""
     return F.substring(digest(F.concat_ws("\n", *cols)), 1, size)
-
-
-def json_variant(text: str | Column) -> Column:
-    """A text that is one JSON value, and nothing after it, as a variant; else null (also where an object repeats a key).
-
-    ``try_parse_json`` stops behind the first value. Here the text stands in a list before its own hash, so the hash is the
-    second value only if the text is exactly one.
-    """
-    c = F.col(text) if isinstance(text, str) else text
-    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(","), F.xxhash64(c).cast("string"), F.lit("]")))
-    return F.when(F.try_variant_get(both, "$[1]", "long") == F.xxhash64(c), F.try_variant_get(both, "$[0]", "variant"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedge.plans import checks, registry, runs, streams
+from sedge.plans import checks, registry, runs, sidecars, streams
 
-QUERIES = registry.QUERIES | runs.QUERIES | streams.QUERIES | checks.QUERIES
-ORACLE = registry.ORACLE | runs.ORACLE | streams.ORACLE | checks.ORACLE
+QUERIES = registry.QUERIES | runs.QUERIES | streams.QUERIES | checks.QUERIES | sidecars.QUERIES
+ORACLE = registry.ORACLE | runs.ORACLE | streams.ORACLE | checks.ORACLE | sidecars.ORACLE

@@ -30,11 +30,11 @@ def sql_span(c: str) -> str:
 
 def defanged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page text with links, images and schemes of every kind put in, made harmless."""
-    raw = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("![x]("), "url", F.lit(") [a]("), "url", F.lit(") ![]("), "url", F.lit(") ``run`` JavaScript:go data:x "), F.substring("html", 1, 300)).alias("t"))
+    raw = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("![x]("), "url", F.lit(") [a]("), "url", F.lit(") ![]("), "url", F.lit(") ``run`` JavaScript:go data:x "), F.coalesce("html", F.lit(""))).alias("t"))
     return raw.select("page_id", T.defang_claim(F.col("t")).alias("claim"), T.defang(F.col("t")).alias("plain"), T.claim_span(F.col("t")).alias("span"))
 
 
-_T = "'![x](' || url || ') [a](' || url || ') ![](' || url || ') ``run`` JavaScript:go data:x ' || left(html, 300)"
+_T = "'![x](' || url || ') [a](' || url || ') ![](' || url || ') ``run`` JavaScript:go data:x ' || coalesce(html, '')"
 DEFANGED_LINES = f"SELECT page_id, {sql_defanged('t')} AS claim, replace({sql_defanged('t')}, '`', '''') AS plain, {sql_span('t')} AS span FROM (SELECT page_id, {_T} AS t FROM pages)"
 
 # -- summaries -------------------------------------------------------------------------------------------------------

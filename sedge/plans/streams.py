@@ -198,13 +198,15 @@ SELECT source, CASE WHEN t = 'signup' THEN 'not-strict-json' END AS error, CASE
 
 
 def agent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as an agent's log: purchases complete a turn, views are messages; only logs of one turn are valid."""
-    e = table(spark, sf_dir, "events").where("event_id % 5 < 2").withColumn("v", F.floor("value").cast("string"))
+    """Each user's events, five at a time, as agents' logs: purchases complete a turn, views are messages; only logs of one
+    turn with a message are valid."""
+    e = table(spark, sf_dir, "events").withColumn("v", F.floor("value").cast("string")).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
     value = F.when(F.col("event_type") == "purchase", F.concat(F.lit('{"type":"turn.completed","usage":{"input_tokens":'), "v", F.lit(',"output_tokens":2}}'))).when(F.col("event_type") == "view", F.concat(F.lit('{"type":"item.completed","item":{"type":"agent_message","text":"said '), "event_id", F.lit('"}}'))).otherwise('{"type":"other"}')
-    return readers.agent_turns(e.select(F.col("user_id").alias("source"), F.col("event_id").alias("pos"), value.alias("value")))
+    return readers.agent_turns(e.select(F.format_string("%d/%d", "user_id", F.floor((F.col("n") - 1) / 5)).alias("source"), F.col("event_id").alias("pos"), value.alias("value")))
 
 
-AGENT_LOGS = """WITH u AS (SELECT user_id AS source, count(*) FILTER (event_type = 'purchase') AS k, max(event_id) FILTER (event_type = 'view') AS m, arg_max(floor(value)::BIGINT, event_id) FILTER (event_type = 'purchase') AS v FROM events WHERE event_id % 5 < 2 GROUP BY user_id),
+AGENT_LOGS = """WITH e AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 5 AS b FROM events),
+u AS (SELECT user_id || '/' || b AS source, count(*) FILTER (event_type = 'purchase') AS k, max(event_id) FILTER (event_type = 'view') AS m, arg_max(floor(value)::BIGINT, event_id) FILTER (event_type = 'purchase') AS v FROM e GROUP BY user_id, b),
 o AS (SELECT *, k = 1 AND m IS NOT NULL AS ok FROM u)
 SELECT source, ok AS valid, CASE WHEN ok THEN 'said ' || m END AS final_message, CASE WHEN ok THEN v END AS input_tokens, NULL::BIGINT AS cached_input_tokens, CASE WHEN ok THEN 2 END AS output_tokens FROM o"""
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sedge.functions.text import json_variant
+from sedge.functions.variants import json_variant, kind_at, number_at, object_at, string_at
 
 # Refusal categories that are passed on (others count as "other"), what a model's name may be, the fields
 # of usage, and the bounds on a line, an event's data and the content blocks of a stream.
@@ -44,36 +44,17 @@ def frames(texts: DataFrame, key: str = "stream_id", text: str = "text", size: C
     return whole.select(key, "pos", F.when(~over, F.try_element_at(field("event"), F.lit(1))).alias("event"), F.when(over, OVERSIZE).otherwise(data).alias("data")).where("data <> ''")
 
 
-def _kind(path: str, v: str | Column = "_v") -> Column:
-    """The kind of JSON value at a path: STRING, BIGINT, OBJECT<...>, ARRAY<...>, VOID and so on; null where there is none."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-
-
-def _string(path: str, v: str | Column = "_v") -> Column:
-    return F.when(_kind(path, v) == "STRING", F.try_variant_get(v, path, "string"))
-
-
-def _number(path: str, v: str | Column = "_v") -> Column:
-    """A whole number that is not negative and fits a long, else null."""
-    n = F.try_variant_get(v, path, "long")
-    return F.when((_kind(path, v) == "BIGINT") & (n >= 0), n)
-
-
-def _object(path: str) -> Column:
-    return F.coalesce(F.startswith(_kind(path), F.lit("OBJECT")), F.lit(False))
-
-
 def _safe(path: str, v: str | Column = "_v") -> Column:
     """A model's name, if it is a sound one."""
-    name = _string(path, v)
+    name = string_at(path, v)
     return F.when(name.rlike(MODEL), name)
 
 
 def _trigger(v: str | Column = "_v", at: str = "$") -> Column:
     """Whether a fallback block's trigger is sound: none, or a refusal without category or with a known one."""
-    absent = lambda p: F.coalesce(_kind(p, v) == "VOID", F.lit(True))
-    category = absent(f"{at}.trigger.category") | F.coalesce(_string(f"{at}.trigger.category", v).isin(*REFUSALS), F.lit(False))
-    return absent(f"{at}.trigger") | (F.coalesce(_string(f"{at}.trigger.type", v) == "refusal", F.lit(False)) & category)
+    absent = lambda p: F.coalesce(kind_at(p, v) == "VOID", F.lit(True))
+    category = absent(f"{at}.trigger.category") | F.coalesce(string_at(f"{at}.trigger.category", v).isin(*REFUSALS), F.lit(False))
+    return absent(f"{at}.trigger") | (F.coalesce(string_at(f"{at}.trigger.type", v) == "refusal", F.lit(False)) & category)
 
 
 def _sound_fallback(block: str = "$.content_block") -> Column:
@@ -82,15 +63,15 @@ def _sound_fallback(block: str = "$.content_block") -> Column:
 
 def _answered() -> Column:
     """Whether a usage lists an iteration of a fallback model with a sound model and all counts."""
-    whole = lambda x: (_string("$.type", x) == "fallback_message") & _safe("$.model", x).isNotNull() & functools.reduce(lambda a, b: a & b, [_number(f"$.{f}", x).isNotNull() for f in USAGE])
+    whole = lambda x: (string_at("$.type", x) == "fallback_message") & _safe("$.model", x).isNotNull() & functools.reduce(lambda a, b: a & b, [number_at(f"$.{f}", x).isNotNull() for f in USAGE])
     each = F.try_variant_get("_v", "$.usage.iterations", "array<variant>")
     return F.coalesce(F.exists(each, lambda x: F.coalesce(whole(x), F.lit(False))), F.lit(False))
 
 
 def _refusal(at: str) -> Column:
     """The category of a refusal whose details lie below a path, unknown ones as "other"; null if the stop is another."""
-    category = F.when(_string(f"{at}.stop_details.type") == "refusal", _string(f"{at}.stop_details.category"))
-    return F.when(_string(f"{at}.stop_reason") == "refusal", F.when(category.isin(*REFUSALS), category).otherwise("other"))
+    category = F.when(string_at(f"{at}.stop_details.type") == "refusal", string_at(f"{at}.stop_details.category"))
+    return F.when(string_at(f"{at}.stop_reason") == "refusal", F.when(category.isin(*REFUSALS), category).otherwise("other"))
 
 
 def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
@@ -105,22 +86,22 @@ def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
     """
     c, no = F.col, F.lit(False)
     known = ("message_start", "content_block_start", "content_block_delta", "content_block_stop", "message_delta", "message_stop", "error")
-    kind = F.coalesce(_string("$.type"), F.lit(""))
-    fallback = F.coalesce(_string("$.content_block.type") == "fallback", no)
+    kind = F.coalesce(string_at("$.type"), F.lit(""))
+    fallback = F.coalesce(string_at("$.content_block.type") == "fallback", no)
     of = {
-        "message_start": _safe("$.message.model").isNotNull() & _object("$.message.usage"),
-        "content_block_start": _string("$.content_block.type").isNotNull() & (~fallback | _sound_fallback()),
-        "message_delta": _string("$.delta.stop_reason").isNotNull() & _object("$.usage"),
+        "message_start": _safe("$.message.model").isNotNull() & object_at("$.message.usage"),
+        "content_block_start": string_at("$.content_block.type").isNotNull() & (~fallback | _sound_fallback()),
+        "message_delta": string_at("$.delta.stop_reason").isNotNull() & object_at("$.usage"),
     }
     sound = F.coalesce(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), no)
     for name, rule in of.items():
         sound = sound & ((kind != name) | rule)
-    usage = {f: F.when(kind == "message_start", _number(f"$.message.usage.{f}")).when(kind == "message_delta", _number(f"$.usage.{f}")) for f in USAGE}
+    usage = {f: F.when(kind == "message_start", number_at(f"$.message.usage.{f}")).when(kind == "message_delta", number_at(f"$.usage.{f}")) for f in USAGE}
     # what an event says by itself; its text goes no further
     e = events.withColumn("_v", json_variant("data")).select(
-        key, "pos", F.when(kind.isin(*known), kind).otherwise("").alias("kind"), _number("$.index").alias("block"), sound.alias("sound"), ((kind == "content_block_start") & fallback).alias("fallback"),
+        key, "pos", F.when(kind.isin(*known), kind).otherwise("").alias("kind"), number_at("$.index").alias("block"), sound.alias("sound"), ((kind == "content_block_start") & fallback).alias("fallback"),
         F.when(kind == "message_start", _safe("$.message.model")).when((kind == "content_block_start") & fallback, _safe("$.content_block.to.model")).alias("model"),
-        F.when(kind == "message_delta", _string("$.delta.stop_reason")).alias("stop"), F.when(kind == "message_delta", _refusal("$.delta")).alias("refusal"), ((kind == "message_delta") & _answered()).alias("answered"),
+        F.when(kind == "message_delta", string_at("$.delta.stop_reason")).alias("stop"), F.when(kind == "message_delta", _refusal("$.delta")).alias("refusal"), ((kind == "message_delta") & _answered()).alias("answered"),
         *[v.alias(f) for f, v in usage.items()],
     )
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,17 +137,17 @@ def message_telemetry(bodies: DataFrame, key: str = "stream_id", body: str = "bo
     within = F.when(F.octet_length(body) <= MAX_EVENT, F.col(body))
     own = bodies.withColumn("_v", json_variant(within)).withColumn("_blocks", F.try_variant_get("_v", "$.content", "array<variant>"))
     # each fallback block as a stream would bring it
-    blocks = F.filter("_blocks", lambda b: F.coalesce(_string("$.type", b) == "fallback", no))
+    blocks = F.filter("_blocks", lambda b: F.coalesce(string_at("$.type", b) == "fallback", no))
     target = lambda b: F.when(_safe("$.from.model", b).isNotNull() & _trigger(b), _safe("$.to.model", b))
     targets = F.transform(blocks, target)
-    whole = (_string("$.type") == "message") & (_string("$.role") == "assistant") & _safe("$.model").isNotNull() & F.startswith(_kind("$.content"), F.lit("ARRAY")) & _object("$.usage") & _string("$.stop_reason").isNotNull()
+    whole = (string_at("$.type") == "message") & (string_at("$.role") == "assistant") & _safe("$.model").isNotNull() & F.startswith(kind_at("$.content"), F.lit("ARRAY")) & object_at("$.usage") & string_at("$.stop_reason").isNotNull()
     own = own.withColumn("_to", targets)
     own = own.withColumn("complete", F.coalesce(whole & ~F.exists("_to", lambda t: t.isNull()), no))
     told = lambda x, name: F.when(F.col("complete"), x).alias(name)
-    counts = [told(_number(f"$.usage.{f}"), f) for f in USAGE]
+    counts = [told(number_at(f"$.usage.{f}"), f) for f in USAGE]
     return own.select(
-        key, "complete", F.lit(0).cast("long").alias("errors"), told(F.coalesce(F.try_element_at("_to", F.lit(-1)), _safe("$.model")), "model"), told(_string("$.stop_reason"), "stop_reason"), told(_refusal("$"), "refusal_category"), *counts,
-        F.when(F.col("complete"), F.size("_to")).otherwise(0).cast("long").alias("fallback_transitions"), F.coalesce(F.col("complete") & _answered() & (_string("$.stop_reason") != "refusal"), no).alias("fallback_served"),
+        key, "complete", F.lit(0).cast("long").alias("errors"), told(F.coalesce(F.try_element_at("_to", F.lit(-1)), _safe("$.model")), "model"), told(string_at("$.stop_reason"), "stop_reason"), told(_refusal("$"), "refusal_category"), *counts,
+        F.when(F.col("complete"), F.size("_to")).otherwise(0).cast("long").alias("fallback_transitions"), F.coalesce(F.col("complete") & _answered() & (string_at("$.stop_reason") != "refusal"), no).alias("fallback_served"),
     )
 
 
@@ -174,13 +155,13 @@ def responses_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
     """One row per stream of the other protocol: only the last completion counts, and it alone gives usage, of which counts
     that are no whole numbers are unknown. A stream with an event over the bounds is given up; other data that is no JSON
     is passed over."""
-    e = events.withColumn("_v", json_variant("data")).select(key, "pos", _string("$.type").alias("kind"), "data")
+    e = events.withColumn("_v", json_variant("data")).select(key, "pos", string_at("$.type").alias("kind"), "data")
     done = F.max_by("data", F.when(F.col("kind") == "response.completed", F.col("pos")))
     given_up = F.bool_or(F.coalesce(F.col("data") == OVERSIZE, F.lit(False)))
     out = e.groupBy(key).agg(F.when(~given_up, done).alias("_d"), F.count_if(F.col("kind").isin("error", "response.failed", "response.incomplete")).alias("errors"))
     paths = {"input_tokens": "usage.input_tokens", "output_tokens": "usage.output_tokens", "total_tokens": "usage.total_tokens", "cached_input_tokens": "usage.input_tokens_details.cached_tokens", "cache_write_tokens": "usage.input_tokens_details.cache_write_tokens", "reasoning_output_tokens": "usage.output_tokens_details.reasoning_tokens"}
     out = out.withColumn("_v", json_variant("_d"))
-    return out.select(key, F.col("_d").isNotNull().alias("complete"), "errors", _safe("$.response.model").alias("model"), *[_number(f"$.response.{p}").alias(f) for f, p in paths.items()])
+    return out.select(key, F.col("_d").isNotNull().alias("complete"), "errors", _safe("$.response.model").alias("model"), *[number_at(f"$.response.{p}").alias(f) for f, p in paths.items()])
 
 
 REPORT = "stream_id string, complete boolean, errors long, model string, stop_reason string, refusal_category string, " + ", ".join(f"{f} long" for f in USAGE) + ", fallback_transitions long, fallback_served boolean"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sedge.functions import patterns as P
 from sedge.functions import text as T
 from sedge.functions import udfs
+from sedge.functions import variants as V
 
 AT = "@"
 KEY = "sk-" + "a1B2" * 5
@@ -121,5 +122,5 @@ def test_json_functions(spark):
 def test_json_variant(spark):
     values = {"{}": "{}", " [1] ": "[1]", "5": "5", '"x"': '"x"', "null": "null", "{} {}": None, "{},{}": None, "{}],[{}": None, "1],[1": None, "": None, "NaN": None, '{"a":1,"a":2}': None, "{": None, "1 2": None, '{"a":[1,{"b":"]"}]}': '{"a":[1,{"b":"]"}]}'}
     df = spark.createDataFrame([(k, v) for k, v in values.items()] + [(None, None)], "t string, want string")
-    got = df.select("t", "want", F.to_json(T.json_variant("t")).alias("got")).collect()
+    got = df.select("t", "want", F.to_json(V.json_variant("t")).alias("got")).collect()
     assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
