@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.functions.spread import cut, shared_folder  # noqa: F401  (for the operators here)
+from sedge.functions.spread import cut, shared_folder, spread  # noqa: F401  (for the operators here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

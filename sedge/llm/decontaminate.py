@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 
 from sedge.llm.common import fresh, slices
 
-#: Characters of an item for each edit allowed.
+#: Characters of an item, once normalised, for each edit allowed. An item too short for one edit is looked for as whole
+#: words, between blanks or the text's ends.
 CHARS_PER_EDIT = 16
-#: An item with fewer characters, once normalised, is looked for as it is, between blanks or the text's ends.
-SHORT = 24
 #: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes.
 BLOCK_BYTES = 8_000_000
 
@@ -62,7 +61,7 @@ def least_distance(masks: dict[str, int], size: int, text: str) -> tuple[int, in
 
 class Finder:
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
-        short = [len(t) < SHORT for _, t in items]
+        short = [len(t) < chars_per_edit for _, t in items]
         own = [(i, f" {t} " if s else t, s) for (i, t), s in zip(items, short, strict=True)]
         self.items = [(i, t, 0 if s else len(t) // chars_per_edit, masks_of(t), s) for i, t, s in own]
         at: dict[str, list[tuple[int, int]]] = {}

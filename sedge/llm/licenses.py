@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import ahocorasick
 import pyarrow as pa
@@ -58,6 +59,7 @@ FREE: dict[float, list[str]] = {
 }
 FREEDOM = {name: value for value, names in FREE.items() for name in names}
 UNKNOWN = 0.5
+LONGEST = max(map(len, FREEDOM))
 #: What each kind of evidence adds to the score: a base phrase, another notice, a tag.
 WEIGHTS = (0.6, 0.4, 0.9)
 #: Words are runs of ASCII letters and digits and of all bytes of non-ASCII characters.
@@ -69,18 +71,25 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 @lru_cache(10_000)
+def known(name: str) -> str | None:
+    """The longest known identifier that a name is or continues after a hyphen, a dot or a plus."""
+    at = len(name) if len(name) <= LONGEST else max(name.rfind(c, 0, LONGEST + 1) for c in "-.+")
+    while at > 0 and (own := name[:at]) not in FREEDOM:
+        at = max(own.rfind(c) for c in "-.+")
+    return own if at > 0 else None
+
+
 def freedom(name: str) -> float:
-    """How freely work under a licence may be used again: its identifier's value, else that of the longest identifier that
-    it continues after a hyphen, a dot or a plus, else UNKNOWN."""
-    while name not in FREEDOM:
-        cuts = [i for c in "-.+" if (i := name.rfind(c)) > 0]
-        if not cuts:
-            return UNKNOWN
-        name = name[:max(cuts)]
-    return FREEDOM[name]
+    """How freely work under a licence may be used again: the value of its known identifier, else UNKNOWN."""
+    own = known(name)
+    return UNKNOWN if own is None else FREEDOM[own]
+
+
+#: Parts of an expression, and the line ends that end it.
+TOKEN = re.compile(r"[\n\r]|[()]|[^\s()]+")
 
 
-def parse_expression(text: str) -> tuple[list[str], float | None]:
+def parse_expression(text: str, begin: int = 0, stop: int | None = None) -> tuple[list[str], float | None]:
     """(names, freedom) of a licence expression: the licences that bind, in order, and how free they leave one.
 
     ``with`` binds tightest and adds an exception to the licence on its left, which eases it a little; ``and`` holds one
@@ -88,7 +97,7 @@ def parse_expression(text: str) -> tuple[list[str], float | None]:
     binds no more. A malformed expression has all names that were read and no freedom.
     """
     names: list[str] = []
-    out: list[tuple[float, tuple[str, ...]]] = []
+    out: list[tuple[float, str | tuple]] = []  # names that bind, as a tree
     ops: list[str] = []
     rank = {"or": 1, "and": 2, "with": 3}
     operand = True  # what may come next
@@ -101,13 +110,16 @@ def parse_expression(text: str) -> tuple[list[str], float | None]:
         if op == "or":
             out.append((b, right) if b > a else (a, left))
         elif op == "and":
-            out.append((min(a, b), left + right))
+            out.append((min(a, b), (left, right)))
         else:
             out.append((min(1.0, a + 0.1), left))
         return True
 
     good = True
-    for token in re.findall(r"[()]|[^\s()]+", text):
+    for found in TOKEN.finditer(text, begin, len(text) if stop is None else stop):
+        token = found[0]
+        if token in "\n\r":
+            break
         low = token.lower()
         if low == "(":
             good &= operand
@@ -132,7 +144,7 @@ def parse_expression(text: str) -> tuple[list[str], float | None]:
                 break
             if not (ops and ops[-1] == "with"):
                 names.append(low)
-            out.append((freedom(low), (low,)))
+            out.append((freedom(low), low))
             operand = False
         if not good:
             return names, None
@@ -141,25 +153,37 @@ def parse_expression(text: str) -> tuple[list[str], float | None]:
             return names, None
     if len(out) != 1 or operand:
         return names, None
-    return list(out[0][1]), out[0][0]
+    bind, left = [], [out[0][1]]
+    while left:
+        if isinstance(one := left.pop(), str):
+            bind.append(one)
+        else:
+            left += reversed(one)
+    return bind, out[0][0]
 
 
 @lru_cache(4)
 def _tags(tags: tuple[str, ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for t in tags:
-        a.add_word(t, True)
+        a.add_word(t, len(t))
     a.make_automaton()
     return a
 
 
-def expressions_in(text: bytes, tags: tuple[str, ...]) -> list[str]:
-    """What follows each identifier tag on its line."""
-    out = []
-    for end, _ in _tags(tags).iter(text.lower().decode("latin-1")):
-        stop = min((i for c in (b"\n", b"\r") if (i := text.find(c, end + 1)) >= 0), default=len(text))
-        out.append(text[end + 1:stop].decode("utf-8", "replace"))
-    return out
+def expressions_in(text: bytes, tags: tuple[str, ...]) -> Iterator[tuple[list[str], float | None]]:
+    """The expression behind each identifier tag, up to the next tag at most, so each character is read once."""
+    own, ends = text.decode("utf-8", "replace"), []
+    if any(t.encode() in (low := text.lower()) for t in tags):
+        # lower case is that of ASCII letters alone, so both texts have the same places
+        ends = [(end + 1, end + 1 - size) for end, size in _tags(tags).iter(low.decode("utf-8", "replace"))]
+    for (begin, _), (_, stop) in pairwise([*ends, (0, len(own))]):
+        yield parse_expression(own, begin, max(begin, stop))
+
+
+def as_label(name: str) -> str:
+    """A name read from an expression as a label: one that neither is nor continues a known identifier has a question mark."""
+    return name if known(name) else f"?{name}"
 
 
 @lru_cache(4)
@@ -196,9 +220,9 @@ def _scan(base, notices, tags):
                             last = at if last is None else max(last, at)
                         else:
                             more.add(label)
-                told = [parse_expression(x) for x in expressions_in(text, tags)]
+                told = list(expressions_in(text, tags))
                 for names, _ in told:
-                    bound.update(names)
+                    bound.update(map(as_label, names))
                 free = min((value for _, value in told if value is not None), default=None)
                 nth = lambda at: None if at is None else joined.count(b" ", 0, at)
                 evidence = 1.0
@@ -206,7 +230,7 @@ def _scan(base, notices, tags):
                     evidence *= (1 - weight) ** len(own)
                 whole = sorted(labels | more | bound)
                 if free is None and whole:
-                    free = min(map(freedom, whole))
+                    free = min(freedom(x.removeprefix("?")) for x in whole)
                 rows.append((len(words), n, nth(first), nth(last), ",".join(sorted(labels)), ",".join(whole), (1 - evidence) * (free or 0.0), 1 - evidence, free))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] * 3
             cols = list(zip(*rows, strict=True)) or [()] * 9
@@ -219,11 +243,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row for each row: word count, base phrases' places, labels (distinct, sorted, comma-joined), score, evidence and
     freedom.
 
-    Labels are those of the phrases and the licences that bind by the tagged expressions. ``freedom`` is the strictest valid
+    Labels are those of the phrases and the licences that bind by the tagged expressions; a name in an expression that is no
+    known licence's is marked (``?name``). ``freedom`` is the strictest valid
     expression's, else that of the strictest label, else null; ``evidence`` grows with each independent sign (0: none);
     ``score`` is their product, 0 where nothing is found or nothing may be used. A null or empty text has no words and no
     labels; a null id stays null; repeated rows repeat; an empty table gives an empty one; other columns, whatever their
-    names, are not looked at. No shuffle; a text is read whole, whatever its length.
+    names, are not looked at. No shuffle; a text is read whole, whatever its length, in time and memory in proportion to it.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_scan(tuple(base.items()), tuple(notices.items()), tuple(tags)), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, evidence double, freedom double")

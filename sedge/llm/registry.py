@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm import ann, bpe, collocations, decontaminate, fill_in_middle, language, licenses, line_dedup, simhash, substring_dedup, topk, toxicity, url_filter
-from sedge.llm.common import table
+from sedge.llm.common import spread, table
+
+
+def texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Documents for work that is dear by the row: a file of one row group is dealt out to all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +29,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(texts(spark, sf_dir))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def remainder(by: int):
@@ -36,14 +41,14 @@ def remainder(by: int):
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
     scored = toxicity.with_score(docs, model).withColumnRenamed("toxicity", "score")
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "lang")
     model = language.fit(docs.where(remainder(4) != 2).select("text", "lang"))
     found = language.label(docs.select("doc_id", "text"), model, with_spans=False)
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
@@ -58,7 +63,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False).drop("text")
+    return bpe.encode(texts(spark, sf_dir), keep_ids=False).drop("text")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

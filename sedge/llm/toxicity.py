@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = marks.count()
-    some = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))))
+    some = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 53)) < int((1 << 53) * min(1.0, sample / max(n, 1))))
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
     rows = cut(own.join(F.broadcast(some), "_id").select("toxic", "text").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text"))  # copies count once
     total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

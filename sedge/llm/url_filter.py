@@ -72,7 +72,9 @@ def terms_in(url: str, terms: tuple[tuple[str, int], ...]) -> tuple[set[str], di
 def _judge(rules, terms, needed, limit):
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for verdict, host, path in rules:
-        by_host.setdefault(host, []).append((host + path, path, verdict))
+        if host:
+            by_host.setdefault(host, []).append((host + path, path, verdict))
+    sizes = sorted({len(h) for h in by_host})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,10 +83,10 @@ def _judge(rules, terms, needed, limit):
                 host, path = split_url(url)
                 hard, mild = terms_in(url or "", terms)
                 weight = sum(mild.values())
-                fits, part = [], host
-                while part:
-                    fits += [(len(r), r, v) for r, p, v in by_host.get(part, ()) if path.startswith(p)]
-                    part = part.partition(".")[2]
+                fits = []
+                for n in sizes:  # only ends of the host that are as long as a rule's
+                    if n == len(host) or n < len(host) and host[-n - 1] == ".":
+                        fits += [(len(r), r, v) for r, p, v in by_host.get(host[-n:], ()) if path.startswith(p)]
                 rule, verdict = max(fits)[1:] if fits else (None, "block" if hard or len(mild) >= needed and weight >= limit else "allow")
                 rows.append((host, path, rule, verdict, len(hard), len(mild), weight))
             cols = list(zip(*rows, strict=True)) or [()] * 7
