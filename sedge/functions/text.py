@@ -125,11 +125,6 @@ def flags(evidence: Column, findings: Column) -> Column:
     return F.array_compact(F.array(F.when(F.size(findings) > 0, F.lit("redacted")), F.when(evidence.rlike(P.INJECTION), F.lit("injection-shaped")), F.when(has_url(evidence), F.lit("has-url"))))
 
 
-def card_line(card_id: Column, tier: Column, flag_list: Column, claim: Column) -> Column:
-    mark = F.when(F.size(flag_list) > 0, F.concat(F.lit(" ["), F.array_join(flag_list, " "), F.lit("]"))).otherwise("")
-    return F.concat(F.lit("- "), card_id, F.lit(" ["), tier, F.lit("]"), mark, F.lit(": `"), defang(claim), F.lit("`"))
-
-
 def toon_field(value: Column, kind: str = "string", delimiter: str = "\t") -> Column:
     """A scalar as a field of a row encoding: null and booleans bare, other text quoted where it could be misread."""
     if kind == "boolean":

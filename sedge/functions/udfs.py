@@ -81,11 +81,6 @@ def round4(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None or v != v else round(float(v), 4))
 
 
-@F.pandas_udf(StringType())
-def json_quote(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else json.dumps(t, ensure_ascii=False))
-
-
 def hmac_hex(text: Column, key: bytes, size: int = 64) -> Column:
     """The first ``size`` hex digits of HMAC-SHA-256."""
 

@@ -76,13 +76,6 @@ def cards(docs: DataFrame, max_cards: int = 24, key: str = "doc_id", text: str =
     )
 
 
-def run_counts(docs: DataFrame, cards_: DataFrame, key: str = "doc_id", tier: str = "trust_tier") -> DataFrame:
-    """One row: documents, cards, and whether trust tiers are mixed."""
-    d = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.col("withheld").cast("long")), F.lit(0)).alias("withheld_documents"), (F.count_distinct(tier) > 1).alias("mixed_trust_tiers"))
-    c = cards_.agg(F.count("*").alias("cards"))
-    return d.withColumn("_k", F.lit(1)).join(c.withColumn("_k", F.lit(1)), "_k").drop("_k")
-
-
 def withhold(docs: DataFrame, content: str = "content", max_bytes: int = 2_000_000) -> DataFrame:
     """``docs`` with ``withheld``, ``reason`` and ``text``: content over the cap or not UTF-8 keeps its digest alone."""
     over = F.octet_length(content) > max_bytes

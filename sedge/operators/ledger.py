@@ -67,12 +67,6 @@ def cohort_id(*cols: Column) -> Column:
     return F.substring(F.sha2(canonical_json(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})), 256), 1, 16)
 
 
-def ordered_digest(rows: DataFrame, by: list[str], line: Column, order: list[str]) -> DataFrame:
-    """SHA-256 over a group's lines in order; a group must fit a row, as a run's documents do."""
-    own = rows.select(*by, F.struct(*order, line.alias("_line")).alias("_s"))
-    return own.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["_line"]), "\n"), 256).alias("digest"), F.count("*").alias("n"))
-
-
 def tree_digest(rows: DataFrame, by: list[str], line: Column, place: Column, order: list[str], fan: int = 1000, levels: int = 3) -> DataFrame:
     """(by, digest, n): SHA-256 of a group of any size. Lines are taken in ``order`` within each run of ``fan`` places (a
     whole number that does not fall as the order goes on), then the runs' digests by ``fan``, and so on; the last level
@@ -91,11 +85,6 @@ def repeats(records: DataFrame, key: list[str]) -> DataFrame:
     return records.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def one_value(records: DataFrame, column: str) -> DataFrame:
-    """One row: how many values a column has, and whether it is exactly one."""
-    return records.agg(F.count_distinct(column).alias("values"), (F.count_distinct(column) == 1).alias("single"))
-
-
 def violations(records: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``records`` with ``errors``: the sorted names of the rules that do not hold (a null outcome does not hold)."""
     return records.withColumn("errors", F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))))

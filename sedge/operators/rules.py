@@ -50,11 +50,6 @@ def admit(rows: DataFrame, label: str, ranks: Sequence[str], required: Column) -
     return rows.withColumn("custody", F.when(known, own)).withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull())
 
 
-def first_failure(rows: DataFrame, checks: Sequence[tuple[str, Column]]) -> DataFrame:
-    """``reason``: the first check, in order, that does not hold; a null outcome does not hold."""
-    return rows.withColumn("reason", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]))
-
-
 def root_class(tags: Column, classes: Sequence[tuple[str, str]], default: str) -> Column:
     """An ordered decision table: the class of the first tag in it that ``tags`` has."""
     return F.coalesce(*[F.when(F.array_contains(tags, tag), F.lit(name)) for tag, name in classes], F.lit(default))

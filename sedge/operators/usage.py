@@ -42,7 +42,3 @@ def compare(rows: DataFrame, bind: list[str], differ: list[str]) -> DataFrame:
     for d in differ:
         both = both.where(F.col(f"base_{d}") != F.col(f"cand_{d}"))
     return both.withColumns({f"{f}_savings": F.when(F.col(f"base_{f}") > 0, (F.col(f"base_{f}") - F.col(f"cand_{f}")) / F.col(f"base_{f}")) for f in FIELDS})
-
-
-def status_classes(rows: DataFrame, status: str = "status") -> DataFrame:
-    return rows.groupBy(F.concat(F.floor(F.col(status) / 100).cast("string"), F.lit("xx")).alias("status_class")).agg(F.count("*").alias("n"))

@@ -52,11 +52,11 @@ def hook(calls: DataFrame, cache: DataFrame, surfaces: dict[str, bool], minimum_
 
     bypass: the surface is off, the answer is short, or condensing would not save enough (savings are rounded to four
     places first); hit: the cache (entry_key, summary) has it under the same settings; miss: condensed now. Text that
-    cannot be read is withheld.
+    cannot be read is withheld. A call is one row, however often the cache has a key (of several summaries the least counts).
     """
     on = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in surfaces.items() for x in kv]), F.col("surface")), F.lit(False))
     own = calls.withColumn("tokens", T.token_count("text")).withColumn("entry_key", T.entry_key(T.digest("text"), hook_settings(max_cards, minimum_savings)))
-    own = own.withColumn("_wanted", on & (F.col("tokens") >= minimum_tokens) & F.col("text").isNotNull()).join(cache.select("entry_key", F.col("summary").alias("_cached")), "entry_key", "left")
+    own = own.withColumn("_wanted", on & (F.col("tokens") >= minimum_tokens) & F.col("text").isNotNull()).join(cache.groupBy("entry_key").agg(F.min("summary").alias("_cached")), "entry_key", "left")
     fresh = own.where("_wanted and _cached is null").select("call_id", F.col("call_id").cast("string").alias("run_id"), F.col("tool").alias("trust_tier"), "text", T.digest("text").alias("sha256"), F.lit("task-return").alias("source"))
     cards = C.cards(T.redact(fresh).drop("text"), max_cards, key="call_id")
     made = render.summary(*render.numbered(cards, fresh, key="call_id")).select(F.col("run_id").alias("_run"), F.col("summary").alias("_made"))

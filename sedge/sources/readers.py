@@ -56,13 +56,6 @@ def completed_response(artifacts: DataFrame, json: str = "json") -> DataFrame:
     return own.withColumns({f: F.when(F.col("usage_error").isNull(), b(f"$.usage.{p}").cast("long")) for f, p in fields.items()}).drop("_b")
 
 
-def input_count(artifacts: DataFrame, json: str = "json") -> DataFrame:
-    """Usage of input-count artifacts: an object of exactly two keys."""
-    at = lambda p: F.get_json_object(json, p)
-    ok = (F.array_sort(F.json_object_keys(json)) == F.array(F.lit("input_tokens"), F.lit("object"))) & (at("$.object") == "response.input_tokens")
-    return artifacts.withColumn("input_tokens", F.when(ok, at("$.input_tokens").cast("long")))
-
-
 def agent_turns(lines: DataFrame, key: str = "source") -> DataFrame:
     """Usage of agent logs (key, pos, value): exactly one completed turn, and an agent message before it."""
     kind = F.get_json_object("value", "$.type")
