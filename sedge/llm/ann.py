@@ -267,7 +267,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     other ids, in double precision, largest first; ties go to the smaller id.
 
     Every row is a candidate, however often its vector or its id occurs (a row that repeats another wholly counts once,
-    and all rows of a query's own id are passed over). Vectors of another length than the query's are no candidates of
+    and all rows of a query's own id are passed over). Ids are taken to be distinct: one with several vectors may take
+    several places of a list, and the lists of a query id's vectors come as one. Vectors of another length than the query's are no candidates of
     it. Null, empty, zero and non-finite vectors, and rows with a null id, take no part. An empty table gives an empty
     one; other columns, whatever their names, are not looked at. Candidates are proposed from codes, so single ones can be
     missed; vectors of a length that is too rare for codebooks are all scored.
