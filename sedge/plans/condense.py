@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
-from sedge.functions.spread import ordinals
+from sedge.functions.spread import cut, ordinals
 from sedge.functions.udfs import round4
 from sedge.operators import cards as C
 from sedge.operators import render
@@ -20,21 +20,23 @@ class Run:
     cards: DataFrame
     summary: DataFrame
     manifest: DataFrame
+    findings: DataFrame
 
 
-def condense(documents: DataFrame, run_id: str, default_tier: str = "untrusted", overrides: DataFrame | None = None, max_cards: int = 24, max_bytes: int = 2_000_000) -> Run:
+def condense(documents: DataFrame, run_id: str | None, default_tier: str = "untrusted", overrides: DataFrame | None = None, max_cards: int = 24, max_bytes: int = 2_000_000) -> Run:
     """``documents`` has source and content (bytes), and ``position`` where their order is not that of their sources. Those
     over the cap or not UTF-8 are withheld: they keep their digest in the manifest and give no text. A source may come
-    more than once; each row is an input."""
+    more than once; each row is an input. Where ``run_id`` is None, documents have a column of that name and are of many runs."""
     own = C.withhold(documents, max_bytes=max_bytes)
     own = C.with_tier(own, overrides, default_tier) if overrides is not None else own.withColumn("trust_tier", F.lit(default_tier))
-    own = own.withColumn("run_id", F.lit(run_id))
+    own = own if run_id is None else own.withColumn("run_id", F.lit(run_id))
     if "position" not in own.columns:
         own = ordinals(own.withColumn("_one", F.lit(1)), "run_id", ["source", "sha256"], "_one").withColumnRenamed("ordinal", "position").drop("before", "_one")
     held = own.select("run_id", "position", "source", "trust_tier", "sha256", "withheld", "reason", F.octet_length("content").alias("bytes"))
-    cards = C.cards(T.redact(own.where("not withheld").select("run_id", "position", "source", "trust_tier", "sha256", "text")).drop("text"), max_cards, key="position")
+    clean = T.redact(own.where("not withheld").select("run_id", "position", "source", "trust_tier", "sha256", "text")).drop("text")
+    cards = cut(C.cards(clean.withColumn("_doc", F.struct("run_id", "position")), max_cards, key="_doc").drop("_doc"))
     numbered, inputs = render.numbered(cards, held, key="position")
-    return Run(held, cards, render.summary(numbered, inputs), manifest(held, cards))
+    return Run(held, cards, render.summary(numbered, inputs), manifest(held, cards), clean.select("run_id", "position", "findings"))
 
 
 def manifest(documents: DataFrame, cards: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
 from sedge.functions.spread import cut
-from sedge.operators import analyze, render, rules
+from sedge.operators import analyze, eventlog, render, rules
 from sedge.operators import cards as C
 from sedge.plans import condense
-from sedge.plans.registry import SQL_CARDS, SQL_CRITICAL, SQL_FLAGS, SQL_QUESTION, SQL_RUN, SQL_TOKENS, SQL_URL, _cards, _inputs, documents, table
+from sedge.plans.registry import RUN, SQL_CARDS, SQL_CRITICAL, SQL_FLAGS, SQL_QUESTION, SQL_RUN, SQL_TOKENS, SQL_URL, _cards, _inputs, documents, table
 
 # -- claims made harmless --------------------------------------------------------------------------------------------
 
@@ -69,23 +71,80 @@ SQL_INPUTS = f"SELECT {SQL_RUN} AS run_id, doc_id, source AS name, sha256(text)
 SUMMARY_TEXT = SQL_CARDS + sql_summary(SQL_RUN, SQL_INPUTS) + " SELECT run_id, summary FROM summed"
 
 
+_OVER = [(1, "src0", "a"), (2, "src1", "b"), (3, "src1", "c")]
+_SETTINGS = {"max_cards_per_input": 24, "store_raw": False}
+_MADE = "2026-01-01T00:00:00Z"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> condense.Run:
+    """Runs of 64 neighbouring documents' bytes, some over a cap on size, with tiers by path."""
+    docs = documents(spark, sf_dir).select(F.expr(RUN).alias("run_id"), F.format_string("%s/%02d", "source", "doc_id").alias("source"), F.encode("text", "UTF-8").alias("content"))
+    return condense.condense(docs, None, overrides=spark.createDataFrame(_OVER, "position int, path string, trust_tier string"), max_bytes=3000)
+
+
 def condensed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run over the first 64 documents' bytes, some over the cap on size: manifest row and summary digest together."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 64").select(F.format_string("%s/%02d", "source", "doc_id").alias("source"), F.encode("text", "UTF-8").alias("content"))
-    over = spark.createDataFrame([(1, "src0", "a"), (2, "src1", "b"), (3, "src1", "c")], "position int, path string, trust_tier string")
-    run = condense.condense(docs, "r", overrides=over, max_bytes=3000)
+    """Every run's manifest row and summary together."""
+    run = _runs(spark, sf_dir)
     inputs = F.array_join(F.transform("inputs", lambda x: F.concat_ws("|", x.source, x.sha256, x.bytes.cast("string"), x.trust_tier, x.withheld.cast("string"))), "\n")
     return run.manifest.withColumn("inputs", inputs).join(run.summary, "run_id")
 
 
+_SQL_RUNS = (
+    SQL_CARDS.replace("FROM documents", "FROM few", 1).replace("WITH ", """WITH few AS (SELECT doc_id, text FROM documents WHERE octet_length(encode(text)) <= 3000), """, 1)
+    + sql_summary(SQL_RUN, f"""SELECT run_id, doc_id, name, sha, tier, bytes, row_number() OVER (PARTITION BY run_id ORDER BY name) AS place FROM (SELECT {SQL_RUN} AS run_id, doc_id, printf('%s/%02d', source, doc_id) AS name, sha256(text) AS sha, octet_length(encode(text)) AS bytes, CASE source WHEN 'src0' THEN 'a' WHEN 'src1' THEN 'c' ELSE 'untrusted' END AS tier FROM documents)""").replace("ORDER BY doc_id) AS ordinal", "ORDER BY name) AS ordinal").replace("ORDER BY doc_id, rank) AS ord", "ORDER BY ordinal, rank) AS ord")
+)
 CONDENSED_RUN = (
-    SQL_CARDS.replace("FROM documents", "FROM few", 1).replace("WITH ", """WITH few AS (SELECT doc_id, text FROM documents WHERE doc_id < 64 AND octet_length(encode(text)) <= 3000), """, 1)
-    + sql_summary("'r'", """SELECT 'r' AS run_id, doc_id, name, sha, tier FROM (SELECT row_number() OVER (ORDER BY name) AS place, * FROM (SELECT doc_id, printf('%s/%02d', source, doc_id) AS name, sha256(text) AS sha, CASE source WHEN 'src0' THEN 'a' WHEN 'src1' THEN 'c' ELSE 'untrusted' END AS tier FROM documents WHERE doc_id < 64))""").replace("ORDER BY doc_id) AS ordinal", "ORDER BY name) AS ordinal").replace("ORDER BY doc_id, rank) AS ord", "ORDER BY ordinal, rank) AS ord")
-    + """, x AS (SELECT name, sha, octet_length(encode(text)) AS bytes, tier, octet_length(encode(text)) > 3000 AS held FROM ia JOIN documents USING (doc_id))
-SELECT 'r' AS run_id, string_agg(concat_ws('|', name, sha, bytes::VARCHAR, tier, held::VARCHAR), chr(10) ORDER BY name) AS inputs, count(*) AS documents, count(*) FILTER (held) AS withheld_documents, count(DISTINCT tier) > 1 AS mixed_trust_tiers, (SELECT count(*) FROM cards) AS cards, (SELECT summary FROM summed) AS summary FROM x"""
+    _SQL_RUNS
+    + """, x AS (SELECT *, bytes > 3000 AS held FROM ia), xc AS (SELECT run_id, count(*) AS cards FROM sc GROUP BY run_id)
+SELECT run_id, string_agg(concat_ws('|', name, sha, bytes::VARCHAR, tier, held::VARCHAR), chr(10) ORDER BY name) AS inputs, count(*) AS documents, count(*) FILTER (held) AS withheld_documents, count(DISTINCT tier) > 1 AS mixed_trust_tiers, coalesce(any_value(xc.cards), 0) AS cards, any_value(summary) AS summary FROM x LEFT JOIN xc USING (run_id) JOIN summed USING (run_id) GROUP BY run_id"""
+)
+
+
+def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    run = _runs(spark, sf_dir)
+    return eventlog.event_log(run, _MADE, _SETTINGS), run.documents
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of every run: each event's place, document and the texts that name it."""
+    log = _log(spark, sf_dir)[0]
+    at = lambda *names: F.coalesce(*[F.get_json_object("json", f"$.{n}") for n in names])
+    return log.select("run_id", "pos", "event", F.col("doc").alias("i"), at("claim", "sha256", "text", "generated_at").alias("content"), at("source", "id").alias("name"), at("cards", "bytes", "line_start").cast("long").alias("size"), at("findings", "flags", "mixed_trust_tiers").alias("marks"))
+
+
+RUN_EVENTS = (
+    _SQL_RUNS
+    + f""", rn AS (SELECT ia.*, count(rank) AS n FROM ia LEFT JOIN cards USING (doc_id) GROUP BY ALL), rp AS (SELECT *, coalesce(sum(n + 2) OVER (PARTITION BY run_id ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rn),
+rf AS (SELECT doc_id, '[' || coalesce(string_agg('"' || f || '"', ','), '') || ']' AS f FROM (SELECT doc_id, unnest(string_split(findings, ',')) AS f FROM few JOIN (SELECT DISTINCT doc_id, findings FROM l) USING (doc_id)) WHERE f <> '' GROUP BY doc_id),
+rt AS (SELECT run_id, sum(n + 2) AS total, count(DISTINCT tier) > 1 AS mixed FROM rn GROUP BY run_id)
+SELECT run_id, (before + 1)::BIGINT AS pos, 'doc' AS event, ordinal - 1 AS i, sha AS content, name, bytes AS size, coalesce(rf.f, '[]') AS marks FROM rp LEFT JOIN rf USING (doc_id)
+UNION ALL SELECT rp.run_id, (before + 1 + rank)::BIGINT, 'card', ordinal - 1, claim, rp.name, cards.line_start, '[' || coalesce(nullif('"' || replace({SQL_FLAGS}, ',', '","') || '"', '""'), '') || ']' FROM rp JOIN cards USING (doc_id)
+UNION ALL SELECT run_id, (before + 2 + n)::BIGINT, 'end', ordinal - 1, NULL, NULL, n, NULL FROM rp
+UNION ALL SELECT run_id, (total + 1)::BIGINT, 'summary', NULL, summary, NULL, NULL, NULL FROM rt JOIN summed USING (run_id) UNION ALL SELECT run_id, (total + 2)::BIGINT, 'manifest', NULL, '{_MADE}', run_id, NULL, mixed::VARCHAR FROM rt"""
 )
 
 
+def run_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs of all runs held against their documents, once some documents' events have been dropped, doubled, moved or
+    changed on the way."""
+    log, docs = _log(spark, sf_dir)
+    n = F.col("doc") * 7 + F.length("run_id")
+    own = log.withColumns({"a": F.coalesce(F.when(n % 23 == 5, F.col("doc") + 1.5).otherwise(F.col("doc")), F.lit(1e9)), "n": n})
+    own = own.withColumn("json", F.when((F.col("event") == "doc") & (F.col("n") % 29 == 6), F.regexp_replace("json", '"sha256":"....', '"sha256":"0000')).otherwise(F.col("json")))
+    own = own.where("not coalesce(n % 17 = 3, false)")
+    own = own.unionByName(own.where("n % 19 = 4").withColumn("a", F.col("a") + 0.25))
+    facts = docs.select("run_id").distinct().select("run_id", F.lit(_MADE).alias("generated_at"), F.lit(json.dumps(_SETTINGS)).alias("settings"))
+    return eventlog.echo_errors(own, docs, facts, ["a", "pos"]).where("error in ('dropped', 'doubled', 'moved', 'changed', 'generated-at', 'no-manifest', 'inputs')")
+
+
+RUN_ECHO = f"""WITH d AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY name) - 1 AS i, sha FROM (SELECT {SQL_RUN} AS run_id, printf('%s/%02d', source, doc_id) AS name, sha256(text) AS sha FROM documents)),
+k AS (SELECT *, i * 7 + length(run_id) AS n FROM d), g AS (SELECT run_id, i, n, CASE WHEN n % 29 = 6 THEN '0000' || substr(sha, 5) ELSE sha END AS sha, CASE WHEN n % 23 = 5 THEN i + 1.5 ELSE i END AS a FROM k WHERE n % 17 <> 3),
+log AS (SELECT * FROM g UNION ALL SELECT run_id, i, n, sha, a + 0.25 FROM g WHERE n % 19 = 4),
+f AS (SELECT run_id, i, min(a) AS a, count(*) AS times, arg_min(sha, a) AS sha FROM log GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY a) AS x, row_number() OVER (PARTITION BY run_id ORDER BY i) AS y FROM f)
+SELECT run_id, 'dropped' AS error, i FROM d ANTI JOIN f USING (run_id, i) UNION ALL SELECT run_id, 'doubled', i FROM f WHERE times > 1 UNION ALL SELECT run_id, 'moved', i FROM p WHERE x <> y UNION ALL SELECT run_id, 'changed', i FROM f JOIN d USING (run_id, i) WHERE f.sha <> d.sha"""
+
+
 def withheld_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes over the cap, or cut inside a character, keep their digest alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("case when doc_id % 5 = 0 then unhex(concat(hex(text), 'C3')) else encode(text, 'UTF-8') end").alias("content"))
@@ -191,7 +250,7 @@ def inherited_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INHERITED_FIELDS = """SELECT c_custkey AS child, s_suppkey IS NULL AS missing_parent, CASE WHEN s_suppkey IS NULL THEN '' ELSE concat_ws(',', CASE WHEN c_nationkey IS DISTINCT FROM s_nationkey THEN 'nation' END, CASE WHEN c_custkey % 2 <> s_suppkey % 4 THEN 'parity' END) END AS differs FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey"""
 
-_ALL = (defanged_lines, summary_text, condensed_run, withheld_documents, hook_outcomes, card_formats, row_set_analysis, claim_bindings, packed_replies, inherited_fields)
+_ALL = (defanged_lines, summary_text, condensed_run, run_events, run_echo, withheld_documents, hook_outcomes, card_formats, row_set_analysis, claim_bindings, packed_replies, inherited_fields)
 
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {name: sql for name in QUERIES if (sql := globals().get(name.upper()))}
