@@ -1,10 +1,11 @@
-"""The scalar text functions as SQL functions of a session, for queries that are written as SQL."""
+"""The text functions for queries that are written as SQL: scalar ones as functions of a session, redaction as a view."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 from sedge.functions import patterns as P
+from sedge.functions.udfs import _nfkc
 
 
 def _r(pattern: str) -> str:
@@ -42,3 +43,43 @@ def register(spark: SparkSession) -> list[str]:
     for name, (parameters, kind, body) in bodies().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     return list(bodies())
+
+
+def _q(text: str) -> str:
+    """A string literal of any characters."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _mask(secret: P.Secret) -> str:
+    pattern = _q(secret.pattern)
+    if not secret.spans_lines:
+        return f"regexp_replace(redacted, {pattern}, {_q(chr(92) + P.MASK.replace(']', chr(92) + ']'))})"
+    breaks = f"regexp_replace(hit, {_q('[^' + P.LINE_BREAK[1:])}, '')"
+    between = f"split(redacted, {pattern}, -1)"
+    rest = f"zip_with(slice({between}, 2, size({between})), regexp_extract_all(redacted, {pattern}, 0), (gap, hit) -> concat({_q(P.MASK)}, {breaks}, coalesce(gap, '')))"
+    return f"concat(element_at({between}, 1), array_join({rest}, ''))"
+
+
+def redaction(source: str, text: str = "text") -> str:
+    """A query in SQL that adds ``redacted`` and ``findings`` to a table or view, as :func:`sedge.functions.text.redact` does:
+    a step a pipe, each of which sees what the one before has left. It calls ``nfkc_text``, which :func:`register_redaction`
+    makes. ``source`` and ``text`` are names; a source must not have columns of the names that are added."""
+    odd = "octet_length(redacted) > length(redacted)"
+    steps = [
+        f"FROM {source}", f"EXTEND CASE WHEN contains({text}, '\\r') THEN regexp_replace({text}, {_q(chr(13) + chr(10) + '?')}, '\\n') ELSE {text} END AS redacted",
+        f"SET redacted = CASE WHEN {odd} THEN nfkc_text(redacted) ELSE redacted END",
+        f"SET redacted = CASE WHEN {odd} THEN translate(regexp_replace(redacted, {_q(P.ZERO_WIDTH + '|' + P.BIDI + '|' + P.TAG)}, ''), {_q(P.CONFUSABLE)}, {_q(P.CONFUSED_WITH)}) ELSE redacted END",
+        f"SET redacted = regexp_replace(redacted, {_q(P.CONTROL)}, '')",
+    ]
+    for k, secret in enumerate(P.SECRETS):
+        may = " OR ".join(f"contains(redacted, {_q(x)})" for x in secret.literals) or f"redacted RLIKE {_q(secret.guard)}"
+        steps += [f"EXTEND ({may}) AND redacted RLIKE {_q(secret.pattern)} AS _hit{k}", f"SET redacted = CASE WHEN _hit{k} THEN {_mask(secret)} ELSE redacted END"]
+    named = ", ".join(f"CASE WHEN _hit{k} THEN {_q(secret.name)} END" for k, secret in enumerate(P.SECRETS))
+    return "\n|> ".join([*steps, f"EXTEND array_compact(array({named})) AS findings", "DROP " + ", ".join(f"_hit{k}" for k in range(len(P.SECRETS)))])
+
+
+def register_redaction(spark: SparkSession, source: str, view: str, text: str = "text") -> None:
+    """A temporary view ``view`` of ``source`` with ``redacted`` and ``findings``, for statements that only speak SQL. It is
+    worked out where it is read, columns that are not asked for are not, and filters on the source's columns reach its scan."""
+    spark.udf.register("nfkc_text", _nfkc)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {view} AS {redaction(source, text)}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sedge.functions import sql
 from sedge.operators import ledger, render, rules
-from sedge.plans.registry import SQL_CARDS, SQL_CRITICAL, SQL_QUESTION, SQL_RUN, SQL_STRIP, SQL_TOKENS, _cards, _inputs, table
+from sedge.plans.registry import REDACTED_DOCUMENTS, SQL_CARDS, SQL_CRITICAL, SQL_QUESTION, SQL_RUN, SQL_STRIP, SQL_TOKENS, _cards, _inputs, documents, table
 
 
 def ledger_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,17 @@ _BARE = SQL_STRIP.format(r"regexp_replace(" + SQL_STRIP.format("text") + r", '^[
 SQL_FUNCTIONS = rf"""WITH t AS (SELECT *, {_BARE} AS bare FROM conversations)
 SELECT conv_id, turn, {SQL_TOKENS.format('text')}::BIGINT AS tokens, sha256(text) AS sha256, regexp_matches(text, '{SQL_CRITICAL}') AS critical, regexp_matches(text, '{SQL_QUESTION}') AS question, regexp_matches(text, 'https?://[^\s)>\]]+') AS url, CASE WHEN length(bare) > 60 THEN regexp_replace(left(bare, 59), '\s+$', '') || '...' ELSE bare END AS claim FROM t"""
 
-_ALL = (ledger_violations, corpus_gates, label_checks, resolved_sections, emitted_inputs, sql_functions)
+
+def redacted_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents redacted by a statement in SQL alone."""
+    documents(spark, sf_dir).createOrReplaceTempView("sedge_documents")
+    sql.register_redaction(spark, "sedge_documents", "sedge_redacted")
+    return spark.sql("SELECT doc_id, concat_ws(',', findings) AS findings, sha2(encode(redacted, 'UTF-8'), 256) AS sha256 FROM sedge_redacted")
+
+
+REDACTED_IN_SQL = REDACTED_DOCUMENTS
+
+_ALL = (redacted_in_sql, ledger_violations, corpus_gates, label_checks, resolved_sections, emitted_inputs, sql_functions)
 
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {name: text for name in QUERIES if (text := globals().get(name.upper()))}
