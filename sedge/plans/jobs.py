@@ -1,4 +1,4 @@
-"""Queries of jobs in a forest made of orders, and the SQL that walks the same forest."""
+"""Queries of jobs in a forest made of orders, of messages to their receiver and of replies, with the SQL that says the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.operators import forest, receiver
+from sedge.operators import forest, receiver, replies
 from sedge.operators.forest import Lane, Policy
 from sedge.plans.registry import table
 
@@ -158,7 +158,29 @@ r AS (SELECT *, CASE WHEN action = 'ready' THEN v->>'{_E}job_id' END AS job_id,
 s AS (SELECT *, CASE WHEN action <> 'ready' THEN coalesce(dropped, refused) WHEN arrival - last <= INTERVAL {KEEP.days} DAY THEN 'job-id-reused' WHEN NOT isolated THEN 'login-isolation' END AS reason FROM r)
 SELECT message_id, job_id, CASE WHEN action <> 'ready' THEN action WHEN reason IS NULL THEN 'launch' ELSE 'reply' END AS action, reason, CASE WHEN action = 'halt' THEN CASE WHEN v->>'$.job_id' = 'all' THEN ours ELSE v->>'$.job_id' END END AS jobs, CASE WHEN action = 'ready' AND reason IS NULL THEN v->>'{_R}root_model' END AS model FROM s"""
 
-_ALL = (root_classes, custody_of_jobs, received_messages)
+# -- replies that must fit a size ------------------------------------------------------------------------------------
+
+_LIMIT, _PROTECTED = 420, "m-1.*"
+_ENTRY = """'{"model":"m-' || o_orderpriority || '","unit":"' || CASE WHEN o_orderkey % 9 = 0 THEN 'root' ELSE 'é' || o_orderkey END || '"}'"""
+_HEAD = """'{"detail":"' || repeat('d', CASE WHEN job % 13 = 0 THEN 500 ELSE 9 END) || '","job_id":"job-' || job || '","kind":"done","receipt":{"observed_models":['"""
+
+
+def trimmed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the models that a reply lists, by number: what goes so that it fits."""
+    entries = table(spark, sf_dir, "orders").selectExpr("o_custkey AS job", "struct(o_orderkey AS o, " + _ENTRY + " AS e) AS x").groupBy("job").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]), ",").alias("list"))
+    made = entries.selectExpr("job", _HEAD + """ || list || ']},"schema":"s"}' AS reply""", "sha2(cast(job AS string), 256) AS receipt_sha256")
+    return replies.trim(made, _LIMIT, _PROTECTED).select("job", "action", F.col("omitted").cast("long").alias("omitted"), F.when(F.col("action") != "too-large", F.col("wire")).alias("wire"))
+
+
+TRIMMED_REPLIES = f"""WITH e AS (SELECT o_custkey AS job, o_orderkey AS o, {_ENTRY} AS e, NOT (o_orderkey % 9 = 0 OR regexp_full_match('m-' || o_orderpriority, '{_PROTECTED}')) AS free FROM orders),
+w AS (SELECT *, octet_length(encode(e)) + 1 AS size, CASE WHEN free THEN count(*) FILTER (free) OVER z END AS k, coalesce(sum(CASE WHEN free THEN octet_length(encode(e)) + 1 END) OVER z, 0) AS saved FROM e WINDOW z AS (PARTITION BY job ORDER BY o DESC ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT job, count(*) AS n, {_HEAD} || string_agg(e, ',' ORDER BY o) || ']}},"schema":"s"}}' AS reply FROM e GROUP BY job),
+h AS (SELECT *, octet_length(encode(reply)) AS whole FROM g),
+t AS (SELECT job, min(k) AS k FROM w JOIN h USING (job) WHERE free AND whole > {_LIMIT} AND whole - saved + length(',"trimmed":{{"observed_models_omitted":' || k || ',"receipt_sha256":""}}') + 64 + CASE WHEN k = n THEN 1 ELSE 0 END <= {_LIMIT} GROUP BY job),
+s AS (SELECT t.job, t.k, {_HEAD.replace("job %", "t.job %").replace("|| job ||", "|| t.job ||")} || coalesce(string_agg(e, ',' ORDER BY o) FILTER (NOT free OR w.k > t.k), '') || ']}},"schema":"s","trimmed":{{"observed_models_omitted":' || t.k || ',"receipt_sha256":"' || sha256(t.job::VARCHAR) || '"}}}}' AS wire FROM t JOIN w USING (job) GROUP BY t.job, t.k)
+SELECT h.job, CASE WHEN whole <= {_LIMIT} THEN 'sent' WHEN s.job IS NOT NULL THEN 'trimmed' ELSE 'too-large' END AS action, s.k AS omitted, CASE WHEN whole <= {_LIMIT} THEN reply ELSE s.wire END AS wire FROM h LEFT JOIN s ON s.job = h.job"""
+
+_ALL = (root_classes, custody_of_jobs, received_messages, trimmed_replies)
 
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {name: sql for name in QUERIES if (sql := globals().get(name.upper()))}
