@@ -130,10 +130,7 @@ def spool_rules() -> dict[str, Column]:
     }
 
 
-def corpus_gate(records: DataFrame, spool: str, cohort: list[str], estimator: str) -> DataFrame:
-    """One row: how many ledgers and distinct spools there are, how many spools come twice within a cohort, whether all
-    have one estimator, and the gate's status: refused, insufficient-corpus or pass."""
-    twice = records.groupBy(spool, *cohort).agg(F.count("*").alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("repeated"), F.lit(1).alias("_k"))
-    out = records.agg(F.count("*").alias("ledgers"), F.count_distinct(spool).alias("unique_spools"), F.count_distinct(estimator).alias("estimators"), F.lit(1).alias("_k")).join(twice, "_k").drop("_k")
-    refused = (F.col("ledgers") == 0) | (F.col("ledgers") > MAXIMUM_LEDGERS) | (F.col("repeated") > 0) | (F.col("estimators") > 1)
-    return out.withColumn("status", F.when(refused, "refused").when(F.col("unique_spools") >= MINIMUM_SPOOLS, "pass").otherwise("insufficient-corpus"))
+def gate_status(ledgers: Column, unique_spools: Column, repeated: Column, one_estimator: Column) -> Column:
+    """refused (none, too many, repeated or mixed estimators), insufficient-corpus, or pass."""
+    refused = (ledgers == 0) | (ledgers > MAXIMUM_LEDGERS) | (repeated > 0) | ~one_estimator
+    return F.when(refused, "refused").when(unique_spools >= MINIMUM_SPOOLS, "pass").otherwise("insufficient-corpus")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.functions import sql
-from sedge.operators import ledger, render, rules
+from sedge.operators import ledger, render, report, rules
 from sedge.plans.registry import REDACTED_DOCUMENTS, SQL_CARDS, SQL_CRITICAL, SQL_QUESTION, SQL_RUN, SQL_STRIP, SQL_TOKENS, _cards, _inputs, documents, table
 
 
@@ -35,21 +35,71 @@ LEDGER_VIOLATIONS = "SELECT DISTINCT l_orderkey AS k, CASE l_orderkey % 29 " + "
 
 
 def corpus_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports over documents as ledgers, their digests as spools: too many, a fitting number, too few, and repeated."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("spool"), F.coalesce("lang", F.lit("-")).alias("lang"), F.lit("e").alias("estimator"))
-    out = None
-    for name, some in (("all", d), ("fitting", d.where("doc_id < 40").dropDuplicates(["spool"])), ("few", d.where("doc_id < 7").dropDuplicates(["spool"])), ("mixed", d.where("doc_id < 40").dropDuplicates(["spool"]).withColumn("estimator", F.when(F.col("doc_id") < 9, "e").otherwise("f")))):
-        row = ledger.corpus_gate(some, "spool", ["lang"], "estimator").withColumn("report", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-_SOME = "(SELECT min(doc_id) AS doc_id, sha256(text) AS spool, any_value(coalesce(lang, '-')) AS lang, {e} AS estimator FROM documents WHERE doc_id < {n} GROUP BY sha256(text))"
-CORPUS_GATES = "WITH " + ", ".join(f"{name} AS (SELECT '{name}' AS report, * FROM {source})" for name, source in (("everything", "(SELECT doc_id, sha256(text) AS spool, coalesce(lang, '-') AS lang, 'e' AS estimator FROM documents)"), ("fitting", _SOME.format(e="'e'", n=40)), ("few", _SOME.format(e="'e'", n=7)), ("mixed", _SOME.format(e="CASE WHEN min(doc_id) < 9 THEN 'e' ELSE 'f' END", n=40)))) + """,
-r AS (FROM everything UNION ALL FROM fitting UNION ALL FROM few UNION ALL FROM mixed),
+    """All documents as ledgers of reports of four sizes, their digests as spools: too few, fitting, too many, and with
+    several estimators or repeated spools."""
+    at, block = F.col("doc_id") % 120, F.floor(F.col("doc_id") / 120)
+    kind = F.when(at < 7, "few").when(at < 32, "fitting").when(at < 57, "mixed").otherwise("many")
+    spool = F.when((block % 4 == 3) & at.between(20, 21), "twice").otherwise(F.sha2("text", 256))
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("-", block.cast("string"), kind).alias("report"), spool.alias("spool"), F.coalesce("lang", F.lit("-")).alias("lang"), F.when(at == 40, "f").otherwise("e").alias("estimator"))
+    return report.gates(d, "report", ["lang"])
+
+
+CORPUS_GATES = """WITH d AS (SELECT doc_id % 120 AS nth, doc_id // 120 AS block, * FROM documents),
+r AS (SELECT block || '-' || CASE WHEN nth < 7 THEN 'few' WHEN nth < 32 THEN 'fitting' WHEN nth < 57 THEN 'mixed' ELSE 'many' END AS report, CASE WHEN block % 4 = 3 AND nth BETWEEN 20 AND 21 THEN 'twice' ELSE sha256(text) END AS spool, coalesce(lang, '-') AS lang, CASE nth WHEN 40 THEN 'f' ELSE 'e' END AS estimator FROM d),
 t AS (SELECT report, count(*) FILTER (n > 1) AS repeated FROM (SELECT report, spool, lang, count(*) AS n FROM r GROUP BY ALL) GROUP BY report),
-g AS (SELECT report, count(*) AS ledgers, count(DISTINCT spool) AS unique_spools, count(DISTINCT estimator) AS estimators FROM r GROUP BY report)
-SELECT ledgers, unique_spools, estimators, repeated, CASE WHEN ledgers > 50 OR repeated > 0 OR estimators > 1 THEN 'refused' WHEN unique_spools >= 20 THEN 'pass' ELSE 'insufficient-corpus' END AS status, CASE report WHEN 'everything' THEN 'all' ELSE report END AS report FROM g JOIN t USING (report)"""
+g AS (SELECT report, count(*) AS ledgers, count(DISTINCT spool) AS unique_spools, count(DISTINCT estimator) = 1 AS one_estimator FROM r GROUP BY report)
+SELECT report, ledgers, unique_spools, repeated, one_estimator, CASE WHEN ledgers > 50 OR repeated > 0 OR NOT one_estimator THEN 'refused' WHEN unique_spools >= 20 THEN 'pass' ELSE 'insufficient-corpus' END AS status FROM g JOIN t USING (report)"""
+
+
+def _ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with their line items as ledgers: a report for every four customers, a cohort for each status and
+    engine, tokens from quantities, and withheld documents, lost lines and repeated spools in some."""
+    i = table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("long")).groupBy(F.col("l_orderkey").alias("k")).agg(
+        F.count("*").alias("documents"), F.sum("q").alias("tokens"), F.coalesce(F.sum(F.when(F.col("l_returnflag") == "N", F.col("q"))), F.lit(0)).alias("summary_tokens"),
+        F.count_if(F.col("l_discount") >= 0.1).alias("withheld_documents"), F.count_if(F.col("l_tax") <= 0).alias("lost"),
+    )
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.floor(F.col("o_custkey") / 4).alias("report"), F.col("o_orderstatus").alias("status_of"), F.when(F.col("o_orderkey") % 2 == 0, "python").otherwise("chapel").alias("engine"))
+    k = F.col("k")
+    own = o.join(i, "k").withColumns({"input_tokens": F.when(k % 31 == 0, 0).otherwise(F.col("tokens")), "cards_tokens": F.col("summary_tokens") + F.col("documents"), "toon_selected": F.col("documents") > 3, "recall_measured": k % 7 != 0})
+    own = own.withColumn("toon_tokens", F.when(F.col("toon_selected"), F.col("cards_tokens") - 2))
+    own = own.withColumns({f"{x}_bytes": F.col(f"{x}_tokens") * 4 + F.col("documents") for x in ("input", "summary", "cards", "toon")})
+    own = own.withColumn("gate", ledger.gate(F.col("withheld_documents"), (F.col("input_tokens") - F.col("cards_tokens")) / F.when(F.col("input_tokens") > 0, F.col("input_tokens")), F.col("lost")))
+    return own.withColumns({
+        "handoff_pass": F.col("recall_measured") & (F.col("gate") == "pass"), "recall_loss": F.col("gate") == "recall-loss", "toon_eligible": F.col("documents") > 2, "emitted_cards": F.col("documents") * 3,
+        "engine_wall_ms": (k % 13).cast("double"), "run_wall_ms": (k % 13 + 1).cast("double"), "spool": F.when(k % 331 == 0, "twice").otherwise(F.sha2(k.cast("string"), 256)), "estimator": F.when(k % 997 == 0, "f").otherwise("e"),
+    })
+
+
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report's gate with its cohorts; a refused one has none."""
+    rows = _ledgers(spark, sf_dir)
+    of = report.cohort_rows(rows, "report", ["status_of", "engine"])
+    return report.gates(rows, "report", ["status_of", "engine"]).join(of, "report", "left")
+
+
+def corpus_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every measure of every cohort of the reports that are not refused."""
+    return report.cohort_measures(_ledgers(spark, sf_dir), "report", ["status_of", "engine"])
+
+
+_LEDGERS = """WITH i AS (SELECT l_orderkey AS k, count(*) AS documents, sum(l_quantity::BIGINT)::BIGINT AS tokens, coalesce(sum(l_quantity::BIGINT) FILTER (l_returnflag = 'N'), 0)::BIGINT AS summary_tokens, count(*) FILTER (l_discount >= 0.1) AS withheld_documents, count(*) FILTER (l_tax <= 0) AS lost FROM lineitem GROUP BY l_orderkey),
+a AS (SELECT i.*, o_custkey // 4 AS report, o_orderstatus AS status_of, CASE WHEN k % 2 = 0 THEN 'python' ELSE 'chapel' END AS engine, CASE WHEN k % 31 = 0 THEN 0 ELSE tokens END AS input_tokens, summary_tokens + documents AS cards_tokens, documents > 3 AS toon_selected, k % 7 <> 0 AS recall_measured FROM orders JOIN i ON k = o_orderkey),
+b AS (SELECT *, CASE WHEN toon_selected THEN cards_tokens - 2 END AS toon_tokens, input_tokens * 4 + documents AS input_bytes, summary_tokens * 4 + documents AS summary_bytes, cards_tokens * 4 + documents AS cards_bytes,
+  CASE WHEN withheld_documents > 0 THEN 'withheld' WHEN input_tokens > 0 AND 4 * (input_tokens - cards_tokens) >= input_tokens AND lost = 0 THEN 'pass' WHEN lost > 0 THEN 'recall-loss' ELSE 'below-threshold' END AS gate FROM a),
+c AS (SELECT *, toon_tokens * 4 + documents AS toon_bytes, recall_measured AND gate = 'pass' AS handoff_pass, gate = 'recall-loss' AS recall_loss, documents > 2 AS toon_eligible, documents * 3 AS emitted_cards, k % 13 AS engine_wall_ms, k % 13 + 1 AS run_wall_ms,
+  CASE WHEN k % 331 = 0 THEN 'twice' ELSE k::VARCHAR END AS spool, k % 997 = 0 AS other, withheld_documents = 0 AND input_tokens > 0 AS economic FROM b),
+w AS (SELECT report, count(*) FILTER (n > 1) AS repeated FROM (SELECT report, spool, status_of, engine, count(*) AS n FROM c GROUP BY ALL) GROUP BY report),
+g AS (SELECT *, CASE WHEN ledgers > 50 OR repeated > 0 OR NOT one_estimator THEN 'refused' WHEN unique_spools >= 20 THEN 'pass' ELSE 'insufficient-corpus' END AS status FROM (SELECT report, count(*) AS ledgers, count(DISTINCT spool) AS unique_spools, count(DISTINCT other) = 1 AS one_estimator FROM c GROUP BY report) JOIN w USING (report)),
+h AS (SELECT c.* FROM c SEMI JOIN g ON c.report = g.report AND g.status <> 'refused')"""
+_SHARE = ", ".join(f"count(*) FILTER ({f}) / count(*) AS {f}_rate" for f in report.FLAGS)
+_WEIGHTED = ", ".join(f"CASE WHEN sum(input_{x}) FILTER ({c}) > 0 THEN (sum(input_{x}) FILTER ({c}) - sum({h}_{x}) FILTER ({c})) / sum(input_{x}) FILTER ({c}) END AS {h}_{x[:-1]}_savings" for h, c in (("summary", "economic"), ("cards", "economic"), ("toon", "economic AND toon_selected")) for x in ("bytes", "tokens"))
+CORPUS_REPORT = _LEDGERS + f""",
+r AS (SELECT report, status_of, engine, count(*) AS runs, CASE WHEN count(*) >= 5 THEN 'pass' ELSE 'insufficient-cohort' END AS percentiles, {_SHARE}, count(*) FILTER (NOT recall_measured) / count(*) AS legacy_unmeasured_rate, count(*) FILTER (withheld_documents > 0) / count(*) AS withheld_rate, sum(withheld_documents) / sum(documents) AS withheld_documents_rate,
+  count(*) FILTER (economic) AS economic_runs, CASE WHEN count(*) FILTER (economic) >= 5 THEN 'pass' ELSE 'insufficient-cohort' END AS economic_percentiles, count(*) FILTER (economic AND toon_selected) AS toon_runs, count(*) FILTER (withheld_documents > 0) AS excluded_withheld, count(*) FILTER (withheld_documents = 0 AND input_tokens = 0) AS excluded_without_input, {_WEIGHTED} FROM h GROUP BY report, status_of, engine)
+SELECT * FROM g LEFT JOIN r USING (report)"""
+_SAVED = {f"{h}_{one}_savings": f"(input_{one}s - {h}_{one}s) / nullif(input_{one}s, 0)" for h in report.HANDOFFS for one in ("byte", "token")}
+CORPUS_MEASURES = _LEDGERS + ", m AS (" + " UNION ALL ".join(f"SELECT report, status_of, engine, '{m}' AS measure, ({_SAVED.get(m, m)})::DOUBLE AS value FROM h" + (" WHERE economic" if m in report.ECONOMIC else "") for m in report.OPERATIONAL + report.ECONOMIC) + """)
+SELECT report, status_of, engine, measure, count(value) AS n, min(value) AS low, max(value) AS high, CASE WHEN count(value) >= 5 THEN quantile_disc(value, 0.5) END AS p50, CASE WHEN count(value) >= 5 THEN quantile_disc(value, 0.9) END AS p90, CASE WHEN count(value) BETWEEN 1 AND 4 THEN list_sort(list(value) FILTER (value IS NOT NULL)) END AS values FROM m GROUP BY ALL"""
 
 
 def label_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +165,7 @@ def redacted_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REDACTED_IN_SQL = REDACTED_DOCUMENTS
 
-_ALL = (redacted_in_sql, ledger_violations, corpus_gates, label_checks, resolved_sections, emitted_inputs, sql_functions)
+_ALL = (redacted_in_sql, ledger_violations, corpus_gates, corpus_report, corpus_measures, label_checks, resolved_sections, emitted_inputs, sql_functions)
 
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {name: text for name in QUERIES if (text := globals().get(name.upper()))}
