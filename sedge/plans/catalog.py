@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedge.plans import checks, jobs, registry, runs, sidecars, streams
+from sedge.plans import cases, checks, jobs, registry, runs, sidecars, streams
 
-QUERIES = registry.QUERIES | runs.QUERIES | streams.QUERIES | checks.QUERIES | sidecars.QUERIES | jobs.QUERIES
-ORACLE = registry.ORACLE | runs.ORACLE | streams.ORACLE | checks.ORACLE | sidecars.ORACLE | jobs.ORACLE
+QUERIES = registry.QUERIES | runs.QUERIES | streams.QUERIES | checks.QUERIES | sidecars.QUERIES | jobs.QUERIES | cases.QUERIES
+ORACLE = registry.ORACLE | runs.ORACLE | streams.ORACLE | checks.ORACLE | sidecars.ORACLE | jobs.ORACLE | cases.ORACLE
