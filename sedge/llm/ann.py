@@ -201,6 +201,9 @@ class Best:
         """Candidates (query x any number) of the queries ``at``; an id of the largest number is none."""
         none = (ids == self.q_ids[at, None]) | (ids == np.iinfo("i8").max)
         ids, scores = np.hstack([self.ids[at], ids]), np.hstack([self.scores[at], np.where(none, -np.inf, scores)])
+        order = np.lexsort((-scores, ids), axis=1)  # an id takes one place, at its best score
+        ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+        scores[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
         order = np.lexsort((ids, -scores), axis=1)[:, :self.k]
         self.ids[at], self.scores[at] = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
@@ -215,9 +218,10 @@ class Best:
         names = np.where(nth < n[:, None], ids[by[np.minimum(begin[:, None] + nth, len(by) - 1)]], np.iinfo("i8").max)
         own = x[first]
         if codes is None:
+            once = (np.diff(ids) > 0).all()  # with repeated ids, the first k + 1 vectors may be of fewer ids
             for j in range(len(self.q)):
                 s = _exact(own, self.q[j])
-                u = np.flatnonzero(s >= np.partition(s, -(self.k + 1))[-(self.k + 1)]) if len(s) > self.k + 1 else np.arange(len(s))
+                u = np.flatnonzero(s >= np.partition(s, -(self.k + 1))[-(self.k + 1)]) if once and len(s) > self.k + 1 else np.arange(len(s))
                 self.add(slice(j, j + 1), names[u].reshape(1, -1), np.repeat(s[u], most)[None])
             return
         codes = np.ascontiguousarray(codes[first].T)
@@ -266,9 +270,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     """(query_id, rank, vec_id, score): each vector whose id ``every`` divides with the ``k`` largest inner products of
     other ids, in double precision, largest first; ties go to the smaller id.
 
-    Every row is a candidate, however often its vector or its id occurs (a row that repeats another wholly counts once,
-    and all rows of a query's own id are passed over). Ids are taken to be distinct: one with several vectors may take
-    several places of a list, and the lists of a query id's vectors come as one. Vectors of another length than the query's are no candidates of
+    Every row is a candidate, however often its vector occurs; all rows of a query's own id are passed over. Ids are meant to
+    be distinct. One that comes with several vectors takes one place of a list, with the best score found, and as a query it
+    has one list: the best scores that any of its vectors gives. Vectors of another length than the query's are no candidates of
     it. Null, empty, zero and non-finite vectors, and rows with a null id, take no part. An empty table gives an empty
     one; other columns, whatever their names, are not looked at. Candidates are proposed from codes, so single ones can be
     missed; vectors of a length that is too rare for codebooks are all scored.
@@ -286,6 +290,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     queries = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     # the merge join streams its left side: each block of queries meets the blocks of a group one after another
     pairs = queries.hint("merge").join(codes, ["dim", "g"]).select("dim", "q_ids", "q", "ids", "vecs", "codes")
-    found = pairs.mapInArrow(_scan(sent, k), "query_id bigint, vec_id bigint, score double")
+    found = pairs.mapInArrow(_scan(sent, k), "query_id bigint, vec_id bigint, score double").repartition("query_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a query id's vectors, one list
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

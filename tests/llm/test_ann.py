@@ -62,16 +62,36 @@ def test_copies_score_the_same_in_64_dimensions(spark):
 
 
 def test_lengths_and_repeated_ids(spark):
-    """Each length is searched among its own, and rows of one id are candidates each."""
+    """Each length is searched among its own, and an id with several vectors takes one place, at its best score."""
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=3 + 2 * (i % 2)).tolist()) for i in range(0, 160)] + [(7, rng.normal(size=5).tolist()), (9, rng.normal(size=3).tolist())]
     got = found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)))
     for q in range(0, 160, 20):
         own = np.array(next(v for i, v in rows if i == q))
-        want = sorted(((-float((np.array(v) * own).sum()), i) for i, v in rows if len(v) == len(own) and i != q))[:20]
+        best = {}
+        for i, v in rows:
+            if len(v) == len(own) and i != q:
+                best[i] = max(best.get(i, -np.inf), float((np.array(v) * own).sum()))
+        want = sorted((-s, i) for i, s in best.items())[:20]
         assert [i for _, i, _ in got[q]] == [i for _, i in want] and np.allclose([s for *_, s in got[q]], [-s for s, _ in want], rtol=1e-12)
 
 
+def test_several_vectors_of_one_id(spark):
+    """A query id with two vectors has one list; an id that holds a third of all rows takes one place of each."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 60)] + [(0, rng.normal(size=4).tolist()) for _ in range(2)] + [(61, (3 * rng.normal(size=4)).tolist()) for _ in range(30)]
+    got = found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)))
+    assert set(got) == {0, 20, 40}
+    for q, hits in got.items():
+        best = {}
+        for own in (np.array(v) for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float((np.array(v) * own).sum()))
+        want = sorted((-s, i) for i, s in best.items())[:20]
+        assert [(n, i) for n, i, _ in hits] == [(n + 1, i) for n, (_, i) in enumerate(want)] and np.allclose([s for *_, s in hits], [-s for s, _ in want], rtol=1e-12)
+
+
 @pytest.mark.parametrize("n", [0, 1, 7])
 def test_few_rows(spark, n):
     rows = [(20 * i, [float(i + 1), 1.0]) for i in range(n)]
