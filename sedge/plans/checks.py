@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.functions import sql
+from sedge.functions.udfs import round4
+from sedge.operators import handoff as handoff_
 from sedge.operators import ledger, render, report, rules
 from sedge.plans.registry import REDACTED_DOCUMENTS, SQL_CARDS, SQL_CRITICAL, SQL_QUESTION, SQL_RUN, SQL_STRIP, SQL_TOKENS, _cards, _inputs, documents, table
 
@@ -102,6 +104,74 @@ CORPUS_MEASURES = _LEDGERS + ", m AS (" + " UNION ALL ".join(f"SELECT report, st
 SELECT report, status_of, engine, measure, count(value) AS n, min(value) AS low, max(value) AS high, CASE WHEN count(value) >= 5 THEN quantile_disc(value, 0.5) END AS p50, CASE WHEN count(value) >= 5 THEN quantile_disc(value, 0.9) END AS p90, CASE WHEN count(value) BETWEEN 1 AND 4 THEN list_sort(list(value) FILTER (value IS NOT NULL)) END AS values FROM m GROUP BY ALL"""
 
 
+def _handoffs(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """All orders with their line items as ledgers: sizes of artifacts, hand-offs and recall, and a decision from these; if
+    ``broken``, with one thing changed in about half of them, by the order's number."""
+    q = F.col("l_quantity").cast("long")
+    i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.sum(q).alias("total"), F.coalesce(F.sum(F.when(F.col("l_returnflag") == "N", q)), F.lit(0)).alias("s"), F.count_if(F.col("l_discount") >= 0.1).alias("withheld_documents"))
+    k, n = F.col("k"), F.col("n")
+    odd = lambda at, wrong, right: F.when(F.lit(broken) & (k % 37 == at), wrong).otherwise(right)
+    named = lambda **of: F.create_map(*[x for name, c in of.items() for x in (F.lit(name), c)])
+    size = lambda t: F.struct((t * 4 + odd(2, 1, 0)).alias("bytes"), (t + odd(3, 1, 0)).alias("tokens"))
+    own = i.withColumns({"input_tokens": F.when(k % 31 == 0, 0).otherwise(F.col("total")), "toon_selected": n > 3, "measured": k % 7 != 0, "minimum": odd(12, F.lit(1.5), F.lit(0.25)), "artifacts": named(summary=size(F.col("s")), cards=size(n), toon=size(n - 2))})
+    own = own.withColumn("input_bytes", F.col("input_tokens") * 4)
+    kinds = lambda c, o: named(critical_constraints=c, open_questions=o)
+
+    def kept(c: Column) -> Column:
+        lost = odd(8, 2 * n, c)
+        return F.struct(kinds(lost, n - 1).alias("retained"), odd(9, F.lit(0), lost + n - 1).alias("retained_total"), odd(10, F.lit("legacy"), F.when(lost == n, "pass").otherwise("recall-loss")).alias("status"))
+
+    def handoff(t: Column) -> Column:
+        saved = lambda of: round4((F.col("input_tokens") - of) / F.when(F.col("input_tokens") > 0, F.col("input_tokens")))
+        return F.struct((t * 4).alias("bytes"), t.alias("tokens"), (saved(t) + odd(4, 0.01, 0)).alias("byte_savings"), (saved(t) + odd(5, 0.01, 0)).alias("token_savings"))
+
+    def of(short: Column, cards: Column, toon: Column) -> Column:
+        two = named(summary_only=short, summary_plus_authoritative_cards=cards)
+        return F.when(F.col("toon_selected"), F.map_concat(two, named(summary_plus_toon_compact_view=toon))).otherwise(two)
+
+    full, part = kept(n), kept(F.when(k % 5 == 0, n - 1).otherwise(n))
+    recall = F.struct(kinds(n, n - 1).alias("recognized"), odd(6, n, 2 * n - 1).alias("total"), odd(7, named(summary_only=part), of(part, full, full)).alias("handoffs"))
+    own = own.withColumns({"handoffs": odd(1, named(summary_only=handoff(F.col("s"))), of(handoff(F.col("s")), handoff(F.col("s") + n), handoff(F.col("s") + n - 2))), "recall": F.when(F.col("measured"), recall), "measured": odd(11, ~F.col("measured"), F.col("measured"))})
+    want = own.withColumn("want", handoff_.decide())
+    w = lambda x: F.col(f"want.{x}")
+    decision = F.struct(
+        odd(13, F.array(F.lit("x")), w("savings_eligible")).alias("savings_eligible"), odd(14, F.array(F.lit("x")), w("eligible")).alias("eligible"), odd(15, F.lit("x"), w("best")).alias("best"),
+        odd(16, F.lit("x"), w("recommended")).alias("recommended"), odd(17, F.lit("recall-loss"), odd(18, F.lit("withheld"), odd(19, F.lit("maybe"), w("gate")))).alias("gate"),
+    )
+    return want.withColumn("decision", decision)
+
+
+def handoff_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ledger's decision: what is eligible, best and recommended, and the gate."""
+    rows = _handoffs(spark, sf_dir)
+    return rows.select("k", F.array_join("want.savings_eligible", ",").alias("savings_eligible"), F.array_join("want.eligible", ",").alias("eligible"), "want.best", "want.recommended", "want.gate")
+
+
+_HANDOFFS = """WITH i AS (SELECT l_orderkey AS k, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS total, coalesce(sum(l_quantity::BIGINT) FILTER (l_returnflag = 'N'), 0)::BIGINT AS s, count(*) FILTER (l_discount >= 0.1) AS withheld FROM lineitem GROUP BY l_orderkey),
+a AS (SELECT *, CASE WHEN k % 31 = 0 THEN 0 ELSE total END AS size, k % 7 <> 0 AS measured FROM i),
+h AS (SELECT *, 1 AS place, 'summary_only' AS name, s AS tokens, k % 5 <> 0 AS whole FROM a UNION ALL SELECT *, 2, 'summary_plus_authoritative_cards', s + n, TRUE FROM a UNION ALL SELECT *, 3, 'summary_plus_toon_compact_view', s + n - 2, TRUE FROM a WHERE n > 3),
+e AS (SELECT *, size > 0 AND size <= 4 * (size - tokens) AS saves FROM h),
+g AS (SELECT k, any_value(withheld) AS withheld, any_value(measured) AS measured, any_value(n) AS n, any_value(size) AS size, string_agg(name, ',' ORDER BY name) FILTER (saves) AS se, string_agg(name, ',' ORDER BY name) FILTER (saves AND (whole OR NOT measured)) AS el, arg_min(name, (tokens, place)) AS b, arg_min(name, (tokens, name)) FILTER (saves AND (whole OR NOT measured)) AS r FROM e GROUP BY k),
+d AS (SELECT k, CASE WHEN measured THEN coalesce(se, '') END AS savings_eligible, CASE WHEN withheld > 0 THEN '' ELSE coalesce(el, '') END AS eligible, CASE WHEN withheld = 0 THEN b END AS best, CASE WHEN withheld = 0 THEN r END AS recommended,
+CASE WHEN withheld > 0 THEN 'withheld' WHEN el IS NOT NULL THEN 'pass' WHEN measured AND se IS NOT NULL THEN 'recall-loss' ELSE 'below-threshold' END AS gate, n, size, withheld, measured FROM g)"""
+HANDOFF_DECISIONS = _HANDOFFS + " SELECT k, savings_eligible, eligible, best, recommended, gate FROM d"
+
+
+def handoff_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rules of hand-offs, recall and decisions do not hold, over all ledgers: how many ledgers break each."""
+    found = ledger.violations(_handoffs(spark, sf_dir, broken=True), handoff_.rules())
+    return found.select(F.explode("errors").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+_BREAKS = {
+    "handoff-names": "at = 1", "handoff-bytes": "at IN (1, 2)", "handoff-tokens": "at IN (1, 3)", "handoff-byte-savings": "at = 4 AND size > 0", "handoff-token-savings": "at = 5 AND size > 0", "recall-of-version": "at = 11",
+    "recall-recognized-total": "at = 6 AND measured AND n <> 2 * n - 1", "recall-handoffs": "at = 7 AND measured", "recall-retained": "at IN (7, 8) AND measured", "recall-retained-total": "at IN (7, 9) AND measured", "recall-status": "at IN (7, 10) AND measured",
+    "decision-minimum": "at = 12", "decision-savings-eligible": "at = 13", "decision-eligible": "at = 14", "decision-best": "at = 15", "decision-recommended": "at = 16", "decision-gate": "at = 19 OR at = 17 AND NOT measured",
+    "decision-withheld": "at IN (17, 19) AND withheld > 0 OR at = 18 AND withheld = 0", "decision-gate-of-counts": "at = 17 AND gate <> 'recall-loss' OR at = 18 AND gate <> 'withheld' OR at = 19",
+}
+HANDOFF_VIOLATIONS = _HANDOFFS + " SELECT rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS rule FROM d WHERE {c.replace('at ', 'k % 37 ')}" for name, c in _BREAKS.items()) + ") GROUP BY rule"
+
+
 def label_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' names with characters of every kind put in: which are ids, tiers, labels and sources."""
     p = table(spark, sf_dir, "part")
@@ -165,7 +235,7 @@ def redacted_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REDACTED_IN_SQL = REDACTED_DOCUMENTS
 
-_ALL = (redacted_in_sql, ledger_violations, corpus_gates, corpus_report, corpus_measures, label_checks, resolved_sections, emitted_inputs, sql_functions)
+_ALL = (redacted_in_sql, ledger_violations, corpus_gates, corpus_report, corpus_measures, handoff_decisions, handoff_violations, label_checks, resolved_sections, emitted_inputs, sql_functions)
 
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {name: text for name in QUERIES if (text := globals().get(name.upper()))}
