@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,10 +13,23 @@ def json_variant(text: str | Column) -> Column:
     second value only if the text is exactly one.
     """
     c = F.col(text) if isinstance(text, str) else text
-    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(","), F.xxhash64(c).cast("string"), F.lit("]")))
+    return _first(_both(c), c)
+
+
+def _both(c: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), c, F.lit(","), F.xxhash64(c).cast("string"), F.lit("]")))
+
+
+def _first(both: Column, c: Column) -> Column:
     return F.when(F.try_variant_get(both, "$[1]", "long") == F.xxhash64(c), F.try_variant_get(both, "$[0]", "variant"))
 
 
+def with_variant(rows: DataFrame, text: str, to: str) -> DataFrame:
+    """``rows`` with :func:`json_variant` of ``text``, which is parsed once: as one expression it would be twice."""
+    own = rows.withColumn("_both", _both(F.col(text)))
+    return own.withColumn(to, _first(F.col("_both"), F.col(text))).drop("_both")
+
+
 def kind_at(path: str, v: str | Column = "_v") -> Column:
     """The kind of JSON value at a path: STRING, BIGINT, OBJECT<...>, ARRAY<...>, VOID and so on; null where there is none."""
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
@@ -32,5 +45,10 @@ def number_at(path: str, v: str | Column = "_v") -> Column:
     return F.when((kind_at(path, v) == "BIGINT") & (n >= 0), n)
 
 
+def keys_at(path: str, v: str | Column = "_v") -> Column:
+    """The keys of an object, else null. Its values are not looked into, as they are where its whole kind is written out."""
+    return F.map_keys(F.try_variant_get(v, path, "map<string,variant>"))
+
+
 def object_at(path: str, v: str | Column = "_v") -> Column:
     return F.coalesce(F.startswith(kind_at(path, v), F.lit("OBJECT")), F.lit(False))

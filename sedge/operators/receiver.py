@@ -20,7 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from sedge.functions.spread import cut
 from sedge.functions.udfs import nfkc
-from sedge.functions.variants import json_variant, kind_at, number_at, object_at, string_at
+from sedge.functions.variants import keys_at, kind_at, number_at, string_at, with_variant
 from sedge.operators import forest, rules
 
 # Forms of ids, times and digests, bounds, reasons of refusals.
@@ -71,10 +71,9 @@ def _list(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def _object(path: str, need: Sequence[str], may: Sequence[str] = (), v: str | Column = "_v") -> Column:
-    """An object with all of ``need`` and nothing but ``need`` and ``may``."""
-    keys = F.json_object_keys(F.to_json(F.try_variant_get(v, path, "variant")))
-    return _all(object_at(path, v), F.size(F.array_except(_list(need), keys)) == 0, F.size(F.array_except(keys, _list([*need, *may]))) == 0)
+def _object(keys: Column, need: Sequence[str], may: Sequence[str] = ()) -> Column:
+    """Keys of an object with all of ``need`` and nothing but ``need`` and ``may``; they are null where it is no object."""
+    return _all(F.size(F.array_except(_list(need), keys)) == 0, F.size(F.array_except(keys, _list([*need, *may]))) == 0)
 
 
 def _is(path: str, pattern: str, v: str | Column = "_v") -> Column:
@@ -87,46 +86,71 @@ def _strings(path: str) -> Column:
     return F.when(kind_at(path).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(a, lambda x: x.isNull()), a)
 
 
+#: What several checks read: texts, lists of texts, and keys of objects.
+TEXTS = ("schema", "kind", "job_id", "envelope.job_id", "envelope.root_id", "envelope.goal", "envelope.lane", "envelope.custody", "resolution.root_class", "resolution.root_model", "resolution.source_label", "resolution.reroute")
+LISTS = ("envelope.tags", "envelope.allowed_effects", "resolution.carve_out_hits", "resolution.child_policy.carve_out_tags")
+OBJECTS = ("", "envelope", "envelope.budget_envelope", "resolution", "resolution.child_policy")
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """``rows`` with what several checks read as columns, each taken out of the variant once: in one projection of all
+    checks every branch would take it out again."""
+    own = rows.withColumns({f"_s.{p}": string_at(f"$.{p}") for p in TEXTS} | {f"_l.{p}": _strings(f"$.{p}") for p in LISTS})
+    return own.withColumns({f"_k.{p}": keys_at(f"$.{p}" if p else "$") for p in OBJECTS})
+
+
+def _s(path: str) -> Column:
+    return F.col(f"`_s.{path}`")
+
+
+def _l(path: str) -> Column:
+    return F.col(f"`_l.{path}`")
+
+
+def _k(path: str) -> Column:
+    return F.col(f"`_k.{path}`")
+
+
 def _unique(a: Column) -> Column:
     return F.size(F.array_distinct(a)) == F.size(a)
 
 
 def _envelope(r: Rules) -> Column:
     at = "$.envelope.{}".format
-    depth, tags, effects = number_at(at("depth")), _strings(at("tags")), _strings(at("allowed_effects"))
+    depth, tags, effects = number_at(at("depth")), _l("envelope.tags"), _l("envelope.allowed_effects")
     inputs = F.try_variant_get("_v", at("inputs"), "array<variant>")
-    sound = lambda x: _object("$", ("ref", "sha256"), v=x) & _is("$.ref", PROSE, x) & _is("$.sha256", SHA256, x)
-    budget = _object(at("budget_envelope"), (), ("tokens", "wall_seconds"))
+    sound = lambda x: _object(keys_at("$", x), ("ref", "sha256")) & _is("$.ref", PROSE, x) & _is("$.sha256", SHA256, x)
+    budget = _object(_k("envelope.budget_envelope"), (), ("tokens", "wall_seconds"))
     for k in ("tokens", "wall_seconds"):
         budget = budget & (kind_at(at(f"budget_envelope.{k}")).isNull() | F.coalesce(number_at(at(f"budget_envelope.{k}")) >= 1, F.lit(False)))
     return _all(
-        _object("$.envelope", ENVELOPE_KEYS, ("budget_envelope",)), string_at(at("schema")) == r.envelope, _is(at("job_id"), JOB), _is(at("root_id"), JOB), depth >= 0,
-        F.when(depth == 0, (kind_at(at("parent_job_id")) == "VOID") & (string_at(at("root_id")) == string_at(at("job_id")))).otherwise(_is(at("parent_job_id"), JOB)),
-        string_at(at("lane")).isin(*r.policy.lanes), string_at(at("custody")).isin(*r.policy.custody), F.size(tags) <= TAGS, _unique(tags), F.forall(tags, lambda t: t.rlike(forest.TAG)),
-        _is(at("goal"), PROSE), F.octet_length(string_at(at("goal"))) <= GOAL_BYTES, F.startswith(kind_at(at("inputs")), F.lit("ARRAY")), F.size(inputs) <= INPUTS, F.forall(inputs, sound),
+        _object(_k("envelope"), ENVELOPE_KEYS, ("budget_envelope",)), string_at(at("schema")) == r.envelope, _s("envelope.job_id").rlike(JOB), _s("envelope.root_id").rlike(JOB), depth >= 0,
+        F.when(depth == 0, (kind_at(at("parent_job_id")) == "VOID") & (_s("envelope.root_id") == _s("envelope.job_id"))).otherwise(_is(at("parent_job_id"), JOB)),
+        _s("envelope.lane").isin(*r.policy.lanes), _s("envelope.custody").isin(*r.policy.custody), F.size(tags) <= TAGS, _unique(tags), F.forall(tags, lambda t: t.rlike(forest.TAG)),
+        _s("envelope.goal").rlike(PROSE), F.octet_length(_s("envelope.goal")) <= GOAL_BYTES, F.size(inputs) <= INPUTS, F.forall(inputs, sound),
         F.size(effects) > 0, _unique(effects), F.size(F.array_except(effects, _list(r.effects))) == 0, ~F.array_contains(effects, "none") | (F.size(effects) == 1),
-        kind_at(at("budget_envelope")).isNull() | (budget & (kind_at(at("budget_envelope")) != "OBJECT<>")), _is(at("requested_by"), ASKED_BY), _is(at("created_at"), TIME),
+        kind_at(at("budget_envelope")).isNull() | (budget & (F.size(_k("envelope.budget_envelope")) > 0)), _is(at("requested_by"), ASKED_BY), _is(at("created_at"), TIME),
     )
 
 
 def _resolution(r: Rules) -> Column:
     at = "$.resolution.{}".format
-    hits, child = _strings(at("carve_out_hits")), "$.resolution.child_policy"
+    hits, child = _l("resolution.carve_out_hits"), "$.resolution.child_policy"
     agreed = F.lit(False)
     for cls, said in r.children.items():
-        same = [_object(child, ["carve_out_tags", *said]), _strings(f"{child}.carve_out_tags") == hits]
+        same = [_object(_k("resolution.child_policy"), ["carve_out_tags", *said]), _l("resolution.child_policy.carve_out_tags") == hits]
         for k, v in said.items():
             if k in r.unordered:
                 same.append(F.array_sort(_strings(f"{child}.{k}")) == _list(sorted(v)))
             else:
                 same.append(F.to_json(F.try_variant_get("_v", f"{child}.{k}", "variant")) == json.dumps(v, separators=(",", ":"), sort_keys=True))
-        agreed = agreed | ((string_at(at("root_class")) == cls) & _all(*same))
-    key = F.sha2(F.encode(F.concat(string_at("$.envelope.root_id"), F.lit("\n"), string_at("$.envelope.goal")), "UTF-8"), 256)
-    label = string_at(at("source_label"))
+        agreed = agreed | ((_s("resolution.root_class") == cls) & _all(*same))
+    key = F.sha2(F.encode(F.concat(_s("envelope.root_id"), F.lit("\n"), _s("envelope.goal")), "UTF-8"), 256)
+    label, reroute = _s("resolution.source_label"), _s("resolution.reroute")
     return _all(
-        _object("$.resolution", RESOLUTION_KEYS), string_at(at("schema")) == r.resolution, string_at(at("root_class")).isin(r.policy.careful, r.policy.quick), F.length(string_at(at("root_model"))) > 0,
-        (kind_at(at("reroute")) == "VOID") | F.coalesce(string_at(at("reroute")).isin(*REROUTES), F.lit(False)), F.array_sort(F.array_distinct(hits)) == hits, F.size(F.array_except(hits, _list(sorted({t for _, t in r.policy.stems})))) == 0,
-        string_at(at("custody")) == string_at("$.envelope.custody"), (F.length(label) > 0) & (F.octet_length(label) <= LABEL_BYTES), agreed, F.length(string_at(at("policy_rev"))) > 0, string_at(at("dedupe_key")) == key, _is(at("resolved_at"), TIME),
+        _object(_k("resolution"), RESOLUTION_KEYS), string_at(at("schema")) == r.resolution, _s("resolution.root_class").isin(r.policy.careful, r.policy.quick), F.length(_s("resolution.root_model")) > 0,
+        (kind_at(at("reroute")) == "VOID") | F.coalesce(reroute.isin(*REROUTES), F.lit(False)), F.array_sort(F.array_distinct(hits)) == hits, F.size(F.array_except(hits, _list(sorted({t for _, t in r.policy.stems})))) == 0,
+        string_at(at("custody")) == _s("envelope.custody"), (F.length(label) > 0) & (F.octet_length(label) <= LABEL_BYTES), agreed, F.length(string_at(at("policy_rev"))) > 0, string_at(at("dedupe_key")) == key, _is(at("resolved_at"), TIME),
     )
 
 
@@ -144,36 +168,37 @@ def checked(messages: DataFrame, r: Rules) -> DataFrame:
     bound = F.try_element_at(F.create_map(*[F.lit(x) for kv in r.senders.items() for x in kv]), c("_sender"))
     own = messages.withColumn("_sender", F.when(four, F.concat_ws(":", part[0], part[1], part[3])))
     head = r.label + "\n"
-    own = own.withColumn("_text", F.when(F.startswith("body", F.lit(head)), F.substring("body", len(head) + 1, 2**31 - 1)).otherwise(c("body"))).withColumn("_v", json_variant("_text"))
-    own = own.withColumns({"_goal": F.coalesce(string_at("$.envelope.goal"), F.lit("")), "_tags": F.coalesce(_strings("$.envelope.tags"), F.array().cast("array<string>"))})
+    own = own.withColumn("_text", F.when(F.startswith("body", F.lit(head)), F.substring("body", len(head) + 1, 2**31 - 1)).otherwise(c("body")))
+    own = _read(with_variant(own, "_text", "_v"))
+    own = own.withColumns({"_goal": F.coalesce(_s("envelope.goal"), F.lit("")), "_tags": F.coalesce(_l("envelope.tags"), F.array().cast("array<string>"))})
     own = rules.stem_hits(own, r.policy.stems, "_goal").withColumnRenamed("hits", "_goal_hits").withColumn("_own", forest.tag_hits(c("_tags"), r.policy.stems))
     own = own.withColumn("_unsure", nfkc(c("_goal")).rlike(r"[\p{L}&&[^\x00-\x7F]]"))
     ours = F.transform(F.filter("sessions", lambda s: _all(s["started_by"] == r.started_by, s["name"] == F.concat(F.lit("job-"), s["job_id"]))), lambda s: s["job_id"])
-    own = own.withColumns({"_ours": F.coalesce(ours, F.array().cast("array<string>")), "_job": string_at("$.job_id")})
+    own = own.withColumns({"_ours": F.coalesce(ours, F.array().cast("array<string>")), "_job": _s("job_id")})
 
-    lane = string_at("$.envelope.lane")
+    lane = _s("envelope.lane")
     of = lambda pairs, key: functools.reduce(lambda out, kv: F.when(key == kv[0], kv[1]).otherwise(out), pairs, F.lit(None))
-    custody = string_at("$.envelope.custody")
+    custody = _s("envelope.custody")
     refused = of([(k, F.lit(v)) for k, v in r.policy.custody.items() if v], custody)
     admitted = of([(k, F.coalesce(custody.isin(*x.custody), F.lit(False))) for k, x in r.policy.lanes.items()], lane)
     careful = of([(k, F.lit(x.careful)) for k, x in r.policy.lanes.items()], lane) | (F.size("_own") > 0) | (F.size("_goal_hits") > 0) | c("_unsure")
     root = F.when(careful, r.policy.careful).otherwise(r.policy.quick)
-    said, model = string_at("$.resolution.root_class"), string_at("$.resolution.root_model")
+    said, model = _s("resolution.root_class"), _s("resolution.root_model")
     hits = F.array_sort(F.array_union("_own", "_goal_hits"))
     slow, fast = r.models.get(r.policy.careful), r.models.get(r.policy.quick)
     no = lambda x: ~F.coalesce(x, F.lit(False))
-    halt, dispatch = string_at("$.schema") == r.halt, string_at("$.schema") == r.request
-    sound_halt = _all(_object("$", HALT_KEYS), string_at("$.kind") == "halt", (c("_job") == "all") | c("_job").rlike(JOB), _is("$.reason", PROSE), F.length(string_at("$.reason")) <= REASON_SIZE, _is("$.requested_by", ASKED_BY), _is("$.created_at", TIME))
+    halt, dispatch = _s("schema") == r.halt, _s("schema") == r.request
+    sound_halt = _all(_object(_k(""), HALT_KEYS), _s("kind") == "halt", (c("_job") == "all") | c("_job").rlike(JOB), _is("$.reason", PROSE), F.length(string_at("$.reason")) <= REASON_SIZE, _is("$.requested_by", ASKED_BY), _is("$.created_at", TIME))
     drop = F.when(c("_sender").isNull() | bound.isNull(), STRANGER).when(bound & no(c("bound")), UNBOUND).when(no(c("ticket") == r.ticket), TICKET)
     reason = (
-        F.when(c("message_id").isNull() | c("arrival").isNull() | no(~F.startswith("_text", F.lit(r.relay))) | no(object_at("$")), REQUEST)
+        F.when(c("message_id").isNull() | c("arrival").isNull() | no(~F.startswith("_text", F.lit(r.relay))) | _k("").isNull(), REQUEST)
         .when(F.coalesce(halt, F.lit(False)), F.when(~sound_halt, REQUEST).when(no((c("_job") == "all") | F.array_contains("_ours", c("_job"))), NO_JOB))
-        .when(no(dispatch) | no(string_at("$.kind") == "dispatch") | ~_object("$", ("schema", "kind"), ("envelope", "resolution")), REQUEST)
+        .when(no(dispatch) | no(_s("kind") == "dispatch") | ~_object(_k(""), ("schema", "kind"), ("envelope", "resolution")), REQUEST)
         .when(~_envelope(r), ENVELOPE).when(kind_at("$.resolution").isNull(), MISSING).when(~_resolution(r), RESOLUTION)
-        .when(refused.isNotNull(), refused).when(no(admitted), forest.NOT_ADMITTED).when(no(said == root) | no(_strings("$.resolution.carve_out_hits") == hits), DISAGREES)
+        .when(refused.isNotNull(), refused).when(no(admitted), forest.NOT_ADMITTED).when(no(said == root) | no(_l("resolution.carve_out_hits") == hits), DISAGREES)
         .when(careful & no(model == F.lit(slow)), DISAGREES).when(~careful, F.when(F.lit(fast).isNull(), UNRECORDED).when(no(model == F.lit(fast)), MISMATCH))
     )
-    out = own.select("message_id", F.unix_micros(c("arrival").cast("timestamp")).alias("at"), drop.alias("_drop"), reason.alias("_reason"), F.coalesce(halt, F.lit(False)).alias("_halt"), "_job", "_ours", string_at("$.envelope.job_id").alias("_id"), model.alias("_model"), F.coalesce("isolated", F.lit(False)).alias("isolated"))
+    out = own.select("message_id", F.unix_micros(c("arrival").cast("timestamp")).alias("at"), drop.alias("_drop"), reason.alias("_reason"), F.coalesce(halt, F.lit(False)).alias("_halt"), "_job", "_ours", _s("envelope.job_id").alias("_id"), model.alias("_model"), F.coalesce("isolated", F.lit(False)).alias("isolated"))
     action = F.when(c("_drop").isNotNull(), "drop").when(c("_reason").isNotNull(), "reply").when(c("_halt"), "halt").otherwise("ready")
     out = out.withColumn("action", action)
     is_ = lambda a, x: F.when(c("action") == a, x)

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedge.functions.spread import spread
 from sedge.operators import forest, receiver, replies
 from sedge.operators.forest import Lane, Policy
 from sedge.plans.registry import table
@@ -104,7 +105,7 @@ _SENDER = "CASE k WHEN 0 THEN 'desk:gamma:7:s1' WHEN 1 THEN 'desk:alpha:7:s1' WH
 
 def receiver_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as messages, a customer's orders being of one job; a third of the customers share one."""
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS n", f"o_orderkey % {2 * _ODD} AS k", "concat('job-', CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey END) AS job", "o_orderdate AS arrival")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).selectExpr("o_orderkey AS n", f"o_orderkey % {2 * _ODD} AS k", "concat('job-', CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey END) AS job", "o_orderdate AS arrival")
     o = o.withColumn("digest", F.sha2(F.col("job"), 256)).withColumn("key", F.sha2(F.concat("job", F.lit("\n"), F.expr(_GOAL)), 256))
     sessions = "array(named_struct('job_id', job, 'name', concat('job-', job), 'started_by', 'receiver'), named_struct('job_id', 'job-none', 'name', 'job-other', 'started_by', 'receiver'), named_struct('job_id', 'theirs', 'name', 'job-theirs', 'started_by', 'them'))"
     return o.selectExpr("lpad(n, 12, '0') AS message_id", "arrival", f"{_SENDER} AS sender", "CASE k WHEN 2 THEN 'T-2' ELSE 'T-1' END AS ticket", f"{_BODY} AS body", "k <> 1 AS bound", "n % 7 <> 0 AS isolated", f"{sessions} AS sessions")

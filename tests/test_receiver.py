@@ -136,3 +136,14 @@ def test_records_in_a_stream(spark, tmp_path):
         if q is not None:
             q.stop()
         spark.conf.set(name, before)
+
+
+def test_checks_take_each_value_out_once_and_messages_are_dealt_out(spark):
+    """One projection of all checks took the same values out in every branch, and a table of one split was one task."""
+    from sedge.plans import jobs
+
+    messages = jobs.receiver_messages(spark, "/root/testdata/sf0.001")
+    assert messages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = receiver.checked(messages, RULES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") < 120, plan.count("try_variant_get")
+    assert "json_object_keys" not in plan
