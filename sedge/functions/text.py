@@ -24,9 +24,9 @@ def normalize(df: DataFrame, text: str = "text", to: str = "normal") -> DataFram
     """Line breaks to LF, NFKC, hidden characters out, lookalike letters folded, control characters out."""
     own = F.col(to)
     df = df.withColumn(to, F.when(F.contains(F.col(text), F.lit("\r")), F.regexp_replace(F.col(text), "\r\n?", "\n")).otherwise(F.col(text))).withColumn(to, nfkc(own))
-    odd = F.regexp_replace(own, f"{P.ZERO_WIDTH}|{P.BIDI}|{P.TAG}", "")
-    folded = F.translate(odd, P.CONFUSABLE, P.CONFUSED_WITH)
-    df = df.withColumn(to, F.when(F.octet_length(own) > F.length(own), folded).otherwise(own))  # ASCII holds neither
+    more = F.octet_length(own) > F.length(own)  # ASCII holds neither
+    df = df.withColumn(to, F.when(more, F.regexp_replace(own, P.HIDDEN, "")).otherwise(own))
+    df = df.withColumn(to, F.when(more & own.rlike(P.CONFUSABLE_BLOCKS), F.translate(own, P.CONFUSABLE, P.CONFUSED_WITH)).otherwise(own))
     return df.withColumn(to, F.regexp_replace(own, P.CONTROL, ""))
 
 
@@ -58,7 +58,8 @@ def redact(df: DataFrame, text: str = "text", to: str = "redacted", findings: st
 
 def lines(text: Column | str) -> Column:
     """The lines of a normalised text; a break at the very end begins no further line."""
-    own = F.split(_col(text), P.LINE_BREAK, -1)
+    c = _col(text)
+    own = F.when(F.octet_length(c) > F.length(c), F.split(c, P.LINE_BREAK, -1)).otherwise(F.split(c, "\n", -1))
     return F.when(F.element_at(own, -1) == "", F.slice(own, 1, F.size(own) - 1)).otherwise(own)
 
 
@@ -71,11 +72,11 @@ def is_question(c: Column) -> Column:
 
 
 def is_anchor(c: Column) -> Column:
-    return is_critical(c) | is_question(c)
+    return c.rlike(P.ANCHOR)
 
 
 def has_url(c: Column) -> Column:
-    return c.rlike(P.URL)
+    return F.contains(c, F.lit("://")) & c.rlike(P.URL)
 
 
 def clean_claim(line: Column, limit: Column | int = 220) -> Column:
@@ -92,12 +93,15 @@ def card_claim(line: Column) -> Column:
 
 def defang_claim(c: Column) -> Column:
     """Images, links, dangerous schemes and web addresses, made harmless; code stays as it is."""
-    c = F.regexp_replace(c, r"!\[\]\([^)]+\)", "[defanged-image: unnamed]")
-    c = F.regexp_replace(c, r"!\[([^\]]+)\]\([^)]+\)", r"[defanged-image: $1]")
-    c = F.regexp_replace(c, r"(?<!!)\[([^\]]*)\]\([^)]+\)", r"$1 [defanged-link]")
+    own = F.regexp_replace(c, r"!\[\]\([^)]+\)", "[defanged-image: unnamed]")
+    own = F.regexp_replace(own, r"!\[([^\]]+)\]\([^)]+\)", r"[defanged-image: $1]")
+    own = F.regexp_replace(own, r"\[(?<!!\[)([^\]]*)\]\([^)]+\)", r"$1 [defanged-link]")
+    own = F.when(F.contains(c, F.lit("](")), own).otherwise(c)
+    safe = own
     for scheme in ("javascript", "vbscript", "data"):
-        c = F.regexp_replace(c, rf"(?iu){P.EDGE}{scheme}:", f"{scheme}-defanged:")
-    return F.replace(F.replace(c, F.lit("https://"), F.lit("hxxps://")), F.lit("http://"), F.lit("hxxp://"))
+        safe = F.regexp_replace(safe, rf"(?={P.first(scheme)}){P.START}(?iu:{scheme}):", f"{scheme}-defanged:")
+    safe = F.replace(F.replace(safe, F.lit("https://"), F.lit("hxxps://")), F.lit("http://"), F.lit("hxxp://"))
+    return F.when(F.contains(c, F.lit(":")), safe).otherwise(own)  # most claims have neither, which is far cheaper to see
 
 
 def defang(c: Column) -> Column:
@@ -107,7 +111,8 @@ def defang(c: Column) -> Column:
 def claim_span(c: Column) -> Column:
     """The defanged claim between fences one backtick longer than any run in it."""
     safe = defang_claim(c)
-    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(safe, F.lit("(`+)"), F.lit(1)), F.length)), F.lit(0))
+    longest = F.array_max(F.transform(F.regexp_extract_all(safe, F.lit("(`+)"), F.lit(1)), F.length))
+    longest = F.coalesce(F.when(F.contains(c, F.lit("`")), longest), F.lit(0))
     fence = F.repeat(F.lit("`"), longest + 1)
     return F.concat(fence, F.lit(" "), safe, F.lit(" "), fence)
 

@@ -32,15 +32,14 @@ def section_rows(cards: DataFrame, run: str = "run_id", tier: str = "trust_tier"
     A card may stand under both constraints and questions; the findings are those under neither.
     """
     mark = F.concat(F.lit("- "), "ref", F.lit(" ["), F.col(tier), F.lit("]"), F.when(F.size("flags") > 0, F.concat(F.lit(" ["), F.array_join("flags", " "), F.lit("]"))).otherwise(""))
-    critical, question = T.is_critical(F.col("claim")), T.is_question(F.col("claim"))
     where = F.format_string("- %s L%d-%d: ", "ref", "line_start", "line_end")
-    own = cards.select(run, F.col("_ord").alias("ord"), F.explode(F.array_compact(F.array(
-        F.struct(F.lit("1-claims").alias("section"), F.concat(where, T.claim_span(F.col("claim"))).alias("line")),
-        F.when(critical, F.struct(F.lit("2-critical-constraints").alias("section"), mark.alias("line"))),
-        F.when(question, F.struct(F.lit("3-open-questions").alias("section"), mark.alias("line"))),
-        F.when(~critical & ~question, F.struct(F.lit("4-findings").alias("section"), mark.alias("line"))),
-    ))).alias("s"))
-    return own.select(run, "s.section", "ord", "s.line")
+    # names alone are exploded: a line is made where it is read, and a claim's span for one of a card's rows
+    own = cards.withColumns({"_critical": T.is_critical(F.col("claim")), "_question": T.is_question(F.col("claim"))})
+    own = own.withColumn("section", F.explode(F.array_compact(F.array(
+        F.lit("1-claims"), F.when(F.col("_critical"), F.lit("2-critical-constraints")), F.when(F.col("_question"), F.lit("3-open-questions")), F.when(~F.col("_critical") & ~F.col("_question"), F.lit("4-findings")),
+    ))))
+    line = F.when(F.col("section") == "1-claims", F.concat(where, T.claim_span(F.col("claim")))).otherwise(mark)
+    return own.select(run, "section", F.col("_ord").alias("ord"), line.alias("line"))
 
 
 #: Sentences that every summary has, or one of several tiers.
