@@ -8,9 +8,10 @@ status; null if not measured) and ``decision`` (what :func:`decide` gives). Ever
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedge.functions.spread import cut
 from sedge.functions.udfs import round4
 from sedge.operators.ledger import HANDOFFS
 
@@ -65,8 +66,16 @@ def decide() -> Column:
     return F.struct(F.when(measured, saves).alias("savings_eligible"), F.when(held, none).otherwise(kept).alias("eligible"), F.when(~held, best).alias("best"), F.when(~held, first).alias("recommended"), gate.alias("gate"))
 
 
-def rules() -> dict[str, Column]:
-    """Rules for :func:`sedge.operators.ledger.violations`."""
+def decided(rows: DataFrame, to: str) -> DataFrame:
+    """``rows`` with :func:`decide` as the column ``to``. Its fields are columns first, each worked out once: fields of one
+    struct are written out again wherever they are read."""
+    want, fields = decide(), ("savings_eligible", "eligible", "best", "recommended", "gate")
+    own = cut(rows.withColumns({f"_w.{x}": want[x] for x in fields}))
+    return own.withColumn(to, F.struct(*[F.col(f"`_w.{x}`").alias(x) for x in fields])).drop(*[f"_w.{x}" for x in fields])
+
+
+def rules(decision: str | None = None) -> dict[str, Column]:
+    """Rules for :func:`sedge.operators.ledger.violations`; ``decision``: where :func:`decided` has put it, if it has."""
     has, recall, said = names(), F.col("recall"), F.col("decision")
     each = lambda f: F.forall(has, f)
     same_names = lambda m: F.array_sort(F.map_keys(m)) == F.array_sort(has)
@@ -75,7 +84,7 @@ def rules() -> dict[str, Column]:
     # a UDF's arguments are computed for every row, so the divisor itself is null where there is no input
     saved = lambda size, n, x: round4((F.col(size) - _of(n, x)) / F.when(F.col(size) > 0, F.col(size)))
     measured = lambda ok: recall.isNull() | ok
-    want = decide()
+    want = F.col(decision) if decision else decide()
     right = lambda field: said[field].eqNullSafe(want[field])
     shown = {n: F.lit(n) for n in HANDOFFS}
     savings = lambda size, x, to: _all([~F.array_contains(has, n) | _of(c, to).eqNullSafe(saved(size, c, x)) for n, c in shown.items()])

@@ -119,3 +119,12 @@ def test_ties(spark):
 
 def test_empty(rows):
     assert ledger.violations(rows.where(F.lit(False)), handoff.rules()).count() == 0
+
+
+def test_a_decision_is_worked_out_once(spark):
+    """Every rule wrote the whole decision out again; the query over all orders did not end."""
+    from sedge.plans import checks
+
+    rows = checks._handoffs(spark, "/root/testdata/sf0.001", broken=True)
+    plan = ledger.violations(rows, handoff.rules("want"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min") == 0
