@@ -71,13 +71,13 @@ def cohort_measures(ledgers: DataFrame, report: str, cohort: list[str]) -> DataF
     refused; those of ECONOMIC over the runs that count for savings. From ``ledger.FEW`` values on nearest-rank percentiles,
     below that the sorted values. A refused report's ledgers go before anything is gathered, so a group holds few."""
     own = eligible_runs(accepted(ledgers, gates(ledgers, report, cohort), report))
-    item = lambda m, c: F.struct(F.lit(m).alias("measure"), c.cast("double").alias("value"))
-    all_of = F.array(*[item(m, F.col(m)) for m in OPERATIONAL])
-    some = F.when(F.col("economic"), F.array(*[item(m, F.col(m)) for m in ECONOMIC])).otherwise(F.array().cast("array<struct<measure:string,value:double>>"))
-    rows = own.select(report, *cohort, F.explode(F.concat(all_of, some)).alias("_x")).select(report, *cohort, "_x.*")
-    stats = ledger.cohort_stats(rows, [report, *cohort, "measure"], "value")
-    few = ledger.few_values(rows, [report, *cohort, "measure"], "value")
-    keys = [report, *cohort, "measure"]
-    few = few.select(*[F.col(k).alias(f"_{k}") for k in keys], "values")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return stats.join(few, same, "left").select(*stats.columns, "values")
+    keys = [report, *cohort]
+    values = lambda names: F.struct(*[F.col(m).cast("double").alias(m) for m in names])
+    # a row a run and not one a measure: a cohort's runs are no more than a report may have
+    runs = own.groupBy(*keys).agg(F.collect_list(values(OPERATIONAL)).alias("_all"), F.collect_list(F.when(F.col("economic"), values(ECONOMIC))).alias("_some"))
+    item = lambda m, of: F.struct(F.lit(m).alias("measure"), F.array_sort(F.filter(F.transform(of, lambda x: x[m]), lambda v: v.isNotNull())).alias("v"))
+    some = F.when(F.size("_some") > 0, F.array(*[item(m, "_some") for m in ECONOMIC])).otherwise(F.array().cast("array<struct<measure:string,v:array<double>>>"))
+    rows = runs.select(*keys, F.explode(F.concat(F.array(*[item(m, "_all") for m in OPERATIONAL]), some)).alias("_x")).select(*keys, "_x.*")
+    n = F.size("v")
+    rank = lambda tenths: F.when(n >= ledger.FEW, F.get("v", F.expr(f"cast((size(v) * {tenths} + 9) div 10 as int) - 1")))
+    return rows.select(*keys, "measure", n.cast("long").alias("n"), F.get("v", F.lit(0)).alias("low"), F.get("v", n - 1).alias("high"), rank(5).alias("p50"), rank(9).alias("p90"), F.when((n > 0) & (n < ledger.FEW), F.col("v")).alias("values"))

@@ -86,3 +86,11 @@ def test_measures(spark, rows):
 def test_empty(spark):
     none = spark.createDataFrame([], NAMES)
     assert all(f(none, "report", ["cohort"]).count() == 0 for f in (report.gates, report.cohort_rows, report.cohort_measures))
+
+
+def test_measures_are_gathered_a_row_a_run(spark):
+    """Rows of one measure each were dealt out three times, nineteen for a run."""
+    from sedge.plans import checks
+
+    plan = checks.corpus_measures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and plan.count("Generate explode") == 1
