@@ -124,7 +124,7 @@ SQL_RUN = f"'run-' || (doc_id // {MAX_DOCUMENTS})"
 def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted documents; runs are of up to MAX_DOCUMENTS neighbours, and a document's language stands for its tier."""
     docs = documents(spark, sf_dir).select("doc_id", "text", F.coalesce("lang", F.lit("untrusted")).alias("trust_tier"), "source", F.expr(RUN).alias("run_id"))
-    return T.redact(docs).withColumn("sha256", T.digest("text")).withColumn("base_tokens", T.token_count("text")).drop("text")
+    return T.redact(docs).withColumn("sha256", T.digest("text")).drop("text")
 
 
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
