@@ -18,7 +18,8 @@ from sedge.functions.spread import cut
 from sedge.functions.udfs import nfkc
 from sedge.operators import rules
 
-# What a tag may be, the reasons of refusals and reroutes.
+# From how many rows on a job is hot, what a tag may be, the reasons of refusals and reroutes.
+HOT = 100_000
 TAG = r"\A[a-z0-9][a-z0-9-]{0,63}\z"
 INVALID, UNKNOWN, WIDENS, NOT_ADMITTED = "envelope-invalid", "custody-label-unknown", "custody-widens", "custody-not-admitted"
 OWN, INHERITED, INFERRED, UNCERTAIN = "carve-out", "carve-out-inherited", "carve-out-inferred", "carve-out-uncertain"
@@ -43,18 +44,36 @@ class Policy:
     quick: str = "quick"
 
 
+def _met(todo: DataFrame, to: DataFrame) -> DataFrame:
+    """``todo`` with the row that ``up`` points to, if it is there. Jobs that more than HOT others point to are few, at most
+    one for each HOT rows, and are broadcast: the rows below one of them would all be one task's else."""
+    hot = cut(todo.groupBy(F.col("up").alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("_hot"))
+    at = F.col("up") == F.col("_to")
+    if hot.isEmpty():
+        return todo.join(to, at, "left")
+    few = to.join(F.broadcast(hot), F.col("_to") == F.col("_hot"), "left_semi")
+    below = F.col("up") == F.col("_hot")
+    return todo.join(F.broadcast(hot), below, "left_anti").join(to, at, "left").unionByName(todo.join(F.broadcast(hot), below, "left_semi").join(F.broadcast(few), at, "left"))
+
+
 def above(jobs: DataFrame, value: str, merge: Callable[[Column, Column], Column], rounds: int = 64) -> DataFrame:
     """(job_id, above): ``value`` of all jobs above each one merged, null for a root. ``merge`` is associative, and is never
     given a null. Job ids are distinct. Parents in a circle are an error."""
     own = jobs.select("job_id", "parent_id", F.col(value).alias("_v"))
     parents = own.select(F.col("job_id").alias("_p"), "_v")
-    first = own.select("job_id", "parent_id").join(parents, F.col("parent_id") == F.col("_p"), "left")
-    now = cut(first.select("job_id", F.col("_p").alias("up"), F.col("_v").alias("acc")))
+    to = parents.select(F.col("_p").alias("_to"), "_v")
+    roots = own.where("parent_id is null").select("job_id", F.lit(None).cast(own.schema["parent_id"].dataType).alias("up"), F.lit(None).cast(own.schema["_v"].dataType).alias("acc"))
+    first = _met(own.where("parent_id is not null").select("job_id", F.col("parent_id").alias("up")), to)
+    now = cut(first.select("job_id", F.col("_to").alias("up"), F.col("_v").alias("acc")).unionByName(roots))
+    done = None
     for _ in range(rounds):
-        if now.where("up is not null").isEmpty():
-            return now.select("job_id", F.col("acc").alias("above"))
-        to = now.select(F.col("job_id").alias("_to"), F.col("up").alias("_up"), F.col("acc").alias("_acc"))
-        both = now.join(to, F.col("up") == F.col("_to"), "left")
+        # what points nowhere any more leaves: in a join its nulls would all be one task's
+        ended = now.where("up is null").select("job_id", F.col("acc").alias("above"))
+        done, todo = ended if done is None else done.unionByName(ended), now.where("up is not null")
+        if todo.isEmpty():
+            return done
+        to = todo.unionByName(done.select("job_id", F.lit(None).cast(todo.schema["up"].dataType).alias("up"), F.col("above").alias("acc")))
+        both = _met(todo, to.select(F.col("job_id").alias("_to"), F.col("up").alias("_up"), F.col("acc").alias("_acc")))
         now = cut(both.select("job_id", F.col("_up").alias("up"), F.when(F.col("acc").isNotNull() & F.col("_acc").isNotNull(), merge(F.col("acc"), F.col("_acc"))).otherwise(F.coalesce("acc", "_acc")).alias("acc")))
     raise ValueError("parents go in a circle")
 

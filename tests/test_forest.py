@@ -71,3 +71,20 @@ def test_circles_are_refused(spark):
     with pytest.raises(ValueError, match="circle"):
         forest.above(spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "job_id long, parent_id long, v int"), "v", lambda a, b: F.greatest(a, b), rounds=6)
     assert forest.root_classes(spark.createDataFrame([], JOBS), POLICY).collect() == []
+
+
+def test_jobs_below_a_hot_one_and_roots(spark, monkeypatch):
+    """Roots and all jobs below one other job were one task's in every join; hot jobs are broadcast and roots leave."""
+    monkeypatch.setattr(forest, "HOT", 5)
+    rows = [(i, None if i in (0, 50) else 0 if i < 30 else i - 1 if i < 60 else 7 if i < 90 else -i, i) for i in range(100)]
+    parent = {i: p for i, p, _ in rows}
+
+    def want(i):
+        best = None
+        while (i := parent.get(i)) is not None and i in parent:
+            best = i if best is None else max(best, i)
+        return best
+
+    got = forest.above(spark.createDataFrame(rows, "job_id long, parent_id long, v long"), "v", lambda a, b: F.greatest(a, b))
+    assert {r.job_id: r.above for r in got.collect()} == {i: want(i) for i in parent}
+    assert "BroadcastHashJoin" in str(forest._met(spark.createDataFrame([(i, 1) for i in range(9)], "job_id long, up long"), spark.createDataFrame([(1, 2)], "_to long, _up long"))._jdf.queryExecution().executedPlan().toString())
