@@ -34,6 +34,13 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` to a number of partitions that stays as it is. Adaptive execution joins partitions by their
+    bytes on disk; where rows are alike, or grow behind the shuffle, these say little of what a task will hold."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def ordinals(rows: DataFrame, group: str, order: list[str], weight: str) -> DataFrame:
     """``rows`` with ``ordinal`` (from 1, by ``order`` within ``group``) and ``before``, the sum of ``weight`` so far.
 

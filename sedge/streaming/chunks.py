@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from sedge.functions.spread import dealt
 from sedge.streaming import sse
 
 #: Stands for data that is no UTF-8: no JSON, it voids its stream.
@@ -26,12 +27,14 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 def chunk_frames(chunks: DataFrame, key: str = "stream_id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
     """(key, pos, event, data): the events of :func:`sse.frames` out of chunks (binary) put together by ``seq``.
 
-    A chunk that comes twice counts once; null chunks are empty; rows without a key or a ``seq`` are passed over. Bytes
+    A chunk that comes twice counts once (of different ones the greatest by bytes); null chunks are empty; rows without a key or a ``seq`` are passed over. Bytes
     are framed before they are read as UTF-8, so an event whose data is none comes as UNREADABLE and leaves others alone.
     """
-    own = chunks.where(F.col(key).isNotNull() & F.col(seq).isNotNull()).dropDuplicates([key, seq])
-    parts = F.array_sort(F.collect_list(F.struct(F.col(seq), F.coalesce(F.hex(chunk), F.lit("")).alias("h"))))
-    texts = own.groupBy(key).agg(F.decode(F.unhex(F.array_join(F.transform(parts, lambda x: x.h), "")), "ISO-8859-1").alias("_text"))
+    own = dealt(chunks.where(F.col(key).isNotNull() & F.col(seq).isNotNull()).select(key, F.col(seq).alias("_s"), F.col(chunk).alias("_c")), key)
+    # all of a stream meets once, and what comes twice is told apart there: rows are sorted for one grouping only
+    parts = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_s", F.coalesce(F.decode("_c", "ISO-8859-1"), F.lit("")).alias("t")))).alias("_p"))
+    once = F.filter("_p", lambda x, i: ~F.coalesce(x["_s"] == F.get("_p", i + 1)["_s"], F.lit(False)))
+    texts = parts.select(key, F.array_join(F.transform(once, lambda x: x.t), "").alias("_text"))
     framed = sse.frames(texts, key, "_text", size=F.length)  # a character a byte
     data = F.encode("data", "ISO-8859-1").cast("string")
     return framed.select(key, F.col("pos").cast("long").alias("pos"), F.make_valid_utf8(F.encode("event", "ISO-8859-1").cast("string")).alias("event"), F.when(F.is_valid_utf8(data), data).otherwise(UNREADABLE).alias("data"))

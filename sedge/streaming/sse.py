@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sedge.functions.variants import json_variant, kind_at, number_at, object_at, string_at
+from sedge.functions.variants import json_variant, kind_at, number_at, object_at, string_at, with_variant
 
 # Refusal categories that are passed on (others count as "other"), what a model's name may be, the fields
 # of usage, and the bounds on a line, an event's data and the content blocks of a stream.
@@ -37,11 +37,11 @@ def frames(texts: DataFrame, key: str = "stream_id", text: str = "text", size: C
     comes as OVERSIZE, by which its whole stream is given up, not the event alone. ``size`` measures lines and data."""
     own = texts.select(key, F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n\n+").alias("_f"))
     whole = own.select(key, F.posexplode(F.slice("_f", 1, F.size("_f") - 1)).alias("pos", "_e"))
-    lines = F.split("_e", "\n")
-    field = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(f"{name}:")), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
-    data = F.array_join(field("data"), "\n")
-    over = F.exists(lines, lambda x: size(x) > MAX_LINE) | (size(data) > MAX_EVENT)
-    return whole.select(key, "pos", F.when(~over, F.try_element_at(field("event"), F.lit(1))).alias("event"), F.when(over, OVERSIZE).otherwise(data).alias("data")).where("data <> ''")
+    after = lambda x, n: x.substr(F.when(x.substr(F.lit(n), F.lit(1)) == " ", n + 1).otherwise(n), F.length(x))
+    field = lambda name: F.transform(F.filter("_l", lambda x: x.startswith(f"{name}:")), lambda x: after(x, len(name) + 2))
+    own = whole.select(key, "pos", F.split("_e", "\n").alias("_l")).withColumn("_d", F.array_join(field("data"), "\n"))
+    over = F.exists("_l", lambda x: size(x) > MAX_LINE) | (size("_d") > MAX_EVENT)
+    return own.select(key, "pos", F.when(~over, F.try_element_at(field("event"), F.lit(1))).alias("event"), F.when(over, OVERSIZE).otherwise(F.col("_d")).alias("data")).where("data <> ''")
 
 
 def _safe(path: str, v: str | Column = "_v") -> Column:
@@ -86,8 +86,7 @@ def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
     """
     c, no = F.col, F.lit(False)
     known = ("message_start", "content_block_start", "content_block_delta", "content_block_stop", "message_delta", "message_stop", "error")
-    kind = F.coalesce(string_at("$.type"), F.lit(""))
-    fallback = F.coalesce(string_at("$.content_block.type") == "fallback", no)
+    kind, fallback = c("_kind"), c("_fallback")
     of = {
         "message_start": _safe("$.message.model").isNotNull() & object_at("$.message.usage"),
         "content_block_start": string_at("$.content_block.type").isNotNull() & (~fallback | _sound_fallback()),
@@ -98,7 +97,8 @@ def messages_telemetry(events: DataFrame, key: str = "stream_id") -> DataFrame:
         sound = sound & ((kind != name) | rule)
     usage = {f: F.when(kind == "message_start", number_at(f"$.message.usage.{f}")).when(kind == "message_delta", number_at(f"$.usage.{f}")) for f in USAGE}
     # what an event says by itself; its text goes no further
-    e = events.withColumn("_v", json_variant("data")).select(
+    e = with_variant(events, "data", "_v").withColumns({"_kind": F.coalesce(string_at("$.type"), F.lit("")), "_fallback": F.coalesce(string_at("$.content_block.type") == "fallback", no)})
+    e = e.select(
         key, "pos", F.when(kind.isin(*known), kind).otherwise("").alias("kind"), number_at("$.index").alias("block"), sound.alias("sound"), ((kind == "content_block_start") & fallback).alias("fallback"),
         F.when(kind == "message_start", _safe("$.message.model")).when((kind == "content_block_start") & fallback, _safe("$.content_block.to.model")).alias("model"),
         F.when(kind == "message_delta", string_at("$.delta.stop_reason")).alias("stop"), F.when(kind == "message_delta", _refusal("$.delta")).alias("refusal"), ((kind == "message_delta") & _answered()).alias("answered"),

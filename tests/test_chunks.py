@@ -101,6 +101,19 @@ def test_batch_form(spark):
         assert [(r[1], r[2], r[3]) for r in sorted(want, key=str) if r[0] == k] == sorted(plain(t, sse.MAX_LINE, sse.MAX_EVENT), key=str)
 
 
+def test_streams_are_dealt_out_however_few_bytes_they_take_on_disk(spark):
+    """Chunks that are alike take next to nothing on disk, so partitions joined by their bytes would be one task's."""
+    same = spark.range(2000).select((F.col("id") % 100).cast("string").alias("stream_id"), F.floor(F.col("id") / 100).alias("seq"), F.lit(b"data: 1\n\n").alias("chunk"))
+    got = C.chunk_frames(same)
+    assert got.rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism and got.count() == 2000
+
+
+def test_of_chunks_under_one_number_the_greatest_counts(spark):
+    rows = [("a", 0, bytearray(b"data: 1\n\n")), ("a", 0, None), ("a", 0, bytearray(b"data: 2\n\n")), ("a", 1, bytearray(b"data: \xc3\xa9\n\n")), ("a", 1, bytearray(b"data: z\n\n"))]
+    for order in (rows, rows[::-1]):
+        assert [r.data for r in C.chunk_frames(spark.createDataFrame(order, "stream_id string, seq int, chunk binary")).orderBy("pos").collect()] == ["2", "é"]
+
+
 @pytest.fixture
 def rocks(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
