@@ -67,7 +67,7 @@ def redaction(source: str, text: str = "text") -> str:
     odd = "octet_length(redacted) > length(redacted)"
     steps = [
         f"FROM {source}", f"EXTEND CASE WHEN contains({text}, '\\r') THEN regexp_replace({text}, {_q(chr(13) + chr(10) + '?')}, '\\n') ELSE {text} END AS redacted",
-        f"SET redacted = CASE WHEN {odd} THEN nfkc_text(redacted) ELSE redacted END",
+        f"SET redacted = coalesce(nfkc_text(CASE WHEN {odd} THEN redacted END), redacted)",  # a call inside a CASE is made for every row
         f"SET redacted = CASE WHEN {odd} THEN translate(regexp_replace(redacted, {_q(P.ZERO_WIDTH + '|' + P.BIDI + '|' + P.TAG)}, ''), {_q(P.CONFUSABLE)}, {_q(P.CONFUSED_WITH)}) ELSE redacted END",
         f"SET redacted = regexp_replace(redacted, {_q(P.CONTROL)}, '')",
     ]
