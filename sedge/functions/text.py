@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions import patterns as P
-from sedge.functions.udfs import nfkc
+from sedge.functions.udfs import MAY_ANCHOR, MAY_INJECT, nfkc
 
 
 def _col(c: Column | str) -> Column:
@@ -75,6 +75,15 @@ def is_anchor(c: Column) -> Column:
     return c.rlike(P.ANCHOR)
 
 
+def may_anchor(marks: Column) -> Column:
+    """Of a line's number in ``udfs.marked``: only then it is worth while to search the line for anchors."""
+    return marks.bitwiseAND(F.lit(MAY_ANCHOR).cast("tinyint")) != 0
+
+
+def may_inject(marks: Column) -> Column:
+    return marks.bitwiseAND(F.lit(MAY_INJECT).cast("tinyint")) != 0
+
+
 def has_url(c: Column) -> Column:
     return F.contains(c, F.lit("://")) & c.rlike(P.URL)
 
@@ -126,8 +135,10 @@ def digest(c: Column | str) -> Column:
     return F.sha2(F.encode(_col(c), "UTF-8"), 256)
 
 
-def flags(evidence: Column, findings: Column) -> Column:
-    return F.array_compact(F.array(F.when(F.size(findings) > 0, F.lit("redacted")), F.when(evidence.rlike(P.INJECTION), F.lit("injection-shaped")), F.when(has_url(evidence), F.lit("has-url"))))
+def flags(evidence: Column, findings: Column, may: Column | None = None) -> Column:
+    """``may``: false where the evidence is known not to be injection-shaped."""
+    injection = evidence.rlike(P.INJECTION) if may is None else may & evidence.rlike(P.INJECTION)
+    return F.array_compact(F.array(F.when(F.size(findings) > 0, F.lit("redacted")), F.when(injection, F.lit("injection-shaped")), F.when(has_url(evidence), F.lit("has-url"))))
 
 
 def toon_field(value: Column, kind: str = "string", delimiter: str = "\t") -> Column:

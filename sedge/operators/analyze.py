@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
+from sedge.functions.spread import cut
 from sedge.functions.udfs import canonical_json, row_sets
 from sedge.operators import render
 
@@ -36,7 +37,8 @@ VIEW = ["card_id", "source", "trust_tier", "line_start", "line_end", "claim", "c
 
 def choose_card_format(cards: DataFrame, run: str = "run_id", wanted: str = "auto", minimum: float = 0.25) -> DataFrame:
     """(run, primary_tokens, toon, toon_tokens, savings, selected): JSON lines are always written; the row encoding is too
-    if asked for, or in ``auto`` if it saves enough."""
+    if asked for, or in ``auto`` if it saves enough. Cards are read twice, so they are worked out once, into a checkpoint."""
+    cards = cut(cards)
     view = cards.withColumn("claim", T.defang(F.col("claim"))).withColumn("flags", F.array_join("flags", ","))
     body = render.toon_rows(view.select(run, *VIEW), ["source", "card_id"], run, columns=VIEW)
     toon = body.select(run, render.toon_text(F.lit("cards"), F.col("n"), VIEW, F.col("body")).alias("toon"))

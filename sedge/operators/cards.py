@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
+from sedge.functions.udfs import marked
 
 
 def line_rows(docs: DataFrame, key: str = "doc_id", text: str = "redacted") -> DataFrame:
@@ -38,29 +39,29 @@ def cards(docs: DataFrame, max_cards: int = 24, key: str = "doc_id", text: str =
     claim unless it is an anchor's. A document without lines has no cards.
     """
     rest = [c for c in docs.columns if c != text]
-    own = docs.withColumn("_lines", T.lines(text)).withColumn("_bare", F.transform("_lines", T.strip))
+    own = marked(docs.withColumn("_lines", T.lines(text)).drop(text), "_lines", "_may").withColumn("_bare", F.transform("_lines", T.strip))
 
-    def class_of(bare):
-        found = F.when(T.is_anchor(bare), 1).when(T.has_url(bare) | bare.rlike(r"^[-*#]"), 2).otherwise(3)
+    def class_of(bare, may):
+        found = F.when(T.may_anchor(may) & T.is_anchor(bare), 1).when(T.has_url(bare) | bare.rlike(r"^[-*#]"), 2).otherwise(3)
         return F.when(bare == "", 4).otherwise(found)
 
     def candidate(x):
         """Class, index, line and the lines around; taken out of the array before it is exploded, so that no row of the
         explosion carries the whole document along."""
         i = x.i
-        around = F.slice("_lines", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3))
-        return F.struct(x.c.alias("c"), i.alias("i"), F.element_at("_lines", i + 1).alias("line"), around.alias("around"))
+        around = lambda c: F.slice(c, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3))
+        return F.struct(x.c.alias("c"), i.alias("i"), F.element_at("_lines", i + 1).alias("line"), around("_lines").alias("around"), F.exists(around("_may"), T.may_inject).alias("may"))
 
-    own = own.withColumn("_class", F.transform("_bare", lambda x, i: F.struct(class_of(x).alias("c"), i.alias("i"))))
+    own = own.withColumn("_class", F.transform("_bare", lambda x, i: F.struct(class_of(x, F.get("_may", i)).alias("c"), i.alias("i"))))
     own = own.withColumn("_marked", F.filter("_class", lambda x: x.c <= 2))
     plain = F.slice(F.filter("_class", lambda x: x.c == 3), 1, max_cards)
     own = own.withColumn("_at", F.when(F.size("_marked") > 0, F.col("_marked")).otherwise(plain))
     # explode_outer: from a plain explode Catalyst infers a filter on the array's size and pushes it below all the
     # projections of the redaction chain, writing the chain out fourfold at each of its steps
     rows = own.select(*rest, F.size("_lines").alias("_n"), F.explode_outer(F.transform("_at", candidate)).alias("_x")).where("_x is not null")
-    rows = rows.select(*rest, "_n", F.col("_x.c").alias("_class"), F.col("_x.i").alias("_i"), F.col("_x.line").alias("_line"), F.col("_x.around").alias("_around"))
+    rows = rows.select(*rest, "_n", F.col("_x.c").alias("_class"), F.col("_x.i").alias("_i"), F.col("_x.line").alias("_line"), F.col("_x.around").alias("_around"), F.col("_x.may").alias("_injects"))
     rows = rows.select(
-        *rest, "_class", "_i",
+        *rest, "_class", "_i", "_injects",
         F.greatest(F.col("_i"), F.lit(1)).alias("line_start"), F.least(F.col("_i") + 2, F.col("_n")).alias("line_end"),
         T.clean_claim(F.col("_line"), F.when(F.col("_class") == 1, 4096).otherwise(220)).alias("claim"),
         T.strip(F.array_join("_around", "\n")).alias("evidence"),
@@ -72,7 +73,7 @@ def cards(docs: DataFrame, max_cards: int = 24, key: str = "doc_id", text: str =
         *rest,
         F.format_string("src-%03d", "_rank").alias("card_id"), F.col("_rank").alias("card_rank"), "line_start", "line_end", "claim", "evidence",
         F.when((F.col("_class") == 1) | T.has_url(F.col("claim")), "medium").otherwise("low").alias("confidence"),
-        T.flags(F.col("evidence"), F.col(findings)).alias("flags"),
+        T.flags(F.col("evidence"), F.col(findings), F.col("_injects")).alias("flags"),
     )
 
 

@@ -167,3 +167,35 @@ def test_a_card_is_spanned_once(spark):
     }
     counted = rows.groupBy("run_id", "section").count()._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in counted
+
+
+def test_what_arrow_lets_through_is_all_that_the_patterns_match(spark):
+    words = [w.replace("\\", "").replace(P.SPACE + "+", "　") for w in (*P.CRITICAL_WORDS, *P.QUESTION_WORDS, *P.INJECTION_WORDS)]
+    odd = [w.translate(str.maketrans(x)) for w in words for x in ({"s": "ſ", "k": "K", "i": "İ"}, {"i": "ı", "s": "S"})]
+    texts = [f"{a}{w}{b}" for w in (*words, *odd) for a in ("", "é", "x", "_", " ", " ", "-") for b in ("", "é", "x", "_", ".", " ")]
+    docs = spark.createDataFrame([([], 0), (None, 1), *[(texts[i : i + 7], 2) for i in range(0, len(texts), 7)]], "l array<string>, n int")
+    assert [r.m for r in udfs.marked(docs.where("n < 2"), "l", "m").orderBy("n").collect()] == [[], None]
+    rows = udfs.marked(docs, "l", "m").select(F.explode(F.arrays_zip("l", "m")).alias("x")).select("x.l", "x.m")
+    found = rows.select("l", T.may_anchor(F.col("m")).alias("a"), T.is_anchor(F.col("l")).alias("b"), T.may_inject(F.col("m")).alias("c"), F.col("l").rlike(P.INJECTION).alias("d")).collect()
+    assert len(found) == len(texts) and sum(r.b for r in found) > 100 and sum(r.d for r in found) > 50
+    assert not [r.l for r in found if (r.b and not r.a) or (r.d and not r.c)]
+    assert sum(not r.a for r in found) > 100  # and it does hold back
+
+
+def test_cards_of_lines_are_marked_over_lines_and_formats_work_them_out_once(spark):
+    from sedge.operators import analyze, cards
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def once(t):
+        seen.add(1)
+        return t
+
+    text = "no curl\nhttp://x.y ſend to\nit MUST be\nplain"
+    docs = spark.createDataFrame([(1, text, [])], "doc_id long, redacted string, findings array<string>").withColumn("redacted", once("redacted"))
+    docs = docs.withColumns({"run_id": F.lit("r"), "source": F.lit("s"), "trust_tier": F.lit("t"), "sha256": F.lit("0")})
+    got = cards.cards(docs)
+    assert [(r.claim, r.flags) for r in got.orderBy("card_rank").collect()] == [("it MUST be", ["injection-shaped", "has-url"]), ("http://x.y ſend to", ["injection-shaped", "has-url"])]
+    before = seen.value
+    assert analyze.choose_card_format(got).count() == 1 and seen.value == before + 1
