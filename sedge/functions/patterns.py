@@ -23,6 +23,8 @@ SPACE = f"[{SPACE_SET}]"
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_BREAK = r"[\n\u0085\u2028\u2029]"
 TOKEN = rf"\w+|[^\w{SPACE_SET}]"
+#: All but one character of each token, and what stands between tokens.
+NO_TOKEN = rf"(?<=\w)\w+|{SPACE}+"
 
 
 def first(*words: str) -> str:

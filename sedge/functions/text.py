@@ -128,7 +128,8 @@ def claim_span(c: Column) -> Column:
 
 def token_count(c: Column | str) -> Column:
     """Runs of ASCII word characters, and every other character that is no white space, count one each."""
-    return F.coalesce(F.regexp_count(_col(c), F.lit(P.TOKEN)), F.lit(0)).cast("long")
+    # what is left without white space and all but the first of a run's characters; regexp_count would make each token a string
+    return F.coalesce(F.length(F.regexp_replace(_col(c), P.NO_TOKEN, "")), F.lit(0)).cast("long")
 
 
 def digest(c: Column | str) -> Column:

@@ -199,3 +199,9 @@ def test_cards_of_lines_are_marked_over_lines_and_formats_work_them_out_once(spa
     assert [(r.claim, r.flags) for r in got.orderBy("card_rank").collect()] == [("it MUST be", ["injection-shaped", "has-url"]), ("http://x.y ſend to", ["injection-shaped", "has-url"])]
     before = seen.value
     assert analyze.choose_card_format(got).count() == 1 and seen.value == before + 1
+
+
+def test_tokens_are_counted_without_making_them(spark):
+    texts = ["", " ", "a", "ab_9 c", "é", "aé b", "ñ٣,\U0001f600\U0001f600 ", "\x85　a\x1f b", "a\nb\r\n\n", "--a--", "_", "'it''s'"]
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", T.token_count("t").alias("n"), F.regexp_count("t", F.lit(P.TOKEN)).alias("m")).collect()
+    assert all(r.n == (r.m or 0) for r in got) and sum(r.n for r in got) > 20
