@@ -38,6 +38,11 @@ def cards(docs: DataFrame, max_cards: int = 24, key: str = "doc_id", text: str =
     the first ``max_cards`` lines with anything on them. Claims that come out empty are passed over, and so is a repeated
     claim unless it is an anchor's. A document without lines has no cards.
     """
+    return ranked(candidates(docs, max_cards, text), max_cards, key, findings)
+
+
+def candidates(docs: DataFrame, max_cards: int = 24, text: str = "redacted") -> DataFrame:
+    """``docs`` with the number of their lines (``_n``) and their candidates for cards (``_found``) in place of their text."""
     rest = [c for c in docs.columns if c != text]
     own = marked(docs.withColumn("_lines", T.lines(text)).drop(text), "_lines", "_may").withColumn("_bare", F.transform("_lines", T.strip))
 
@@ -56,9 +61,15 @@ def cards(docs: DataFrame, max_cards: int = 24, key: str = "doc_id", text: str =
     own = own.withColumn("_marked", F.filter("_class", lambda x: x.c <= 2))
     plain = F.slice(F.filter("_class", lambda x: x.c == 3), 1, max_cards)
     own = own.withColumn("_at", F.when(F.size("_marked") > 0, F.col("_marked")).otherwise(plain))
+    return own.select(*rest, F.size("_lines").alias("_n"), F.transform("_at", candidate).alias("_found"))
+
+
+def ranked(found: DataFrame, max_cards: int = 24, key: str = "doc_id", findings: str = "findings") -> DataFrame:
+    """The cards of what :func:`candidates` gives."""
+    rest = [c for c in found.columns if c not in ("_n", "_found")]
     # explode_outer: from a plain explode Catalyst infers a filter on the array's size and pushes it below all the
     # projections of the redaction chain, writing the chain out fourfold at each of its steps
-    rows = own.select(*rest, F.size("_lines").alias("_n"), F.explode_outer(F.transform("_at", candidate)).alias("_x")).where("_x is not null")
+    rows = found.select(*rest, "_n", F.explode_outer("_found").alias("_x")).where("_x is not null")
     rows = rows.select(*rest, "_n", F.col("_x.c").alias("_class"), F.col("_x.i").alias("_i"), F.col("_x.line").alias("_line"), F.col("_x.around").alias("_around"), F.col("_x.may").alias("_injects"))
     rows = rows.select(
         *rest, "_class", "_i", "_injects",

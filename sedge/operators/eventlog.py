@@ -8,13 +8,14 @@ file each. The comparison joins by run and document, both ways.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions.spread import cut, ordinals
-from sedge.functions.variants import json_variant, kind_at, number_at, string_at
-from sedge.operators.schema import Field, errors
+from sedge.functions.variants import json_variant, kind_at, number_at, string_at, with_variant
+from sedge.operators.schema import Field, errors, sound
 
 SHA256 = "[0-9a-f]{64}"
 REASONS = "input-cap|budget|condense-error|redaction-error"
@@ -35,13 +36,13 @@ def event_log(run, generated_at: str, settings: Mapping[str, object]) -> DataFra
     """
     c = F.col
     cards = run.cards
-    n = cards.groupBy("run_id", "position").agg(F.count("*").alias("_n"))
-    counted = run.documents.join(n, ["run_id", "position"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_events", c("_n") + 2)
-    own = cut(ordinals(counted, "run_id", ["position"], "_events")).withColumn("doc", c("ordinal").cast("long") - 1)
+    first = c("ordinal").cast("long") - 1
+    places = run.places.select("run_id", "position", "_n", first.alias("doc"), (c("before") + 2 * first).alias("before"), (c("_n") + 2).alias("_events"))
+    own = cut(run.documents.join(places, ["run_id", "position"]).join(run.findings, ["run_id", "position"], "left"))
     event = lambda name, pos, *fields: [c("run_id"), pos.cast("long").alias("pos"), F.lit(name).alias("event"), c("doc"), F.to_json(F.struct(F.lit(name).alias("event"), *fields)).alias("json")]
     source = [c("source"), c("trust_tier"), c("sha256")]
     found = F.coalesce("findings", F.array().cast("array<string>")).alias("findings")
-    docs = own.join(run.findings, ["run_id", "position"], "left").select(*event("doc", c("before") + 1, c("doc").alias("i"), *source, "bytes", "withheld", "reason", found))
+    docs = own.select(*event("doc", c("before") + 1, c("doc").alias("i"), *source, "bytes", "withheld", "reason", found))
     place = own.select("run_id", "position", "doc", "before")
     lines = [c("line_start").cast("long").alias("line_start"), c("line_end").cast("long").alias("line_end")]
     told = cards.join(place, ["run_id", "position"]).select(*event("card", c("before") + 1 + c("card_rank"), c("doc").alias("i"), c("card_id").alias("id"), *source, "claim", "evidence", "confidence", "flags", *lines))
@@ -68,11 +69,13 @@ def read_log(spark, path: str) -> DataFrame:
 
 
 def _events(log: DataFrame, order: list[str]) -> DataFrame:
-    own = log.select("run_id", *order, "json").withColumn("_one", F.lit(1)).withColumn("_v", json_variant("json"))
+    own = ordinals(log.select("run_id", *order, "json").withColumn("_one", F.lit(1)), "run_id", order, "_one")
+    own = with_variant(own.select("run_id", F.col("ordinal").cast("long").alias("pos"), "json"), "json", "_v")
     own = own.withColumns({"kind": F.coalesce(string_at("$.event"), F.lit("")), "i": number_at("$.i"), "n": number_at("$.cards"), "id": string_at("$.id")})
     facts = F.struct(string_at("$.source").alias("source"), string_at("$.trust_tier").alias("trust_tier"), string_at("$.sha256").alias("sha256"))
-    own = own.withColumns({"facts": facts, "bytes": number_at("$.bytes"), "withheld": F.try_variant_get("_v", "$.withheld", "boolean"), "reason": kind_at("$.reason").isNotNull(), "found": F.size(F.try_variant_get("_v", "$.findings", "array<variant>")) > 0}).drop("_v")
-    return cut(ordinals(own, "run_id", order, "_one").withColumn("pos", F.col("ordinal").cast("long")).drop("ordinal", "before", "_one"))
+    own = own.withColumns({"facts": facts, "bytes": number_at("$.bytes"), "withheld": F.try_variant_get("_v", "$.withheld", "boolean"), "reason": kind_at("$.reason").isNotNull(), "found": F.size(F.try_variant_get("_v", "$.findings", "array<variant>")) > 0})
+    right = reduce(lambda out, kind: out.when(F.col("kind") == kind, sound(F.col("_v"), SCHEMAS[kind])), SCHEMAS, F.when(F.lit(False), F.lit(False)))
+    return cut(own.withColumn("sound", F.coalesce(right, F.lit(False))).drop("_v"))
 
 
 def _named(rows: DataFrame, rules: Mapping[str, Column], i: str = "i") -> DataFrame:
@@ -139,7 +142,8 @@ def echo_errors(log: DataFrame, documents: DataFrame, facts: DataFrame, order: l
     found.append(_named(listed, {"inputs": ~c("_told").eqNullSafe(c("_facts")) | ~c("_size").eqNullSafe(c("_bytes"))}))
 
     for kind, fields in SCHEMAS.items():
-        rows = own.where((c("kind") == kind) & c("i").isNotNull()).select(F.struct("run_id", "pos", "i").alias("_at"), "json")
+        # most events are seen to be sound from their kind alone; the others are taken apart
+        rows = own.where((c("kind") == kind) & c("i").isNotNull() & ~c("sound")).select(F.struct("run_id", "pos", "i").alias("_at"), "json")
         bad = errors(rows, fields, "_at").where(F.size("errors") > 0)
         found.append(bad.select("_at.run_id", F.explode("errors").alias("_e"), "_at.i").select("run_id", F.concat(F.lit(f"{kind}:"), "_e").alias("error"), "i"))
     out = found[0]

@@ -9,21 +9,22 @@ from sedge.functions import text as T
 from sedge.functions.spread import cut, ordinals
 
 
-def numbered(cards: DataFrame, inputs: DataFrame, run: str = "run_id", key: str = "doc_id", name: str = "source", sha: str = "sha256") -> tuple[DataFrame, DataFrame]:
+def numbered(cards: DataFrame, inputs: DataFrame, run: str = "run_id", key: str = "doc_id", name: str = "source", sha: str = "sha256", kept: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cards, inputs), numbered for a summary.
 
     ``inputs`` has a row for each document of a run, those without cards too, and counts them by ``key`` (``ordinal``).
     Cards get ``_ord``, their place in the run, ``source_alias``, sN by the first input of their document's name and
-    digest, and ``ref``, cN@sN/id. They are read twice, so they are worked out once, into a checkpoint.
+    digest, and ``ref``, cN@sN/id. They are read twice, so they are worked out once, into a checkpoint, unless they are ``kept`` in one.
+    Inputs, which are read more often, get ``_n``, how many cards they have, and ``before``, how many come earlier.
     """
-    cards = cut(cards)
+    cards = cards if kept else cut(cards)
     n = cards.groupBy(run, key).agg(F.count("*").alias("_n"))
     counted = inputs.select(run, key, name, sha, "trust_tier").join(n, [run, key], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    own = ordinals(counted, run, [key], "_n")
+    own = cut(ordinals(counted, run, [key], "_n"))
     first = own.groupBy(run, name, sha).agg(F.min("ordinal").alias("_s"))
     doc = own.join(first, [run, name, sha]).select(run, key, F.concat(F.lit("s"), "_s").alias("source_alias"), "before")
     out = cards.join(doc, [run, key]).withColumn("_ord", F.col("before") + F.col("card_rank")).drop("before")
-    return out.withColumn("ref", F.concat(F.lit("c"), "_ord", F.lit("@"), "source_alias", F.lit("/"), "card_id")), own.drop("_n", "before")
+    return out.withColumn("ref", F.concat(F.lit("c"), "_ord", F.lit("@"), "source_alias", F.lit("/"), "card_id")), own
 
 
 def section_rows(cards: DataFrame, run: str = "run_id", tier: str = "trust_tier") -> DataFrame:

@@ -8,6 +8,8 @@ are judged by joins with the schema alone, which is a small fixed table and is b
 from __future__ import annotations
 
 from dataclasses import astuple, dataclass
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,32 @@ def _levels(fields: list[Field]) -> int:
     return max(f.path.count(".") + f.path.count("[]") for f in fields)
 
 
+def sound(v: Column, fields: list[Field]) -> Column:
+    """True only where a variant breaks no rule of a flat schema (an object of scalars and lists of scalars), seen from its
+    whole kind at once and without taking it apart. What is not true here may be sound all the same: :func:`errors` says.
+    The kinds are written out for each choice of optional keys and kinds, so there must be few of these."""
+    plain = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN"}
+    below = {f.path[:-2]: f for f in fields if f.path.endswith("[]")}
+    choices, holds = [], []
+    for f in sorted((f for f in fields if f.path != "$" and not f.path.endswith("[]")), key=lambda f: f.path):
+        name, part = f.path.removeprefix("$."), F.try_variant_get(v, f.path, "string")
+        if f.kinds == "array":
+            inner = below.get(f.path)
+            kinds = ["ARRAY<VOID>"] + [f"ARRAY<{plain[k]}>" for k in inner.kinds.split("|") if k in plain and inner.pattern is None and inner.least is inner.most is None]
+            listed = F.try_variant_get(v, f.path, "array<string>")
+            held = ~F.exists(listed, lambda x: x.isNull()) & F.size(listed).between(f.least or 0, (1 << 31) - 1 if f.most is None else f.most)  # a null in a list does not show in its kind
+        else:
+            kinds = [plain[k] for k in f.kinds.split("|") if k in plain]
+            number = F.try_variant_get(v, f.path, "long")
+            held = F.lit(True) if f.pattern is None else part.rlike(rf"\A(?:{f.pattern})\z")
+            for bound, fits in ((f.least, lambda x: number >= x), (f.most, lambda x: number <= x)):
+                held = held if bound is None else held & fits(bound)
+        holds.append(held if f.required else F.try_variant_get(v, f.path, "variant").isNull() | held)
+        choices.append([f"{name}: {k}" for k in kinds] + ([] if f.required else [None]))
+    shapes = ["OBJECT<" + ", ".join(x for x in c if x) + ">" for c in product(*choices)]
+    return F.coalesce(reduce(lambda a, b: a & b, holds, F.schema_of_variant(v).isin(*shapes)), F.lit(False))
+
+
 def errors(docs: DataFrame, fields: list[Field], key: str, json: str = "json") -> DataFrame:
     """(key, errors): for each document the sorted names of what is wrong, none for a sound one.
 

@@ -21,22 +21,33 @@ class Run:
     summary: DataFrame
     manifest: DataFrame
     findings: DataFrame
+    places: DataFrame
 
 
 def condense(documents: DataFrame, run_id: str | None, default_tier: str = "untrusted", overrides: DataFrame | None = None, max_cards: int = 24, max_bytes: int = 2_000_000) -> Run:
     """``documents`` has source and content (bytes), and ``position`` where their order is not that of their sources. Those
     over the cap or not UTF-8 are withheld: they keep their digest in the manifest and give no text. A source may come
-    more than once; each row is an input. Where ``run_id`` is None, documents have a column of that name and are of many runs."""
+    more than once; each row is an input. Where ``run_id`` is None, documents have a column of that name and are of many runs.
+
+    Content is read once: what is left of a document is a row of a checkpoint with its digest, its findings and its candidates
+    for cards, under a number of its own. Positions are worked out from narrow rows, by that number."""
     own = C.withhold(documents, max_bytes=max_bytes)
     own = C.with_tier(own, overrides, default_tier) if overrides is not None else own.withColumn("trust_tier", F.lit(default_tier))
     own = own if run_id is None else own.withColumn("run_id", F.lit(run_id))
-    if "position" not in own.columns:
-        own = ordinals(own.withColumn("_one", F.lit(1)), "run_id", ["source", "sha256"], "_one").withColumnRenamed("ordinal", "position").drop("before", "_one")
-    held = own.select("run_id", "position", "source", "trust_tier", "sha256", "withheld", "reason", F.octet_length("content").alias("bytes"))
-    clean = T.redact(own.where("not withheld").select("run_id", "position", "source", "trust_tier", "sha256", "text")).drop("text")
-    cards = cut(C.cards(clean.withColumn("_doc", F.struct("run_id", "position")), max_cards, key="_doc").drop("_doc"))
-    numbered, inputs = render.numbered(cards, held, key="position")
-    return Run(held, cards, render.summary(numbered, inputs), manifest(held, cards), clean.select("run_id", "position", "findings"))
+    placed = "position" in own.columns
+    facts = ["run_id", *(["position"] if placed else []), "source", "trust_tier", "sha256", "withheld", "reason", "bytes"]
+    own = own.withColumn("bytes", F.octet_length("content")).select(*facts, F.monotonically_increasing_id().alias("_doc"), "text")
+    once = cut(C.candidates(T.redact(own).drop("text"), max_cards))
+    told = once.select(*facts, "_doc", F.when(~F.col("withheld"), F.col("findings")).alias("findings"))
+    if not placed:
+        told = ordinals(told.withColumn("_one", F.lit(1)), "run_id", ["source", "sha256"], "_one").withColumnRenamed("ordinal", "position").drop("before", "_one")
+    told = cut(told)
+    held = told.select("run_id", "position", "source", "trust_tier", "sha256", "withheld", "reason", "bytes")
+    cards = C.ranked(once.where("not withheld").drop("position", "withheld", "reason", "bytes"), max_cards, key="_doc")
+    cards = cut(cards.join(told.select("_doc", "position"), "_doc").drop("_doc"))
+    numbered, inputs = render.numbered(cards, held, key="position", kept=True)
+    findings = told.where("not withheld").select("run_id", "position", "findings")
+    return Run(held, cards, render.summary(numbered, inputs), manifest(held, cards), findings, inputs.select("run_id", "position", "ordinal", "_n", "before"))
 
 
 def manifest(documents: DataFrame, cards: DataFrame) -> DataFrame:

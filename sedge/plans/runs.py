@@ -128,6 +128,7 @@ def run_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The logs of all runs held against their documents, once some documents' events have been dropped, doubled, moved or
     changed on the way."""
     log, docs = _log(spark, sf_dir)
+    log = cut(log)  # it is read once for what is doubled and once for the rest
     n = F.col("doc") * 7 + F.length("run_id")
     own = log.withColumns({"a": F.coalesce(F.when(n % 23 == 5, F.col("doc") + 1.5).otherwise(F.col("doc")), F.lit(1e9)), "n": n})
     own = own.withColumn("json", F.when((F.col("event") == "doc") & (F.col("n") % 29 == 6), F.regexp_replace("json", '"sha256":"....', '"sha256":"0000')).otherwise(F.col("json")))

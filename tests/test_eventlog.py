@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sedge.operators import eventlog
+from sedge.functions.variants import json_variant
+from sedge.operators import eventlog, schema
 from sedge.plans import condense
 from sedge.streaming import sse
 
@@ -87,3 +88,30 @@ def test_no_runs(spark, made):
     facts = spark.createDataFrame([], "run_id string, generated_at string, settings string")
     log = spark.createDataFrame([], "run_id string, pos long, json string")
     assert eventlog.echo_errors(log, held.where(F.lit(False)), facts).count() == 0
+
+
+def test_sound(spark, made):
+    """What is seen to be sound without being taken apart is so, and sound events are seen to be."""
+    kept = [e for r, _, e in made[2] if r == "r1" and e["event"] in eventlog.SCHEMAS]
+    odd = [{"i: BIGINT, x": 1}, {"i": -1}, {"i": 1.0}, {"i": 10**20}, {"i": None}, {"findings": ["x", None]}, {"findings": [1]}, {"flags": ["x", None]}, {"flags": "x"}, {"sha256": "0"}, {"reason": None}, {"reason": "why"}, {"withheld": "true"}, {"cards": -1}, {"line_start": 0}, {"id": 1}]
+    events = kept + [e | more for e in kept for more in odd] + [{k: v for k, v in e.items() if k != gone} for e in kept for gone in e if gone != "event"]
+    for kind, fields in eventlog.SCHEMAS.items():
+        own = spark.createDataFrame([(k, json.dumps(e)) for k, e in enumerate(events) if e["event"] == kind], "k int, json string")
+        seen = {r.k for r in own.where(schema.sound(json_variant("json"), fields)).collect()}
+        right = {r.k for r in schema.errors(own, fields, "k").where("size(errors) = 0").collect()}
+        assert {k for k in range(len(kept)) if kept[k]["event"] == kind} <= seen <= right
+
+
+def test_content_is_read_once(spark):
+    """A run's documents are made once each, whatever is asked of the run."""
+    times = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def content(text):
+        times.add(1)
+        return text.encode()
+
+    docs = spark.createDataFrame([(r, s, t) for r, s, t in DOCS], "run_id string, source string, t string").select("run_id", "source", content("t").alias("content"))
+    run = condense.condense(docs, None, overrides=spark.createDataFrame([(1, "b", "repo")], "position int, path string, trust_tier string"), max_bytes=100)
+    assert eventlog.event_log(run, "t0", SETTINGS).count() == 22 and run.summary.join(run.manifest, "run_id").count() == 2
+    assert times.value == len(DOCS)
