@@ -108,8 +108,10 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of every run: each event's place, document and the texts that name it."""
     log = _log(spark, sf_dir)[0]
-    at = lambda *names: F.coalesce(*[F.get_json_object("json", f"$.{n}") for n in names])
-    return log.select("run_id", "pos", "event", F.col("doc").alias("i"), at("claim", "sha256", "text", "generated_at").alias("content"), at("source", "id").alias("name"), at("cards", "bytes", "line_start").cast("long").alias("size"), at("findings", "flags", "mixed_trust_tiers").alias("marks"))
+    names = ("claim", "sha256", "text", "generated_at", "source", "id", "cards", "bytes", "line_start", "findings", "flags", "mixed_trust_tiers")
+    own = log.select("run_id", "pos", "event", "doc", F.json_tuple("json", *names).alias(*[f"_{n}" for n in names]))  # an event is parsed once
+    at = lambda *names: F.coalesce(*[f"_{n}" for n in names])
+    return own.select("run_id", "pos", "event", F.col("doc").alias("i"), at("claim", "sha256", "text", "generated_at").alias("content"), at("source", "id").alias("name"), at("cards", "bytes", "line_start").cast("long").alias("size"), at("findings", "flags", "mixed_trust_tiers").alias("marks"))
 
 
 RUN_EVENTS = (
