@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
+from sedge.functions.probes import bitmap, item_keys, text_keys
+from sedge.functions.spread import cut
 from sedge.functions.udfs import nfkc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -90,36 +92,20 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
     """(doc_id, item_id) where a text holds an item whole, as a substring of it.
 
     Both sides meet on a hash, so this is an equi join: of the inner words of the item's first ``words`` (its first and
-    last may be parts of longer words), of the inner words of shorter items, and for items of fewer than three words of
-    their first three characters. Only keys travel; a text meets the items that its keys propose once. Empty items are in
-    every text that is not null.
+    last may be parts of longer words), and for items of fewer than three words of their first bytes, six at most. Keys that no
+    item may have are left out where texts are read (:mod:`sedge.functions.probes`), and only keys travel; a text meets the
+    items that its keys propose once. Empty items are in every text that is not null.
     """
-    split = F.split("text", " ", -1)
-    own = docs.where("text is not null").select("doc_id", "text", split.alias("_w"), F.split("text", "").alias("_c"))
-    want = items.where("text is not null").select("item_id", F.col("text").alias("_t"), split.alias("_w"), F.least(F.size(split), F.lit(words)).alias("_n"))
-    lengths = sorted(r._n for r in want.select("_n").distinct().collect())  # at most ``words`` numbers
-    none = F.array().cast("array<int>")
-
-    def inner(n: int) -> Column:
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(none)
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("_w", i + 1, n - 2), " ")))
-
-    def begins(m: int) -> Column:
-        starts = F.when(F.length("text") >= m, F.sequence(F.lit(0), F.length("text") - m)).otherwise(none)
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(-m), F.concat(*[F.get("_c", i + j) for j in range(m)])))
-
-    keys = [F.array().cast("array<bigint>"), *(inner(n) for n in lengths if n >= 3), *(begins(m) for m in (1, 2, 3) if lengths and lengths[0] < 3)]
-    rows = own.select("doc_id", "text", F.array_distinct(F.concat(*keys)).alias("_k"))
-    size = F.least(F.length("_t"), F.lit(3))
-    start = F.xxhash64((-size).cast("int"), F.substring(F.col("_t"), F.lit(1), size))
-    middle = F.xxhash64(F.col("_n").cast("int"), F.array_join(F.slice("_w", F.lit(2), F.greatest(F.col("_n") - 2, F.lit(0))), " "))
-    want = want.where("_t <> ''").select("item_id", "_t", F.when(F.col("_n") < 3, start).otherwise(middle).alias("_k"))
-    proposed = rows.select("doc_id", F.explode_outer("_k").alias("_k")).join(want.select("item_id", "_k"), "_k").select("doc_id", "item_id").distinct()
-    met = proposed.join(want.select("item_id", "_t"), "item_id").join(own.select("doc_id", "text"), "doc_id")
+    own = docs.where("text is not null").select("doc_id", "text")
+    want = items.where("text <> ''").select("item_id", "text")
+    keys = cut(item_keys(want, words))
+    kinds = [r._kind for r in keys.select("_kind").distinct().collect()]  # at most ``words`` + 2 numbers
+    proposed = text_keys(own, kinds, bitmap(keys)).join(keys.select("item_id", "_k"), "_k").select("doc_id", "item_id").distinct()
+    met = proposed.join(want.withColumnRenamed("text", "_t"), "item_id").join(own, "doc_id")
     found = met.where(F.col("text").contains(F.col("_t"))).select("doc_id", "item_id").distinct()
-    if 1 not in lengths:
-        return found
     empty = items.where("text = ''").select(F.lit(1).alias("_all"), "item_id")
+    if empty.isEmpty():
+        return found
     return found.unionByName(own.select(F.lit(1).alias("_all"), "doc_id").join(empty, "_all").select("doc_id", "item_id").distinct())
 
 
