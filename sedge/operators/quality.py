@@ -40,8 +40,9 @@ def anchors(expected: DataFrame, cards: DataFrame, lines: DataFrame) -> DataFram
     more = cards.select("case_id", F.lit("other").alias("place"), F.col("evidence").alias("line"))
     rows = card.unionByName(lines.select("case_id", "place", "line").unionByName(more), allowMissingColumns=True)
     own = expected.where(F.col("kind").isin(*KINDS)).withColumnsRenamed({"text": "_t", "source": "_es", "line_start": "_ea", "line_end": "_ez"})
-    holds = F.coalesce(F.col("line").contains(F.col("_t")), F.lit(False))
-    met = own.join(rows, "case_id", "left").select("case_id", "kind", "at", holds.alias("h"), F.coalesce("place", F.lit("")).alias("place"), F.coalesce("redacted", F.lit(False)).alias("redacted"), (F.col("_s").eqNullSafe(F.col("_es")) & F.col("_a").eqNullSafe(F.col("_ea")) & F.col("_z").eqNullSafe(F.col("_ez"))).alias("bound"))
+    # what does not hold is left out in the join itself: a pair costs a search, not a row
+    rows = rows.withColumnRenamed("case_id", "_case")
+    met = own.join(rows, (F.col("case_id") == F.col("_case")) & F.col("line").contains(F.col("_t")), "left").select("case_id", "kind", "at", F.col("_case").isNotNull().alias("h"), F.coalesce("place", F.lit("")).alias("place"), F.coalesce("redacted", F.lit(False)).alias("redacted"), (F.col("_s").eqNullSafe(F.col("_es")) & F.col("_a").eqNullSafe(F.col("_ea")) & F.col("_z").eqNullSafe(F.col("_ez"))).alias("bound"))
     some = lambda c: F.coalesce(F.bool_or(F.col("h") & c), F.lit(False))
     is_card = F.col("place") == "card"
     found = met.groupBy("case_id", "kind", "at").agg(
@@ -92,7 +93,7 @@ def provenance_failures(cards: DataFrame, inputs: DataFrame, manifest: DataFrame
     out = [
         fail(n.where("NOT _ok"), F.lit("provenance.manifest_input_count")), fail(listed.where("NOT _first"), _numbered("provenance.manifest_source")),
         fail(listed.where(F.col("_first") & differs("sha256", "bytes", "trust_tier")), _numbered("provenance.manifest_metadata")), fail(short(some), F.lit("provenance.manifest_sources_incomplete")),
-        fail(held.where("_known IS NULL"), _numbered("provenance.card_source")), fail(held.where(F.col("_known").isNotNull() & (differs("sha256", "trust_tier") | ~in_text)), _numbered("provenance.card_metadata")),
+        fail(held, F.when(F.col("_known").isNull(), _numbered("provenance.card_source")).when(differs("sha256", "trust_tier") | ~in_text, _numbered("provenance.card_metadata"))).where("code IS NOT NULL"),
         fail(short(shown), F.lit("provenance.card_sources_incomplete")),
     ]
     return reduce(DataFrame.unionByName, out).select("case_id", F.lit("provenance").alias("dimension"), "code")

@@ -19,19 +19,20 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken in a way of its own for each case of eight."""
     d, case = F.col("doc_id") % SIZE, F.floor(F.col("doc_id") / SIZE)
     name, broken = F.format_string("doc-%d", "doc_id"), lambda k, at: (case % 8 == k) & (d == at)
-    docs = table(spark, sf_dir, "documents").select("doc_id", case.alias("case_id"), d.cast("int").alias("at"), name.alias("source"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), F.coalesce("lang", F.lit("-")).alias("trust_tier"), F.size(F.split("text", "\n")).alias("lines"))
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", case.alias("case_id"), d.cast("int").alias("at"), name.alias("source"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), F.coalesce("lang", F.lit("-")).alias("trust_tier"), F.size(F.split("text", "\n")).alias("lines")))  # read for inputs, cases, cards and manifests
     own = _cards(spark, sf_dir).select("doc_id", "card_rank", "claim", "evidence", "flags", F.col("line_start").cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end"))
     cards = cut(own.join(docs.select("doc_id", "case_id", "source", "sha256", "trust_tier"), "doc_id").select(
         "doc_id", "case_id", (d * 100 + F.col("card_rank")).cast("int").alias("at"), "card_rank", "claim", "evidence", F.when(d == 8, F.array_union("flags", F.array(F.lit("redacted")))).otherwise(F.col("flags")).alias("flags"),
         F.when(broken(6, 7), "doc-x").otherwise(F.col("source")).alias("source"), "sha256", F.when(broken(4, 6), "x").otherwise(F.col("trust_tier")).alias("trust_tier"), "line_start", "line_end",
+        T.is_critical(F.col("claim")).alias("critical"), T.is_question(F.col("claim")).alias("question"),
     ))
     kinds = {0: "constraints", 1: "forbidden_constraints", 2: "open_questions", 8: "redacted_claims", 9: "forbidden_fragments", 10: "clean_claims", 11: "claim_provenance", 12: "clean_sources", 13: "constraints", 14: "open_questions", 15: "claim_provenance"}
     kind = F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v)])[d.cast("int")]
-    right = F.when(T.is_critical(F.col("claim")), "constraints").when(T.is_question(F.col("claim")), "open_questions").otherwise("clean_claims")
+    right = F.when(F.col("critical"), "constraints").when(F.col("question"), "open_questions").otherwise("clean_claims")
     kind = F.when((case % 2 == 0) & d.isin(0, 2, 13, 14), right).otherwise(kind)
     text = F.when((d == 9) & (case % 2 == 0), F.concat(F.lit("zq-"), F.col("doc_id").cast("string"))).otherwise(F.substring("claim", 1, 16))
-    expected = cards.where("card_rank = 1").select("case_id", kind.alias("kind"), d.cast("int").alias("at"), text.alias("text"), "source", "line_start", (F.col("line_end") + ((d == 11) & (case % 3 == 0)).cast("int")).alias("line_end")).where("kind is not null")
-    places = F.array_compact(F.array(F.when(T.is_critical(F.col("claim")), "critical"), F.when(T.is_question(F.col("claim")), "question"), F.lit("summary")))
+    expected = cut(cards.where("card_rank = 1").select("case_id", kind.alias("kind"), d.cast("int").alias("at"), text.alias("text"), "source", "line_start", (F.col("line_end") + ((d == 11) & (case % 3 == 0)).cast("int")).alias("line_end")).where("kind is not null"))
+    places = F.array_compact(F.array(F.when(F.col("critical"), "critical"), F.when(F.col("question"), "question"), F.lit("summary")))
     cases = docs.select("case_id").distinct()
     reopen = F.filter(F.array(*map(F.lit, render.REOPEN)), lambda x: (F.col("case_id") % 8 != 5) | (x != render.REOPEN[-1]))
     lines = cards.select("case_id", F.explode(places).alias("place"), F.col("claim").alias("line")).unionByName(cases.select("case_id", F.lit("summary").alias("place"), F.explode(reopen).alias("line")))

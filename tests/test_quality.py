@@ -119,3 +119,14 @@ def test_report(spark, found):
     assert got == {"constraints": (2, 2, True), "open_questions": (2, 2, True), "redaction": (2, 2, True), "provenance": (2, 1, False), "gate": (3, 1, False)}
     none = quality.report(fits.where("false"), listed(("fits", 0)).where("false")).collect()
     assert len(none) == 5 and not any(r.ok for r in none)
+
+
+def test_pairs_are_no_rows(spark):
+    """Expectations meet only the lines that hold them: the search is in the join, not behind it."""
+    expected = spark.createDataFrame([(1, "constraints", 0, "ab", "s", 1, 1), (1, "forbidden_fragments", 1, "zz", "s", 1, 1), (2, "constraints", 0, None, "s", 1, 1)], "case_id int, kind string, at int, text string, source string, line_start int, line_end int")
+    cards = spark.createDataFrame([(1, "xaby", "e", [], "s", 1, 1), (1, None, None, None, "s", 1, 1), (3, "ab", "zz", [], "s", 1, 1)], "case_id int, claim string, evidence string, flags array<string>, source string, line_start int, line_end int")
+    lines = spark.createDataFrame([(1, "critical", "ab"), (1, "summary", "b"), (2, "summary", None)], "case_id int, place string, line string")
+    found = quality.anchors(expected, cards, lines)
+    assert sorted(map(tuple, found.collect())) == [(1, "constraints", 0, True), (1, "forbidden_fragments", 1, True), (2, "constraints", 0, False)]
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+    assert len(joins) == 1 and "Contains(" in joins[0]
