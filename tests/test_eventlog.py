@@ -102,16 +102,17 @@ def test_sound(spark, made):
         assert {k for k in range(len(kept)) if kept[k]["event"] == kind} <= seen <= right
 
 
-def test_content_is_read_once(spark):
-    """A run's documents are made once each, whatever is asked of the run."""
-    times = spark.sparkContext.accumulator(0)
+def test_texts_are_redacted_once(spark, monkeypatch):
+    """Whatever is asked of a run: its cards, its findings and its log come of one pass."""
+    times, real = spark.sparkContext.accumulator(0), condense.T.redact
 
-    @F.udf("binary")
-    def content(text):
-        times.add(1)
-        return text.encode()
+    @F.udf("string")
+    def seen(text):
+        times.add(text is not None)
+        return text
 
-    docs = spark.createDataFrame([(r, s, t) for r, s, t in DOCS], "run_id string, source string, t string").select("run_id", "source", content("t").alias("content"))
+    monkeypatch.setattr(condense.T, "redact", lambda df: real(df.withColumn("text", seen("text"))))
+    docs = spark.createDataFrame([(r, s, t.encode()) for r, s, t in DOCS], "run_id string, source string, content binary")
     run = condense.condense(docs, None, overrides=spark.createDataFrame([(1, "b", "repo")], "position int, path string, trust_tier string"), max_bytes=100)
-    assert eventlog.event_log(run, "t0", SETTINGS).count() == 22 and run.summary.join(run.manifest, "run_id").count() == 2
-    assert times.value == len(DOCS)
+    assert eventlog.event_log(run, "t0", SETTINGS).count() == 22 and run.findings.where("size(findings) > 0").count() == 1
+    assert times.value == len(DOCS) - 1  # one is withheld
