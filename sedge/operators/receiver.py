@@ -1,7 +1,7 @@
 """What a receiver does with the messages that come in: drop, refuse, halt or launch.
 
 A message is judged by itself first, by projections only; what is left then depends on what was launched before. In a batch
-messages are dealt out by job and time, so one job's may span partitions; in a stream each job has keyed state that goes
+messages are dealt out by job, and a hot job's by time too, so one job's may span partitions; in a stream each job has keyed state that goes
 when its record has expired. Both forms give the same decisions.
 """
 
@@ -14,11 +14,12 @@ from dataclasses import dataclass
 from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from sedge.functions.spread import cut
+from sedge.functions.spread import kept
 from sedge.functions.udfs import nfkc
 from sedge.functions.variants import keys_at, kind_at, number_at, string_at, with_variant
 from sedge.operators import forest, rules
@@ -220,21 +221,47 @@ def decisions(messages: DataFrame, r: Rules, keep: timedelta) -> DataFrame:
     with its id is refused. Arrivals that are the same are told apart by message id. A ready message that comes again with
     the same id at the same time counts once; others give a row each. A table without rows has no decisions.
     """
-    own = cut(checked(messages, r))
-    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(own.where("action = 'ready'").repartitionByRange(n, "job_id", "at", "message_id").withColumn("_p", F.spark_partition_id()))
+    own = kept(checked(messages, r))
+    ready = own.where("action = 'ready'").select("message_id", "at", "job_id", "model", "isolated")
+    cells = F.broadcast(_cells(ready))
+    c = F.col
+    after = c("_from_at").isNull() | (c("at") > c("_from_at")) | ((c("at") == c("_from_at")) & (c("message_id") >= c("_from_id")))
+    before = c("_to_at").isNull() | (c("at") < c("_to_at")) | ((c("at") == c("_to_at")) & (c("message_id") < c("_to_id")))
+    inside = (c("job_id") == c("_job")) & after & before
+    dealt = ready.join(cells, inside, "left").select(*ready.columns, F.coalesce("_cell", F.lit(0)).alias("_p"))
     w = Window.partitionBy("job_id", "_p").orderBy("at", "message_id", "isolated", "model")
-    here = F.max(F.when(F.col("isolated"), F.col("at"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    here = F.max(F.when(c("isolated"), c("at"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     once = F.struct(F.lag("at").over(w).alias("at"), F.lag("message_id").over(w).alias("message_id"))
     ranked = dealt.withColumns({"_here": here, "_again": once == F.struct("at", "message_id")})
-    ends = dealt.where("isolated").groupBy("job_id", "_p").agg(F.max("at").alias("_last"))
-    places = dealt.select("job_id", "_p").distinct().join(ends, ["job_id", "_p"], "left")
-    earlier = Window.partitionBy("job_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = places.select("job_id", "_p", F.max("_last").over(earlier).alias("_base"))
-    both = ranked.join(base, ["job_id", "_p"]).where("not coalesce(_again, false)")
+    # one row a cell: when its job was last launched in the cells before
+    ends = ready.where("isolated").join(cells, inside).groupBy("_job", "_cell").agg(F.max("at").alias("_last"))
+    earlier = Window.partitionBy("_job").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    places = cells.select("_job", "_cell").join(F.broadcast(ends), ["_job", "_cell"], "left")
+    base = places.select(c("_job").alias("job_id"), c("_cell").alias("_p"), F.max("_last").over(earlier).alias("_base"))
+    both = ranked.join(F.broadcast(base), ["job_id", "_p"], "left").where("not coalesce(_again, false)")
     last = F.coalesce("_here", "_base")
-    ready = _settled(both, F.coalesce(F.col("at") - last <= _micros(keep), F.lit(False)))
-    return _settled(own.where("action <> 'ready'"), F.lit(False)).unionByName(ready)
+    both = both.withColumns({"action": F.lit("ready"), "reason": F.lit(None).cast("string"), "jobs": F.lit(None).cast("array<string>")})
+    settled = _settled(both, F.coalesce(c("at") - last <= _micros(keep), F.lit(False)))
+    return _settled(own.where("action <> 'ready'"), F.lit(False)).unionByName(settled)
+
+
+#: Rows drawn for each cell into which hot jobs are cut.
+DRAWN = 32
+
+
+def _cells(ready: DataFrame) -> DataFrame:
+    """(_job, _cell, _from_at, _from_id, _to_at, _to_id): where a hot job's messages are cut, by time and id, so that each of
+    its cells holds about as much as a shuffle partition; jobs of less have none. From a bounded sample, of which come at
+    most two rows a shuffle partition. Decisions do not depend on what was drawn."""
+    spark = ready.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = ready.select("job_id", "at", "message_id").sample(min(1.0, DRAWN * n / max(1, ready.count())), 42)
+    cuts: dict[str, list] = {}
+    for job, at, message in sorted({tuple(x) for x in sorted(map(tuple, drawn.collect()))[DRAWN::DRAWN]}):
+        cuts.setdefault(job, []).append((at, message))
+    out = [(job, i, *a, *b) for job, own in cuts.items() for i, (a, b) in enumerate(zip([(None, None), *own], [*own, (None, None)], strict=True))]
+    kinds = {"_job": pa.string(), "_cell": pa.int32(), "_from_at": pa.int64(), "_from_id": pa.string(), "_to_at": pa.int64(), "_to_id": pa.string()}
+    return spark.createDataFrame(pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds.values(), strict=True)], list(kinds)))
 
 
 def _micros(keep: timedelta) -> int:

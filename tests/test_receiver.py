@@ -147,3 +147,37 @@ def test_checks_take_each_value_out_once_and_messages_are_dealt_out(spark):
     plan = receiver.checked(messages, RULES)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("try_variant_get") < 120, plan.count("try_variant_get")
     assert "json_object_keys" not in plan
+
+
+def test_messages_take_little_disk(spark):
+    """All messages and then the ready ones lay in the shared folder as rows, some 45 bytes a message."""
+    from sedge.functions.spread import shared_folder
+    from sedge.plans import jobs
+
+    at = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(at) for f in files)
+    before = size()
+    found = jobs.received_messages(spark, "/root/testdata/sf0.01")
+    assert 0 < size() - before < 20 * found.count()
+
+
+@pytest.mark.parametrize("hours", [0, 3, 12, 10_000])
+def test_hot_jobs_are_cut(spark, monkeypatch, hours):
+    """Cells of one message and of several, some of them without a launch."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    rows = messages(300, hours)
+    try:
+        spark.conf.set(name, "64")
+        monkeypatch.setattr(receiver, "DRAWN", 2)
+        ready = receiver.checked(spark.createDataFrame(rows, SCHEMA), RULES).where("action = 'ready'").cache()
+        cells = receiver._cells(ready).collect()
+        hot = [x for x in cells if x._job == "job-hot"]
+        assert 8 <= len(hot) <= len(cells) <= 128
+        for x, y in zip(hot, hot[1:], strict=False):
+            assert y._cell == x._cell + 1 and (x._to_at, x._to_id) == (y._from_at, y._from_id)
+        assert hot[0]._from_at is None and hot[-1]._to_at is None
+        got = receiver.decisions(spark.createDataFrame(rows, SCHEMA).repartition(5), RULES, timedelta(hours=hours))
+        assert sorted((tuple(r) for r in got.select("message_id", "action", "reason").collect()), key=str) == walked(rows, timedelta(hours=hours))
+    finally:
+        spark.conf.set(name, before)
