@@ -30,6 +30,12 @@ def with_variant(rows: DataFrame, text: str, to: str) -> DataFrame:
     return own.withColumn(to, _first(F.col("_both"), F.col(text))).drop("_both")
 
 
+def with_listed(rows: DataFrame, text: str, to: str) -> DataFrame:
+    """As :func:`with_variant`, but the value stays in its list, so paths begin with ``$[0]``: taking it out writes it anew."""
+    own = rows.withColumn("_both", _both(F.col(text)))
+    return own.withColumn(to, F.when(F.try_variant_get("_both", "$[1]", "long") == F.xxhash64(text), F.col("_both"))).drop("_both")
+
+
 def kind_at(path: str, v: str | Column = "_v") -> Column:
     """The kind of JSON value at a path: STRING, BIGINT, OBJECT<...>, ARRAY<...>, VOID and so on; null where there is none."""
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
@@ -46,8 +52,8 @@ def number_at(path: str, v: str | Column = "_v") -> Column:
 
 
 def keys_at(path: str, v: str | Column = "_v") -> Column:
-    """The keys of an object, else null. Its values are not looked into, as they are where its whole kind is written out."""
-    return F.map_keys(F.try_variant_get(v, path, "map<string,variant>"))
+    """The keys of an object, else null. Its values are neither looked into nor written anew: none of them has a field."""
+    return F.map_keys(F.try_variant_get(v, path, "map<string,struct<>>"))
 
 
 def object_at(path: str, v: str | Column = "_v") -> Column:

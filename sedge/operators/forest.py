@@ -81,9 +81,11 @@ def above(jobs: DataFrame, value: str, merge: Callable[[Column, Column], Column]
 def tag_hits(tags: Column, stems: Sequence[tuple[str, str]]) -> Column:
     """The sorted canonical tags whose stem some tag holds, once hyphens in a row are one; nulls are passed over."""
     plain = F.transform(F.filter(tags, lambda t: t.isNotNull()), lambda t: F.regexp_replace(F.regexp_replace(t, "-+", "-"), r"^-|-\z", ""))
-    holds = lambda w: lambda t: t.contains(w)
-    held = [F.when(F.exists(plain, holds(w)), F.lit(tag)) for w, tag in stems]
-    return F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.array(*held), F.array().cast("array<string>")))))
+    gap = "\0"
+    if any(gap in w for w, _ in stems):
+        return rules.those_of([(F.exists(plain, lambda t, w=w: t.contains(w)), tag) for w, tag in stems])
+    joined = F.array_join(plain, gap)  # one text, as a stem without the gap lies within one tag
+    return rules.those_of([(joined.contains(w) & (F.size(plain) > 0) if not w else joined.contains(w), tag) for w, tag in stems])
 
 
 def _lane(policy: Policy, what: Callable[[Lane], Column]) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from sedge.functions.spread import kept
 from sedge.functions.udfs import nfkc
-from sedge.functions.variants import keys_at, kind_at, number_at, string_at, with_variant
+from sedge.functions.variants import keys_at, kind_at, number_at, string_at, with_listed
 from sedge.operators import forest, rules
 
 # Forms of ids, times and digests, bounds, reasons of refusals.
@@ -29,7 +29,7 @@ JOB = r"\A(?!all\z)[a-z0-9][a-z0-9-]{2,63}\z"
 ASKED_BY = r"\A[a-z][a-z0-9:._@-]{0,127}\z"
 TIME = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?Z\z"
 SHA256 = r"\A[0-9a-f]{64}\z"
-PROSE = r"(?s)\A(?=.*\S)[^\x00-\x08\x0B-\x1F\x7F]*\z"
+CONTROL = r"[\x00-\x08\x0B-\x1F\x7F]"
 GOAL_BYTES, LABEL_BYTES, REASON_SIZE, TAGS, INPUTS = 6000, 64, 600, 16, 32
 STRANGER, UNBOUND, TICKET = "sender-not-allowed", "sender-unbound", "ticket-not-allowed"
 REQUEST, ENVELOPE, MISSING, RESOLUTION, DISAGREES = "request-invalid", "envelope-invalid", "resolution-missing", "resolution-invalid", "resolution-disagrees"
@@ -64,6 +64,11 @@ class Rules:
     started_by: str = "receiver"
 
 
+def _prose(text: Column) -> Column:
+    """A text that is not blank and has no control characters but tabs and line feeds: two searches, no pattern over all of it."""
+    return text.rlike(r"\S") & ~text.rlike(CONTROL)
+
+
 def _all(*conditions: Column) -> Column:
     return functools.reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in conditions])
 
@@ -77,27 +82,46 @@ def _object(keys: Column, need: Sequence[str], may: Sequence[str] = ()) -> Colum
     return _all(F.size(F.array_except(_list(need), keys)) == 0, F.size(F.array_except(keys, _list([*need, *may]))) == 0)
 
 
+def _at(path: str) -> str:
+    """A path of the message, which lies in a list."""
+    return f"$[0].{path}" if path else "$[0]"
+
+
 def _is(path: str, pattern: str, v: str | Column = "_v") -> Column:
     return F.coalesce(string_at(path, v).rlike(pattern), F.lit(False))
 
 
-def _strings(path: str) -> Column:
+def _strings(x: str | Column) -> Column:
     """A list of texts, else null."""
-    a = F.try_variant_get("_v", path, "array<string>")
-    return F.when(kind_at(path).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(a, lambda x: x.isNull()), a)
+    a = F.try_variant_get(x, "$", "array<string>")
+    return F.when(kind_at("$", x).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(a, lambda x: x.isNull()), a)
 
 
-#: What several checks read: texts, lists of texts, and keys of objects.
-TEXTS = ("schema", "kind", "job_id", "envelope.job_id", "envelope.root_id", "envelope.goal", "envelope.lane", "envelope.custody", "resolution.root_class", "resolution.root_model", "resolution.source_label", "resolution.reroute")
+#: What checks read: values of objects, and which of these are texts and lists of texts.
+VALUES = {"envelope": (*ENVELOPE_KEYS, "budget_envelope"), "resolution": RESOLUTION_KEYS}
+TEXTS = ("schema", "kind", "job_id", *(f"envelope.{k}" for k in ENVELOPE_KEYS if k not in ("depth", "tags", "inputs", "allowed_effects")), *(f"resolution.{k}" for k in RESOLUTION_KEYS if k not in ("carve_out_hits", "child_policy")))
 LISTS = ("envelope.tags", "envelope.allowed_effects", "resolution.carve_out_hits", "resolution.child_policy.carve_out_tags")
-OBJECTS = ("", "envelope", "envelope.budget_envelope", "resolution", "resolution.child_policy")
+OBJECTS = ("envelope.budget_envelope", "resolution.child_policy")
 
 
 def _read(rows: DataFrame) -> DataFrame:
     """``rows`` with what several checks read as columns, each taken out of the variant once: in one projection of all
-    checks every branch would take it out again."""
-    own = rows.withColumns({f"_s.{p}": string_at(f"$.{p}") for p in TEXTS} | {f"_l.{p}": _strings(f"$.{p}") for p in LISTS})
-    return own.withColumns({f"_k.{p}": keys_at(f"$.{p}" if p else "$") for p in OBJECTS})
+    checks every branch would take it out again. An object is walked through once, as a map, and not for each of its keys."""
+    whole = lambda x, path="$": F.try_variant_get(x, path, "map<string,variant>")
+    own = rows.withColumns({f"_m.{o}": whole("_v", _at(o)) for o in VALUES} | {f"_x.{k}": F.try_variant_get("_v", _at(k), "variant") for k in TEXTS if "." not in k} | {"_k.": keys_at(_at(""))})
+    own = own.withColumns({f"_x.{o}.{k}": F.try_element_at(_m(o), F.lit(k)) for o, keys in VALUES.items() for k in keys} | {f"_k.{o}": F.map_keys(_m(o)) for o in VALUES})
+    own = own.withColumn("_m.resolution.child_policy", whole(_x("resolution.child_policy")))
+    own = own.withColumns({f"_x.{o}.{k}": F.try_element_at(_m(o), F.lit(k)) for o, k in [("resolution.child_policy", "carve_out_tags")]})
+    own = own.withColumns({f"_s.{p}": string_at("$", _x(p)) for p in TEXTS} | {f"_l.{p}": _strings(_x(p)) for p in LISTS})
+    return own.withColumns({f"_k.{p}": keys_at("$", _x(p)) for p in OBJECTS})
+
+
+def _m(path: str) -> Column:
+    return F.col(f"`_m.{path}`")
+
+
+def _x(path: str) -> Column:
+    return F.col(f"`_x.{path}`")
 
 
 def _s(path: str) -> Column:
@@ -117,41 +141,39 @@ def _unique(a: Column) -> Column:
 
 
 def _envelope(r: Rules) -> Column:
-    at = "$.envelope.{}".format
-    depth, tags, effects = number_at(at("depth")), _l("envelope.tags"), _l("envelope.allowed_effects")
-    inputs = F.try_variant_get("_v", at("inputs"), "array<variant>")
-    sound = lambda x: _object(keys_at("$", x), ("ref", "sha256")) & _is("$.ref", PROSE, x) & _is("$.sha256", SHA256, x)
+    depth, tags, effects = number_at("$", _x("envelope.depth")), _l("envelope.tags"), _l("envelope.allowed_effects")
+    inputs = F.try_variant_get(_x("envelope.inputs"), "$", "array<variant>")
+    sound = lambda x: _object(keys_at("$", x), ("ref", "sha256")) & F.coalesce(_prose(string_at("$.ref", x)), F.lit(False)) & _is("$.sha256", SHA256, x)
     budget = _object(_k("envelope.budget_envelope"), (), ("tokens", "wall_seconds"))
     for k in ("tokens", "wall_seconds"):
-        budget = budget & (kind_at(at(f"budget_envelope.{k}")).isNull() | F.coalesce(number_at(at(f"budget_envelope.{k}")) >= 1, F.lit(False)))
+        budget = budget & (~F.array_contains(_k("envelope.budget_envelope"), k) | F.coalesce(number_at(f"$.{k}", _x("envelope.budget_envelope")) >= 1, F.lit(False)))
     return _all(
-        _object(_k("envelope"), ENVELOPE_KEYS, ("budget_envelope",)), string_at(at("schema")) == r.envelope, _s("envelope.job_id").rlike(JOB), _s("envelope.root_id").rlike(JOB), depth >= 0,
-        F.when(depth == 0, (kind_at(at("parent_job_id")) == "VOID") & (_s("envelope.root_id") == _s("envelope.job_id"))).otherwise(_is(at("parent_job_id"), JOB)),
+        _object(_k("envelope"), ENVELOPE_KEYS, ("budget_envelope",)), _s("envelope.schema") == r.envelope, _s("envelope.job_id").rlike(JOB), _s("envelope.root_id").rlike(JOB), depth >= 0,
+        F.when(depth == 0, (kind_at("$", _x("envelope.parent_job_id")) == "VOID") & (_s("envelope.root_id") == _s("envelope.job_id"))).otherwise(_s("envelope.parent_job_id").rlike(JOB)),
         _s("envelope.lane").isin(*r.policy.lanes), _s("envelope.custody").isin(*r.policy.custody), F.size(tags) <= TAGS, _unique(tags), F.forall(tags, lambda t: t.rlike(forest.TAG)),
-        _s("envelope.goal").rlike(PROSE), F.octet_length(_s("envelope.goal")) <= GOAL_BYTES, F.size(inputs) <= INPUTS, F.forall(inputs, sound),
+        _prose(_s("envelope.goal")), F.octet_length(_s("envelope.goal")) <= GOAL_BYTES, F.size(inputs) <= INPUTS, F.forall(inputs, sound),
         F.size(effects) > 0, _unique(effects), F.size(F.array_except(effects, _list(r.effects))) == 0, ~F.array_contains(effects, "none") | (F.size(effects) == 1),
-        kind_at(at("budget_envelope")).isNull() | (budget & (F.size(_k("envelope.budget_envelope")) > 0)), _is(at("requested_by"), ASKED_BY), _is(at("created_at"), TIME),
+        ~F.array_contains(_k("envelope"), "budget_envelope") | (budget & (F.size(_k("envelope.budget_envelope")) > 0)), _s("envelope.requested_by").rlike(ASKED_BY), _s("envelope.created_at").rlike(TIME),
     )
 
 
 def _resolution(r: Rules) -> Column:
-    at = "$.resolution.{}".format
-    hits, child = _l("resolution.carve_out_hits"), "$.resolution.child_policy"
+    hits, child = _l("resolution.carve_out_hits"), _m("resolution.child_policy")
     agreed = F.lit(False)
     for cls, said in r.children.items():
         same = [_object(_k("resolution.child_policy"), ["carve_out_tags", *said]), _l("resolution.child_policy.carve_out_tags") == hits]
         for k, v in said.items():
             if k in r.unordered:
-                same.append(F.array_sort(_strings(f"{child}.{k}")) == _list(sorted(v)))
+                same.append(F.array_sort(_strings(F.try_element_at(child, F.lit(k)))) == _list(sorted(v)))
             else:
-                same.append(F.to_json(F.try_variant_get("_v", f"{child}.{k}", "variant")) == json.dumps(v, separators=(",", ":"), sort_keys=True))
+                same.append(F.to_json(F.try_element_at(child, F.lit(k))) == json.dumps(v, separators=(",", ":"), sort_keys=True))
         agreed = agreed | ((_s("resolution.root_class") == cls) & _all(*same))
     key = F.sha2(F.encode(F.concat(_s("envelope.root_id"), F.lit("\n"), _s("envelope.goal")), "UTF-8"), 256)
     label, reroute = _s("resolution.source_label"), _s("resolution.reroute")
     return _all(
-        _object(_k("resolution"), RESOLUTION_KEYS), string_at(at("schema")) == r.resolution, _s("resolution.root_class").isin(r.policy.careful, r.policy.quick), F.length(_s("resolution.root_model")) > 0,
-        (kind_at(at("reroute")) == "VOID") | F.coalesce(reroute.isin(*REROUTES), F.lit(False)), F.array_sort(F.array_distinct(hits)) == hits, F.size(F.array_except(hits, _list(sorted({t for _, t in r.policy.stems})))) == 0,
-        string_at(at("custody")) == _s("envelope.custody"), (F.length(label) > 0) & (F.octet_length(label) <= LABEL_BYTES), agreed, F.length(string_at(at("policy_rev"))) > 0, string_at(at("dedupe_key")) == key, _is(at("resolved_at"), TIME),
+        _object(_k("resolution"), RESOLUTION_KEYS), _s("resolution.schema") == r.resolution, _s("resolution.root_class").isin(r.policy.careful, r.policy.quick), F.length(_s("resolution.root_model")) > 0,
+        (kind_at("$", _x("resolution.reroute")) == "VOID") | F.coalesce(reroute.isin(*REROUTES), F.lit(False)), F.array_sort(F.array_distinct(hits)) == hits, F.size(F.array_except(hits, _list(sorted({t for _, t in r.policy.stems})))) == 0,
+        _s("resolution.custody") == _s("envelope.custody"), (F.length(label) > 0) & (F.octet_length(label) <= LABEL_BYTES), agreed, F.length(_s("resolution.policy_rev")) > 0, _s("resolution.dedupe_key") == key, _s("resolution.resolved_at").rlike(TIME),
     )
 
 
@@ -170,36 +192,46 @@ def checked(messages: DataFrame, r: Rules) -> DataFrame:
     own = messages.withColumn("_sender", F.when(four, F.concat_ws(":", part[0], part[1], part[3])))
     head = r.label + "\n"
     own = own.withColumn("_text", F.when(F.startswith("body", F.lit(head)), F.substring("body", len(head) + 1, 2**31 - 1)).otherwise(c("body")))
-    own = _read(with_variant(own, "_text", "_v"))
-    own = own.withColumns({"_goal": F.coalesce(_s("envelope.goal"), F.lit("")), "_tags": F.coalesce(_l("envelope.tags"), F.array().cast("array<string>"))})
-    own = rules.stem_hits(own, r.policy.stems, "_goal").withColumnRenamed("hits", "_goal_hits").withColumn("_own", forest.tag_hits(c("_tags"), r.policy.stems))
-    own = own.withColumn("_unsure", nfkc(c("_goal")).rlike(r"[\p{L}&&[^\x00-\x7F]]"))
+    own = _read(with_listed(own, "_text", "_v"))
+    # a goal of ASCII is judged here; others go to Python below, when nothing else of a message has to go along
+    goal = F.coalesce(_s("envelope.goal"), F.lit(""))
+    own = own.withColumns({"_odd": F.when(F.octet_length(goal) > F.length(goal), goal), "_tags": F.coalesce(_l("envelope.tags"), F.array().cast("array<string>"))})
+    own = own.withColumn("_n", F.when(c("_odd").isNull(), rules.plain_tag(goal))).withColumn("_own", forest.tag_hits(c("_tags"), r.policy.stems))
     ours = F.transform(F.filter("sessions", lambda s: _all(s["started_by"] == r.started_by, s["name"] == F.concat(F.lit("job-"), s["job_id"]))), lambda s: s["job_id"])
-    own = own.withColumns({"_ours": F.coalesce(ours, F.array().cast("array<string>")), "_job": _s("job_id")})
+    own = own.withColumns({"_ours": F.when(_s("schema") == r.halt, F.coalesce(ours, F.array().cast("array<string>"))), "_job": _s("job_id")})
 
     lane = _s("envelope.lane")
     of = lambda pairs, key: functools.reduce(lambda out, kv: F.when(key == kv[0], kv[1]).otherwise(out), pairs, F.lit(None))
     custody = _s("envelope.custody")
     refused = of([(k, F.lit(v)) for k, v in r.policy.custody.items() if v], custody)
     admitted = of([(k, F.coalesce(custody.isin(*x.custody), F.lit(False))) for k, x in r.policy.lanes.items()], lane)
-    careful = of([(k, F.lit(x.careful)) for k, x in r.policy.lanes.items()], lane) | (F.size("_own") > 0) | (F.size("_goal_hits") > 0) | c("_unsure")
-    root = F.when(careful, r.policy.careful).otherwise(r.policy.quick)
-    said, model = _s("resolution.root_class"), _s("resolution.root_model")
-    hits = F.array_sort(F.array_union("_own", "_goal_hits"))
     slow, fast = r.models.get(r.policy.careful), r.models.get(r.policy.quick)
     no = lambda x: ~F.coalesce(x, F.lit(False))
     halt, dispatch = _s("schema") == r.halt, _s("schema") == r.request
-    sound_halt = _all(_object(_k(""), HALT_KEYS), _s("kind") == "halt", (c("_job") == "all") | c("_job").rlike(JOB), _is("$.reason", PROSE), F.length(string_at("$.reason")) <= REASON_SIZE, _is("$.requested_by", ASKED_BY), _is("$.created_at", TIME))
+    sound_halt = _all(_object(_k(""), HALT_KEYS), _s("kind") == "halt", (c("_job") == "all") | c("_job").rlike(JOB), _prose(string_at(_at("reason"))), F.length(string_at(_at("reason"))) <= REASON_SIZE, _is(_at("requested_by"), ASKED_BY), _is(_at("created_at"), TIME))
     drop = F.when(c("_sender").isNull() | bound.isNull(), STRANGER).when(bound & no(c("bound")), UNBOUND).when(no(c("ticket") == r.ticket), TICKET)
-    reason = (
+    first = (
         F.when(c("message_id").isNull() | c("arrival").isNull() | no(~F.startswith("_text", F.lit(r.relay))) | _k("").isNull(), REQUEST)
         .when(F.coalesce(halt, F.lit(False)), F.when(~sound_halt, REQUEST).when(no((c("_job") == "all") | F.array_contains("_ours", c("_job"))), NO_JOB))
         .when(no(dispatch) | no(_s("kind") == "dispatch") | ~_object(_k(""), ("schema", "kind"), ("envelope", "resolution")), REQUEST)
-        .when(~_envelope(r), ENVELOPE).when(kind_at("$.resolution").isNull(), MISSING).when(~_resolution(r), RESOLUTION)
-        .when(refused.isNotNull(), refused).when(no(admitted), forest.NOT_ADMITTED).when(no(said == root) | no(_l("resolution.carve_out_hits") == hits), DISAGREES)
+        .when(~_envelope(r), ENVELOPE).when(~F.array_contains(_k(""), "resolution"), MISSING).when(~_resolution(r), RESOLUTION)
+        .when(refused.isNotNull(), refused).when(no(admitted), forest.NOT_ADMITTED)
+    )
+    out = own.select(
+        "message_id", F.unix_micros(c("arrival").cast("timestamp")).alias("at"), drop.alias("_drop"), first.alias("_first"), F.coalesce(halt, F.lit(False)).alias("_halt"), "_job", "_ours", _s("envelope.job_id").alias("_id"), F.coalesce("isolated", F.lit(False)).alias("isolated"),
+        of([(k, F.lit(x.careful)) for k, x in r.policy.lanes.items()], lane).alias("_slow"), "_own", F.when(c("_odd").isNull(), rules.stems_in(c("_n"), r.policy.stems)).alias("_hits"), "_odd", _s("resolution.root_class").alias("_said"), _l("resolution.carve_out_hits").alias("_told"), _s("resolution.root_model").alias("_model"),
+    )
+    # rows wait for Python in memory or on disk, as many as its socket takes texts of, so they are narrow by now
+    out = out.withColumn("_odd", F.when(c("_first").isNull() & c("_drop").isNull() & ~c("_halt"), c("_odd")))
+    out = out.withColumn("_plain", nfkc(c("_odd")))
+    out = out.withColumns({"_hits": F.coalesce("_hits", rules.stems_in(rules.plain_tag(c("_plain")), r.policy.stems)), "_unsure": F.coalesce(c("_plain").rlike(r"[\p{L}&&[^\x00-\x7F]]"), F.lit(False))})
+    careful = c("_slow") | (F.size("_own") > 0) | (F.size("_hits") > 0) | c("_unsure")
+    root, model = F.when(careful, r.policy.careful).otherwise(r.policy.quick), c("_model")
+    second = (
+        F.when(no(c("_said") == root) | no(c("_told") == F.array_sort(F.array_union("_own", "_hits"))), DISAGREES)
         .when(careful & no(model == F.lit(slow)), DISAGREES).when(~careful, F.when(F.lit(fast).isNull(), UNRECORDED).when(no(model == F.lit(fast)), MISMATCH))
     )
-    out = own.select("message_id", F.unix_micros(c("arrival").cast("timestamp")).alias("at"), drop.alias("_drop"), reason.alias("_reason"), F.coalesce(halt, F.lit(False)).alias("_halt"), "_job", "_ours", _s("envelope.job_id").alias("_id"), model.alias("_model"), F.coalesce("isolated", F.lit(False)).alias("isolated"))
+    out = out.withColumn("_reason", F.coalesce("_first", F.when(~c("_halt"), second)))
     action = F.when(c("_drop").isNotNull(), "drop").when(c("_reason").isNotNull(), "reply").when(c("_halt"), "halt").otherwise("ready")
     out = out.withColumn("action", action)
     is_ = lambda a, x: F.when(c("action") == a, x)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -30,16 +31,32 @@ def stamped(tags: Column, more: Column) -> Column:
 
 def normal_tag(c: Column) -> Column:
     """NFKC, ASCII lower case, other characters than ASCII letters and digits to single hyphens, none at the ends."""
-    low = F.translate(nfkc(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return plain_tag(nfkc(c))
+
+
+def plain_tag(c: Column) -> Column:
+    """:func:`normal_tag` of what is NFKC already."""
+    low = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), r"^-+|-+\z", "")
 
 
 def stem_hits(rows: DataFrame, stems: Sequence[tuple[str, str]], text: str = "text") -> DataFrame:
     """``rows`` with ``hits``, the sorted canonical tags whose stem the text holds, both sides normalised; ``stems`` are the
     caller's short list of (stem, canonical tag). A stem that normalises to nothing hits nothing."""
-    named = [(w, tag) for stem, tag in stems if (w := re.sub("[^a-z0-9]+", "-", unicodedata.normalize("NFKC", stem).translate(LOWER)).strip("-"))]
-    own = rows.withColumn("_n", normal_tag(F.col(text)))
-    return own.withColumn("hits", F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.col("_n").contains(w), F.lit(tag)) for w, tag in named]))))).drop("_n")
+    return rows.withColumn("_n", normal_tag(F.col(text))).withColumn("hits", stems_in(F.col("_n"), stems)).drop("_n")
+
+
+def stems_in(tag: Column, stems: Sequence[tuple[str, str]]) -> Column:
+    """The sorted canonical tags whose stem a text of :func:`normal_tag` holds, which is read once for each."""
+    named = [(w, name) for stem, name in stems if (w := re.sub("[^a-z0-9]+", "-", unicodedata.normalize("NFKC", stem).translate(LOWER)).strip("-"))]
+    return those_of([(tag.contains(w), name) for w, name in named])
+
+
+def those_of(found: Sequence[tuple[Column, str]]) -> Column:
+    """The sorted names with some condition that holds. Sorted here, as lambdas over arrays are not compiled."""
+    by = {tag: functools.reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c, t in found if t == tag]) for tag in sorted({t for _, t in found})}
+    none = F.lit(None).cast("string")
+    return F.array_except(F.array(none, *[F.when(c, F.lit(tag)) for tag, c in by.items()]), F.array(none))
 
 
 def admit(rows: DataFrame, label: str, ranks: Sequence[str], required: Column) -> DataFrame:

@@ -181,3 +181,23 @@ def test_hot_jobs_are_cut(spark, monkeypatch, hours):
         assert sorted((tuple(r) for r in got.select("message_id", "action", "reason").collect()), key=str) == walked(rows, timedelta(hours=hours))
     finally:
         spark.conf.set(name, before)
+
+
+def test_rows_that_wait_for_python_are_narrow(spark):
+    """Whole messages and their variants waited, and took more disk than all else where memory ran out."""
+    from sedge.plans import jobs
+
+    plan = receiver.checked(jobs.receiver_messages(spark, "/root/testdata/sf0.001"), RULES)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    under = [plan[i + 1] for i, line in enumerate(plan) if "ArrowEvalPython" in line]
+    assert len(under) == 1
+    for wide in ("_v", "_text", "body", "sessions", "_s.envelope.goal"):
+        assert f"{wide}#" not in under[0], wide
+
+
+def test_an_object_with_a_key_twice_and_values_that_are_null(spark):
+    """What is read of an object at once: keys, nulls and texts that are none."""
+    bodies = [request().replace('"depth": 0', '"depth": 0, "depth": 0'), request(e_goal=None), request(e_goal=5), request(e_job_id=None), request(r_root_model=7), request(e_budget_envelope=None), request(e_budget_envelope={"tokens": None}), request(r_child_policy=None), request(r_carve_out_hits=None)]
+    rows = [(f"m{i}", START + timedelta(days=9 * i), "desk:beta:9:s2", "T-1", b, True, True, SESSIONS) for i, b in enumerate(bodies)]
+    got = {r.message_id: r.reason for r in receiver.decisions(spark.createDataFrame(rows, SCHEMA), RULES, timedelta(days=1)).collect()}
+    want = ["request-invalid"] + ["envelope-invalid"] * 3 + ["resolution-invalid"] + ["envelope-invalid"] * 2 + ["resolution-invalid"] * 2
+    assert [got[f"m{i}"] for i in range(len(bodies))] == want
