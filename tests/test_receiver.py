@@ -170,7 +170,7 @@ def test_hot_jobs_are_cut(spark, monkeypatch, hours):
     try:
         spark.conf.set(name, "64")
         monkeypatch.setattr(receiver, "DRAWN", 2)
-        ready = receiver.checked(spark.createDataFrame(rows, SCHEMA), RULES).where("action = 'ready'").cache()
+        ready = receiver.kept(receiver.checked(spark.createDataFrame(rows, SCHEMA), RULES)).where("action = 'ready'")
         cells = receiver._cells(ready).collect()
         hot = [x for x in cells if x._job == "job-hot"]
         assert 8 <= len(hot) <= len(cells) <= 128
